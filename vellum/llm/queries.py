@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, quality_rules, url_rules
+from . import byte_bpe, packing, quality_rules, simhash, url_rules
 from .common import table
 
 #: The curated URL rules (host, path, verdict).
@@ -23,6 +23,11 @@ WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.cluster(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_BPE)
     ids = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -54,7 +59,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_url_rules, op4_packing, op9_byte_bpe)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_url_rules, op4_packing, op6_simhash, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
