@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, quality_rules, simhash, url_rules
+from . import byte_bpe, embedding_caps, packing, quality_rules, simhash, url_rules
 from .common import table
 
 #: The curated URL rules (host, path, verdict).
@@ -58,8 +58,12 @@ def packed(docs: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", length, F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op10_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_caps.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_url_rules, op4_packing, op6_simhash, op9_byte_bpe)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_url_rules, op4_packing, op6_simhash, op9_byte_bpe, op10_embedding_caps)}
 
 
 def oracle_sql() -> dict[str, str]:
