@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +25,25 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the cluster's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
     machine, is one set under the warehouse folder.
     """
-    sc = df.sparkSession.sparkContext
+    folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate results."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         at = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(at or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
-    return df.checkpoint()
+        sc.setCheckpointDir(at or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+    return sc.getCheckpointDir()
+
+
+def store(df: DataFrame) -> DataFrame:
+    """``df`` written as a compressed table to the shared checkpoint folder and read again; for large results that are read more than once."""
+    spark = df.sparkSession
+    at = f"{folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def remainder(key: str | Column, modulus: int) -> Column:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_caps, packing, quality_rules, simhash, url_rules
+from . import byte_bpe, embedding_caps, packing, quality_rules, simhash, suffix_dedup, url_rules
 from .common import table
 
 #: The curated URL rules (host, path, verdict).
@@ -28,6 +28,17 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_BPE)
     ids = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -63,7 +74,7 @@ def op10_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_url_rules, op4_packing, op6_simhash, op9_byte_bpe, op10_embedding_caps)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_url_rules, op4_packing, op6_simhash, op7_suffix_dedup, op9_byte_bpe, op10_embedding_caps)}
 
 
 def oracle_sql() -> dict[str, str]:
