@@ -48,7 +48,7 @@ def store(df: DataFrame) -> DataFrame:
 
 def remainder(key: str | Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo ``modulus``; a null key counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(key) if isinstance(key, str) else key, F.lit("")).cast("string")) % modulus
+    return F.crc32(F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit(""))) % modulus
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_caps, packing, quality_rules, simhash, suffix_dedup, toxicity, url_rules
-from .common import table
+from . import byte_bpe, embedding_caps, lm_mixing, packing, quality_rules, simhash, suffix_dedup, toxicity, url_rules
+from .common import remainder, table
 
 #: The curated URL rules (host, path, verdict).
 URL_RULES = [
@@ -39,6 +39,11 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lm_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 7) == 2).alias("held_out"))
+    return lm_mixing.score(docs, docs.where("not held_out"), "held_out")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_BPE)
     ids = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -80,7 +85,7 @@ def op10_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_url_rules, op4_packing, op6_simhash, op7_suffix_dedup, op9_byte_bpe, op10_embedding_caps)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_url_rules, op4_packing, op6_simhash, op7_suffix_dedup, op8_lm_mixing, op9_byte_bpe, op10_embedding_caps)}
 
 
 def oracle_sql() -> dict[str, str]:
