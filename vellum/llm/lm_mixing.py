@@ -97,7 +97,7 @@ def _hashed(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
 class Bits:
     """The bits of some texts: for each its slot in every table, its value and its token; tokens in order of their block."""
 
-    def __init__(self, code: Code, symbols: list[np.ndarray]):
+    def __init__(self, code: Code, symbols: list[np.ndarray], ordered: bool = True):
         lengths = np.array([len(s) for s in symbols])
         flat = np.concatenate(symbols)
         starts = np.cumsum(lengths) - lengths
@@ -105,8 +105,9 @@ class Bits:
         place = np.arange(len(flat)) - starts[doc]
         one = np.where(place > 0, np.concatenate([[0], flat[:-1]]) + 1, 0)
         two = np.where(place > 1, np.concatenate([[0, 0], flat[:-2]])[: len(flat)] + 1, 0)
-        order = np.argsort(place // BLOCK, kind="stable")
-        flat, doc, place, one, two = flat[order], doc[order], place[order], one[order], two[order]
+        if ordered:
+            order = np.argsort((place // BLOCK).astype(np.uint16 if len(place) < BLOCK << 16 else np.int64), kind="stable")
+            flat, doc, place, one, two = flat[order], doc[order], place[order], one[order], two[order]
         n = code.length[flat]
         token = np.repeat(np.arange(len(flat)), n)
         within = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
@@ -150,7 +151,7 @@ class Model:
     def __init__(self, code: Code, tables: list[np.ndarray], spell: list[np.ndarray]):
         self.code, self.tables, self.spell = code, tables, spell
         self.start = np.tile(np.array([0.0, 0.3, 0.4, 0.3]), (GATES, 1))
-        self.final = np.tile(np.linspace(-8, 8, 33), (GATES, 1))
+        self.final = np.tile(np.linspace(-8, 8, 33, dtype=np.float32), (GATES, 1))
         self.spell_weights = np.array([0.1, 0.15, 0.45, 0.45])
 
     def inputs(self, bits: Bits, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,53 +159,57 @@ class Model:
         stretch, confidence = _stretch_table()
         x = np.ones((len(bits.value), 4), np.float32)
         gate = np.zeros(len(bits.value), np.int64)
-        off = own[bits.doc]
-        step = np.where(bits.value == 1, 1, 256)
+        one = bits.value == 1
+        half, step = np.where(one, np.uint16(255), np.uint16(0xFF00)), np.where(one, np.uint16(1), np.uint16(256))
+        step *= own[bits.doc]
         for k, (table, slot) in enumerate(zip(self.tables, bits.slots, strict=True)):
-            c = table[slot].astype(np.int64)
-            there = np.where(bits.value == 1, c & 255, c >> 8) > 0
-            c = c - step * (there & off)
+            c = table[slot]
+            c = (c - step * ((c & half) > 0)).astype(np.intp)
             x[:, k + 1] = stretch[c]
             if k:
-                gate = gate * 4 + confidence[c]
+                gate *= 4
+                gate += confidence[c]
         return x, gate
 
     def run(self, bits: Bits, own: np.ndarray, learn: bool = False) -> np.ndarray:
         """Log2 probability of each text's bits but spellings; learn: the last weights become the starting ones, by their mean."""
         x, gate = self.inputs(bits, own)
         docs = len(own)
-        w = np.tile(self.start, (docs, 1, 1)).reshape(docs * GATES, 4)
-        total = np.zeros(docs)
+        w = np.tile(self.start.astype(np.float32), (docs, 1, 1)).reshape(docs * GATES, 4)
         edges = np.concatenate([[0], np.flatnonzero(np.diff(bits.block)) + 1, [len(bits.value)]]) if len(bits.value) else np.zeros(1, np.int64)
-        stretched = np.empty(len(bits.value)) if learn else None
+        stretched, losses = (np.empty(len(bits.value), np.float32) for _ in range(2))
+        all_at = bits.doc * GATES + gate
+        sign = (2 * bits.value - 1).astype(np.float32)
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            at = bits.doc[a:b] * GATES + gate[a:b]
-            own_x = x[a:b]
+            at, own_x, toward = all_at[a:b], x[a:b], sign[a:b]
             dot = np.clip(np.einsum("ij,ij->i", w[at], own_x), -12, 12)
-            if learn:
-                stretched[a:b] = dot
-            y = bits.value[a:b]
-            error = y - 1 / (1 + np.exp(-dot))
-            z = self.refined(dot, gate[a:b])
-            total += np.bincount(bits.doc[a:b], -np.logaddexp(0, np.where(y == 1, -z, z)), minlength=docs)
-            seen, local = np.unique(at, return_inverse=True)
+            stretched[a:b] = dot
+            losses[a:b] = np.log1p(np.exp(-toward * self.refined(dot, gate[a:b])))
+            error = toward / (1 + np.exp(toward * dot))
+            # of a block with few texts only these texts' weights are touched
+            low = int(at.min()) // GATES * GATES
+            local = at - low
+            rate = RATE / np.sqrt(1 + np.bincount(local))
             for k in range(4):
-                w[seen, k] += RATE * np.bincount(local, error * own_x[:, k]) / np.sqrt(1 + np.bincount(local))
+                w[low : low + len(rate), k] += rate * np.bincount(local, error * own_x[:, k] if k else error)
         if learn:
             self.start = w.reshape(docs, GATES, 4).mean(axis=0)
             bucket = np.clip(np.rint((np.clip(stretched, -8, 8) + 8) * 2), 0, 32).astype(np.int64) + 33 * gate
             n, ones = np.bincount(bucket, minlength=33 * GATES), np.bincount(bucket, bits.value, minlength=33 * GATES)
             prior = 1 / (1 + np.exp(-np.tile(np.linspace(-8, 8, 33), GATES)))
             p = (ones + 20 * prior) / (n + 20)
-            self.final = np.log(p / (1 - p)).reshape(GATES, 33)
-        return total / math.log(2)
+            self.final = np.log(p / (1 - p)).reshape(GATES, 33).astype(np.float32)
+        return -np.bincount(bits.doc, losses, minlength=docs) / math.log(2)
 
     def refined(self, dot: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """The mixed log-odds halfway to the last table's."""
-        at = (np.clip(dot, -8, 8) + 8) * 2
-        low = np.minimum(at.astype(np.int64), 31)
-        part = at - low
-        return 0.5 * dot + 0.5 * (self.final[gate, low] * (1 - part) + self.final[gate, low + 1] * part)
+        at = (np.clip(dot, -8, 8) + np.float32(8)) * np.float32(2)
+        low = np.minimum(at.astype(np.intp), 31)
+        part = at - low.astype(np.float32)
+        low += gate * 33
+        flat = self.final.ravel()
+        left = flat[low]
+        return np.float32(0.5) * (dot + left + (flat[low + 1] - left) * part)
 
     def spelling(self, tokens: list[bytes], own: np.ndarray) -> np.ndarray:
         """Log2 probability of the words' spellings; own: words whose own counts are in the tables."""
@@ -305,7 +310,7 @@ def fit(training: DataFrame, counts: DataFrame, *, text: str = "text", key: str
         for batch in batches:
             for part in (batch.slice(i, 300) for i in range(0, batch.num_rows, 300)):
                 any_text = True
-                bits = Bits(code, [code.symbols(words(x)) for x in text_bytes(part.column(0))])
+                bits = Bits(code, [code.symbols(words(x)) for x in text_bytes(part.column(0))], ordered=False)
                 for table, slot in zip(tables, bits.slots, strict=True):
                     np.add.at(table, slot * 2 + bits.value, 1)
         if any_text:
