@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_caps, lm_mixing, packing, quality_rules, simhash, suffix_dedup, toxicity, url_rules
+from . import byte_bpe, embedding_caps, lm_mixing, packing, quality_bayes, quality_rules, simhash, suffix_dedup, toxicity, url_rules
 from .common import remainder, table
 
 #: The curated URL rules (host, path, verdict).
@@ -23,6 +23,13 @@ WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op5_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = remainder("doc_id", 3) == 1
+    found = quality_bayes.score(docs, labels.where(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), *(F.round(c, 9).alias(c) for c in ("evidence", "site", "score")), (F.col("score") >= 0.5).alias("kept"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.cluster(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -74,10 +81,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
-def packed(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame, ids: bool = False) -> DataFrame:
+    """The pieces' places and checksums, and their ids if wanted."""
     pieces = packing.with_sequences(packing.pack(docs, public_tokenizers.path(WORD_BPE), end_id=1))
     length = (F.octet_length("ids") / 4).cast("long").alias("length")
-    return pieces.select("doc_id", "start", length, F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+    return pieces.select("doc_id", "start", length, F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket", *(["ids"] if ids else []))
 
 
 def op10_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +93,7 @@ def op10_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_url_rules, op4_packing, op6_simhash, op7_suffix_dedup, op8_lm_mixing, op9_byte_bpe, op10_embedding_caps)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_url_rules, op4_packing, op5_quality_bayes, op6_simhash, op7_suffix_dedup, op8_lm_mixing, op9_byte_bpe, op10_embedding_caps)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -350,8 +350,11 @@ def covered(size: int, marks: list[dict] | None, span: int) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))).reshape(-1, 2)
 
 
-def dedup(df: DataFrame, *, key: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, carry: list[str] | None = None, **options: int) -> DataFrame:
-    """(key, n_bytes, spans, kept) of each row, and the columns to ``carry``; spans: removed runs of bytes, kept: the remaining bytes."""
+def dedup(df: DataFrame, *, key: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, carry: list[str] | None = None, decoded: str | None = None, **options: int) -> DataFrame:
+    """(key, n_bytes, spans, kept) of each row, and the columns to ``carry``; spans: removed runs of bytes, kept: the remaining bytes.
+
+    decoded: a name under which the remaining bytes come as text instead, without what is left of characters cut in two.
+    """
     carried = carry or []
     body = F.coalesce(F.col(text), F.lit(""))
     texts = df.select(F.col(key).alias("id"), body.alias("text"), F.xxhash64(body).alias("th"))
@@ -370,7 +373,7 @@ def dedup(df: DataFrame, *, key: str = "doc_id", text: str = "text", span: int =
                     sizes.append(len(data))
                     spans.append([{"start": a, "end": b} for a, b in runs.tolist()])
                     kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if len(runs) else data)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), *part.columns[3:]], ["id", "n_bytes", "spans", "kept", *part.schema.names[3:]])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if decoded else pa.array(kept, pa.binary()), *part.columns[3:]], ["id", "n_bytes", "spans", "kept", *part.schema.names[3:]])
 
-    out = joined.mapInArrow(run, f"id {df.schema[key].dataType.simpleString()}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary{kinds}")
-    return out.select(F.col("id").alias(key), "n_bytes", "spans", "kept", *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carried)))
+    out = joined.mapInArrow(run, f"id {df.schema[key].dataType.simpleString()}, n_bytes long, spans array<struct<start:long,end:long>>, kept {'string' if decoded else 'binary'}{kinds}")
+    return out.select(F.col("id").alias(key), "n_bytes", "spans", F.col("kept").alias(decoded or "kept"), *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carried)))

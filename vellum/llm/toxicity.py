@@ -237,20 +237,21 @@ def score(df: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text
                     of = np.searchsorted(ends, hot, side="right")
                     for k in np.unique(of).tolist():
                         places = [x.span() for x in _TOKEN.finditer(texts[used[k]])]
-                        own = spans[used[k]]
+                        marked = spans[used[k]]
                         before = -2
                         for t in (hot[of == k] - starts[k]).tolist():
                             a, b = places[t]
                             if t == before + 1:
-                                own[-1]["end"] = b
+                                marked[-1]["end"] = b
                             else:
-                                own.append({"start": a, "end": b})
+                                marked.append({"start": a, "end": b})
                             before = t
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(found, lengths)), pa.array(spans, kind), *part.columns[2:]], [key, "score", "spans", *carried])
+                own = [rows_of(part, "_text" if c == text else c) for c in carried]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(found, lengths)), pa.array(spans, kind), *own], [key, "score", "spans", *carried])
 
     schema = ", ".join([f"`{key}` {df.schema[key].dataType.simpleString()}", "score double", "spans array<struct<start:long,end:long>>", *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carried)])
-    return df.select(key, F.col(text).alias("_text"), *carried).mapInArrow(run, schema)
+    return df.select(key, F.col(text).alias("_text"), *(c for c in carried if c != text)).mapInArrow(run, schema)
 
 
 class _Emissions(dict):
