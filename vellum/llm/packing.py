@@ -13,10 +13,13 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -29,6 +32,40 @@ _INFO_SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile(r"[^\S\x1c-\x1f]+")
 
 
+#: Code points below this are split and composed here; a run with any other goes to the tokenizer as it is.
+PLAIN = "\u0250"
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: A byte that UTF-8 never has stands for the end of a word.
+_END = b"\xff"
+
+
+class Pieces(dict):
+    """Ids of a lower-case piece, from the tokenizer's own merges run by a faster merger.
+
+    The end of a word is a byte of its own here; the symbols "byte with end" have the lowest ranks of all
+    merges in the vocabulary, so they are formed first, as the tokenizer begins with them.
+    """
+
+    def __init__(self, core: Tokenizer):
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+        ranks = {_END: 1 << 30}
+        for token, n in core.get_vocab(with_added_tokens=False).items():
+            body, end = (token[:-4], _END) if token.endswith("</w>") else (token, b"")
+            if all(c in byte_of for c in body):
+                ranks[bytes(byte_of[c] for c in body) + end] = n
+        self.merge = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.array(self.merge(piece.encode() + _END), "<u4").tobytes()
+        if len(piece) <= KEPT_CHARS:
+            if len(self) >= KEPT:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Words(dict):
     """Ids of a run of text without white space, as little-endian 32-bit bytes.
 
@@ -38,9 +75,14 @@ class Words(dict):
 
     def __init__(self, path: str):
         self.core = Tokenizer.from_file(path)
+        self.pieces = Pieces(self.core)
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.core.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if max(word) < PLAIN and "<|" not in word:
+            plain = word if word.isascii() else unicodedata.normalize("NFC", word)
+            ids = b"".join(map(self.pieces.__getitem__, _PIECE.findall(plain.lower())))
+        else:
+            ids = np.array(self.core.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(word) <= KEPT_CHARS:
             if len(self) >= KEPT:
                 self.clear()
