@@ -20,17 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut.
+    """``df`` written as a table to the shared checkpoint folder and read again.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, is one set under the warehouse folder.
+    Its lineage is cut, an executor's loss costs nothing of it, and what reads it knows its size: a checkpoint
+    would carry estimates on, which grow without bound where joins are repeated.
     """
-    folder(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    at = f"{folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate results."""
+    """The shared folder for intermediate results: the cluster's ``spark.checkpoint.dir``.
+
+    Only where that is unset, as in tests on one machine, is one set under the warehouse folder.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         at = sc.getConf().get("spark.checkpoint.dir")
@@ -38,14 +43,6 @@ def folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def store(df: DataFrame) -> DataFrame:
-    """``df`` written as a compressed table to the shared checkpoint folder and read again; for large results that are read more than once."""
-    spark = df.sparkSession
-    at = f"{folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def remainder(key: str | Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo ``modulus``; a null key counts as the empty text."""
     return F.crc32(F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit(""))) % modulus

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, store, text_bytes
+from .common import cut, rows_of, text_bytes
 
 #: Words with codes of their own, bits of the tables' sizes, tokens of a block of the online updates.
 CODED = 1 << 16
@@ -246,14 +246,14 @@ def _sum(group: pa.Table) -> pa.Table:
 
 def summed(parts: DataFrame, sizes: list[int]) -> list[np.ndarray]:
     """The tables' totals, from tasks' pieces, by levels of at most FAN_IN tables a task; the result has a fixed size."""
-    parts = store(parts)
+    parts = cut(parts)
     tasks = (parts.agg(F.max("task")).first()[0] or 0) + 1
     while True:
         parts = parts.groupBy("t", "piece", F.floor(F.col("task") / FAN_IN).alias("_g")).applyInArrow(_sum, "t int, piece int, task int, data binary")
         tasks = -(-tasks // FAN_IN)
         if tasks == 1:
             break
-        parts = store(parts)
+        parts = cut(parts)
     # totals shrink to 16 bits a slot before they leave the executors
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,7 +343,7 @@ def fit(training: DataFrame, counts: DataFrame, *, text: str = "text", key: str
 
 def score(df: DataFrame, training: DataFrame, held_out: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte); held_out: the boolean column of rows that ``training`` lacks."""
-    counts = store(count_words(training, text))
+    counts = cut(count_words(training, text))
     model, n, v = fit(training, counts, text=text, key=key)
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = df.schema[key].dataType.simpleString()
@@ -383,7 +383,7 @@ def score(df: DataFrame, training: DataFrame, held_out: str, *, key: str = "doc_
                 ], names=["id", "held_out", "n_tokens", "known", "base", "score", "size", "others"])
 
     rows = df.select(key, text, held_out).mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, known long, base double, score double, size long, others array<struct<h:long,k:long>>")
-    rows = store(rows.withColumn("_row", F.monotonically_increasing_id()))
+    rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
     met = rows.select("_row", F.inline("others")).join(counts.where(F.col("token").isNotNull()).select("h", "c"), "h")
     met = met.groupBy("_row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("plus"))
     out = rows.join(met, "_row", "left")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, store, text_bytes
+from .common import cut, rows_of, text_bytes
 
 SPAN = 200
 GRAM = 48
@@ -303,15 +303,15 @@ def _same_row(a: str, b: str) -> Column:
 
 def repeated_windows(texts: DataFrame, *, span: int, gram: int, block_regions: int = BLOCK_REGIONS) -> DataFrame:
     """(id, th, marks) of the texts with repeated windows; marks: (first, last) window of each run, as 32-bit numbers."""
-    found = store(regions(texts, span, gram))
+    found = cut(regions(texts, span, gram))
     owners = found.groupBy("ah").agg(F.sum("n").alias("_n"), F.min("rh").alias("_lo"), F.max("rh").alias("_hi")).where("_n > 1").select("ah", (F.col("_lo") != F.col("_hi")).alias("mixed"))
-    shared = store(found.join(owners, "ah"))
+    shared = cut(found.join(owners, "ah"))
     mixed = shared.where("mixed")
     distinct = mixed.groupBy("ah", "rh").agg(F.sum("n").alias("n"), F.min(F.struct("id", "th", "p", "w")).alias("at"))
     counts = distinct.groupBy("ah").agg(F.count(F.lit(1)).alias("_kinds"))
     distinct = distinct.join(counts, "ah").select("ah", "rh", "n", "at.*", (F.col("_kinds") > block_regions).alias("crowded"))
     cut_out = distinct.alias("d").join(texts.alias("t"), _same_row("d", "t")).select("ah", "rh", "n", "crowded", F.expr(f"substring(cast(text as binary), p + 1, w + {span - 1})").alias("content"))
-    cut_out = store(cut_out.dropDuplicates(["ah", "rh"]))
+    cut_out = cut(cut_out.dropDuplicates(["ah", "rh"]))
     blocks = max(8, -(-found.count() // 200_000))
     indexed = cut_out.where("not crowded").select("ah", "rh", "content", F.pmod(F.xxhash64("ah"), F.lit(blocks)).alias("b")).groupBy("b").applyInArrow(_index(span), "ah long, rh long, found binary")
     windows = cut_out.where("crowded").select("ah", "rh", "content").mapInArrow(_windows(span), "ah long, rh long, o int, u long, v long")
