@@ -94,3 +94,21 @@ def report_lines(head: DataFrame, table: DataFrame, leftover: DataFrame) -> Data
     b = table.select("doc", F.lit(2).alias("part"), F.col("page").cast("long").alias("n"), F.format_string("| %d | %s | %s |", "page", "reasons", "action").alias("line"))
     c = leftover_section(leftover).select("doc", F.lit(3).alias("part"), "n", F.format_string("- %d: %s", "page", "run").alias("line"))
     return a.unionByName(b).unionByName(c)
+
+
+def failed(recoveries: DataFrame) -> DataFrame:
+    """Recoveries that left a note."""
+    return recoveries.where(F.coalesce("note", F.lit("")) != "")
+
+
+def fragment_section(fragments: DataFrame, first: int = 5, cut: int = 90) -> DataFrame:
+    """(doc, n, why, src, total): the first rescued fragments (doc, pos, why, src) and how many there are; a limit of the report's."""
+    out = fragments.withColumns({"n": F.row_number().over(W.partitionBy("doc").orderBy("pos")).cast("long"), "total": F.count(F.lit(1)).over(W.partitionBy("doc"))})
+    return out.where(F.col("n") <= first).select("doc", "n", "why", F.left("src", F.lit(cut)).alias("src"), "total")
+
+
+def summary(recoveries: DataFrame) -> DataFrame:
+    """(doc, retranslated, reverted, rest) over the last recovery of each page."""
+    last = recoveries.groupBy("doc", "page").agg(F.max_by("action", "seq").alias("action"))
+    count = lambda a: F.count_if(F.col("action") == a).alias(a)
+    return last.groupBy("doc").agg(count("retranslated"), count("reverted"), F.count_if(~F.col("action").isin("retranslated", "reverted")).alias("rest"))

@@ -134,3 +134,10 @@ def decided(term: Column, target: Column) -> Column:
         & (F.length(t) <= F.greatest(F.lit(24), F.length(term)))
         & ~F.regexp_like(t, F.lit(r"다\.?$"))
     )
+
+
+def italic_words(spans: DataFrame, *, doc: str = "doc", text: str = "text", font: str = "font", composed: bool = False) -> DataFrame:
+    """(doc, w): distinct words of spans in an italic text font; a mathematical font's are variables."""
+    slanted = spans.where((F.col(font).contains("TI") | F.col(font).contains("Italic")) & ~F.col(font).contains("CMMI"))
+    letters = F.lower(F.regexp_replace(X.repair(F.col(text), composed), r"[^A-Za-z\- ]+", " "))
+    return slanted.select(doc, F.explode(F.split(letters, " +")).alias("w")).where("w <> ''").distinct()

@@ -549,3 +549,40 @@ def s04_margin_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = docs(spark, sf_dir).select(F.lit("b").alias("doc"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     b = b.withColumns({"y0": F.col("pos") * 10.0, "y1": F.col("pos") * 10.0 + 9.0, "height": F.lit(200.0)})
     return audit.without_margins(b).select("page", F.md5("text").alias("body"))
+
+
+@query(f"select page, seq, note from {_RECOVERIES} where note <> ''")
+def r09_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.failed(_recoveries(spark, sf_dir)).select("page", F.col("seq").cast("int").alias("seq"), "note")
+
+
+@query("select doc, n, why, src, total from (select source as doc, lang as why, md5(left(text, 90)) as src, row_number() over (partition by source order by doc_id) as n, count(*) over (partition by source) as total from documents) where n <= 5")
+def r11_fragment_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five fragments; the limit is the report's."""
+    d = docs(spark, sf_dir).select(F.col("source").alias("doc"), F.col("doc_id").alias("pos"), F.col("lang").alias("why"), F.col("text").alias("src"))
+    return audit.fragment_section(d).select("doc", "n", "why", F.md5("src").alias("src"), "total")
+
+
+@query(f"select count(*) filter (action = 'retranslated') as retranslated, count(*) filter (action = 'reverted') as reverted, count(*) filter (action = 'kept') as rest from {_RECOVERIES} where seq = 2")
+def r12_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.summary(_recoveries(spark, sf_dir)).select("retranslated", "reverted", "rest")
+
+
+@query("select doc_id, doc_id % 5 <> 0 and doc_id % 7 <> 0 and not (doc_id % 3 > 0 and doc_id % 3 = doc_id % 4) as ok from documents")
+def k04_chunk_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("doc_id")
+    ok = control.succeeded(F.when(c % 5 == 0, 1).otherwise(0), c % 7 != 0, c % 3, c % 4)
+    return docs(spark, sf_dir).select("doc_id", ok.alias("ok"))
+
+
+@query("select source as doc, doc_id, (row_number() over (partition by source order by doc_id) - 1) // 12 as batch from documents")
+def k09_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.batches(docs(spark, sf_dir).select(F.col("source").alias("doc"), "doc_id"), [F.col("doc_id")], 12)
+
+
+@query()
+def t03_italic_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of even length stand in for words set in italics."""
+    w = _words(spark, sf_dir)
+    spans = w.select("doc", F.col("raw").alias("text"), F.when(F.length("w") % 2 == 0, "SomeFont-Italic").otherwise("CMMI-Italic").alias("font"))
+    return terms.italic_words(spans)
