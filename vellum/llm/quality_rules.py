@@ -142,7 +142,7 @@ def fit(x: DataFrame, *, share: float = 0.75, steps: int = 3, prior: float = 30.
 
 
 def judge(df: DataFrame, *, lang: str = "lang", source: str = "source", text: str = "text", cutoff: float = 60.0, share: float = 0.75, steps: int = 3, keep_text: bool = True) -> DataFrame:
-    """``df`` with its statistics, distance, base_failed and kept; without its texts if these aren't wanted. cutoff: of the squared distance, on as many degrees of freedom as there are features."""
+    """``df`` with its statistics, distance, base_failed and kept; without its texts if these aren't wanted. cutoff: of the squared distance; of normal vectors of six features 5 in 10^11 exceed 60."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "distance", "base_failed", "kept"]
     own = [c for c in df.columns if c not in names]
     x = features(statistics(df.select(*own), text), lang=lang, source=source)
