@@ -19,6 +19,7 @@ labelled row of both classes every score is the share of toxic ones, or 0.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -134,30 +135,40 @@ def train(texts: list[str | None], toxic: np.ndarray, share: float, *, rounds: i
         base = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
         return Model({}, -12.0, np.zeros((2, 2)), 0.0, (base, 0.0, 0.0), least)
     known: dict[str, int] = {}
-    ids = [np.array([known.setdefault(form(t), len(known)) for t in _TOKEN.findall(x or "")], np.int64) for x in texts]
+    ids = [np.fromiter((known.setdefault(form(m[0]), len(known)) for m in _TOKEN.finditer(x or "")), np.int32) for x in texts]
     forms = list(known)
-    # features of at least two toxic documents
+    # features of at least two toxic documents; most stand in one, so their names are not held: small counts
+    # under a hash come first, and only what may have two is counted by name
+    mask = (1 << 22) - 1
+    rough = bytearray(mask + 1)
+    for one, t in zip(ids, toxic, strict=True):
+        if t:
+            for h in {hash(f) & mask for i in np.unique(one) for f in features(forms[i])}:
+                rough[h] = min(rough[h] + 1, 2)
     seen: Counter[str] = Counter()
     for one, t in zip(ids, toxic, strict=True):
         if t:
-            seen.update({f for i in np.unique(one) for f in features(forms[i])})
-    index = {f: i for i, f in enumerate(f for f, n in seen.items() if n > 1)}
-    row, col = [], []
+            seen.update({f for i in np.unique(one) for f in features(forms[i]) if rough[hash(f) & mask] > 1})
+    index = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n > 1))}
+    del seen, rough
+    row, col = array("i"), array("i")  # a few million numbers; lists would hold objects
     for i, w in enumerate(forms):
         for f in features(w):
             if (k := index.get(f)) is not None:
                 row.append(i)
                 col.append(k)
-    row, col = np.array(row, np.int64), np.array(col, np.int64)
+    row, col = np.array(row, np.int32), np.array(col, np.int32)
+    del known
     lengths = np.array([len(x) for x in ids])
     used = np.flatnonzero(lengths)
-    flat, lengths, y = np.concatenate([ids[i] for i in used]) if len(used) else np.zeros(0, np.int64), lengths[used], toxic[used]
+    flat, lengths, y = np.concatenate([ids[i] for i in used]) if len(used) else np.zeros(0, np.int32), lengths[used], toxic[used]
     ends = np.cumsum(lengths)
     starts = ends - lengths
-    owner = np.repeat(np.arange(len(used)), lengths)
+    owner = np.repeat(np.arange(len(used), dtype=np.int32), lengths)
     # start from the features' log-odds of document frequency
-    pairs = np.unique(owner * len(forms) + flat)
+    pairs = np.unique(owner.astype(np.int64) * len(forms) + flat)
     doc_of, form_of = pairs // len(forms), pairs % len(forms)
+    del pairs
     df = [np.bincount(form_of[y[doc_of] == k], minlength=len(forms)) for k in (0, 1)]
     freq = [np.minimum(np.bincount(col, d[row].astype(float), minlength=len(index)), (y == k).sum()) for k, d in enumerate(df)]
     odds = np.log((freq[1] + 0.5) / (y.sum() + 1)) - np.log((freq[0] + 0.5) / ((1 - y).sum() + 1))
