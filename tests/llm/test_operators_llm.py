@@ -418,3 +418,31 @@ def test_pipeline_by_brute_force(spark, documents):
     assert all(frame.columns for frame in (docs,)) and all(set(r.asDict()) == set(docs.columns) for r in left)
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in left}
     assert corpus_pipeline.run(spark, SF).count() == len(packed)
+
+
+@pytest.mark.parametrize("bucket", [64, 2])
+def test_similar_equals_brute_force(spark, documents, bucket):
+    sets = {d: set(simhash.shingle_set(t.encode()).tolist()) for d, t in documents}
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    label, got = ({d: d for d in sets} for _ in range(2))
+    links = simhash.similar(spark.createDataFrame(documents, "doc_id long, text string"), bucket=bucket).collect()
+    for of, pairs in ((label, want), (got, [tuple(r) for r in links])):
+        for _ in range(len(sets)):
+            before = dict(of)
+            for a, b in pairs:
+                of[a] = of[b] = min(of[a], of[b])
+            if of == before:
+                break
+    assert {d: m for d, m in got.items() if sets[d]} == {d: m for d, m in label.items() if sets[d]}
+    assert any(sets[a] != sets[b] for a, b in want)
+
+
+def test_near_duplicate_stage_links_five_word_similarity(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(60)]
+    near, far = [*words[:30], "other", *words[31:]], [w if i % 10 else "x" for i, w in enumerate(words)]
+    rows = [(None, " ".join(near)), (1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, ""), (5, None)]
+    assert (simhash.fingerprint(rows[1][1].encode()) ^ simhash.fingerprint(rows[2][1].encode())).bit_count() > 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == [1, 3, 4]

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, text_bytes
@@ -109,3 +109,105 @@ def cluster(df: DataFrame, *, key: str = "doc_id", text: str = "text", width: in
     least = named.groupBy("label").agg(F.min("_least").alias("component_id"))
     named = cut(named.select("fp", "label").join(least, "label").select("fp", "component_id"))
     return rows.join(named, "fp").select(key, "fp", "component_id")
+
+
+#: Bands of least hashes, and hashes of one: texts at similarity 0.8 fail to meet with probability (1 - 0.8^4)^32 = 5e-8.
+BANDS, ROWS = 32, 4
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; a shorter text is one shingle, an empty one has none."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = max(len(words) - width + 1, 1)
+    rows = zip(*(words[i : i + n] for i in range(min(width, len(words)))), strict=False)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(x, SEED) for x in map(b" ".join, rows)), np.uint64, n))
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """A signed key for each band of the least hashes under BANDS * ROWS orders; none without shingles."""
+    if not len(shingles):
+        return []
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(shingles), 1 << 10):
+        np.minimum(least, (shingles[at : at + (1 << 10), None] * _FACTORS).min(axis=0), out=least)
+    keys = [xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS))]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def _with_sets(df: DataFrame, text: str, width: int, whole: bool) -> DataFrame:
+    """``df`` without its texts, with the shingles if whole, else their hash, number and band keys."""
+    kept = [c for c in df.columns if c != text]
+    more = [F.array(F.lit(0).cast("long")).alias("shingles")] if whole else [F.lit(0).cast("long").alias("set"), F.lit(0).cast("long").alias("n"), F.array(F.lit(0).cast("long")).alias("bands")]
+    schema = df.select(*kept, *more).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = pa.list_(pa.int64())
+        for batch in batches:
+            for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
+                sets = [shingle_set(x, width) for x in text_bytes(part.column(len(kept)))]
+                if whole:
+                    made = [pa.array([x.view(np.int64) for x in sets], longs)]
+                else:
+                    names = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+                    made = [pa.array(names), pa.array([len(x) for x in sets], pa.int64()), pa.array([band_keys(x) for x in sets], longs)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], schema.names)
+
+    return df.select(*kept, text).mapInArrow(run, schema)
+
+
+def similar(df: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, at_least: float = 0.8, bucket: int = 64) -> DataFrame:
+    """(a, b) links between keys, without nulls, that connect texts whose distinct shingles have this Jaccard similarity or more.
+
+    Equal sets are one. Sets meet in the bands' buckets, and every link is verified on the shingles themselves. First
+    each bucket is a chain in an order of its own, which settles large groups of near copies; then buckets whose members
+    are not yet of one component compare all pairs of two components. Those of over ``bucket`` members do so where their
+    members share a second band too, and such a bucket, if it is that large again, is a chain.
+    """
+    df = df.select(key, text)
+    rows = cut(_with_sets(df, text, width, whole=False))
+    sets = cut(rows.groupBy("set").agg(F.min(key).alias("_least"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+        wanted = ids.join(sets.select("set", F.col("_least").alias(key)), "set")
+        whole = cut(_with_sets(wanted.join(df, key).select("set", text), text, width, whole=True))
+        both = pairs.join(whole.select(F.col("set").alias("a"), F.col("shingles").alias("_a")), "a").join(whole.select(F.col("set").alias("b"), F.col("shingles").alias("_b")), "b")
+        common = F.size(F.array_intersect("_a", "_b"))
+        return cut(both.select("a", "b", common.alias("c"), (F.size("_a") + F.size("_b") - common).alias("all")).where(F.col("c") >= at_least * F.col("all") - 1e-9).select("a", "b"))
+
+    def chained(members: DataFrame, *by: str) -> DataFrame:
+        before = F.lag(F.struct("set", "n")).over(Window.partitionBy(*by).orderBy(F.xxhash64("set", *by), "set"))
+        return alike(members.withColumn("_p", before).where("_p is not null").select("_p.set", "_p.n", F.col("set").alias("set2"), F.col("n").alias("n2")).toDF("a", "na", "b", "nb"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Distinct pairs whose sizes allow the similarity."""
+        sized = pairs.where(F.least("na", "nb") >= at_least * F.greatest("na", "nb") - 1e-9)
+        return sized.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def crossed(members: DataFrame, *by: str) -> DataFrame:
+        listed = members.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("set", "n", "label"))).alias("all"))
+        first = listed.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.expr("filter(slice(all, i + 2, size(all)), y -> y.label <> x.label)")).alias("y"))
+        return alike(first.select("x.set", "x.n", "y.set", "y.n").toDF("a", "na", "b", "nb"))
+
+    tried = cut(chained(sets.select("set", "n", F.explode("bands").alias("k")), "k"))
+    found = verified(tried)
+    named = sets.join(components(found).withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set")).select("set", "n", "label", "bands")
+    named = cut(named)
+    keyed = named.select("set", "n", "label", F.explode("bands").alias("k"))
+    mixed = lambda x, *by: cut(x.groupBy(*by).agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(*by, "m"))
+    open_ = mixed(keyed, "k")
+    pairs = crossed(keyed.join(open_.where(F.col("m") <= bucket), "k"), "k")
+    crowded = keyed.join(open_.where(F.col("m") > bucket).select("k"), "k")
+    deeper = cut(crowded.join(named.select("set", F.explode("bands").alias("k2")), "set").where("k < k2").select("set", "n", "label", "k", "k2"))
+    again = mixed(deeper, "k", "k2")
+    pairs = pairs.unionByName(crossed(deeper.join(again.where(F.col("m") <= bucket), ["k", "k2"]), "k", "k2"))
+    pairs = pairs.unionByName(chained(deeper.join(again.where(F.col("m") > bucket), ["k", "k2"]), "k", "k2"))
+    found = found.unionByName(verified(cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"))))
+    of = lambda c: sets.select(F.col("set").alias(c), F.col("_least").alias(f"_{c}"))
+    links = found.join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    equal = rows.join(sets.select("set", "_least"), "set").where(F.col(key) != F.col("_least")).select(F.col("_least").alias("a"), F.col(key).alias("b"))
+    return links.unionByName(equal)
