@@ -342,6 +342,22 @@ def test_base_scores_and_gain(spark, documents, odd, empty):
     assert lm_mixing.score(nothing, nothing, "held_out").count() == 0
 
 
+def test_starting_weights_are_of_all_whole_training_texts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 40, n)) for n in [*rng.integers(1, 60, 320), 12_000]]
+    training = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, *_ = lm_mixing.fit(training, lm_mixing.count_words(training, "text"))
+    bits = lambda some: lm_mixing.Bits(model.code, [model.code.symbols(lm_mixing.words(t.encode())) for t in some])
+    fresh = [lm_mixing.Model(model.code, model.tables, model.spell) for _ in range(2)]
+    for m, some in zip(fresh, (texts, [t[:20_000] for t in texts[:300]]), strict=True):
+        m.learned(m.run(bits(some), np.ones(len(some), bool), learn=True))
+    assert np.allclose(model.start, fresh[0].start, atol=1e-4) and np.allclose(model.final, fresh[0].final, atol=0.05)
+    assert not np.allclose(model.final, fresh[1].final, atol=0.05)
+    online = model.run(bits(texts[-1:]), np.array([True]))
+    monkeypatch.setattr(lm_mixing, "PRIOR", 1e9)
+    assert not np.isclose(online, model.run(bits(texts[-1:]), np.array([True])), rtol=1e-6)
+
+
 # --- 9
 
 

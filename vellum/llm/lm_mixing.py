@@ -7,7 +7,8 @@ the word before, the two words before; inside a spelling, the one, two, three or
 are stretched to log-odds and combined with weights chosen by a gate, the confidences of the longer
 contexts. The weights are refined as the text goes on: each text starts from the same
 weights and follows its own gradient, block by block. A last table corrects the mixed probability by what
-probabilities like it have come to. The sum of the bits' logarithms is the score.
+probabilities like it have come to, and follows the text too. What all texts start from is gathered over all whole
+training texts. The sum of the bits' logarithms is the score.
 
 Counts are gathered from all training texts: a task adds up tables of a fixed size, and tables are
 summed in groups of bounded size, in levels. Tables, code book and weights have fixed bounds and are broadcast. A
@@ -44,8 +45,9 @@ RATE = 0.02
 #: Slots of one piece of a table, and tables that one task sums.
 PIECE = 1 << 13
 FAN_IN = 64
-#: Training texts that the starting weights are fitted on.
-SAMPLE = 300
+#: Bits that what the last table starts with counts for, and steps of one in gathered sums.
+PRIOR = 20.0
+STEPS = 1 << 24
 _LOG10_2 = math.log10(2)
 
 
@@ -172,19 +174,25 @@ class Model:
         return x, gate
 
     def run(self, bits: Bits, own: np.ndarray, learn: bool = False) -> np.ndarray:
-        """Log2 probability of each text's bits but spellings; learn: the last weights become the starting ones, by their mean."""
+        """Log2 probability of each text's bits but spellings; learn: instead the sums that ``learned`` takes, in whole steps."""
         x, gate = self.inputs(bits, own)
         docs = len(own)
         w = np.tile(self.start.astype(np.float32), (docs, 1, 1)).reshape(docs * GATES, 4)
         edges = np.concatenate([[0], np.flatnonzero(np.diff(bits.block)) + 1, [len(bits.value)]]) if len(bits.value) else np.zeros(1, np.int64)
         stretched, losses = (np.empty(len(bits.value), np.float32) for _ in range(2))
+        # each text's own last table, as counts of ones and zeros
+        up, down = (np.tile((PRIOR / (1 + np.exp(s * self.final.astype(np.float64)))).ravel(), docs) for s in (-1, 1))
         all_at = bits.doc * GATES + gate
         sign = (2 * bits.value - 1).astype(np.float32)
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             at, own_x, toward = all_at[a:b], x[a:b], sign[a:b]
             dot = np.clip(np.einsum("ij,ij->i", w[at], own_x), -12, 12)
             stretched[a:b] = dot
-            losses[a:b] = np.log1p(np.exp(-toward * self.refined(dot, gate[a:b])))
+            if not learn:
+                losses[a:b] = np.log1p(np.exp(-toward * self.refined(dot, at, up, down)))
+                seen = at * 33 + self.buckets(dot)
+                np.add.at(up, seen[toward > 0], 1.0)
+                np.add.at(down, seen[toward < 0], 1.0)
             error = toward / (1 + np.exp(toward * dot))
             # of a block with few texts only these texts' weights are touched
             low = int(at.min()) // GATES * GATES
@@ -193,23 +201,33 @@ class Model:
             for k in range(4):
                 w[low : low + len(rate), k] += rate * np.bincount(local, error * own_x[:, k] if k else error)
         if learn:
-            self.start = w.reshape(docs, GATES, 4).mean(axis=0)
-            bucket = np.clip(np.rint((np.clip(stretched, -8, 8) + 8) * 2), 0, 32).astype(np.int64) + 33 * gate
+            bucket = self.buckets(stretched) + 33 * gate
             n, ones = np.bincount(bucket, minlength=33 * GATES), np.bincount(bucket, bits.value, minlength=33 * GATES)
-            prior = 1 / (1 + np.exp(-np.tile(np.linspace(-8, 8, 33), GATES)))
-            p = (ones + 20 * prior) / (n + 20)
-            self.final = np.log(p / (1 - p)).reshape(GATES, 33).astype(np.float32)
+            ends = np.rint(w.reshape(docs, GATES * 4).sum(axis=0, dtype=np.float64) * STEPS)
+            return np.concatenate([[docs], n, ones, ends]).astype(np.int64)
         return -np.bincount(bits.doc, losses, minlength=docs) / math.log(2)
 
-    def refined(self, dot: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    def learned(self, sums: np.ndarray) -> None:
+        """Start from the mean of all texts' last weights, and from a last table of all their bits."""
+        docs, n, ones, ends = np.split(sums, [1, 1 + 33 * GATES, 1 + 66 * GATES])
+        self.start = (ends / STEPS / docs).reshape(GATES, 4)
+        prior = 1 / (1 + np.exp(-np.tile(np.linspace(-8, 8, 33), GATES)))
+        p = (ones + PRIOR * prior) / (n + PRIOR)
+        self.final = np.log(p / (1 - p)).reshape(GATES, 33).astype(np.float32)
+
+    @staticmethod
+    def buckets(dot: np.ndarray) -> np.ndarray:
+        return np.clip(np.rint((np.clip(dot, -8, 8) + 8) * 2), 0, 32).astype(np.int64)
+
+    @staticmethod
+    def refined(dot: np.ndarray, cell: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
         """The mixed log-odds halfway to the last table's."""
         at = (np.clip(dot, -8, 8) + np.float32(8)) * np.float32(2)
-        low = np.minimum(at.astype(np.intp), 31)
+        low = np.minimum(at.astype(np.int64), 31)
         part = at - low.astype(np.float32)
-        low += gate * 33
-        flat = self.final.ravel()
-        left = flat[low]
-        return np.float32(0.5) * (dot + left + (flat[low + 1] - left) * part)
+        low += cell * 33
+        left, right = np.log(up[low] / down[low]), np.log(up[low + 1] / down[low + 1])
+        return 0.5 * (dot + left + (right - left) * part)
 
     def spelling(self, tokens: list[bytes], own: np.ndarray) -> np.ndarray:
         """Log2 probability of the words' spellings; own: words whose own counts are in the tables."""
@@ -334,10 +352,21 @@ def fit(training: DataFrame, counts: DataFrame, *, text: str = "text", key: str
     tables = summed(training.select(text).mapInArrow(gather, columns), sizes)
     spell = summed(counts.where(F.col("token").isNotNull()).select("token").mapInArrow(gather_spelling, columns), [1 << SPELL_BITS] * 4)
     model = Model(code, tables, spell)
-    sample = training.orderBy(F.xxhash64(key), key).limit(SAMPLE).select(F.substring(F.col(text), 1, 20_000).alias("t")).collect()
-    if sample:
-        bits = Bits(code, [code.symbols(words((r["t"] or "").encode())) for r in sample])
-        model.run(bits, np.ones(len(sample), bool), learn=True)
+    start = sc.broadcast(model)
+
+    def gather_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, total = start.value, 0
+        for batch in batches:
+            for part in (batch.slice(i, 300) for i in range(0, batch.num_rows, 300)):
+                bits = Bits(model.code, [model.code.symbols(words(x)) for x in text_bytes(part.column(0))])
+                total = total + model.run(bits, np.ones(part.num_rows, bool), learn=True)
+        if isinstance(total, np.ndarray):
+            yield pa.record_batch([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "x"])
+
+    sums = training.select(text).mapInArrow(gather_weights, "i long, x long").groupBy("i").agg(F.sum("x").alias("x")).collect()
+    start.unpersist()
+    if sums:
+        model.learned(np.array([r["x"] for r in sorted(sums)], np.int64))
     return model, n, v
 
 
