@@ -186,3 +186,25 @@ def test_events(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select n from seen where name = 'retries'").first()["n"] == 2
+
+
+def test_swap_array_takes_every_reply(spark):
+    from conftest import SF
+
+    from vellum.plans import extra
+
+    before = {r["id"]: r["raw"] for r in extra._replies(spark, SF).collect()}
+    after = {r["id"]: r["raw"] for r in extra.j02_swap_array(spark, SF).collect()}
+    around = {0: ("", ""), 1: ("```json\n", "\n```"), 3: ("as [asked]: ", " done")}
+    want = {i: raw if i % 4 == 2 else around[i % 4][0] + f'[{{"id":{i},"output":"x"}}]' + around[i % 4][1] for i, raw in before.items()}
+    assert after == want
+
+
+def test_dissolve_mines_all_documents(spark):
+    from conftest import SF
+
+    from vellum.plans import inputs, reference
+
+    done = reference.x11_dissolve(spark, SF).agg(F.sum("removed")).first()[0]
+    marked = inputs.damaged(inputs.table(spark, SF, "documents")).select(F.size(F.regexp_extract_all("text", F.lit(r"[A-Za-z]++↵-?[A-Za-z]++"), F.lit(0))).alias("n"))
+    assert done == marked.agg(F.sum("n")).first()[0]

@@ -48,9 +48,10 @@ def j01_last_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def j02_swap_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _replies(spark, sf_dir).where("id % 4 = 3").withColumn("p", protocol.array_place("raw"))
+    p = _replies(spark, sf_dir).withColumn("p", protocol.array_place("raw"))
     items = F.array(F.struct(F.col("id").alias("id"), F.lit("x").alias("output")))
-    return p.select("id", protocol.swapped(F.col("raw"), F.col("p.begin"), F.col("p.stop"), items).alias("raw"))
+    new = protocol.swapped(F.col("raw"), F.col("p.begin"), F.col("p.stop"), items)
+    return p.select("id", F.when(F.col("p.begin") >= 0, new).otherwise(F.col("raw")).alias("raw"))
 
 
 @query("select conv_id as id, case when conv_id % 4 = 0 then count(distinct turn) else 0 end as n from conversations group by conv_id")
