@@ -8,7 +8,7 @@ are stretched to log-odds and combined with weights chosen by a gate, the confid
 contexts. The weights are refined as the text goes on: each text starts from the same
 weights and follows its own gradient, block by block. A last table corrects the mixed probability by what
 probabilities like it have come to, and follows the text too. What all texts start from is gathered over all whole
-training texts. The sum of the bits' logarithms is the score.
+training texts. Bits of spellings have neither gate, updates nor last table: four fixed weights score them. The sum of the bits' logarithms is the score.
 
 Counts are gathered from all training texts: a task adds up tables of a fixed size, and tables are
 summed in groups of bounded size, in levels. Tables, code book and weights have fixed bounds and are broadcast. A
