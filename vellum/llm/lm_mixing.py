@@ -1,28 +1,34 @@
 """Language-model scores by online logistic context mixing.
 
-A text is a sequence of lower-case words and an end. The commonest training words have binary (Huffman)
-codes; any other word, and one that stands in training once, is an escape and its spelling, bit by bit. Every bit is predicted by several
-predictors, each a pair of counts found under a hash of its context and of the place in the code: none,
-the word before, the two words before; inside a spelling, the one, two, three or five bytes before. Predictions
-are stretched to log-odds and combined with weights chosen by a gate, the confidences of the longer
-contexts. The weights are refined as the text goes on: each text starts from the same
-weights and follows its own gradient, block by block. A last table corrects the mixed probability by what
-probabilities like it have come to, and follows the text too. What all texts start from is gathered over all whole
-training texts. Bits of spellings have neither gate, updates nor last table: four fixed weights score them. The sum of the bits' logarithms is the score.
-
-Counts are gathered from all training texts: a task adds up tables of a fixed size, and tables are
-summed in groups of bounded size, in levels. Tables, code book and weights have fixed bounds and are broadcast. A
-training text's own counts are taken off before it is scored. Words beyond the code book meet their
-corpus counts in a join.
-
-Null texts count as empty, that is an end alone; rows that repeat are scored each; other columns are not
-touched. Without training texts counts are zero and every prediction is even.
+A text is a sequence of lower-case words and an end. The commonest training words (``CODED``) and the end have
+binary (Huffman) codes of their own; the other words have the code of a bucket, which the last three bytes name. Every bit is
+predicted by several predictors, each from the counts under a hashed context and the place in the code: none, the
+last of the few commonest words (it tells languages and styles apart), the word before, the two words before.
+Predictions are stretched to log-odds and combined with weights chosen by a gate, the confidences of the two longer
+contexts. The weights start from fixed values and follow each text's own gradient, block by block. A last table refines the mixed
+log-odds by what log-odds like it came to, and follows the text too.
+
+Below a bucket only one predictor knows more, the words' own counts, so its bits telescope to the word's share of the
+bucket: its count, which every training word keeps however rare it is, over the bucket's, times what Good and Turing leave
+to words seen. A word unseen is a bit for that and its spelling: its bytes' bits under the same mixer, with
+the one, two, three and five bytes before as contexts, counted over the training words seen once. Unseen words that come
+again in the text are predicted from the text (a Chinese restaurant process). The sum of the bits' logarithms is the score.
+
+What is gathered grows with the input: all words' counts stay in a table that the texts are joined with. The
+commonest ``LOCAL`` words' counts are broadcast, so that no frequent word is a hot key. The two hashed context tables have a slot for each
+training token up to ``TABLE_BITS``; beyond it contexts share slots. They are summed by tasks and then
+in groups of bounded size, in levels. Training texts are scored by the model that has seen them, as in the base score.
+
+Null texts count as empty, that is an end alone; rows that repeat are scored each; equal counts are ranked by the word's bytes;
+other columns are not touched. Without training texts every word is unseen and counts are zero. Arrays of a step are bounded
+by ``STEP`` bytes of text and ``SLICE`` tokens' bits; a longer text is a step of its own whose bits come slice by slice.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,34 +41,57 @@ from pyspark.sql import functions as F
 
 from .common import cut, rows_of, text_bytes
 
-#: Words with codes of their own, bits of the tables' sizes, tokens of a block of the online updates.
-CODED = 1 << 16
+#: Words with codes of their own, buckets of the others, words whose counts are broadcast and their bytes.
+CODED = 1 << 14
+BUCKETS = 256
+LOCAL, LOCAL_BYTES = 1 << 17, 16_000_000
+#: The commonest words that serve as the skipping context.
+COMMON = 64
 TABLE_BITS = 20
 SPELL_BITS = 18
-BLOCK = 64
-GATES = 16
-RATE = 0.02
+#: Tokens, or bytes of spellings, of a block of the online updates.
+BLOCK, SPELL_BLOCK = 64, 32
+#: Levels of confidence of a count, and those of two contexts together.
+LEVELS, GATES = 4, 16
+RATE, REFINE = 0.1, 0.1
+#: Bytes of texts and tokens whose bits are held at once.
+STEP, SLICE = 400_000, 1 << 15
 #: Slots of one piece of a table, and tables that one task sums.
 PIECE = 1 << 13
 FAN_IN = 64
-#: Bits that what the last table starts with counts for, and steps of one in gathered sums.
-PRIOR = 20.0
-STEPS = 1 << 24
+#: A new unseen word's weight against those of the text.
+NOVEL = 4.0
+END = 0x20
 _LOG10_2 = math.log10(2)
+_K = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-class Code:
-    """Huffman codes of the coded words, then escape, then end; as flat paths of (inner node, bit)."""
+def bucket(word: bytes) -> int:
+    return zlib.crc32(word[-3:]) % BUCKETS
+
+
+def scrambled(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64) * _K
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
 
-    def __init__(self, ranked: list[tuple[bytes, int]], escapes: int, ends: int):
-        self.index = {w: i for i, (w, _) in enumerate(ranked)}
-        self.escape, self.end = len(ranked), len(ranked) + 1
-        weights = [c for _, c in ranked] + [escapes + 1, ends + 1]
-        self.counts = np.array([c for _, c in ranked] + [0, ends], np.int64)
+class Code:
+    """Huffman codes of the coded words, then buckets, then end; as flat paths of inner nodes and bits."""
+
+    def __init__(self, ranked: list[tuple[bytes, int]], totals: np.ndarray, ends: int):
+        """ranked: the local words with counts; totals: of the buckets, without coded words."""
+        self.rank = {w: i for i, (w, _) in enumerate(ranked)}
+        coded = min(len(ranked), CODED)
+        self.end, self.symbols = coded + BUCKETS, coded + BUCKETS + 1
+        #: Symbol and count of each local word, then of what is in a bucket, then of the end.
+        self.symbol = np.array([*range(coded), *(coded + bucket(w) for w, _ in ranked[coded:]), *range(coded, self.symbols)], np.int64)
+        self.count = np.array([c for _, c in ranked] + [0] * BUCKETS + [ends], np.int64)
+        self.local, self.coded = len(ranked), coded
+        weights = [c for _, c in ranked[:coded]] + [int(t) + 1 for t in totals] + [ends + 1]
         heap = [(w, i, i) for i, w in enumerate(weights)]
         heapq.heapify(heap)
         parent: dict[int, tuple[int, int]] = {}
@@ -79,168 +108,222 @@ class Code:
                 i, bit = parent[i]
                 path.append((i - len(weights)) << 1 | bit)
             paths.append(path[::-1])
-        self.nodes = max(new - len(weights), 1)
+        self.nodes = new - len(weights)
         self.length = np.array([len(p) for p in paths], np.int64)
         self.at = np.cumsum(self.length) - self.length
-        self.flat = np.array([x for p in paths for x in p], np.int64)
-
-    def symbols(self, tokens: list[bytes]) -> np.ndarray:
-        get, escape = self.index.get, self.escape
-        out = np.fromiter((get(t, escape) for t in tokens), np.int64, len(tokens))
-        return np.append(out, self.end)
-
-
-def _hashed(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    h = (context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (node.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
-
-
-class Bits:
-    """The bits of some texts: for each its slot in every table, its value and its token; tokens in order of their block."""
-
-    def __init__(self, code: Code, symbols: list[np.ndarray], ordered: bool = True):
-        lengths = np.array([len(s) for s in symbols])
-        flat = np.concatenate(symbols)
+        flat = np.array([x for p in paths for x in p], np.int64)
+        self.node, self.bit = flat >> 1, flat & 1
+        self.hash = scrambled(self.node + 1)
+
+    def ids(self, tokens: list[bytes]) -> np.ndarray:
+        """Of each token its rank among the local words, else its bucket's place after them; and the end's at last."""
+        get, local = self.rank.get, self.local
+        out = [get(t, -1) for t in tokens]
+        if -1 in out:
+            out = [local + bucket(t) if i < 0 else i for t, i in zip(tokens, out, strict=True)]
+        out.append(local + BUCKETS)
+        return np.array(out, np.int64)
+
+
+class Tokens:
+    """Some texts' tokens with their contexts, in order of their blocks if wanted."""
+
+    def __init__(self, code: Code, ids: list[np.ndarray], ordered: bool = True):
+        lengths = np.array([len(s) for s in ids])
+        flat = np.concatenate(ids)
         starts = np.cumsum(lengths) - lengths
-        doc = np.repeat(np.arange(len(symbols)), lengths)
-        place = np.arange(len(flat)) - starts[doc]
+        doc = np.repeat(np.arange(len(ids)), lengths)
+        begin = starts[doc]
+        at = np.arange(len(flat))
+        place = at - begin
         one = np.where(place > 0, np.concatenate([[0], flat[:-1]]) + 1, 0)
         two = np.where(place > 1, np.concatenate([[0, 0], flat[:-2]])[: len(flat)] + 1, 0)
+        last = np.maximum.accumulate(np.where(flat < min(COMMON, code.coded), at, -1))
+        last = np.concatenate([[-1], last[:-1]])
+        skip = np.where(last >= begin, flat[last] + 1, 0)
+        self.symbol, self.doc, self.block, self.skip = code.symbol[flat], doc, place // BLOCK, skip
+        self.one, self.two = scrambled(one * 2 + 1), scrambled((two << 20) + one + (1 << 50))
         if ordered:
-            order = np.argsort((place // BLOCK).astype(np.uint16 if len(place) < BLOCK << 16 else np.int64), kind="stable")
-            flat, doc, place, one, two = flat[order], doc[order], place[order], one[order], two[order]
-        n = code.length[flat]
-        token = np.repeat(np.arange(len(flat)), n)
-        within = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
-        both = code.flat[np.repeat(code.at[flat], n) + within]
-        node, self.value = both >> 1, (both & 1).astype(np.int64)
-        self.doc, self.block = doc[token], (place // BLOCK)[token]
-        self.slots = [node, _hashed(one[token], node, TABLE_BITS), _hashed((two * 0x1F123BB5 + one * 3 + 1)[token], node, TABLE_BITS)]
-
-
-def _spelled(tokens: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Slots in the spelling tables, bit and word of each bit of the words' bytes and their ends (a zero byte)."""
-    lengths = np.array([len(t) + 1 for t in tokens])
-    data = np.frombuffer(b"\0".join(tokens) + b"\0", np.uint8).astype(np.int64)
-    word = np.repeat(np.arange(len(tokens)), lengths)
-    place = np.arange(len(data)) - (np.cumsum(lengths) - lengths)[word]
-    back = [np.where(place >= k, np.concatenate([np.zeros(k, np.int64), data[:-k]])[: len(data)], 0) for k in (1, 2, 3, 4, 5)]
+            order = np.argsort(self.block.astype(np.uint16) if self.block.max(initial=0) < 1 << 16 else self.block, kind="stable")
+            self.symbol, self.doc, self.block, self.skip, self.one, self.two = (x[order] for x in (self.symbol, self.doc, self.block, self.skip, self.one, self.two))
+
+    def slices(self) -> Iterator[slice]:
+        """Tokens in turn, blocks whole."""
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(self.block)) + 1, [len(self.block)]])
+        a = 0
+        for i in range(1, len(edges)):
+            if i == len(edges) - 1 or edges[i + 1] - a > SLICE:
+                yield slice(a, int(edges[i]))
+                a = int(edges[i])
+
+
+def bits_of(code: Code, tokens: Tokens, part: slice, table_bits: int) -> tuple[np.ndarray, ...]:
+    """(token, node, bit, slot by one word, slot by two) of each bit of some tokens."""
+    symbol = tokens.symbol[part]
+    n = code.length[symbol]
+    ends = np.cumsum(n)
+    token = np.repeat(np.arange(len(symbol)), n)
+    at = np.arange(len(token)) + (code.at[symbol] - ends + n)[token]
+    own, shift = code.hash[at], np.uint64(64 - table_bits)
+    one, two = (((x[part][token] ^ own) * _K >> shift).astype(np.int64) for x in (tokens.one, tokens.two))
+    return token, code.node[at], code.bit[at], one, two
+
+
+def spelled(data: np.ndarray, place: np.ndarray, a: int, b: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Slots in the spelling tables and value of each bit of data[a:b], words with an ``END`` each; place: of a byte in its word."""
+    own, at = data[a:b].astype(np.int64), place[a:b]
+    back = []
+    for k in range(1, 6):
+        before = np.zeros(b - a, np.int64)
+        low = max(a - k, 0)
+        before[low + k - a :] = data[low : b - k]
+        back.append(np.where(at >= k, before, 0))
     two = back[0] | back[1] << 8
     three = two | back[2] << 16
-    contexts = (back[0] | np.minimum(place, 7) << 8, two, three, three | back[3] << 24 | back[4] << 32)
+    contexts = (back[0] | np.minimum(at, 7) << 8, two, three, three | back[3] << 24 | back[4] << 32)
     shift = np.arange(7, -1, -1)
-    bit = (data[:, None] >> shift & 1).ravel()
-    node = ((1 << np.arange(8)) | (data[:, None] >> (shift + 1)) & ((1 << np.arange(8)) - 1)).ravel()
-    return [_hashed(np.repeat(c * 8 + k, 8), node, SPELL_BITS) for k, c in enumerate(contexts)], bit, np.repeat(word, 8)
+    bit = (own[:, None] >> shift & 1).ravel()
+    node = ((1 << np.arange(8)) | (own[:, None] >> (shift + 1)) & ((1 << np.arange(8)) - 1)).ravel()
+    hashed = scrambled(node)
+    return [((np.repeat(scrambled(c * 8 + k + 1), 8) ^ hashed) * _K >> np.uint64(64 - SPELL_BITS)).astype(np.int64) for k, c in enumerate(contexts)], bit
+
+
+def stream(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the words, each with an ``END``, and each byte's place in its word."""
+    lengths = np.array([len(t) + 1 for t in tokens])
+    data = np.frombuffer(b"".join(t + bytes([END]) for t in tokens), np.uint8)
+    return data, np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def _stretch_table() -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds and confidence (0 to 3) of packed counts."""
-    n0, n1 = np.divmod(np.arange(1 << 16), 256)
-    total = n0 + n1
-    return np.clip(np.log((n1 + 0.4) / (n0 + 0.4)), -8, 8).astype(np.float32), np.digitize(total, [1, 4, 24]).astype(np.int64)
+#: Log-odds of a slot's byte: 63 steps from -8 to 8 in the low bits, above them the level of confidence.
+STRETCHED = np.tile((np.arange(64) - 31) * np.float32(8 / 31), 4).clip(-8, 8).astype(np.float32)
 
 
 def packed(counts: np.ndarray) -> np.ndarray:
-    """(n0, n1) as one 16-bit number each; larger counts shrink together, a count that there is stays at one at least."""
-    top = np.maximum(counts.max(axis=1, keepdims=True), 1)
-    small = np.where(top > 255, np.maximum(counts * 255 // top, counts > 0), counts)
-    return (small[:, 0] << 8 | small[:, 1]).astype(np.uint16)
+    """(zeros, ones) as one byte each."""
+    n0, n1 = counts[:, 0], counts[:, 1]
+    odds = np.clip(np.log((n1 + 0.4) / (n0 + 0.4)), -8, 8)
+    level = np.digitize(n0 + n1, [1, 3, 12])
+    return (level << 6 | np.rint(odds * 31 / 8).astype(np.int64) + 31).astype(np.uint8)
+
+
+class Mixer:
+    """Weights by text and gate, and each text's last table."""
+
+    def __init__(self, start: np.ndarray, docs: int):
+        self.inputs = start.shape[1]
+        self.w = np.tile(start.astype(np.float32), (docs, 1))
+        self.last = np.tile(np.linspace(-8, 8, 33, dtype=np.float32), docs)
+
+    def step(self, doc: np.ndarray, gate: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Loss (nats) of each bit of a block; the weights and the table follow it. y: 1 or -1."""
+        at = doc * GATES + gate
+        dot = np.einsum("ij,ij->i", self.w[at], x)
+        np.clip(dot, -12, 12, out=dot)
+        cell = np.rint((np.clip(dot, -8, 8) + np.float32(8)) * np.float32(2)).astype(np.int64) + doc * 33
+        refined = self.last[cell]
+        loss = np.log1p(np.exp(-y * (dot + refined) * np.float32(0.5)))
+        # of a block with few texts only these texts' weights are touched
+        first = int(doc.min())
+        low = first * GATES
+        local = at - low
+        rate = RATE / np.sqrt(1 + np.bincount(local))
+        error = y / (1 + np.exp(y * dot))
+        for k in range(self.inputs):
+            self.w[low : low + len(rate), k] += rate * np.bincount(local, error * x[:, k])
+        low = first * 33
+        local = cell - low
+        rate = REFINE / np.sqrt(1 + np.bincount(local))
+        self.last[low : low + len(rate)] += rate * np.bincount(local, y / (1 + np.exp(y * refined)))
+        return loss
+
+
+def _starts() -> np.ndarray:
+    """Fixed starting weights: the surer a longer context, the more it counts."""
+    out = np.zeros((GATES, 5))
+    for a in range(LEVELS):
+        for b in range(LEVELS):
+            two, one = (0, 0.2, 0.35, 0.6)[b], (0, 0.1, 0.15, 0.25)[a]
+            out[a * LEVELS + b] = [0, 0.05, max(0.95 - 0.3 * (one + two), 0.1), one * (1, 0.7, 0.5, 0.3)[b], two]
+    return out
+
+
+def _spell_starts() -> np.ndarray:
+    out = np.zeros((GATES, 5))
+    for a in range(LEVELS):
+        for b in range(LEVELS):
+            five, three = (0, 0.1, 0.2, 0.3)[b], (0, 0.3, 0.5, 0.6)[a]
+            out[a * LEVELS + b] = [0, 0.1, 0.4 - five * 0.3, three, five]
+    return out
 
 
 class Model:
-    def __init__(self, code: Code, tables: list[np.ndarray], spell: list[np.ndarray]):
+    """wide: counts of (skipping context, symbol); tables: packed by one and by two words; seen_once: tokens of each bucket seen once; totals: all of each."""
+
+    def __init__(self, code: Code, wide: np.ndarray, tables: list[np.ndarray], spell: list[np.ndarray], totals: np.ndarray, seen_once: np.ndarray):
         self.code, self.tables, self.spell = code, tables, spell
-        self.start = np.tile(np.array([0.0, 0.3, 0.4, 0.3]), (GATES, 1))
-        self.final = np.tile(np.linspace(-8, 8, 33, dtype=np.float32), (GATES, 1))
-        self.spell_weights = np.array([0.1, 0.15, 0.45, 0.45])
-
-    def inputs(self, bits: Bits, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bias and stretched predictions, gate) of each bit; own: texts whose own counts are in the tables."""
-        stretch, confidence = _stretch_table()
-        x = np.ones((len(bits.value), 4), np.float32)
-        gate = np.zeros(len(bits.value), np.int64)
-        one = bits.value == 1
-        half, step = np.where(one, np.uint16(255), np.uint16(0xFF00)), np.where(one, np.uint16(1), np.uint16(256))
-        step *= own[bits.doc]
-        for k, (table, slot) in enumerate(zip(self.tables, bits.slots, strict=True)):
-            c = table[slot]
-            c = (c - step * ((c & half) > 0)).astype(np.intp)
-            x[:, k + 1] = stretch[c]
-            if k:
-                gate *= 4
-                gate += confidence[c]
-        return x, gate
-
-    def run(self, bits: Bits, own: np.ndarray, learn: bool = False) -> np.ndarray:
-        """Log2 probability of each text's bits but spellings; learn: instead the sums that ``learned`` takes, in whole steps."""
-        x, gate = self.inputs(bits, own)
-        docs = len(own)
-        w = np.tile(self.start.astype(np.float32), (docs, 1, 1)).reshape(docs * GATES, 4)
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(bits.block)) + 1, [len(bits.value)]]) if len(bits.value) else np.zeros(1, np.int64)
-        stretched, losses = (np.empty(len(bits.value), np.float32) for _ in range(2))
-        # each text's own last table, as counts of ones and zeros
-        up, down = (np.tile((PRIOR / (1 + np.exp(s * self.final.astype(np.float64)))).ravel(), docs) for s in (-1, 1))
-        all_at = bits.doc * GATES + gate
-        sign = (2 * bits.value - 1).astype(np.float32)
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            at, own_x, toward = all_at[a:b], x[a:b], sign[a:b]
-            dot = np.clip(np.einsum("ij,ij->i", w[at], own_x), -12, 12)
-            stretched[a:b] = dot
-            if not learn:
-                losses[a:b] = np.log1p(np.exp(-toward * self.refined(dot, at, up, down)))
-                seen = at * 33 + self.buckets(dot)
-                np.add.at(up, seen[toward > 0], 1.0)
-                np.add.at(down, seen[toward < 0], 1.0)
-            error = toward / (1 + np.exp(toward * dot))
-            # of a block with few texts only these texts' weights are touched
-            low = int(at.min()) // GATES * GATES
-            local = at - low
-            rate = RATE / np.sqrt(1 + np.bincount(local))
-            for k in range(4):
-                w[low : low + len(rate), k] += rate * np.bincount(local, error * own_x[:, k] if k else error)
-        if learn:
-            bucket = self.buckets(stretched) + 33 * gate
-            n, ones = np.bincount(bucket, minlength=33 * GATES), np.bincount(bucket, bits.value, minlength=33 * GATES)
-            ends = np.rint(w.reshape(docs, GATES * 4).sum(axis=0, dtype=np.float64) * STEPS)
-            return np.concatenate([[docs], n, ones, ends]).astype(np.int64)
-        return -np.bincount(bits.doc, losses, minlength=docs) / math.log(2)
-
-    def learned(self, sums: np.ndarray) -> None:
-        """Start from the mean of all texts' last weights, and from a last table of all their bits."""
-        docs, n, ones, ends = np.split(sums, [1, 1 + 33 * GATES, 1 + 66 * GATES])
-        self.start = (ends / STEPS / docs).reshape(GATES, 4)
-        prior = 1 / (1 + np.exp(-np.tile(np.linspace(-8, 8, 33), GATES)))
-        p = (ones + PRIOR * prior) / (n + PRIOR)
-        self.final = np.log(p / (1 - p)).reshape(GATES, 33).astype(np.float32)
-
-    @staticmethod
-    def buckets(dot: np.ndarray) -> np.ndarray:
-        return np.clip(np.rint((np.clip(dot, -8, 8) + 8) * 2), 0, 32).astype(np.int64)
-
-    @staticmethod
-    def refined(dot: np.ndarray, cell: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
-        """The mixed log-odds halfway to the last table's."""
-        at = (np.clip(dot, -8, 8) + np.float32(8)) * np.float32(2)
-        low = np.minimum(at.astype(np.int64), 31)
-        part = at - low.astype(np.float32)
-        low += cell * 33
-        left, right = np.log(up[low] / down[low]), np.log(up[low + 1] / down[low + 1])
-        return 0.5 * (dot + left + (right - left) * part)
-
-    def spelling(self, tokens: list[bytes], own: np.ndarray) -> np.ndarray:
-        """Log2 probability of the words' spellings; own: words whose own counts are in the tables."""
-        if not tokens:
-            return np.zeros(0)
-        stretch, _ = _stretch_table()
-        slots, y, word = _spelled(tokens)
-        dot = 0.0
-        for weight, table, slot in zip(self.spell_weights, self.spell, slots, strict=True):
-            c = table[slot].astype(np.int64)
-            there = np.where(y == 1, c & 255, c >> 8) > 0
-            dot = dot + weight * stretch[c - np.where(y == 1, 1, 256) * (there & own[word])]
-        return np.bincount(word, -np.logaddexp(0, np.where(y == 1, -dot, dot)), minlength=len(tokens)) / math.log(2)
+        self.table_bits = int(math.log2(len(tables[0])))
+        owner = np.repeat(np.arange(code.symbols), code.length)
+        cells = code.node * 2 + code.bit
+        made = np.array([np.bincount(cells, row[owner], minlength=2 * code.nodes) for row in wide.reshape(COMMON + 1, code.symbols)]).reshape(COMMON + 1, code.nodes, 2)
+        p = made.sum(axis=0) + 0.4
+        p /= p.sum(axis=1, keepdims=True)
+        self.zero = np.log(p[:, 1] / p[:, 0]).astype(np.float32)
+        # the skipping context's counts lean on those without one
+        made = made + 4 * p
+        self.skip = np.log(made[..., 1] / made[..., 0]).ravel().astype(np.float32)
+        #: Log10 share of seen words below a bucket, without the words' counts, and of unseen ones.
+        unseen = (seen_once + 1) / (totals + 2)
+        self.seen, self.unseen = np.log10(1 - unseen) - np.log10(np.maximum(totals, 1)), np.log10(unseen)
+
+    def score(self, tokens: Tokens, docs: int) -> np.ndarray:
+        """Log10 probability of each text's symbols."""
+        mixer, total = Mixer(_starts(), docs), np.zeros(docs)
+        for part in tokens.slices():
+            token, node, bit, one, two = bits_of(self.code, tokens, part, self.table_bits)
+            one, two = self.tables[0][one], self.tables[1][two]
+            x = np.ones((len(token), 5), np.float32)
+            x[:, 1], x[:, 2], x[:, 3], x[:, 4] = self.zero[node], self.skip[(tokens.skip[part] * self.code.nodes)[token] + node], STRETCHED[one], STRETCHED[two]
+            gate = ((one >> 6) * LEVELS + (two >> 6)).astype(np.int64)
+            doc, block, y = tokens.doc[part][token], tokens.block[part][token], (2 * bit - 1).astype(np.float32)
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
+            loss = [mixer.step(doc[a:b], gate[a:b], x[a:b], y[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if a < b]
+            if loss:
+                total -= np.bincount(doc, np.concatenate(loss), minlength=docs)
+        return total / math.log(10)
+
+    def novel(self, found: list[list[tuple[bytes, int]]]) -> np.ndarray:
+        """For each text the log10 probability of its unseen words, each with how often it stands there, beyond that they are unseen."""
+        total = np.zeros(len(found))
+        for i, own in enumerate(found):
+            times = sum(k for _, k in own)
+            total[i] = len(own) * math.log(NOVEL) + sum(math.lgamma(k) for _, k in own) - math.lgamma(NOVEL + times) + math.lgamma(NOVEL)
+        streams = [stream([w for w, _ in own]) if own else None for own in found]
+        sizes = np.array([len(x[0]) if x else 0 for x in streams])
+        mixer = Mixer(_spell_starts(), len(found))
+        for a in range(0, int(sizes.max(initial=0)), SPELL_BLOCK):
+            live = np.flatnonzero(sizes > a)
+            made = [spelled(*streams[i], a, min(a + SPELL_BLOCK, int(sizes[i]))) for i in live.tolist()]
+            bit = np.concatenate([m[1] for m in made])
+            codes = [t[np.concatenate([m[0][k] for m in made])] for k, t in enumerate(self.spell)]
+            x = np.ones((len(bit), 5), np.float32)
+            for k, c in enumerate(codes):
+                x[:, k + 1] = STRETCHED[c]
+            gate = ((codes[2] >> 6) * LEVELS + (codes[3] >> 6)).astype(np.int64)
+            doc = np.repeat(live, [len(m[1]) for m in made])
+            total -= np.bincount(doc, mixer.step(doc, gate, x, (2 * bit - 1).astype(np.float32)), minlength=len(found))
+        return total / math.log(10)
+
+
+def steps(texts: list[bytes]) -> Iterator[slice]:
+    a = held = 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > STEP:
+            yield slice(a, i)
+            a, held = i, 0
+        held += len(t)
+    if a < len(texts):
+        yield slice(a, len(texts))
 
 
 def _pieces(tables: list[np.ndarray]) -> pa.RecordBatch:
@@ -257,13 +340,15 @@ def _pieces(tables: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _sum(group: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, "<i8") for x in group["data"].to_pylist())
+    total = 0
+    for x in group["data"]:
+        total = total + np.frombuffer(x.as_py(), "<i8")
     one = group.slice(0, 1)
     return pa.table([one["t"], one["piece"], pa.array([one["task"][0].as_py() // FAN_IN], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["t", "piece", "task", "data"])
 
 
-def summed(parts: DataFrame, sizes: list[int]) -> list[np.ndarray]:
-    """The tables' totals, from tasks' pieces, by levels of at most FAN_IN tables a task; the result has a fixed size."""
+def summed(parts: DataFrame, sizes: list[int], whole: int = 0) -> list[np.ndarray]:
+    """The tables' totals, from tasks' pieces, by levels of at most FAN_IN tables a task; pairs of counts are packed but for the first ``whole`` tables."""
     parts = cut(parts)
     tasks = (parts.agg(F.max("task")).first()[0] or 0) + 1
     while True:
@@ -272,21 +357,23 @@ def summed(parts: DataFrame, sizes: list[int]) -> list[np.ndarray]:
         if tasks == 1:
             break
         parts = cut(parts)
-    # totals shrink to 16 bits a slot before they leave the executors
+
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            small = [packed(np.frombuffer(x, "<i8").reshape(-1, 2)).tobytes() for x in rows_of(batch, "data").to_pylist()]
+            small = [x if t < whole else packed(np.frombuffer(x, "<i8").reshape(-1, 2)).tobytes() for t, x in zip(rows_of(batch, "t").to_pylist(), rows_of(batch, "data").to_pylist(), strict=True)]
             yield pa.record_batch([rows_of(batch, "t"), rows_of(batch, "piece"), pa.array(small, pa.binary())], names=["t", "piece", "data"])
 
-    out = [np.zeros(n, np.uint16) for n in sizes]
+    empty = packed(np.zeros((1, 2), np.int64))[0]
+    out = [np.zeros(n, np.int64) if t < whole else np.full(n, empty, np.uint8) for t, n in enumerate(sizes)]
     for r in parts.mapInArrow(shrink, "t int, piece int, data binary").collect():
-        part = np.frombuffer(r["data"], np.uint16)
-        out[r["t"]][r["piece"] * PIECE : r["piece"] * PIECE + len(part)] = part
+        t, width = r["t"], PIECE if r["t"] < whole else PIECE // 2
+        part = np.frombuffer(r["data"], "<i8" if t < whole else np.uint8)
+        out[t][r["piece"] * width : r["piece"] * width + len(part)] = part
     return out
 
 
 def count_words(training: DataFrame, text: str) -> DataFrame:
-    """(token, h, c) of all training words, and the end as the token null."""
+    """(token, c, h) of all training words, and the end as the token null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
@@ -311,113 +398,149 @@ def count_words(training: DataFrame, text: str) -> DataFrame:
     return counted.groupBy("token").agg(F.sum("c").alias("c")).withColumn("h", F.xxhash64("token"))
 
 
-def fit(training: DataFrame, counts: DataFrame, *, text: str = "text", key: str = "doc_id") -> tuple[Model, int, int]:
+def local_words(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """The commonest words, at most ``LOCAL`` and ``LOCAL_BYTES``: those whose counts reach a threshold, by count and bytes."""
+    level = F.floor(F.log2("c") * 32)
+    named = counts.where(F.col("token").isNotNull())
+    least, n, size = None, 0, 0
+    for r in sorted(named.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("token")).alias("s")).collect(), reverse=True):
+        n, size = n + r["n"], size + r["s"]
+        if n > LOCAL or size > LOCAL_BYTES:
+            break
+        least = r["l"]
+    if least is None:
+        return []
+    return sorted(((bytes(r["token"]), r["c"]) for r in named.where(level >= least).select("token", "c").collect()), key=lambda x: (-x[1], x[0]))
+
+
+def fit(training: DataFrame, counts: DataFrame, *, text: str = "text") -> tuple[Model, int, int]:
     """(model, all tokens, distinct tokens) from the training texts and their counted words."""
     whole = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("token").isNull(), F.col("c"))).alias("e")).first()
     n, v, ends = whole["n"] or 0, whole["v"] or 0, whole["e"] or 0
-    ranked = [(bytes(r["token"]), r["c"]) for r in counts.where(F.col("token").isNotNull() & (F.col("c") > 1)).orderBy(F.desc("c"), "token").limit(CODED).collect()]
-    code = Code(ranked, n - ends - sum(c for _, c in ranked), ends)
-    sc = training.sparkSession.sparkContext
-    shared = sc.broadcast(code)
-    sizes = [code.nodes, 1 << TABLE_BITS, 1 << TABLE_BITS]
+    ranked = local_words(counts)
+    totals, once = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    by = F.crc32(F.substring("token", -3, 3)) % BUCKETS
+    for r in counts.where(F.col("token").isNotNull()).groupBy(by.alias("b")).agg(F.sum("c").alias("n"), F.count_if(F.col("c") == 1).alias("once")).collect():
+        totals[r["b"]], once[r["b"]] = r["n"], r["once"]
+    for w, c in ranked[:CODED]:
+        totals[bucket(w)] -= c
+        once[bucket(w)] -= c == 1
+    code = Code(ranked, totals, ends)
+    shared = training.sparkSession.sparkContext.broadcast(code)
+    table_bits = min(TABLE_BITS, max(10, int(n).bit_length()))
+    sizes = [(COMMON + 1) * code.symbols, 1 << table_bits, 1 << table_bits]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = shared.value
-        tables = [np.zeros(2 * s, np.int64) for s in sizes]
+        tables = [np.zeros(s, np.int32) for s in (sizes[0], 2 * sizes[1], 2 * sizes[2])]
         any_text = False
         for batch in batches:
-            for part in (batch.slice(i, 300) for i in range(0, batch.num_rows, 300)):
+            texts = text_bytes(batch.column(0))
+            for part in steps(texts):
                 any_text = True
-                bits = Bits(code, [code.symbols(words(x)) for x in text_bytes(part.column(0))], ordered=False)
-                for table, slot in zip(tables, bits.slots, strict=True):
-                    np.add.at(table, slot * 2 + bits.value, 1)
+                count_bits(code, tables, texts[part], table_bits)
         if any_text:
-            yield _pieces([t.reshape(-1, 2) for t in tables])
+            yield _pieces(tables)
 
     def gather_spelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(2 << SPELL_BITS, np.int64) for _ in range(4)]
+        tables = [np.zeros(2 << SPELL_BITS, np.int32) for _ in range(4)]
         any_word = False
-        known = shared.value.index
         for batch in batches:
-            tokens = [x for x in rows_of(batch, "token").to_pylist() if x not in known]
-            for i in range(0, len(tokens), 20_000):
-                any_word = True
-                slots, y, _ = _spelled(tokens[i : i + 20_000])
-                for table, slot in zip(tables, slots, strict=True):
-                    np.add.at(table, slot * 2 + y, 1)
+            any_word = any_word or batch.num_rows > 0
+            for i in range(0, batch.num_rows, 4000):
+                count_spelling(tables, batch.column(0).slice(i, 4000).to_pylist())
         if any_word:
-            yield _pieces([t.reshape(-1, 2) for t in tables])
+            yield _pieces(tables)
 
     columns = "t int, piece int, task int, data binary"
-    tables = summed(training.select(text).mapInArrow(gather, columns), sizes)
-    spell = summed(counts.where(F.col("token").isNotNull()).select("token").mapInArrow(gather_spelling, columns), [1 << SPELL_BITS] * 4)
-    model = Model(code, tables, spell)
-    start = sc.broadcast(model)
+    wide, *tables = summed(training.select(text).mapInArrow(gather, columns), sizes, whole=1)
+    once_seen = counts.where(F.col("token").isNotNull() & (F.col("c") == 1)).select("token")
+    spell = summed(once_seen.mapInArrow(gather_spelling, columns), [1 << SPELL_BITS] * 4)
+    return Model(code, wide, tables, spell, totals, once), n, v
 
-    def gather_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, total = start.value, 0
-        for batch in batches:
-            for part in (batch.slice(i, 300) for i in range(0, batch.num_rows, 300)):
-                bits = Bits(model.code, [model.code.symbols(words(x)) for x in text_bytes(part.column(0))])
-                total = total + model.run(bits, np.ones(part.num_rows, bool), learn=True)
-        if isinstance(total, np.ndarray):
-            yield pa.record_batch([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "x"])
 
-    sums = training.select(text).mapInArrow(gather_weights, "i long, x long").groupBy("i").agg(F.sum("x").alias("x")).collect()
-    start.unpersist()
-    if sums:
-        model.learned(np.array([r["x"] for r in sorted(sums)], np.int64))
-    return model, n, v
+def count_bits(code: Code, tables: list[np.ndarray], texts: list[bytes], table_bits: int) -> None:
+    tokens = Tokens(code, [code.ids(words(x)) for x in texts], ordered=False)
+    tables[0] += np.bincount(tokens.skip * code.symbols + tokens.symbol, minlength=len(tables[0]))
+    for a in range(0, len(tokens.symbol), 2 * SLICE):
+        _, _, bit, one, two = bits_of(code, tokens, slice(a, a + 2 * SLICE), table_bits)
+        for table, slot in ((tables[1], one), (tables[2], two)):
+            slot <<= 1
+            slot |= bit
+            table += np.bincount(slot, minlength=len(table))
+
+
+def count_spelling(tables: list[np.ndarray], tokens: list[bytes]) -> None:
+    data, place = stream(tokens)
+    for a in range(0, len(data), 1 << 15):
+        slots, bit = spelled(data, place, a, min(a + (1 << 15), len(data)))
+        for table, slot in zip(tables, slots, strict=True):
+            table += np.bincount(slot * 2 + bit, minlength=len(table))
 
 
 def score(df: DataFrame, training: DataFrame, held_out: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte); held_out: the boolean column of rows that ``training`` lacks."""
     counts = cut(count_words(training, text))
-    model, n, v = fit(training, counts, text=text, key=key)
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    model, n, v = fit(training, counts, text=text)
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(model)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         code = model.code
-        logs = np.log10(code.counts + 1.0)
+        logs = np.log10(code.count + 1.0)
+        # of local words in a bucket the share of it is added here
+        share = np.zeros(len(code.count))
+        below = np.arange(code.coded, code.local)
+        share[below] = np.log10(code.count[below]) + model.seen[code.symbol[below] - code.coded]
+        any_end = code.count[-1] > 0
         for batch in batches:
-            for part in (batch.slice(i, 300) for i in range(0, batch.num_rows, 300)):
-                texts = text_bytes(rows_of(part, text))
-                own = ~np.array(rows_of(part, held_out).to_pylist(), bool)
+            bodies = text_bytes(rows_of(batch, text))
+            outside = rows_of(batch, held_out).to_pylist()
+            for part in steps(bodies):
+                texts = bodies[part]
                 tokens = [words(x) for x in texts]
-                symbols = [code.symbols(t) for t in tokens]
-                total = model.run(Bits(code, symbols), own)
-                others = [Counter(t[i] for i in np.flatnonzero(s[:-1] == code.escape).tolist()) for t, s in zip(tokens, symbols, strict=True)]
+                ids = [code.ids(t) for t in tokens]
+                total = model.score(Tokens(code, ids), len(texts)) + np.array([share[i].sum() for i in ids])
+                others = [Counter(t[j] for j in np.flatnonzero((i >= code.local) & (i < code.local + BUCKETS)).tolist()) for t, i in zip(tokens, ids, strict=True)]
                 flat = [w for o in others for w in o]
-                times = np.array([c for o in others for c in o.values()], np.int64)
-                of = np.repeat(np.arange(len(texts)), [len(o) for o in others])
-                if flat:
-                    distinct, back = np.unique(np.array([xxhash.xxh64_intdigest(w, 42) for w in flat], np.uint64), return_inverse=True)
-                    place = np.zeros(len(distinct), np.int64)
-                    place[back] = np.arange(len(flat))
-                    names = [flat[i] for i in place.tolist()]
-                    without, within = (model.spelling(names, np.full(len(names), k)) for k in (False, True))
-                    total += np.bincount(of, times * np.where(own[of], within[back], without[back]), minlength=len(texts))
-                    hashes = distinct[back].view(np.int64)
-                else:
-                    hashes = np.zeros(0, np.int64)
                 ends = np.concatenate([[0], np.cumsum([len(o) for o in others])]).astype(np.int32)
-                known = np.array([int((s != code.escape).sum()) for s in symbols]) - (code.counts[code.end] == 0)
-                base = np.array([logs[s[s != code.escape]].sum() for s in symbols])
-                pairs = pa.StructArray.from_arrays([pa.array(hashes), pa.array(times)], ["h", "k"])
+                hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in flat], np.uint64).view(np.int64)
+                new = [w if h else None for o, h in zip(others, outside[part], strict=True) for w in o]  # a training text has no unseen words
+                pairs = pa.StructArray.from_arrays([pa.array(hashes), pa.array([c for o in others for c in o.values()], pa.int64()), pa.array([bucket(w) for w in flat], pa.int32()), pa.array(new, pa.binary())], ["h", "k", "b", "w"])
+                known = [len(i) - sum(o.values()) - (not any_end) for i, o in zip(ids, others, strict=True)]
+                at = batch.slice(part.start, len(texts))
                 yield pa.record_batch([
-                    rows_of(part, key), rows_of(part, held_out), pa.array([len(s) for s in symbols], pa.int64()), pa.array(known, pa.int64()), pa.array(base),
-                    pa.array(total * _LOG10_2), pa.array([len(x) for x in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pairs),
+                    rows_of(at, key), rows_of(at, held_out), pa.array([len(i) for i in ids], pa.int64()), pa.array(known, pa.int64()), pa.array([logs[i].sum() for i in ids]),
+                    pa.array(total), pa.array([len(x) for x in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pairs),
                 ], names=["id", "held_out", "n_tokens", "known", "base", "score", "size", "others"])
 
-    rows = df.select(key, text, held_out).mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, known long, base double, score double, size long, others array<struct<h:long,k:long>>")
+    rows = df.select(key, text, held_out).mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, known long, base double, score double, size long, others array<struct<h:long,k:long,b:int,w:binary>>")
     rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
-    met = rows.select("_row", F.inline("others")).join(counts.where(F.col("token").isNotNull()).select("h", "c"), "h")
-    met = met.groupBy("_row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("plus"))
-    out = rows.join(met, "_row", "left")
-    base = F.col("base") + F.coalesce("plus", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
+    shares = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(model.seen, model.unseen, strict=True))], "b int, seen double, unseen double")
+    met = rows.select("_row", F.inline("others")).join(counts.where(F.col("token").isNotNull()).select("h", "c"), "h", "left").join(F.broadcast(shares), "b")  # BUCKETS rows
+    met = met.groupBy("_row").agg(
+        F.sum(F.when(F.col("c").isNotNull(), F.col("k"))).alias("more"),
+        F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("plus"),
+        F.sum(F.col("k") * F.coalesce(F.log10("c") + F.col("seen"), "unseen")).alias("share"),
+        F.sort_array(F.collect_list(F.when(F.col("c").isNull(), F.struct("w", "k")))).alias("unseen"),
+    )
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            made = []
+            for i in range(0, batch.num_rows, 200):
+                made.append(model.novel([[(x["w"] or b"", x["k"]) for x in found] for found in batch.column(4).slice(i, 200).to_pylist()]))
+            yield pa.record_batch([*batch.columns[:4], pa.array(np.concatenate([np.zeros(0), *made]))], names=["_row", "more", "plus", "share", "novel"])
+
+    met = met.mapInArrow(spell, "_row long, more long, plus double, share double, novel double")
+    out = rows.drop("others").join(met, "_row", "left")
+    zero = F.lit(0.0)
+    base = F.col("base") + F.coalesce("plus", zero) - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
+    total = F.col("score") + F.coalesce("share", zero) + F.coalesce("novel", zero)
     return out.select(
         F.col("id").alias(key), "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        base.alias("base_score"), "score", (-F.col("score") / F.lit(_LOG10_2) / F.greatest("size", F.lit(1))).alias("bits_per_byte"),
+        base.alias("base_score"), total.alias("score"), (-total / F.lit(_LOG10_2) / F.greatest("size", F.lit(1))).alias("bits_per_byte"),
     )
