@@ -39,11 +39,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, rows_of, text_bytes
+from .common import cut, rows_of, steps, text_bytes
 
 #: Words with codes of their own, buckets of the others, words whose counts are broadcast and their bytes.
 CODED = 1 << 14
-BUCKETS = 256
+BUCKETS = 128
 LOCAL, LOCAL_BYTES = 1 << 17, 16_000_000
 #: The commonest words that serve as the skipping context.
 COMMON = 64
@@ -55,7 +55,7 @@ BLOCK, SPELL_BLOCK = 64, 32
 LEVELS, GATES = 4, 16
 RATE, REFINE = 0.1, 0.1
 #: Bytes of texts and tokens whose bits are held at once.
-STEP, SLICE = 400_000, 1 << 15
+STEP, SLICE = 800_000, 1 << 15
 #: Slots of one piece of a table, and tables that one task sums.
 PIECE = 1 << 13
 FAN_IN = 64
@@ -79,12 +79,19 @@ def scrambled(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+class Ranks(dict):
+    """Rank of a local word; of any other its bucket's place after them."""
+
+    def __missing__(self, word: bytes) -> int:
+        return len(self) + bucket(word)
+
+
 class Code:
     """Huffman codes of the coded words, then buckets, then end; as flat paths of inner nodes and bits."""
 
     def __init__(self, ranked: list[tuple[bytes, int]], totals: np.ndarray, ends: int):
         """ranked: the local words with counts; totals: of the buckets, without coded words."""
-        self.rank = {w: i for i, (w, _) in enumerate(ranked)}
+        self.rank = Ranks((w, i) for i, (w, _) in enumerate(ranked))
         coded = min(len(ranked), CODED)
         self.end, self.symbols = coded + BUCKETS, coded + BUCKETS + 1
         #: Symbol and count of each local word, then of what is in a bucket, then of the end.
@@ -117,12 +124,10 @@ class Code:
 
     def ids(self, tokens: list[bytes]) -> np.ndarray:
         """Of each token its rank among the local words, else its bucket's place after them; and the end's at last."""
-        get, local = self.rank.get, self.local
-        out = [get(t, -1) for t in tokens]
-        if -1 in out:
-            out = [local + bucket(t) if i < 0 else i for t, i in zip(tokens, out, strict=True)]
-        out.append(local + BUCKETS)
-        return np.array(out, np.int64)
+        out = np.empty(len(tokens) + 1, np.int64)
+        out[:-1] = np.fromiter(map(self.rank.__getitem__, tokens), np.int64, len(tokens))
+        out[-1] = self.local + BUCKETS
+        return out
 
 
 class Tokens:
@@ -240,20 +245,20 @@ class Mixer:
 
 def _starts() -> np.ndarray:
     """Fixed starting weights: the surer a longer context, the more it counts."""
-    out = np.zeros((GATES, 5))
+    out = np.zeros((GATES, 4))
     for a in range(LEVELS):
         for b in range(LEVELS):
             two, one = (0, 0.2, 0.35, 0.6)[b], (0, 0.1, 0.15, 0.25)[a]
-            out[a * LEVELS + b] = [0, 0.05, max(0.95 - 0.3 * (one + two), 0.1), one * (1, 0.7, 0.5, 0.3)[b], two]
+            out[a * LEVELS + b] = [0.05, max(0.95 - 0.3 * (one + two), 0.1), one * (1, 0.7, 0.5, 0.3)[b], two]
     return out
 
 
 def _spell_starts() -> np.ndarray:
-    out = np.zeros((GATES, 5))
+    out = np.zeros((GATES, 4))
     for a in range(LEVELS):
         for b in range(LEVELS):
             five, three = (0, 0.1, 0.2, 0.3)[b], (0, 0.3, 0.5, 0.6)[a]
-            out[a * LEVELS + b] = [0, 0.1, 0.4 - five * 0.3, three, five]
+            out[a * LEVELS + b] = [0.1, 0.4 - five * 0.3, three, five]
     return out
 
 
@@ -282,11 +287,12 @@ class Model:
         for part in tokens.slices():
             token, node, bit, one, two = bits_of(self.code, tokens, part, self.table_bits)
             one, two = self.tables[0][one], self.tables[1][two]
-            x = np.ones((len(token), 5), np.float32)
-            x[:, 1], x[:, 2], x[:, 3], x[:, 4] = self.zero[node], self.skip[(tokens.skip[part] * self.code.nodes)[token] + node], STRETCHED[one], STRETCHED[two]
+            x = np.empty((len(token), 4), np.float32)
+            x[:, 0], x[:, 1], x[:, 2], x[:, 3] = self.zero[node], self.skip[(tokens.skip[part] * self.code.nodes)[token] + node], STRETCHED[one], STRETCHED[two]
             gate = ((one >> 6) * LEVELS + (two >> 6)).astype(np.int64)
-            doc, block, y = tokens.doc[part][token], tokens.block[part][token], (2 * bit - 1).astype(np.float32)
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
+            doc, y = tokens.doc[part][token], (2 * bit - 1).astype(np.float32)
+            last = np.cumsum(self.code.length[tokens.symbol[part]])  # bits up to each token
+            edges = np.concatenate([[0], last[np.flatnonzero(np.diff(tokens.block[part]))], last[-1:]])
             loss = [mixer.step(doc[a:b], gate[a:b], x[a:b], y[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if a < b]
             if loss:
                 total -= np.bincount(doc, np.concatenate(loss), minlength=docs)
@@ -306,24 +312,30 @@ class Model:
             made = [spelled(*streams[i], a, min(a + SPELL_BLOCK, int(sizes[i]))) for i in live.tolist()]
             bit = np.concatenate([m[1] for m in made])
             codes = [t[np.concatenate([m[0][k] for m in made])] for k, t in enumerate(self.spell)]
-            x = np.ones((len(bit), 5), np.float32)
-            for k, c in enumerate(codes):
-                x[:, k + 1] = STRETCHED[c]
+            x = np.stack([STRETCHED[c] for c in codes], axis=1)
             gate = ((codes[2] >> 6) * LEVELS + (codes[3] >> 6)).astype(np.int64)
             doc = np.repeat(live, [len(m[1]) for m in made])
             total -= np.bincount(doc, mixer.step(doc, gate, x, (2 * bit - 1).astype(np.float32)), minlength=len(found))
         return total / math.log(10)
 
 
-def steps(texts: list[bytes]) -> Iterator[slice]:
-    a = held = 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > STEP:
-            yield slice(a, i)
-            a, held = i, 0
-        held += len(t)
-    if a < len(texts):
-        yield slice(a, len(texts))
+def _small(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as they need, which the first byte names; where most are zero, the places of the others and these."""
+    kind = np.min_scalar_type(int(counts.max()))
+    places = np.flatnonzero(counts)
+    if len(places) * (2 + kind.itemsize) < len(counts) * kind.itemsize // 2:
+        return bytes([kind.itemsize, 1]) + places.astype("<u2").tobytes() + counts[places].astype(kind).tobytes()
+    return bytes([kind.itemsize, 0]) + counts.astype(kind).tobytes()
+
+
+def _added(data: bytes, to: np.ndarray) -> None:
+    kind = f"<u{data[0]}"
+    if data[1]:
+        n = (len(data) - 2) // (2 + data[0])
+        to[np.frombuffer(data, "<u2", n, 2)] += np.frombuffer(data, kind, n, 2 + 2 * n).astype(np.int64)
+    else:
+        part = np.frombuffer(data, kind, -1, 2)
+        to[: len(part)] += part.astype(np.int64)
 
 
 def _pieces(tables: list[np.ndarray]) -> pa.RecordBatch:
@@ -335,16 +347,16 @@ def _pieces(tables: list[np.ndarray]) -> pa.RecordBatch:
             if part.any():
                 kind.append(t)
                 piece.append(i // PIECE)
-                data.append(part.astype("<i8").tobytes())
+                data.append(_small(part))
     return pa.record_batch([pa.array(kind, pa.int32()), pa.array(piece, pa.int32()), pa.array([TaskContext.get().partitionId()] * len(kind), pa.int32()), pa.array(data, pa.binary())], names=["t", "piece", "task", "data"])
 
 
 def _sum(group: pa.Table) -> pa.Table:
-    total = 0
+    total = np.zeros(PIECE, np.int64)
     for x in group["data"]:
-        total = total + np.frombuffer(x.as_py(), "<i8")
+        _added(x.as_py(), total)
     one = group.slice(0, 1)
-    return pa.table([one["t"], one["piece"], pa.array([one["task"][0].as_py() // FAN_IN], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["t", "piece", "task", "data"])
+    return pa.table([one["t"], one["piece"], pa.array([one["task"][0].as_py() // FAN_IN], pa.int32()), pa.array([_small(total)], pa.binary())], names=["t", "piece", "task", "data"])
 
 
 def summed(parts: DataFrame, sizes: list[int], whole: int = 0) -> list[np.ndarray]:
@@ -360,7 +372,11 @@ def summed(parts: DataFrame, sizes: list[int], whole: int = 0) -> list[np.ndarra
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            small = [x if t < whole else packed(np.frombuffer(x, "<i8").reshape(-1, 2)).tobytes() for t, x in zip(rows_of(batch, "t").to_pylist(), rows_of(batch, "data").to_pylist(), strict=True)]
+            small = []
+            for t, x in zip(rows_of(batch, "t").to_pylist(), rows_of(batch, "data").to_pylist(), strict=True):
+                total = np.zeros(PIECE, np.int64)
+                _added(x, total)
+                small.append(total.astype("<i8").tobytes() if t < whole else packed(total.reshape(-1, 2)).tobytes())
             yield pa.record_batch([rows_of(batch, "t"), rows_of(batch, "piece"), pa.array(small, pa.binary())], names=["t", "piece", "data"])
 
     empty = packed(np.zeros((1, 2), np.int64))[0]
@@ -368,7 +384,8 @@ def summed(parts: DataFrame, sizes: list[int], whole: int = 0) -> list[np.ndarra
     for r in parts.mapInArrow(shrink, "t int, piece int, data binary").collect():
         t, width = r["t"], PIECE if r["t"] < whole else PIECE // 2
         part = np.frombuffer(r["data"], "<i8" if t < whole else np.uint8)
-        out[t][r["piece"] * width : r["piece"] * width + len(part)] = part
+        room = out[t][r["piece"] * width : (r["piece"] + 1) * width]
+        room[:] = part[: len(room)]
     return out
 
 
@@ -436,7 +453,7 @@ def fit(training: DataFrame, counts: DataFrame, *, text: str = "text") -> tuple[
         any_text = False
         for batch in batches:
             texts = text_bytes(batch.column(0))
-            for part in steps(texts):
+            for part in steps(texts, STEP):
                 any_text = True
                 count_bits(code, tables, texts[part], table_bits)
         if any_text:
@@ -498,7 +515,7 @@ def score(df: DataFrame, training: DataFrame, held_out: str, *, key: str = "doc_
         for batch in batches:
             bodies = text_bytes(rows_of(batch, text))
             outside = rows_of(batch, held_out).to_pylist()
-            for part in steps(bodies):
+            for part in steps(bodies, STEP):
                 texts = bodies[part]
                 tokens = [words(x) for x in texts]
                 ids = [code.ids(t) for t in tokens]
