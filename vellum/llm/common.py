@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,9 @@ from ..session import ship
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_written: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,18 +32,38 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     at = f"{folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    _written.append(at)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def written() -> int:
+    """How many tables ``cut`` has written so far, for ``forget``."""
+    return len(_written)
+
+
+def forget(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables that ``cut`` has written since; for when all that reads them has been written itself."""
+    for at in _written[since:]:
+        delete(spark, at)
+    del _written[since:]
+
+
+def delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def folder(spark: SparkSession) -> str:
     """The shared folder for intermediate results: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, is one set under the warehouse folder.
+    Only where that is unset, as in tests on one machine, is one set under the warehouse folder; a cluster must name one.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         at = sc.getConf().get("spark.checkpoint.dir")
+        if not at and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(at or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
     return sc.getCheckpointDir()
 
@@ -55,3 +80,30 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 
 def rows_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def steps(texts: Sequence[bytes | str | None], size: int) -> Iterator[slice]:
+    """Successive texts of about ``size`` bytes or characters together; a longer text is a step of its own."""
+    a = held = 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > a and held + n > size:
+            yield slice(a, i)
+            a, held = i, 0
+        held += n + 1
+    if a < len(texts):
+        yield slice(a, len(texts))
+
+
+def join_hot(big: DataFrame, small: DataFrame, key: str, weight: str, most: int = 2_000) -> DataFrame:
+    """Inner join on ``key`` with one row a key in ``small``, whose ``weight`` is the number of ``big``'s rows of the key.
+
+    Keys with over 1/most of all rows, hence fewer than ``most``, are broadcast, so that no task gets all rows of such a key.
+    """
+    total = small.agg(F.sum(weight)).first()[0] or 0
+    least = max(10_000, total // most)
+    heavy = small.where(F.col(weight) > least).drop(weight)
+    if heavy.isEmpty():
+        return big.join(small.drop(weight), key)
+    rest = big.join(F.broadcast(heavy.select(key)), key, "left_anti").join(small.where(F.col(weight) <= least).drop(weight), key)
+    return big.join(F.broadcast(heavy), key).unionByName(rest)

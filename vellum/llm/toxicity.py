@@ -3,21 +3,24 @@
 Tokens get one of two labels. A token's features are its normalised form and that form's beginnings and
 endings; neighbours act through the transition weights. Training has document labels only, so tokens are
 labelled by them in expectation: a clean document's tokens are all clean, and a toxic one has at least one toxic token,
-which one being weighed by the model's own marginals. The weights climb the exact likelihood of that, computed by forward-backward.
+which one being weighed by the model's own marginals. The weights of features, transitions and starts climb the likelihood of
+that: their slopes are the expected counts that forward-backward gives, of tokens and of pairs of neighbours.
 
 Scoring: a token's emission depends on its form only, so it is computed once a form. The forward and
 backward ratios of all texts of a batch run in one blocked scan: within blocks in step, between blocks by
 the blocks' 2x2 products, so a text of any length costs the same per token. Marginals over the least give
 the offending offsets; their noisy-or, calibrated on training documents, is the document's score.
 
-The fit uses a bounded sample of labelled rows, those of the least hash in each class; everything else covers
-all rows. Null and empty texts have no tokens and get the score of a document without evidence; rows that
-repeat are scored each; other columns, and labels of rows that are held out, are not touched. Without any
+The fit uses a bounded sample of labelled rows, those of the least hash in each class, and runs in a task, whose memory
+the bounds hold down; only the weights come to the driver. Everything else covers all rows, whole texts; a very long text
+is a step of its own, with some hundred bytes a token. Null and empty texts have no tokens and get the score of a document without
+evidence; rows that repeat are scored each; a key whose labels contradict each other counts as toxic, equal hashes are ordered by key; other columns, and labels of rows that are held out, are not touched. Without any
 labelled row of both classes every score is the share of toxic ones, or 0.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from array import array
 from collections import Counter
@@ -25,13 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import rows_of
+from .common import rows_of, steps
 
-#: Labelled rows of each class that the fit may use.
+#: Labelled rows of each class that the fit may use, and bytes of their texts; a text of over a quarter of these is not used.
 SAMPLE = 1500
+SAMPLE_BYTES = 8_000_000
+#: Bytes of the texts of one step of scoring.
+STEP = 2_000_000
 AFFIXES = range(3, 9)
 #: Tokens whose emissions are held in memory for reuse; beyond that the table is emptied, which no result depends on.
 KEPT = 400_000
@@ -105,6 +112,25 @@ class Chain:
         return clean - (total[ends - 1] - total[starts]) - np.log1p(forward[ends - 1])
 
 
+    def pairs(self, emission: np.ndarray, forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
+        """Marginals of (clean, toxic), (toxic, clean), (toxic, toxic) for each token and the next, as rows; where a text ends they mean nothing."""
+        e = np.exp(np.clip(emission[1:], -25, 25)) * backward[1:]
+        f = forward[:-1]
+        (t00, t01), (t10, t11) = self.t
+        made = np.stack([t01 * e, f * t10, f * t11 * e])
+        return made / (t00 + made.sum(axis=0))
+
+
+def slopes(chain: Chain, emission: np.ndarray, owner: np.ndarray, starts: np.ndarray, ends: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slope of the documents' log-likelihood by each token's emission, and by the transitions' and the start's weights: 01, 10, 11, start."""
+    m, forward, backward = chain.run(emission, starts)
+    q = np.clip(chain.log_all_clean(forward, starts, ends), -50, -1e-9)
+    push = np.where(y == 1, np.exp(q) / -np.expm1(q), -1.0)  # a toxic document that is explained pushes no more
+    inside = owner[1:] == owner[:-1]
+    pair = (chain.pairs(emission, forward, backward) * (push[owner[1:]] * inside)).sum(axis=1)
+    return push[owner] * m, np.append(pair, (push * m[starts]).sum())
+
+
 class Model:
     """Weights by feature, transitions, and the calibration of document scores."""
 
@@ -173,27 +199,24 @@ def train(texts: list[str | None], toxic: np.ndarray, share: float, *, rounds: i
     freq = [np.minimum(np.bincount(col, d[row].astype(float), minlength=len(index)), (y == k).sum()) for k, d in enumerate(df)]
     odds = np.log((freq[1] + 0.5) / (y.sum() + 1)) - np.log((freq[0] + 0.5) / ((1 - y).sum() + 1))
     theta = np.clip(odds - 1.0, 0, 3) * (freq[1] >= 2) * 0.5
-    bias, transitions, start = -7.0, np.array([[0.0, 0.0], [0.0, 0.5]]), 0.0
+    # the transition from clean to clean is the one that the others are measured by
+    bias, moves = -7.0, np.array([0.0, 0.0, 0.5, 0.0])
     squares = np.full(len(index), 1e-3)
-    b_square = 1e-3
-    for k in range(rounds):
+    b_square, m_square = 1e-3, np.full(4, 1.0)
+    for _ in range(rounds):
         e_form = bias + np.bincount(row, theta[col], minlength=len(forms))
-        e = e_form[flat]
-        chain = Chain(transitions, start)
-        m, forward, backward = chain.run(e, starts)
-        q = np.clip(chain.log_all_clean(forward, starts, ends), -50, -1e-9)
-        push = np.where(y == 1, np.exp(q) / -np.expm1(q), -1.0)  # a toxic document that is explained pushes no more
-        g = push[owner] * m
+        chain = Chain(np.array([[0.0, moves[0]], [moves[1], moves[2]]]), moves[3])
+        g, turn = slopes(chain, e_form[flat], owner, starts, ends, y)
         slope = np.bincount(col, np.bincount(flat, g, minlength=len(forms))[row], minlength=len(index)) - 0.02 * theta
         squares += slope * slope
         theta += 0.5 * slope / np.sqrt(squares)
         g_bias = float(np.clip(g.sum(), -50, 50))
         b_square += g_bias * g_bias
         bias += 0.2 * g_bias / b_square**0.5
-        # toxic after toxic: from pairs of marginals, damped
-        pair = m[1:] * m[:-1]
-        inside = owner[1:] == owner[:-1]
-        transitions[1, 1] = np.clip(transitions[1, 1] + 0.02 * float(np.clip((push[owner[1:]] * pair)[inside].sum(), -5, 5)), -2.0, 2.0)
+        turn = np.clip(turn - 0.5 * moves, -50, 50)
+        m_square += turn * turn
+        moves = np.clip(moves + 0.05 * turn / np.sqrt(m_square), -3.0, 3.0)
+    transitions, start = np.array([[0.0, moves[0]], [moves[1], moves[2]]]), float(moves[3])
     m = Chain(transitions, start).run((bias + np.bincount(row, theta[col], minlength=len(forms)))[flat], starts)[0]
     x = evidence(m, starts, ends, least)
     design = np.stack([np.ones(len(x)), x, np.log1p(lengths)], axis=1)
@@ -210,15 +233,25 @@ def train(texts: list[str | None], toxic: np.ndarray, share: float, *, rounds: i
     return Model(kept, float(bias), transitions, start, (float(w[0]), float(w[1]), float(w[2])), least)
 
 
-def fit(df: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Trains on at most ``sample`` labelled rows of each class, those whose keys have the least hashes."""
+def fit(df: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Trains on at most ``sample`` labelled rows of each class, those whose keys have the least hashes, and at most ``sample_bytes`` of their texts."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("_y"))
-    share = known.agg(F.avg("_y")).first()[0] or 0.0
+    share = float(known.agg(F.avg("_y")).first()[0] or 0.0)
     least = lambda y: known.where(F.col("_y") == y).orderBy(F.xxhash64(key), key).limit(sample)
     chosen = F.broadcast(least(1).unionByName(least(0)))  # 2 * sample rows at most
     rows = df.select(key, F.col(text).alias("_text")).join(chosen, key).groupBy(key).agg(F.min("_text").alias("_text"), F.max("_y").alias("_y"))
-    got = sorted(rows.collect(), key=lambda r: str(r[0]))
-    return train([r["_text"] for r in got], np.array([r["_y"] for r in got], np.int64), float(share))
+    order = F.struct(F.xxhash64(key), F.col(key))
+    size = F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long")
+    fitting = rows.where(size <= sample_bytes // 4).withColumn("_upto", F.sum(size).over(Window.partitionBy("_y").orderBy(order)))  # over 2 * sample rows
+    fitting = fitting.where(F.col("_upto") <= sample_bytes // 2).select(F.lit(0).alias("_g"), F.col(key).cast("string").alias("_key"), "_text", F.col("_y").cast("int").alias("_y"))
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("_key", "ascending")])
+        model = train(group["_text"].to_pylist(), group["_y"].to_numpy().astype(np.int64), share)
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    got = fitting.groupBy("_g").applyInArrow(run, "model binary").first()
+    return pickle.loads(got["model"]) if got else train([], np.zeros(0, np.int64), share)
 
 
 def score(df: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", at_least: float = 0.5, carry: list[str] | None = None) -> DataFrame:
@@ -231,8 +264,9 @@ def score(df: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text
         known = _Emissions(model)
         chain = Chain(model.transitions, model.start)
         for batch in batches:
-            for part in (batch.slice(i, 400) for i in range(0, batch.num_rows, 400)):
-                texts = rows_of(part, "_text").to_pylist()
+            bodies = rows_of(batch, "_text").to_pylist()
+            for at in steps(bodies, STEP):
+                texts, part = bodies[at], batch.slice(at.start, at.stop - at.start)
                 tokens = [(x or "").encode().split() for x in texts]
                 lengths = np.array([len(t) for t in tokens])
                 used = np.flatnonzero(lengths)
@@ -261,7 +295,8 @@ def score(df: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text
                 own = [rows_of(part, "_text" if c == text else c) for c in carried]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(found, lengths)), pa.array(spans, kind), *own], [key, "score", "spans", *carried])
 
-    schema = ", ".join([f"`{key}` {df.schema[key].dataType.simpleString()}", "score double", "spans array<struct<start:long,end:long>>", *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carried)])
+    spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    schema = T.StructType([df.schema[key], T.StructField("score", T.DoubleType()), T.StructField("spans", spans), *(df.schema[c] for c in carried)])
     return df.select(key, F.col(text).alias("_text"), *(c for c in carried if c != text)).mapInArrow(run, schema)
 
 
