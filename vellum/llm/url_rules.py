@@ -2,20 +2,24 @@
 
 Curated rules (a host, a path prefix, allow or block) judge the URLs that they fit; the longest rule
 wins, a host's rule fits its subdomains. The URLs so labelled are transactions of their host's and
-path's tokens together with their verdict, which Spark's FP-growth mines. Of the rules whose consequent
-is a verdict, those below the confidence are dropped, and those that a shorter rule subsumes: one whose
+path's tokens together with their verdict, which Spark's FP-growth mines. Tokens that stand in the same
+labelled URLs are one item, named by the least of them: together they would only multiply every itemset. An itemset
+counts from the share ``support`` of the labelled URLs on, and from ``least`` of them, so that a small table does not make
+every subset of every URL frequent. Of the rules whose consequent is a verdict, those below the confidence are dropped, and those that a shorter rule subsumes: one whose
 tokens are a proper subset, of the same verdict and at least its confidence. A URL that no curated rule
 fits gets the verdict of its best mined rule (confidence, then support, then fewer tokens, then block),
 found through an inverted index: each mined rule is filed under its rarest token, URLs look up their
 tokens there, and the other tokens are verified. Without any match the default verdict holds.
 
 Null URLs and those without ``://`` have an empty host and path, no tokens and the default verdict; rows
-that repeat are judged each; other columns are not touched. Numbers in paths and values of query
+that repeat are judged each; equal rules are told apart by their tokens' names; a very long URL is one row in one task; other columns are not touched. Where
+fewer than ``least`` URLs are labelled, as in an empty table, nothing is mined. Numbers in paths and values of query
 arguments are not tokens.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
@@ -63,14 +67,34 @@ def tokens(host: Column, path: Column, rest: Column) -> Column:
     return F.array_distinct(F.concat(suffixes, words, placed, F.when(ending != "", F.array(F.concat(F.lit("e:"), ending))).otherwise(F.array().cast("array<string>")), names))
 
 
-def mine(labelled: DataFrame, *, support: float, confidence: float) -> DataFrame:
+def merged(labelled: DataFrame) -> DataFrame:
+    """(token, item) of all tokens: the item is the least token that stands in the same rows."""
+    placed = labelled.withColumn("_row", F.monotonically_increasing_id()).select("_row", F.explode("tokens").alias("token"))
+    where = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("_row")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "_row")).alias("y")]
+    rows = cut(placed.groupBy("token").agg(*where))
+    return rows.join(rows.groupBy("n", "x", "y").agg(F.min("token").alias("item")), ["n", "x", "y"]).select("token", "item", "n")
+
+
+def mine(labelled: DataFrame, *, support: float, confidence: float, least: int = 10) -> DataFrame:
     """(antecedent, verdict, confidence, support) of the pruned rules, from (tokens, verdict)."""
-    baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(LABEL), "verdict"))).alias("items"))
-    baskets = baskets.persist()  # FP-growth reads them twice; lost blocks are made again
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    labelled = cut(labelled)
+    total = labelled.count()
+    needed = max(least, math.ceil(support * total))
+    if total < needed:
+        return labelled.select(F.col("tokens").alias("antecedent"), "verdict", F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support")).where(F.lit(False))
+    # only items that can be frequent reach the baskets; one that stands in all of them tells nothing
+    items = merged(labelled).where((F.col("n") >= needed) & (F.col("n") < total) & (F.col("token") == F.col("item"))).select("token", "item")
+    few = F.broadcast(items) if items.count() <= BROADCAST_RULES else items
+    numbered = labelled.withColumn("_row", F.monotonically_increasing_id())
+    baskets = numbered.select("_row", "verdict", F.explode("tokens").alias("token")).join(few, "token").groupBy("_row", "verdict").agg(F.collect_set("item").alias("items"))
+    baskets = baskets.select(F.array_append("items", F.concat(F.lit(LABEL), "verdict")).alias("items"))
+    baskets = cut(baskets)  # FP-growth reads them twice
+    # rows without a frequent token make no basket, but count
+    share = (needed - 0.5) / max(baskets.count(), 1)
+    model = FPGrowth(itemsCol="items", minSupport=min(share, 1.0), minConfidence=confidence).fit(baskets)
     found = model.associationRules.where(F.col("consequent")[0].startswith(LABEL) & ~F.exists("antecedent", lambda x: x.startswith(LABEL)))
-    found = cut(found.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], len(LABEL) + 1, 1000).alias("verdict"), "confidence", "support"))
-    baskets.unpersist()
+    of_all = F.col("support") * F.lit(baskets.count() / total)
+    found = cut(found.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], len(LABEL) + 1, 1000).alias("verdict"), "confidence", of_all.alias("support")))
     # a subsuming rule shares its first token with the rule, so candidates meet by equality
     short = found.select(F.col("antecedent").alias("a"), "verdict", F.col("confidence").alias("c"), F.col("antecedent")[0].alias("t"))
     long = found.select("*", F.explode("antecedent").alias("t"))
@@ -78,10 +102,10 @@ def mine(labelled: DataFrame, *, support: float, confidence: float) -> DataFrame
     return found.join(subsumed.select("antecedent", "verdict").distinct(), ["antecedent", "verdict"], "left_anti")
 
 
-def judge(df: DataFrame, rules: Sequence[tuple[str, str, str]], *, key: str = "page_id", url: str = "url", support: float = 0.002, confidence: float = 0.8, default: str = "allow") -> DataFrame:
+def judge(df: DataFrame, rules: Sequence[tuple[str, str, str]], *, key: str = "page_id", url: str = "url", support: float = 0.002, confidence: float = 0.8, least: int = 10, default: str = "allow") -> DataFrame:
     """(key, host, path, rule, verdict, mined) of each row; mined: the mined rule's tokens where one decided.
 
-    support: least share of the labelled URLs that hold a rule's tokens and verdict.
+    support, least: least share and number of the labelled URLs that hold a rule's tokens and verdict.
     """
     host, path, rest = parts(F.col(url))
     rows = df.select(key, host.alias("host"), path.alias("path"), rest.alias("_rest"))
@@ -89,7 +113,7 @@ def judge(df: DataFrame, rules: Sequence[tuple[str, str, str]], *, key: str = "p
     rows = rows.select(F.monotonically_increasing_id().alias("_row"), key, "host", "path", rule.alias("rule"), verdict.alias("_curated"), tokens(F.col("host"), F.col("path"), F.col("_rest")).alias("tokens"))
     rows = cut(rows)  # three readers, and one numbering of the rows for all of them
     labelled = rows.where(F.col("_curated").isNotNull() & (F.size("tokens") > 0)).select("tokens", F.col("_curated").alias("verdict"))
-    found = cut(mine(labelled, support=support, confidence=confidence))
+    found = cut(mine(labelled, support=support, confidence=confidence, least=least))
     use = found.select("antecedent", "verdict", "confidence", "support")
     rarity = labelled.select(F.explode("tokens").alias("t")).groupBy("t").count()
     filed = use.select("*", F.explode("antecedent").alias("t")).join(rarity, "t").groupBy("antecedent", "verdict", "confidence", "support").agg(F.min_by("t", F.struct("count", "t")).alias("t"))
