@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_bytes
+from .common import cut, join_hot, text_bytes
 from .graph import components
 
 BITS = 64
@@ -103,12 +103,12 @@ def links(distinct: DataFrame, *, radius: int = 2, bucket: int = 64, fp: str = "
 def cluster(df: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2, bucket: int = 64) -> DataFrame:
     """(key, fp, component_id) of each row; component_id is the least key that links lead to."""
     rows = cut(fingerprints(df.select(key, text), text=text, width=width))
-    distinct = cut(rows.groupBy("fp").agg(F.min(key).alias("_least")))
+    distinct = cut(rows.groupBy("fp").agg(F.min(key).alias("_least"), F.count(F.lit(1)).alias("_n")))
     labels = components(links(distinct, radius=radius, bucket=bucket))
     named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = named.groupBy("label").agg(F.min("_least").alias("component_id"))
-    named = cut(named.select("fp", "label").join(least, "label").select("fp", "component_id"))
-    return rows.join(named, "fp").select(key, "fp", "component_id")
+    named = cut(named.select("fp", "_n", "label").join(least, "label").select("fp", "_n", "component_id"))
+    return join_hot(rows, named, "fp", "_n").select(key, "fp", "component_id")
 
 
 #: Bands of least hashes, and hashes of one: texts at similarity 0.8 fail to meet with probability (1 - 0.8^4)^32 = 5e-8.
