@@ -7,7 +7,8 @@ any common boundary fills the overlap, pre-tokenising goes on from the last sett
 next chunk's boundaries are met. The stitched pieces are then encoded, each by itself. Decoding
 concatenates the raw bytes of the ids.
 
-Null texts count as empty, empty texts have no ids, rows that repeat are kept, columns other than those
+The pattern's classes are those of the tokenizer library, asked of it once a worker. A very long text is pre-tokenised by many
+tasks; its stitched pieces are encoded in one. Null texts count as empty, empty texts have no ids, rows that repeat are kept, columns other than those
 asked for are not touched.
 """
 
@@ -27,17 +28,36 @@ from pyspark.sql import types as T
 
 from .common import rows_of
 
-#: Code points that Unicode calls white space, as the Rust library's \s has them.
-SPACE = r"\t-\r \x85\xa0  -     　"
 #: Pieces held in memory for reuse; beyond that the table is emptied, which no result depends on.
 KEPT = 400_000
 KEPT_CHARS = 64
 
 
+@functools.cache
+def matched(source: str) -> str:
+    """All code points that the tokenizer library's own pattern engine matches with ``source``, as ranges of a class."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    probe = tiktoken.Encoding("probe", pat_str=source, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    found = np.frombuffer(bytes(probe.encode_ordinary(every)).decode().encode("utf-32-le"), "<u4").astype(np.int64)
+    edge = np.flatnonzero(np.diff(found) != 1)
+    first, last = found[np.concatenate([[0], edge + 1])], found[np.concatenate([edge, [len(found) - 1]])]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first.tolist(), last.tolist(), strict=True))
+
+
 @functools.cache
 def pattern(source: str) -> regex.Pattern:
-    """The pre-token pattern with white space spelt out."""
-    return regex.compile(source.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
+    """The pre-token pattern with its classes spelt out as the library has them: editions of Unicode differ in letters and numbers."""
+    classes = {k: matched(k) for k in (r"\p{L}", r"\p{N}", r"\s")}
+    out, inside, i = [], False, 0
+    while i < len(source):
+        token = next((k for k in (*classes, r"\S") if source.startswith(k, i)), source[i : i + 2] if source[i] == "\\" else source[i])
+        inside = (inside or token == "[") and token != "]"
+        if token in classes:
+            out.append(classes[token] if inside else f"[{classes[token]}]")
+        else:
+            out.append(f"[^{classes[chr(92) + 's']}]" if token == r"\S" else token)
+        i += len(token)
+    return regex.compile("".join(out))
 
 
 @functools.cache
@@ -118,10 +138,10 @@ def encode(df: DataFrame, path: str, source: str, *, key: str = "doc_id", text:
     is_long = F.length("_text") > chunk_chars
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, find = pieces(path, source), pattern(source).findall
+        encode_one = pieces(path, source).core.encode_to_numpy  # one chunk has nothing to stitch: the library splits it
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                blobs = [b"".join(map(known.__getitem__, find(x))) for x in part.column(1).to_pylist()]
+                blobs = [encode_one(x, disallowed_special=()).astype("<u4").tobytes() for x in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), _list_array(blobs)], names=[key, "ids"])
 
     def pre_tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
