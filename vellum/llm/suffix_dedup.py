@@ -31,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, rows_of, text_bytes
+from .common import cut, join_hot, rows_of, text_bytes
 
 SPAN = 200
 GRAM = 48
@@ -304,12 +305,13 @@ def _same_row(a: str, b: str) -> Column:
 def repeated_windows(texts: DataFrame, *, span: int, gram: int, block_regions: int = BLOCK_REGIONS) -> DataFrame:
     """(id, th, marks) of the texts with repeated windows; marks: (first, last) window of each run, as 32-bit numbers."""
     found = cut(regions(texts, span, gram))
-    owners = found.groupBy("ah").agg(F.sum("n").alias("_n"), F.min("rh").alias("_lo"), F.max("rh").alias("_hi")).where("_n > 1").select("ah", (F.col("_lo") != F.col("_hi")).alias("mixed"))
-    shared = cut(found.join(owners, "ah"))
+    owners = found.groupBy("ah").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_rows"), F.min("rh").alias("_lo"), F.max("rh").alias("_hi")).where("_n > 1").select("ah", "_rows", (F.col("_lo") != F.col("_hi")).alias("mixed"))
+    shared = cut(join_hot(found, cut(owners), "ah", "_rows"))
     mixed = shared.where("mixed")
     distinct = mixed.groupBy("ah", "rh").agg(F.sum("n").alias("n"), F.min(F.struct("id", "th", "p", "w")).alias("at"))
-    counts = distinct.groupBy("ah").agg(F.count(F.lit(1)).alias("_kinds"))
-    distinct = distinct.join(counts, "ah").select("ah", "rh", "n", "at.*", (F.col("_kinds") > block_regions).alias("crowded"))
+    distinct = cut(distinct)
+    counts = distinct.groupBy("ah").agg(F.count(F.lit(1)).alias("_kinds")).withColumn("_rows", F.col("_kinds"))
+    distinct = join_hot(distinct, cut(counts), "ah", "_rows").select("ah", "rh", "n", "at.*", (F.col("_kinds") > block_regions).alias("crowded"))
     cut_out = distinct.alias("d").join(texts.alias("t"), _same_row("d", "t")).select("ah", "rh", "n", "crowded", F.expr(f"substring(cast(text as binary), p + 1, w + {span - 1})").alias("content"))
     cut_out = cut(cut_out.dropDuplicates(["ah", "rh"]))
     blocks = max(8, -(-found.count() // 200_000))
@@ -361,8 +363,6 @@ def dedup(df: DataFrame, *, key: str = "doc_id", text: str = "text", span: int =
     marks = repeated_windows(texts, span=span, gram=gram, **options)
     whole = df.select(F.col(key).alias("id"), body.alias("text"), F.xxhash64(body).alias("th"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carried)))
     joined = whole.alias("t").join(marks.alias("m"), _same_row("t", "m"), "left").select(F.col("t.id").alias("id"), "text", "marks", *(f"_c{i}" for i in range(len(carried))))
-    kinds = "".join(f", _c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carried))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
@@ -375,5 +375,7 @@ def dedup(df: DataFrame, *, key: str = "doc_id", text: str = "text", span: int =
                     kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if len(runs) else data)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if decoded else pa.array(kept, pa.binary()), *part.columns[3:]], ["id", "n_bytes", "spans", "kept", *part.schema.names[3:]])
 
-    out = joined.mapInArrow(run, f"id {df.schema[key].dataType.simpleString()}, n_bytes long, spans array<struct<start:long,end:long>>, kept {'string' if decoded else 'binary'}{kinds}")
+    spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    made = [T.StructField("n_bytes", T.LongType()), T.StructField("spans", spans), T.StructField("kept", T.StringType() if decoded else T.BinaryType())]
+    out = joined.mapInArrow(run, T.StructType([T.StructField("id", df.schema[key].dataType), *made, *(T.StructField(f"_c{i}", df.schema[c].dataType) for i, c in enumerate(carried))]))
     return out.select(F.col("id").alias(key), "n_bytes", "spans", F.col("kept").alias(decoded or "kept"), *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carried)))
