@@ -208,3 +208,89 @@ def test_dissolve_mines_all_documents(spark):
     done = reference.x11_dissolve(spark, SF).agg(F.sum("removed")).first()[0]
     marked = inputs.damaged(inputs.table(spark, SF, "documents")).select(F.size(F.regexp_extract_all("text", F.lit(r"[A-Za-z]++↵-?[A-Za-z]++"), F.lit(0))).alias("n"))
     assert done == marked.agg(F.sum("n")).first()[0]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("a\n## Glossary\nx\n# N\nr", "a\n\n# N\nr"), ("a\n# glossary of terms\nx", "a\n"), ("a\n# Other\nx", "a\n# Other\nx"), ("", ""), (None, None)],
+)
+def test_glossary_section_leaves_a_line_break(spark, text, want):
+    assert one(spark, text, X.without_glossary) == want
+
+
+@pytest.mark.parametrize(("spec", "want"), [("1 3", None), (" 4 - 6 ", (4, 6)), ("7", (7, 7)), (None, (1, 9)), ("5-2", None), ("12", None), ("0-3", (1, 3))])
+def test_page_range_keeps_inner_blanks(spark, spec, want):
+    got = spark.createDataFrame([(spec,)], "s string").select(control.page_range(F.col("s"), F.lit(9)).alias("r")).first()["r"]
+    assert (None if got["error"] else (got["first"], got["last"])) == want
+
+
+def test_cache_key_tells_null_parts_apart(spark):
+    rows = [("m", None, "2", "r", "s"), ("m", "2", None, "r", "s"), ("m", "", "2", "r", "s")]
+    keys = [r[0] for r in spark.createDataFrame(rows, "a string, b string, c string, d string, e string").select(validate.cache_key(*(F.col(c) for c in "abcde"))).collect()]
+    assert keys[0] != keys[1] and keys[0] == keys[2]
+
+
+def test_signature_has_a_zero_byte_before_each_file(spark):
+    import hashlib
+
+    rows = [("d", 1, None, "p"), ("d", 0, b"text", "t"), ("d", 2, None, None)]
+    got = tables.user_signature(spark.createDataFrame(rows, "doc string, pos int, content binary, path string")).first()["signature"]
+    assert got == hashlib.sha256(b"\0text\0p\0").hexdigest()[:12]
+
+
+def test_dissolve_with_blanks_after_tags_and_shared_keys(spark):
+    words = spark.createDataFrame([("di", "erence"), ("di", "erent")], "l string, r string")
+    rows = [(2, "<style id='4'>di</style> {v6}<style id='5'>erence</style>"), (2, "a di{v1}erent b"), (None, "a di{v1}erent b"), (3, None)]
+    got = sorted((str(r["id"]), r["text"] or "", r["removed"]) for r in ligature.dissolve(spark.createDataFrame(rows, "id int, text string"), words).collect())
+    assert got == [("2", "<style id='4'>di</style> ff<style id='5'>erence</style>", 1), ("2", "a different b", 1), ("3", "", 0), ("None", "a different b", 1)]
+
+
+def test_english_run_joins_no_break_spaces(spark):
+    text = "한국어 문장이 여기에 있고 아주 길게 이어집니다 that there remains some english prose within 번역되지 않은 부분이 남았다"
+    assert one(spark, text, X.leftover_english) is not None
+
+
+def test_cleaning_tries_blocks_then_operators_and_rolls_back(spark):
+    page = lambda body: f"q 0 0 100 100 re W n {body} Q".encode()
+    seen, gone = "BT 10 10 Td (seen) Tj ET", "BT 500 500 Td (unseen) Tj ET"
+    rows = [
+        (1, page(f"{seen} {gone}"), [], []),
+        (2, page("BT 10 10 Td (seen) Tj 500 500 Td (unseen) Tj ET"), [], []),
+        (3, page("BT 10 10 Td (seen) Tj 500 500 Td (unseen) Tj ET"), [[1009.0, 1009.0, 1011.0, 1011.0], [509.0, 509.0, 511.0, 511.0]], []),
+        (4, page(f"{seen} {gone}"), [[500.0, 500.0, 510.0, 510.0]], ["unseen words"]),
+        (5, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "page int, data binary, boxes array<array<double>>, visible array<string>").withColumn("doc", F.lit("b"))
+    ways = {r["page"]: (r["way"], b"unseen" in bytes(r["data"])) for r in hidden.cleaned(df, hidden.visible_words).collect()}
+    assert ways == {1: ("blocks", False), 2: ("operators", False), 3: ("kept", True), 4: ("kept", True), 5: ("kept", False)}
+    worse = hidden.cleaned(df.where("page = 1"), lambda d: ["w"] * (9 if b"unseen" in d else 1)).first()
+    assert worse["way"] == "rolled back" and b"unseen" in bytes(worse["data"])
+
+
+@pytest.mark.parametrize(("operand", "text"), [(rb"(a\(b)", "a(b"), (rb"(\101\n)", "A\n"), (b"<00480065006c>", "Hel"), (b"[(AB) -20 <43>]", "ABC"), (b"<4>", "@"), (b"()", "")])
+def test_strings_are_decoded(operand, text):
+    assert hidden.text_of(operand) == text
+
+
+def test_hints_by_precedence(spark):
+    rows = [("a", "x {v1} y", None), ("b", "x" * 30, "가" * 40), ("c", "one {v1}", "하나"), ("d", "one {v1}", "하나 {v1}"), ("e", "one", "하나 {v2}")]
+    got = {r["id"]: (r["kind"], r["detail"]) for r in validate.hint(spark.createDataFrame(rows, "id string, src string, tgt string")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"a": "reply", "b": "length", "c": "placeholders", "d": "again", "e": "placeholders"}
+    assert got["c"][1] == "missing {v1}" and got["e"][1] == "invented {v2}"
+
+
+def test_rules_fingerprint_follows_rules_and_dictionary(spark):
+    d = spark.createDataFrame([("di", "erent"), ("o", "-policy")], "l string, r string")
+    mark = lambda *a: validate.rules_fingerprint(*a).first()["fingerprint"]
+    assert mark(d) == mark(d.orderBy(F.desc("l"))) and len({mark(d), mark(d.limit(0)), mark(d, "more")}) == 3
+
+
+def test_reasons_with_percentages(spark):
+    got = spark.createDataFrame([(["overlap", "outside"], 0.126, 0.05, 0.0), ([], 0.0, 0.0, 0.0)], "reasons array<string>, overlap double, outside double, collision double").select(layout.told_reasons().alias("r")).collect()
+    assert [r["r"] for r in got] == [["overlap +13%", "outside +5%"], []]
+
+
+def test_verdicts_reject_as_spelled(spark):
+    c = spark.createDataFrame([("d", 0, t) for t in ("a", "b", "c", "e")], "doc string, batch int, term string")
+    v = spark.createDataFrame([("d", 0, "A", "No"), ("d", 0, "b", "NO"), ("d", 0, "c", "false")], "doc string, batch int, term string, keep string")
+    assert sorted(r["term"] for r in terms.keep_terms(c, v).collect()) == ["b", "e"]

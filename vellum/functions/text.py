@@ -89,8 +89,8 @@ def language_tag(c: Column) -> Column:
 
 
 def without_glossary(c: Column) -> Column:
-    """A glossary section goes, up to the next heading or the end."""
-    return F.regexp_replace(c, r"(?is)\n#+[ \t]*Glossary.*?(?=\n#+ |\z)", "")
+    """A glossary section becomes one line break, up to the next heading or the end."""
+    return F.regexp_replace(c, rf"(?is)\n#+{SPACE}*Glossary.*?(?=\n#+{SPACE}|\z)", "\n")
 
 
 def width(c: Column) -> Column:
@@ -110,7 +110,8 @@ def translatable(c: Column) -> Column:
     return count_of(c, r"\p{L}") >= 3
 
 
-ENGLISH_RUN = r"[A-Za-z][A-Za-z'’\-]*+(?:\s++[A-Za-z][A-Za-z'’\-]*+){5,}+"
+# A run of six English words or more, and a year.
+ENGLISH_RUN = rf"[A-Za-z][A-Za-z'’\-]*+(?:{SPACE}++[A-Za-z][A-Za-z'’\-]*+){{5,}}+"
 YEAR_NEAR = r"(?:^|[^\p{L}\p{N}_])(?:1[89]|20)\d\d[a-z]?(?:$|[^\p{L}\p{N}_])"
 
 
@@ -130,7 +131,7 @@ def leftover_english(c: Column) -> Column:
 
     def stands(x: Column) -> Column:
         run, at = x["run"], x["at"]
-        words = F.split(run, r"\s+")
+        words = F.split(run, f"{SPACE}+")
         start = F.greatest(at - 60, F.lit(0))
         near = F.substring(body, start + 1, at + F.length(run) + 60 - start)
         return (

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACE
+
 
 def page_range(spec: Column, total: Column) -> Column:
     """struct(first, last, error) of a page specification: blank, ``a`` or ``a-b``; ends are clamped to the document."""
-    s = F.regexp_replace(F.coalesce(spec, F.lit("")), r"\s", "")
-    one, two = F.regexp_extract(s, r"^(\d+)$", 1), F.regexp_extract(s, r"^(\d+)-(\d+)$", 1)
-    end = F.regexp_extract(s, r"^(\d+)-(\d+)$", 2)
+    s = F.regexp_replace(F.coalesce(spec, F.lit("")), rf"^{SPACE}+|{SPACE}+\z", "")
+    both = rf"^(\d+){SPACE}*-{SPACE}*(\d+)\z"
+    one, two = F.regexp_extract(s, r"^(\d+)\z", 1), F.regexp_extract(s, both, 1)
+    end = F.regexp_extract(s, both, 2)
     first = F.when(s == "", 1).when(one != "", F.try_to_number(one, F.lit("999999999")).cast("int")).when(two != "", F.greatest(F.lit(1), F.try_to_number(two, F.lit("999999999")).cast("int")))
     last = F.when(s == "", total).when(one != "", first).when(two != "", F.least(total, F.try_to_number(end, F.lit("999999999")).cast("int")))
     first = F.when((one != "") & (first < 1), F.lit(None)).otherwise(first)

@@ -91,3 +91,9 @@ def mixed_blocks(lines: DataFrame) -> DataFrame:
     per = lines.groupBy("doc", "page", "block").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("txt")).alias("chars"), F.count_if((ko >= 2) & (en == 0)).alias("ko"), F.count_if((en >= 3) & (ko == 0)).alias("en"))
     hit = F.col("n").between(2, 8) & (F.col("chars") <= 160) & (F.col("ko") > 0) & (F.col("en") > 0)
     return per.groupBy("doc", "page").agg(F.count_if(hit).alias("mixed"))
+
+
+def told_reasons() -> Column:
+    """The reasons with how far each measure rose, as whole percentages, ready for people to read."""
+    rose = lambda c: F.concat(F.lit(f"{c} +"), F.format_number(F.col(c) * 100, 0), F.lit("%"))
+    return F.transform(F.col("reasons"), lambda r: F.coalesce(*(F.when(r == c, rose(c)) for c in LIMITS), r))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import DAMAGE
+from ..functions.text import DAMAGE, SPACE
 
 PAIR = f"([A-Za-z]++){DAMAGE}(-?[A-Za-z]++)"
-#: Letters, tags, a placeholder, tags, letters.
-WEDGE = r"([A-Za-z]++)((?:</?style[^>]*+>)*+)(\{v\d++\})((?:</?style[^>]*+>)*+)(-?[A-Za-z]++)"
+#: Letters, tags, a placeholder, tags, letters; white space may follow a tag.
+_TAGS = rf"((?:</?style[^>]*+>{SPACE}*+)*+)"
+WEDGE = rf"([A-Za-z]++){_TAGS}(\{{v\d++\}}){_TAGS}(-?[A-Za-z]++)"
 
 
 def pairs(df: DataFrame, text: str = "text") -> DataFrame:
@@ -27,17 +28,19 @@ def dissolve(df: DataFrame, dictionary: DataFrame, *, key: str = "id", text: str
     """
     c = F.col(text)
     rows = df.select(key, c.alias("_text"), F.split(c, WEDGE, -1).alias("_gaps"), *(F.regexp_extract_all(c, F.lit(WEDGE), i).alias(f"_g{i}") for i in range(1, 6)))
-    wedges = rows.select(key, F.posexplode(F.arrays_zip(*(F.col(f"_g{i}") for i in range(1, 6)))).alias("k", "w")).select(key, "k", *(F.col(f"w._g{i}").alias(f"g{i}") for i in range(1, 6)))
+    # equal texts are woven once, by a hash and the text itself, so that rows may share keys
+    wedges = rows.where(F.size("_g1") > 0).select("_text", *(f"_g{i}" for i in range(1, 6))).distinct()
+    wedges = wedges.select("_text", F.posexplode(F.arrays_zip(*(F.col(f"_g{i}") for i in range(1, 6)))).alias("k", "w")).select("_text", "k", *(F.col(f"w._g{i}").alias(f"g{i}") for i in range(1, 6)))
     bare = F.regexp_replace("g5", "^-", "")
     wedges = wedges.withColumns({"_a": F.expr("right(g1, 2)"), "_b": F.expr("left(g5, 2)"), "_long": (F.length("g1") >= 2) & (F.length(bare) >= 2)})
-    exact = wedges.join(dictionary.select(F.col("l").alias("g1"), F.col("r").alias("g5")), ["g1", "g5"], "left_semi").select(key, "k")
+    exact = wedges.select("g1", "g5").distinct().join(dictionary.select(F.col("l").alias("g1"), F.col("r").alias("g5")), ["g1", "g5"], "left_semi").select("g1", "g5")
     known = dictionary.select("l", "r", F.expr("right(l, 2)").alias("_a"), F.expr("left(r, 2)").alias("_b"))
-    affix = wedges.where("_long").join(known, ["_a", "_b"]).where(F.col("l").endswith(F.col("g1")) & F.col("r").startswith(F.col("g5"))).select(key, "k")
+    affix = wedges.where("_long").select("g1", "g5", "_a", "_b").distinct().join(known, ["_a", "_b"]).where(F.col("l").endswith(F.col("g1")) & F.col("r").startswith(F.col("g5"))).select("g1", "g5")
     hits = exact.unionByName(affix).distinct().withColumn("_hit", F.lit(True))
-    done = wedges.join(hits, [key, "k"], "left")
+    done = wedges.join(hits, ["g1", "g5"], "left")
     piece = F.concat("g1", "g2", F.when(F.col("_hit"), F.lit("ff")).otherwise(F.col("g3")), "g4", "g5")
-    by_row = done.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", piece.alias("p")))), lambda x: x["p"]).alias("_new"), F.count("_hit").cast("long").alias("removed"))
-    joined = rows.join(by_row, key, "left")
+    by_row = done.groupBy("_text").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", piece.alias("p")))), lambda x: x["p"]).alias("_new"), F.count("_hit").cast("long").alias("removed"))
+    joined = rows.join(by_row, "_text", "left")
     woven = F.array_join(F.flatten(F.zip_with("_gaps", F.coalesce("_new", F.array().cast("array<string>")), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     return joined.select(key, F.when(F.col("removed") > 0, woven).otherwise(F.col("_text")).alias(text), F.coalesce("removed", F.lit(0)).cast("long").alias("removed"))
 

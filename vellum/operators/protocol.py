@@ -15,7 +15,7 @@ _ITEM = T.StructType([T.StructField("id", T.StringType()), T.StructField("output
 _PARSED = T.StructType([T.StructField("items", T.ArrayType(_ITEM)), T.StructField("repaired", T.BooleanType())])
 _PLACE = T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("stop", T.IntegerType())])
 _BRACKET = re.compile(r"[\[\]]")
-_FENCE = re.compile(r"^```[a-zA-Z]*\n?|\n?```\s*$")
+FENCE = "```"
 
 
 def _loads(text: str) -> object:
@@ -34,28 +34,35 @@ def last_array(text: str) -> tuple[list | None, int, int]:
 
     Brackets are paired from the right: a closing one opens a level, the opening one that brings it back ends the slice.
     """
-    marks = [(m.start(), m[0]) for m in _BRACKET.finditer(text)]
-    for k in range(len(marks) - 1, -1, -1):
-        if marks[k][1] != "]":
-            continue
-        level = 0
-        for at, sign in reversed(marks[: k + 1]):
-            level += 1 if sign == "]" else -1
-            if level == 0:
-                value = _loads(text[at : marks[k][0] + 1])
-                if _objects(value):
-                    return value, at, marks[k][0] + 1
-                break
+    # one pass from the right with a stack of the closing ones whose slice is still open
+    open_, slices = [], {}
+    for m in reversed(list(_BRACKET.finditer(text))):
+        if m[0] == "]":
+            open_.append(m.start())
+        elif open_:
+            slices[open_.pop()] = m.start()
+    for stop in sorted(slices, reverse=True):
+        value = _loads(text[slices[stop] : stop + 1])
+        if _objects(value):
+            return value, slices[stop], stop + 1
     return None, -1, -1
 
 
+def unfenced(text: str) -> str:
+    """Without a code fence's first line, or its mark and language where all is one line, and its last mark."""
+    if not text.startswith(FENCE):
+        return text
+    first, _, rest = text.partition("\n")
+    language = first[len(FENCE) :].lstrip("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    body = f"{language}\n{rest}" if language else rest
+    return body.rstrip().removesuffix(FENCE).strip()
+
+
 def parse(raw: str | None) -> tuple[list | None, bool]:
     """(array, whether closing signs had to be added); content is never made up."""
     if raw is None:
         return None, False
-    text = raw.strip()
-    if text.startswith("```"):
-        text = _FENCE.sub("", text).strip()
+    text = unfenced(raw.strip())
     value = _loads(text)
     if isinstance(value, list):
         return value, False
@@ -92,8 +99,11 @@ def swapped(text: Column, begin: Column, stop: Column, items: Column) -> Column:
 def client_reply(raw: Column) -> Column:
     """Map of integer id to text; entries without either are dropped, the last of equal ids counts, failures give an empty map."""
     parsed = F.filter(F.coalesce(F.from_json(raw, ITEMS), F.array().cast(ITEMS)), lambda o: o["id"].try_cast("int").isNotNull() & o["output"].isNotNull())
-    last = F.filter(parsed, lambda o, i: ~F.exists(F.slice(parsed, i + 2, F.size(parsed)), lambda p: p["id"].try_cast("int") == o["id"].try_cast("int")))
-    return F.map_from_entries(F.transform(last, lambda o: F.struct(o["id"].try_cast("int").alias("key"), o["output"].alias("value"))))
+    pairs = F.transform(parsed, lambda o: F.struct(o["id"].try_cast("int").alias("key"), o["output"].alias("value")))
+    # keys and values by place: the last place of each key, once each
+    keys = F.transform(pairs, lambda p: p["key"])
+    last = F.filter(pairs, lambda p, i: i == F.size(keys) - F.array_position(F.reverse(keys), p["key"]))
+    return F.map_from_entries(last)
 
 
 def envelope(content: Column, model: Column, created: Column) -> Column:

@@ -108,7 +108,8 @@ def batches(df: DataFrame, order: list[Column], size: int) -> DataFrame:
     return df.withColumn("batch", F.floor((F.row_number().over(W.partitionBy("doc").orderBy(*order)) - 1) / size).cast("long"))
 
 
-REJECTS = ["false", "no", "0"]
+# Verdicts that reject.
+REJECTS = ["false", "False", "no", "No", "0"]
 
 
 def keep_terms(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -116,9 +117,9 @@ def keep_terms(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
 
     A candidate without verdict stays; a batch of which nothing would stay, stays whole.
     """
-    said = verdicts.select("doc", "batch", F.lower(F.trim("term")).alias("_t"), F.lower("keep").alias("_keep")).groupBy("doc", "batch", "_t").agg(F.max("_keep").alias("_keep"))
+    said = verdicts.select("doc", "batch", F.lower(F.trim("term")).alias("_t"), F.col("keep").isin(REJECTS).alias("_no")).groupBy("doc", "batch", "_t").agg(F.min(F.coalesce("_no", F.lit(False))).alias("_no"))
     joined = candidates.withColumn("_t", F.lower(F.trim("term"))).join(said, ["doc", "batch", "_t"], "left")
-    joined = joined.select(*candidates.columns, (~F.coalesce(F.col("_keep").isin(REJECTS), F.lit(False))).alias("_ok"))
+    joined = joined.select(*candidates.columns, (~F.coalesce("_no", F.lit(False))).alias("_ok"))
     whole = F.max("_ok").over(W.partitionBy("doc", "batch"))
     return joined.withColumn("_any", whole).where("_ok or not _any").drop("_ok", "_any")
 
@@ -141,3 +142,12 @@ def italic_words(spans: DataFrame, *, doc: str = "doc", text: str = "text", font
     slanted = spans.where((F.col(font).contains("TI") | F.col(font).contains("Italic")) & ~F.col(font).contains("CMMI"))
     letters = F.lower(F.regexp_replace(X.repair(F.col(text), composed), r"[^A-Za-z\- ]+", " "))
     return slanted.select(doc, F.explode(F.split(letters, " +")).alias("w")).where("w <> ''").distinct()
+
+
+def translated(items: DataFrame, replies: DataFrame) -> DataFrame:
+    """(idx, term, target) of items (idx, term) from replies (term, target): met by lower-case term, or by the item as it stands; null where none.
+
+    Of replies to one term the greatest counts.
+    """
+    known = replies.where(F.col("target").isNotNull()).groupBy(F.lower(F.trim("term")).alias("_t")).agg(F.max("target").alias("target"))
+    return items.withColumn("_t", F.lower(F.trim("term"))).join(known, "_t", "left").select("idx", "term", "target")

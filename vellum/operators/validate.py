@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import sys
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
+from . import ligature
 
 #: Most that a target may be wider than its source.
 WIDTH_MAX = 1.35
@@ -98,8 +103,29 @@ def pending(attempts: DataFrame, sources: DataFrame, attempt: int) -> DataFrame:
 
 
 def cache_key(model: Column, mode: Column, epoch: Column, rules: Column, source: Column) -> Column:
-    """Content address of an item: its id is no part of it."""
-    return F.sha2(F.concat_ws("\0", model, mode, epoch, rules, source), 256)
+    """Content address of an item: its id is no part of it. A null part counts as empty, in its own place."""
+    return F.sha2(F.concat_ws("\0", *(F.coalesce(c.cast("string"), F.lit("")) for c in (model, mode, epoch, rules, source))), 256)
+
+
+def rules_fingerprint(dictionary: DataFrame, rules: str = "", heavy: int = 20) -> DataFrame:
+    """(fingerprint): changes with this package's rules (its sources and limits), the ligature pairs (l, r) and the user's rules.
+
+    Pairs are hashed each and their digests in order, so that a dictionary of any size is reduced before it meets.
+    """
+    sources = hashlib.sha256("\0".join(inspect.getsource(m) for m in (X, ligature, sys.modules[__name__])).encode()).hexdigest()
+    digests = dictionary.select(F.sha2(F.concat_ws("\0", "l", "r"), 256).alias("d")).distinct().agg(F.array_join(F.array_sort(F.collect_list("d")), "").alias("d"))
+    return digests.select(F.left(F.sha2(F.concat_ws("\0", F.lit(sources), F.lit(f"{heavy} {WIDTH_MAX}"), F.lit(rules), "d"), 256), F.lit(12)).alias("fingerprint"))
+
+
+def hint(pairs: DataFrame, *, key: str = "id", src: str = "src", tgt: str = "tgt") -> DataFrame:
+    """(key, kind, detail): what a retry of an item is told, by precedence: no reply, too long, English left, placeholders, or just again."""
+    ratio = X.width(F.col(tgt)) / F.when(X.width(F.col(src)) >= 10, X.width(F.col(src)))
+    told = pairs.select(key, F.col(tgt).isNull().alias("_none"), F.when(ratio > WIDTH_MAX, ratio).alias("_wide"), X.leftover_english(F.col(tgt)).alias("_left"))
+    marks = mark_differences(pairs, key=key, src=src, tgt=tgt)
+    lost = F.concat_ws("; ", F.when(F.col("missing") != "", F.concat(F.lit("missing "), "missing")), F.when(F.col("extra") != "", F.concat(F.lit("invented "), "extra")))
+    kind = F.when(F.col("_none"), "reply").when(F.col("_wide").isNotNull(), "length").when(F.col("_left").isNotNull(), "english").when(lost != "", "placeholders").otherwise("again")
+    detail = F.when(kind == "length", F.concat(F.format_number("_wide", 1), F.lit(" times as long"))).when(kind == "english", F.left("_left", F.lit(80))).when(kind == "placeholders", lost).otherwise("")
+    return told.join(marks.dropDuplicates([key]), key).select(key, kind.alias("kind"), detail.alias("detail"))
 
 
 def upsert(cache: DataFrame, new: DataFrame, longest: int = 8000) -> DataFrame:

@@ -68,20 +68,27 @@ def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, page, data): each document's lines as show operators, every third outside of the clip."""
     line = lambda x, i: F.concat(F.lit("BT "), F.when(i % 3 == 2, F.lit("500 500")).otherwise(F.lit("10 10")), F.lit(" Td ("), F.regexp_replace(x, r"[()\\]", "."), F.lit(") Tj ET"))
     body = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
-    return I.table(spark, sf_dir, "documents").where("lang = 'en'").select(F.lit("b").alias("doc"), F.col("doc_id").alias("page"), F.encode(F.concat(F.lit("q 0 0 100 100 re W n\n"), F.regexp_replace(body, r"[^\x00-\x7f]", "?"), F.lit("\nQ")), "UTF-8").alias("data"))
+    return I.table(spark, sf_dir, "documents").select(F.lit("b").alias("doc"), F.col("doc_id").alias("page"), F.encode(F.concat(F.lit("q 0 0 100 100 re W n\n"), F.regexp_replace(body, r"[^\x00-\x7f]", "?"), F.lit("\nQ")), "UTF-8").alias("data"))
 
 
 @query("""select page, cast(coalesce(sum(length(l)) filter (i % 3 = 0), 0) as bigint) as hidden, cast(coalesce(sum(length(l)) filter (i % 3 <> 0), 0) as bigint) as shown from (
-  select doc_id as page, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where lang = 'en') group by page""")
+  select doc_id as page, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) group by page""")
 def h06_hidden_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden.scan(_streams(spark, sf_dir)).select("page", "hidden", "shown")
 
 
-@query("""select page from (select doc_id as page, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where lang = 'en') where i % 3 = 0 group by page having sum(length(l)) >= 40""")
+@query("""select page from (select doc_id as page, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) where i % 3 = 0 group by page having sum(length(l)) >= 40""")
 def h07_hidden_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden.scan(_streams(spark, sf_dir)).where(hidden.many_hidden()).select("page")
 
 
+@query("""select page, case when coalesce(max(length(l)) filter (i % 3 = 0), 0) >= 3 then 'blocks' when count(*) filter (i % 3 = 0) > 0 then 'operators' else 'kept' end as way, cast(0 as bigint) as lost from (
+  select doc_id as page, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) group by page""")
+def h08_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = _streams(spark, sf_dir).withColumn("boxes", F.array().cast("array<array<double>>")).withColumn("visible", F.array().cast("array<string>"))
+    return hidden.cleaned(none, hidden.visible_words).select("page", "way", "lost")
+
+
 @query("""with w as (select doc_id as page, unnest(string_split(text, ' ')) as w from documents), c as (select page, w, count(*) as n from w group by all)
   select page, cast(sum(case when length(w) % 7 = 6 then n else 0 end) as bigint) as lost, sum(case when length(w) % 7 = 6 then n else 0 end) <= 3 and sum(case when length(w) % 7 = 6 then n else 0 end) / sum(n)::double <= 0.2 as ok from c group by page""")
 def h10_loss_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,9 +97,9 @@ def h10_loss_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden.accepted(both).select("page", "lost", "ok")
 
 
-@query("select doc_id from documents where regexp_matches(left(text, doc_id % 3), '\\p{L}')")
+@query("select doc_id from documents where regexp_matches(text, '\\p{L}')")
 def p02_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.table(spark, sf_dir, "documents").withColumn("text", F.expr("left(text, int(doc_id % 3))")).where(slides.wanted()).select("doc_id")
+    return I.table(spark, sf_dir, "documents").where(slides.wanted()).select("doc_id")
 
 
 @query("select source as deck, w as text, row_number() over (partition by source order by min(struct_pack(p := doc_id, i := i))) as n from (select source, doc_id, unnest(string_split(replace(text, chr(10), ' '), ' ')) as w, generate_subscripts(string_split(replace(text, chr(10), ' '), ' '), 1) as i from documents) where regexp_matches(w, '\\p{L}') and w not like '%<%' group by source, w")

@@ -1,7 +1,7 @@
 """Inputs derived from the driver's tables, once as DataFrames and once as DuckDB SQL.
 
 The tables hold clean prose, so damage, placeholders, translations, word boxes and attempts are made by
-expressions that mean the same in both engines. Nothing is sampled or cut.
+expressions that mean the same in both engines. Pages and terms are those of the English documents, which the operators are for; nothing else is left out.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..operators import audit, control, layout, ligature, terms, validate
+from ..sources import tables
 from . import inputs as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,7 +99,8 @@ def x12_language_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.md5(X.language_tag(F.concat(F.lit("[ko-KR] "), "text", F.lit(" KO_kr")))).alias("tagged"))
 
 
-@query()
+@query(r"""select doc_id, md5(regexp_replace('# A' || chr(10) || text || chr(10) || '## Glossary of terms' || chr(10) || 'a, b' || chr(10) || case when doc_id % 2 = 0 then '# Next' || chr(10) || 'rest' else '' end,
+  '(?is)\n#+\s*Glossary.*?(\n#+\s|\z)', chr(10) || '\1')) as left_md5 from documents""")
 def x13_glossary_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.concat(F.lit("# A\n"), "text", F.lit("\n## Glossary of terms\na, b\n"), F.when(F.col("doc_id") % 2 == 0, "# Next\nrest").otherwise(""))
     return docs(spark, sf_dir).select("doc_id", F.md5(X.without_glossary(c)).alias("left_md5"))
@@ -295,9 +297,9 @@ def v12_mark_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.mark_differences(I.pairs(docs(spark, sf_dir)))
 
 
-@query("select doc_id, length(regexp_replace(left(text, doc_id % 7), '[^\\p{L}]', '', 'g')) >= 3 as yes from documents")
+@query("select doc_id, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) >= 3 as yes from documents")
 def v13_translatable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", X.translatable(F.expr("left(text, int(doc_id % 7))")).alias("yes"))
+    return docs(spark, sf_dir).select("doc_id", X.translatable(F.col("text")).alias("yes"))
 
 
 @query(f"select doc_id, len(string_split_regex(text, '{KEEP_SQL}')) as n_runs, len(regexp_extract_all(text, '{KEEP_SQL}')) as n_kept, true as same from {I.marked_sql('documents')}")
@@ -328,11 +330,12 @@ def _cache(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = docs(spark, sf_dir)
     row = lambda x, ts: x.select(F.sha2("text", 256).alias("k"), F.lit("m").alias("model"), F.col("text").alias("src"), F.concat("lang", F.lit(str(ts))).alias("tgt"), F.lit(1).alias("attempts"), (F.col("doc_id") * 0 + ts).cast("double").alias("ts"))
     once = lambda x: x.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min("lang").alias("lang"))
-    return row(once(d.where("doc_id % 2 = 0")), 1), row(once(d.where("doc_id % 3 = 0")), 2)
+    # old: whole texts; new: their first lines, which replace those of one line
+    return row(once(d), 1), row(once(d.withColumn("text", F.split("text", "\n")[0])), 2)
 
 
-_CACHE = "(select text, {ts} as ts, min(lang) || '{ts}' as tgt from documents where doc_id % {m} = 0 group by text)"
-_CACHED = f"(select sha256(text) as k, left(text, 8000) as src, tgt, ts from (select *, row_number() over (partition by text order by ts desc) as n from ({_CACHE.format(ts=1, m=2)} union all {_CACHE.format(ts=2, m=3)})) where n = 1)"
+_CACHE = "(select {src} as text, {ts} as ts, min(lang) || '{ts}' as tgt from documents group by 1)"
+_CACHED = f"(select sha256(text) as k, left(text, 8000) as src, tgt, ts from (select *, row_number() over (partition by text order by ts desc) as n from ({_CACHE.format(ts=1, src='documents.text')} union all {_CACHE.format(ts=2, src='string_split(documents.text, chr(10))[1]')})) where n = 1)"
 
 
 @query(f"select k, md5(src) as src, tgt from {_CACHED}")
@@ -348,6 +351,33 @@ def c02_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.lookup(items, validate.upsert(old, new)).select("doc_id", "tgt")
 
 
+@query("select doc_id, left(sha256('\\x00'::blob || encode(text) || '\\x00'::blob || encode('p')), 12) as signature from documents")
+def c06_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = docs(spark, sf_dir)
+    given = d.select(F.col("doc_id").alias("doc"), F.lit(0).alias("pos"), F.encode("text", "UTF-8").alias("content"), F.lit("t").alias("path"))
+    gone = d.select(F.col("doc_id").alias("doc"), F.lit(1).alias("pos"), F.lit(None).cast("binary").alias("content"), F.lit("p").alias("path"))
+    return tables.user_signature(given.unionByName(gone)).withColumnRenamed("doc", "doc_id")
+
+
+@query("select doc_id, left(sha256(text), 16) as stamp from documents")
+def c07_input_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.encode("text", "UTF-8").alias("content"))
+    return tables.input_stamp(files).withColumnRenamed("doc", "doc_id")
+
+
+@query("""with w as (select doc_id as idx, string_split(text, ' ')[1] as term from documents)
+  select idx, term, case when length(term) % 3 <> 0 then 'T' || lower(term) end as target from w""")
+def t17_translated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = docs(spark, sf_dir).select(F.col("doc_id").alias("idx"), F.split("text", " ")[0].alias("term"))
+    replies = items.where(F.length("term") % 3 != 0).select(F.concat(F.lit(" "), F.translate("term", I.LETTERS, I.LETTERS.upper())).alias("term"), F.concat(F.lit("T"), F.lower("term")).alias("target"))
+    return terms.translated(items, replies)
+
+
+@query()
+def v12_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.hint(I.pairs(docs(spark, sf_dir)))
+
+
 _MADE = "case id % 4 when 0 then 'whole' when 1 then 'fragment' when 2 then 'source' else 'rescue' end"
 
 
@@ -502,9 +532,13 @@ def r05_page_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- control
 
 
-@query()
+_SPECS = ["", "7", "13-502", "2-999999", "0-3", "abc", "-5", "5-2", "0-0", "999-1000", "1 3", " 4 - 6 "]
+
+
+@query("""select doc_id, [1, 7, 13, 2, 1, null, null, null, null, null, null, 4][doc_id % 12 + 1] as first, [502, 7, 502, 502, 3, null, null, null, null, null, null, 6][doc_id % 12 + 1] as last,
+  [null, null, null, null, null, 'not a page range', 'not a page range', 'empty range', 'empty range', 'empty range', 'not a page range', null][doc_id % 12 + 1] as error from documents""")
 def k01_page_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = F.element_at(F.array(*(F.lit(x) for x in ("", "7", "13-502", "2-999999", "0-3", "abc", "-5", "5-2", "0-0", "999-1000"))), (F.col("doc_id") % 10 + 1).cast("int"))
+    spec = F.element_at(F.array(*(F.lit(x) for x in _SPECS)), (F.col("doc_id") % len(_SPECS) + 1).cast("int"))
     return docs(spark, sf_dir).select("doc_id", control.page_range(spec, F.lit(502)).alias("r")).select("doc_id", "r.*")
 
 

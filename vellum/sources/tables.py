@@ -40,7 +40,7 @@ def glossary_problem(spark: SparkSession, path: str) -> str:
     head = [c.strip().strip('"').lower() for c in (lines[0].lstrip("﻿") if lines else "").split(",")]
     if head[:2] != ["source", "target"]:
         return "header is not source,target"
-    return "" if len(lines) > 1 and lines[1].strip() else "no rows"
+    return "" if len(lines) > 1 else "no rows"
 
 
 def write_ligatures(pairs: DataFrame, path: str) -> None:
@@ -62,7 +62,12 @@ def fonts_without_unicode(lines: DataFrame) -> DataFrame:
 
 
 def user_signature(files: DataFrame) -> DataFrame:
-    """(doc, signature) over files (doc, pos, content binary or null, path): contents in order, the path where there is none."""
-    one = F.coalesce(F.col("content"), F.encode("path", "UTF-8"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.hex(one).alias("h")))), lambda x: x["h"]), "00")
+    """(doc, signature) over files (doc, pos, content binary or null, path): contents in order, the path where there is none, nothing for a file that is not given; each after a zero byte."""
+    one = F.coalesce(F.col("content"), F.encode("path", "UTF-8"), F.lit(b""))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit("00"), F.hex(one)).alias("h")))), lambda x: x["h"]), "")
     return files.groupBy("doc").agg(F.left(F.sha2(F.unhex(joined), 256), F.lit(12)).alias("signature"))
+
+
+def input_stamp(files: DataFrame) -> DataFrame:
+    """(doc, stamp) of input files (doc, content binary): tells one input from another under the same name."""
+    return files.select("doc", F.left(F.sha2(F.coalesce("content", F.lit(b"")), 256), F.lit(16)).alias("stamp"))
