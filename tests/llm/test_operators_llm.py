@@ -87,6 +87,37 @@ def test_chain_equals_enumeration():
         assert np.isclose(np.log(none / total), clean[k])
 
 
+def test_slopes_equal_differences_of_the_enumerated_likelihood():
+    rng = np.random.default_rng(11)
+    lengths, y = np.array([3, 1, 4]), np.array([1, 0, 1])
+    ends = np.cumsum(lengths)
+    starts, owner = ends - lengths, np.repeat(np.arange(3), lengths)
+    e, moves = rng.standard_normal(8), rng.standard_normal(4)
+
+    def likelihood(e, moves):
+        total = 0.0
+        for k, n in enumerate(lengths):
+            weight = {}
+            for labels in itertools.product((0, 1), repeat=int(n)):
+                v = moves[3] * labels[0] + sum(e[starts[k] + i] * x for i, x in enumerate(labels))
+                v += sum({(0, 0): 0.0, (0, 1): moves[0], (1, 0): moves[1], (1, 1): moves[2]}[p] for p in itertools.pairwise(labels))
+                weight[labels] = math.exp(v)
+            clean = weight[(0,) * int(n)] / sum(weight.values())
+            total += math.log(1 - clean if y[k] else clean)
+        return total
+
+    chain = toxicity.Chain(np.array([[0.0, moves[0]], [moves[1], moves[2]]]), moves[3])
+    by_token, by_move = toxicity.slopes(chain, e, owner, starts, ends, y)
+    step = 1e-5
+    for got, x, other in ((by_token, e, 0), (by_move, moves, 1)):
+        for i in range(len(x)):
+            up, down = x.copy(), x.copy()
+            up[i] += step
+            down[i] -= step
+            pair = [(likelihood(v, moves) if other == 0 else likelihood(e, v)) for v in (up, down)]
+            assert np.isclose(got[i], (pair[0] - pair[1]) / (2 * step), atol=1e-5)
+
+
 def test_toxicity_learns_a_planted_word(spark):
     rng = np.random.default_rng(1)
     words = ["".join(x) for x in itertools.product("abcd", "efg", "hij")]
@@ -127,6 +158,33 @@ def test_statistics(spark, odd, documents):
         assert tuple(r[n] for n in names) == statistics(r["text"])
 
 
+def test_repeats_with_colliding_hashes(spark, odd):
+    texts = ["a b c d a b c e a b d a b c", "x y z " * 40, "p q r s t u v w", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for mask in (-1, 1 << 63 >> 1, 0):
+        got = {r["doc_id"]: r["n_repeat_words"] for r in quality_rules.statistics(df, mask=mask).collect()}
+        assert got == {i: statistics(t)[-1] for i, t in enumerate(texts)}
+
+
+def test_estimates_are_a_fixed_point_of_the_steps(spark):
+    rng = np.random.default_rng(5)
+    p, share, prior = quality_rules.P, 0.75, 30.0
+    x = np.concatenate([rng.standard_normal((500, p)) @ rng.standard_normal((p, p)), 40 + rng.standard_normal((60, p))])
+    df = spark.createDataFrame([("g", "l", *map(float, v)) for v in x], ", ".join(["_g string", "_lang string", *(f"_x{i} double" for i in range(p))]))
+    r = quality_rules.fit(df, share=share, prior=prior).first()
+    m = np.array([r[f"m{i}"] for i in range(p)])
+    low = np.array([[r[f"l{i}_{j}"] if j <= i else 0.0 for j in range(p)] for i in range(p)])
+    d2 = (np.linalg.solve(low, (x - m).T) ** 2).sum(axis=0)
+    near = x[np.argsort(d2)[: int(share * len(x))]]
+    q = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+    scale = np.maximum((q[2] - q[0]) / 1.349, list(quality_rules.FEATURES.values()))
+    mean = (near.sum(axis=0) + prior * q[1]) / (len(near) + prior)
+    assert np.allclose(m, mean, atol=0.3) and (d2[500:] > 100).all() and np.median(d2[:500]) < 15
+    off = (near - mean).T @ (near - mean) + prior * np.outer(q[1] - mean, q[1] - mean) + prior * np.diag(scale**2)
+    widen = share / quality_rules._chi(quality_rules._quantile(share, p // 2), p // 2 + 1)
+    assert np.allclose(np.log(np.linalg.det(low @ low.T)), np.log(np.linalg.det(off / (len(near) + prior) * widen)), atol=0.5)
+
+
 def test_outliers_go_and_plain_rows_stay(spark, odd, empty):
     rng = np.random.default_rng(2)
     vocabulary = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(400)]
@@ -160,7 +218,7 @@ def test_url_parts_and_rules(spark):
 def test_mined_rules_equal_enumeration(spark):
     rng = np.random.default_rng(3)
     rows = [(sorted({f"t{i}" for i in rng.integers(0, 5, 3)}), "block" if rng.random() < 0.5 else "allow") for _ in range(60)]
-    got = {(tuple(r["antecedent"]), r["verdict"]): r["confidence"] for r in url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), support=0.05, confidence=0.6).collect()}
+    got = {(tuple(r["antecedent"]), r["verdict"]): r["confidence"] for r in url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), support=0.05, confidence=0.6, least=1).collect()}
     every = {}
     for n in range(1, 5):
         for a in itertools.combinations([f"t{i}" for i in range(5)], n):
@@ -173,6 +231,35 @@ def test_mined_rules_equal_enumeration(spark):
     assert all(np.isclose(got[k], want[k]) for k in got)
 
 
+def test_tokens_that_stand_together_are_one_item(spark):
+    rows = [(["a", "b", "c"], "block")] * 12 + [(["c", "d"], "allow")] * 12 + [(["c"], "allow")]
+    labelled = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    assert {r["token"]: r["item"] for r in url_rules.merged(labelled).collect()} == {"a": "a", "b": "a", "c": "c", "d": "d"}
+    assert {(*r["antecedent"], r["verdict"]) for r in url_rules.mine(labelled, support=0.01, confidence=0.8).collect()} == {("a", "block"), ("d", "allow")}
+    assert url_rules.mine(labelled.limit(5), support=0.01, confidence=0.8).count() == 0
+
+
+def test_open_urls_take_the_best_mined_rule(spark):
+    rng = np.random.default_rng(4)
+    part = lambda *x: str(rng.choice(list(x)))
+    urls = [f"http://{part('www', 'm')}.{part('a', 'b', 'c')}.{part('com', 'net', 'org')}/{part('es', 'en', 'fr')}/{part('p', 'q')}" for _ in range(400)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_rules.judge(df, queries.URL_RULES, confidence=0.6).collect()}
+    host, path, rest = url_rules.parts(F.col("url"))
+    tokens = {r["page_id"]: set(r["t"]) for r in df.select("page_id", url_rules.tokens(host, path, rest).alias("t")).collect()}
+    fixed = df.select("page_id", url_rules.tokens(host, path, rest).alias("tokens"), url_rules.curated(host, path, queries.URL_RULES)[1].alias("verdict")).where("verdict is not null and size(tokens) > 0")
+    rules = url_rules.mine(fixed.select("tokens", "verdict"), support=0.002, confidence=0.6).collect()
+    assert rules
+    for i, r in got.items():
+        if r["rule"] is None:
+            best = max(((x["confidence"], x["support"], -len(x["antecedent"]), x["verdict"] != "allow", " ".join(x["antecedent"]), x["verdict"]) for x in rules if set(x["antecedent"]) <= tokens[i]), default=None)
+            assert (r["verdict"], r["mined"]) == ((best[5], best[4]) if best else ("allow", None))
+
+
+def test_urls_of_an_empty_table(spark):
+    assert url_rules.judge(spark.createDataFrame([], "page_id long, url string"), queries.URL_RULES).count() == 0
+
+
 # --- 4
 
 
@@ -313,15 +400,76 @@ def test_suffix_odd_inputs(odd, empty):
 # --- 8
 
 
-def test_codes_are_prefix_free_and_probabilities_add_up():
-    code = lm_mixing.Code([(b"a", 9), (b"b", 5), (b"c", 2)], 3, 4)
-    paths = [tuple(code.flat[a : a + n]) for a, n in zip(code.at, code.length, strict=True)]
+def mixing_model(texts):
+    """The model of some texts, fitted without Spark."""
+    L = lm_mixing  # noqa: N806
+    c = collections.Counter(w for t in texts for w in L.words(t))
+    ranked = sorted(c.items(), key=lambda x: (-x[1], x[0]))
+    totals, once = np.zeros(L.BUCKETS, np.int64), np.zeros(L.BUCKETS, np.int64)
+    for w, k in ranked[L.CODED :]:
+        totals[L.bucket(w)] += k
+        once[L.bucket(w)] += k == 1
+    code = L.Code(ranked[: L.LOCAL], totals, len(texts))
+    tables = [np.zeros(n, np.int32) for n in ((L.COMMON + 1) * code.symbols, 2 << 12, 2 << 12)]
+    L.count_bits(code, tables, texts, 12)
+    spell = [np.zeros(2 << L.SPELL_BITS, np.int32) for _ in range(4)]
+    L.count_spelling(spell, [w for w, k in c.items() if k == 1])
+    pack = lambda t: L.packed(t.reshape(-1, 2).astype(np.int64))
+    return L.Model(code, tables[0].astype(np.int64), [pack(t) for t in tables[1:]], [pack(t) for t in spell], totals, once)
+
+
+def scored_by_hand(model, ids):
+    """Log10 probability of one text's symbols, bit by bit."""
+    L, code = lm_mixing, model.code  # noqa: N806
+    w, last, total = L._starts(), [-8 + k / 2 for k in range(33)], 0.0
+    one = lambda x: L.scrambled(np.array([x]))
+    for begin in range(0, len(ids), L.BLOCK):
+        seen = []
+        for i in range(begin, min(begin + L.BLOCK, len(ids))):
+            before, two = (int(ids[i - 1]) + 1 if i else 0), (int(ids[i - 2]) + 1 if i > 1 else 0)
+            skip = next((int(ids[j]) + 1 for j in range(i - 1, -1, -1) if ids[j] < min(L.COMMON, code.coded)), 0)
+            symbol = code.symbol[ids[i]]
+            for k in range(code.at[symbol], code.at[symbol] + code.length[symbol]):
+                node, y = int(code.node[k]), 2 * int(code.bit[k]) - 1
+                slot = [int(((h ^ code.hash[k : k + 1]) * L._K >> np.uint64(64 - model.table_bits))[0]) for h in (one(before * 2 + 1), one((two << 20) + before + (1 << 50)))]
+                c = [int(t[x]) for t, x in zip(model.tables, slot, strict=True)]
+                x = np.array([model.zero[node], model.skip[skip * code.nodes + node], *(L.STRETCHED[v] for v in c)], float)
+                gate = (c[0] >> 6) * L.LEVELS + (c[1] >> 6)
+                dot = float(np.clip(w[gate] @ x, -12, 12))
+                cell = round((min(max(dot, -8), 8) + 8) * 2)
+                total += math.log1p(math.exp(-y * (dot + last[cell]) / 2))
+                seen.append((gate, x, y, dot, cell, last[cell]))
+        for gate in {g for g, *_ in seen}:
+            own = [z for z in seen if z[0] == gate]
+            w[gate] += L.RATE / math.sqrt(1 + len(own)) * sum(y / (1 + math.exp(y * dot)) * x for _, x, y, dot, _, _ in own)
+        for cell in {z[4] for z in seen}:
+            own = [z for z in seen if z[4] == cell]
+            last[cell] += L.REFINE / math.sqrt(1 + len(own)) * sum(y / (1 + math.exp(y * r)) for _, _, y, _, _, r in own)
+    return -total / math.log(10)
+
+
+def test_mixing_equals_brute_force(documents):
+    texts = [t.encode() for _, t in documents[:40]]
+    model = mixing_model(texts[:30])
+    code = model.code
     assert np.isclose(sum(2.0**-n for n in code.length), 1)
-    assert len(set(paths)) == len(paths)
-    rng = np.random.default_rng(7)
-    model = lm_mixing.Model(code, [rng.integers(0, 1 << 16, n).astype(np.uint16) for n in (code.nodes, 1 << lm_mixing.TABLE_BITS, 1 << lm_mixing.TABLE_BITS)], [np.zeros(1 << lm_mixing.SPELL_BITS, np.uint16)] * 4)
-    first = [2 ** model.run(lm_mixing.Bits(code, [np.array([s])]), np.array([False]))[0] for s in range(5)]
-    assert np.isclose(sum(first), 1, atol=1e-5)
+    ids = [code.ids(lm_mixing.words(t)) for t in texts[28:36]]
+    together = model.score(lm_mixing.Tokens(code, ids), len(ids))
+    assert np.allclose(together, [scored_by_hand(model, i) for i in ids], rtol=2e-3)
+    first = [10 ** model.score(lm_mixing.Tokens(code, [np.array([k])]), 1)[0] for k in np.unique(code.symbol, return_index=True)[1]]
+    assert np.isclose(sum(first), 1, atol=1e-4)
+    words = [[(b"novelword", 2), (b"other", 1)], [], [(b"x" * 3000, 1)]]
+    alone = [model.novel([w])[0] for w in words]
+    assert np.allclose(model.novel(words), alone, rtol=1e-4) and alone[1] == 0 and max(alone[0], alone[2]) < 0
+
+
+def test_pieces_of_counts_add_up():
+    rng = np.random.default_rng(1)
+    tables = [rng.integers(0, hi, lm_mixing.PIECE) * (rng.random(lm_mixing.PIECE) < p) for hi, p in ((2, 0.01), (300, 0.9), (1 << 40, 0.3), (70_000, 0.001))]
+    total = np.zeros(lm_mixing.PIECE, np.int64)
+    for t in tables:
+        lm_mixing._added(lm_mixing._small(t), total)
+    assert (total == sum(tables)).all()
 
 
 def test_base_scores_and_gain(spark, documents, odd, empty):
@@ -342,22 +490,6 @@ def test_base_scores_and_gain(spark, documents, odd, empty):
     assert lm_mixing.score(nothing, nothing, "held_out").count() == 0
 
 
-def test_starting_weights_are_of_all_whole_training_texts(spark, monkeypatch):
-    rng = np.random.default_rng(3)
-    texts = [" ".join(f"w{i}" for i in rng.integers(0, 40, n)) for n in [*rng.integers(1, 60, 320), 12_000]]
-    training = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model, *_ = lm_mixing.fit(training, lm_mixing.count_words(training, "text"))
-    bits = lambda some: lm_mixing.Bits(model.code, [model.code.symbols(lm_mixing.words(t.encode())) for t in some])
-    fresh = [lm_mixing.Model(model.code, model.tables, model.spell) for _ in range(2)]
-    for m, some in zip(fresh, (texts, [t[:20_000] for t in texts[:300]]), strict=True):
-        m.learned(m.run(bits(some), np.ones(len(some), bool), learn=True))
-    assert np.allclose(model.start, fresh[0].start, atol=1e-4) and np.allclose(model.final, fresh[0].final, atol=0.05)
-    assert not np.allclose(model.final, fresh[1].final, atol=0.05)
-    online = model.run(bits(texts[-1:]), np.array([True]))
-    monkeypatch.setattr(lm_mixing, "PRIOR", 1e9)
-    assert not np.isclose(online, model.run(bits(texts[-1:]), np.array([True])), rtol=1e-6)
-
-
 # --- 9
 
 
@@ -407,9 +539,41 @@ def test_vectors(spark, block):
     assert embedding_caps.cluster(df.where("false")).count() == 0
 
 
+def test_recall_at_twenty_thousand(spark):
+    rng = np.random.default_rng(9)
+    a = rng.standard_normal((10_000, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = rng.standard_normal((10_000, 64))
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b = 0.905 * a + math.sqrt(1 - 0.905**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    x = np.concatenate([a, b]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    got = {r["vec_id"]: r["n_links"] for r in embedding_caps.cluster(df).collect()}
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    true = np.concatenate([(u[i : i + 2000] @ u.T >= 0.9).sum(axis=1) - 1 for i in range(0, len(u), 2000)])
+    assert all(got[i] <= true[i] for i in got) and sum(got.values()) >= 0.9 * true.sum() >= 9_000
+
+
 # --- pipeline
 
 
+CLASHING = ["n_words", "m0", "_lines", "kept", "n_bytes", "spans", "_row", "score", "_g", "th", "fp", "component_id"]
+
+
+def test_pipeline_carries_clashing_columns_nulls_and_empty_tables(spark, odd):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).select("*", *(F.lit(i).alias(c) for i, c in enumerate(CLASHING)))
+    base = odd.select("doc_id", "text", "lang", "source", "n_chars", *(F.lit(i).alias(c) for i, c in enumerate(CLASHING)))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        for frame in (docs, base, base.where("false")):
+            got = stage(spark, frame, SF)
+            assert got.columns == frame.columns, name
+            assert all(tuple(r[c] for c in CLASHING) == tuple(range(len(CLASHING))) for r in got.collect())
+    assert {r["doc_id"] for r in corpus_pipeline.STAGES[3][1](spark, base.where("doc_id in (1, 2, 8)"), SF).collect()} == {1, 2, 8}
+
+
 def test_pipeline_by_brute_force(spark, documents):
     import corpus_pipeline
 
@@ -423,11 +587,13 @@ def test_pipeline_by_brute_force(spark, documents):
     assert {r["doc_id"] for r in good} == {d for d, k in verdicts.items() if k}
     assert {r["doc_id"] for r in mild} <= {r["doc_id"] for r in good}
     prints = {r["doc_id"]: simhash.fingerprint(r["text"].encode()) for r in mild}
+    shingles = {r["doc_id"]: {*zip(*(r["text"].encode().lower().split()[i:] for i in range(5)), strict=False)} for r in mild}
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b) > 0
     label = {d: d for d in prints}
+    near = [(a, b) for a, b in itertools.combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 2 or alike(shingles[a], shingles[b])]
     for _ in range(4):
-        for a, b in itertools.combinations(prints, 2):
-            if (prints[a] ^ prints[b]).bit_count() <= 2:
-                label[a] = label[b] = min(label[a], label[b])
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
     assert {r["doc_id"] for r in single} == {d for d, m in label.items() if d == m}
     want = without_repeats([r["text"].encode() for r in single], 200)
     assert {r["doc_id"]: r["text"] for r in left} == {r["doc_id"]: w.decode("utf-8", "ignore") for r, w in zip(single, want, strict=True) if w}

@@ -181,7 +181,8 @@ def spelled(data: np.ndarray, place: np.ndarray, a: int, b: int) -> tuple[list[n
     for k in range(1, 6):
         before = np.zeros(b - a, np.int64)
         low = max(a - k, 0)
-        before[low + k - a :] = data[low : b - k]
+        if b - k > low:
+            before[low + k - a :] = data[low : b - k]
         back.append(np.where(at >= k, before, 0))
     two = back[0] | back[1] << 8
     three = two | back[2] << 16
