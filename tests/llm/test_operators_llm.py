@@ -433,12 +433,12 @@ def scored_by_hand(model, ids):
                 node, y = int(code.node[k]), 2 * int(code.bit[k]) - 1
                 slot = [int(((h ^ code.hash[k : k + 1]) * L._K >> np.uint64(64 - model.table_bits))[0]) for h in (one(before * 2 + 1), one((two << 20) + before + (1 << 50)))]
                 c = [int(t[x]) for t, x in zip(model.tables, slot, strict=True)]
-                x = np.array([model.zero[node], model.skip[skip * code.nodes + node], *(L.STRETCHED[v] for v in c)], float)
+                x = np.array([model.skip[skip * code.nodes + node], *(L.STRETCHED[v] for v in c)], float)
                 gate = (c[0] >> 6) * L.LEVELS + (c[1] >> 6)
                 dot = float(np.clip(w[gate] @ x, -12, 12))
                 cell = round((min(max(dot, -8), 8) + 8) * 2)
                 total += math.log1p(math.exp(-y * (dot + last[cell]) / 2))
-                seen.append((gate, x, y, dot, cell, last[cell]))
+                seen.append((gate, x, y, dot, cell, (dot + last[cell]) / 2))
         for gate in {g for g, *_ in seen}:
             own = [z for z in seen if z[0] == gate]
             w[gate] += L.RATE / math.sqrt(1 + len(own)) * sum(y / (1 + math.exp(y * dot)) * x for _, x, y, dot, _, _ in own)

@@ -2,8 +2,8 @@
 
 A text is a sequence of lower-case words and an end. The commonest training words (``CODED``) and the end have
 binary (Huffman) codes of their own; the other words have the code of a bucket, which the last three bytes name. Every bit is
-predicted by several predictors, each from the counts under a hashed context and the place in the code: none, the
-last of the few commonest words (it tells languages and styles apart), the word before, the two words before.
+predicted by several predictors, each from the counts under a hashed context and the place in the code: the
+last of the few commonest words (it tells languages and styles apart; its counts lean on those without context), the word before, the two words before.
 Predictions are stretched to log-odds and combined with weights chosen by a gate, the confidences of the two longer
 contexts. The weights start from fixed values and follow each text's own gradient, block by block. A last table refines the mixed
 log-odds by what log-odds like it came to, and follows the text too.
@@ -228,7 +228,7 @@ class Mixer:
         np.clip(dot, -12, 12, out=dot)
         cell = np.rint((np.clip(dot, -8, 8) + np.float32(8)) * np.float32(2)).astype(np.int64) + doc * 33
         refined = self.last[cell]
-        loss = np.log1p(np.exp(-y * (dot + refined) * np.float32(0.5)))
+        miss = np.exp(-y * (dot + refined) * np.float32(0.5))
         # of a block with few texts only these texts' weights are touched
         first = int(doc.min())
         low = first * GATES
@@ -240,17 +240,17 @@ class Mixer:
         low = first * 33
         local = cell - low
         rate = REFINE / np.sqrt(1 + np.bincount(local))
-        self.last[low : low + len(rate)] += rate * np.bincount(local, y / (1 + np.exp(y * refined)))
-        return loss
+        self.last[low : low + len(rate)] += rate * np.bincount(local, y * miss / (1 + miss))
+        return np.log1p(miss)
 
 
 def _starts() -> np.ndarray:
     """Fixed starting weights: the surer a longer context, the more it counts."""
-    out = np.zeros((GATES, 4))
+    out = np.zeros((GATES, 3))
     for a in range(LEVELS):
         for b in range(LEVELS):
             two, one = (0, 0.2, 0.35, 0.6)[b], (0, 0.1, 0.15, 0.25)[a]
-            out[a * LEVELS + b] = [0.05, max(0.95 - 0.3 * (one + two), 0.1), one * (1, 0.7, 0.5, 0.3)[b], two]
+            out[a * LEVELS + b] = [max(0.95 - 0.3 * (one + two), 0.1), one * (1, 0.7, 0.5, 0.3)[b], two]
     return out
 
 
@@ -274,7 +274,6 @@ class Model:
         made = np.array([np.bincount(cells, row[owner], minlength=2 * code.nodes) for row in wide.reshape(COMMON + 1, code.symbols)]).reshape(COMMON + 1, code.nodes, 2)
         p = made.sum(axis=0) + 0.4
         p /= p.sum(axis=1, keepdims=True)
-        self.zero = np.log(p[:, 1] / p[:, 0]).astype(np.float32)
         # the skipping context's counts lean on those without one
         made = made + 4 * p
         self.skip = np.log(made[..., 1] / made[..., 0]).ravel().astype(np.float32)
@@ -288,8 +287,8 @@ class Model:
         for part in tokens.slices():
             token, node, bit, one, two = bits_of(self.code, tokens, part, self.table_bits)
             one, two = self.tables[0][one], self.tables[1][two]
-            x = np.empty((len(token), 4), np.float32)
-            x[:, 0], x[:, 1], x[:, 2], x[:, 3] = self.zero[node], self.skip[(tokens.skip[part] * self.code.nodes)[token] + node], STRETCHED[one], STRETCHED[two]
+            x = np.empty((len(token), 3), np.float32)
+            x[:, 0], x[:, 1], x[:, 2] = self.skip[(tokens.skip[part] * self.code.nodes)[token] + node], STRETCHED[one], STRETCHED[two]
             gate = ((one >> 6) * LEVELS + (two >> 6)).astype(np.int64)
             doc, y = tokens.doc[part][token], (2 * bit - 1).astype(np.float32)
             last = np.cumsum(self.code.length[tokens.symbol[part]])  # bits up to each token
