@@ -7,6 +7,7 @@ Java's; those over unbounded input have possessive inner repeats, since a looped
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -121,9 +122,18 @@ def leftover_english(c: Column) -> Column:
     A run does not count if it has few long words, is all capitals, is names or titles, or stands within
     60 characters of a year; and nothing counts in a text that is hardly translated at all.
     """
-    body = F.regexp_replace(c, KEEP, " ")
-    gaps = F.split(body, ENGLISH_RUN, -1)
-    found = F.regexp_extract_all(body, F.lit(ENGLISH_RUN), 0)
+    masked = F.regexp_replace(c, KEEP, " ")
+    cut = lambda body: F.struct(body.alias("body"), F.split(body, ENGLISH_RUN, -1).alias("gaps"), F.regexp_extract_all(body, F.lit(ENGLISH_RUN), 0).alias("found"))
+    return once(masked, lambda body: F.when(hangul_ratio(body) < 0.15, F.lit(None)).otherwise(once(cut(body), _first_run)))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _first_run(x: Column) -> Column:
+    body, gaps, found = x["body"], x["gaps"], x["found"]
 
     def with_start(run: Column, k: Column) -> Column:
         before = F.aggregate(F.slice(gaps, 1, k + 1), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice(found, 1, k), F.lit(0), lambda s, x: s + F.length(x))
@@ -141,5 +151,4 @@ def leftover_english(c: Column) -> Column:
             & ~F.regexp_like(near, F.lit(YEAR_NEAR))
         )
 
-    hit = F.get(F.filter(F.transform(found, with_start), stands), F.lit(0))["run"]
-    return F.when(hangul_ratio(body) < 0.15, F.lit(None)).otherwise(hit)
+    return F.get(F.filter(F.transform(found, with_start), stands), F.lit(0))["run"]
