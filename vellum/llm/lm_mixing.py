@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, rows_of, steps, text_bytes
+from .common import cut, give_back, rows_of, steps, text_bytes
 
 #: Words with codes of their own, buckets of the others, words whose counts are broadcast and their bytes.
 CODED = 1 << 14
@@ -351,37 +351,34 @@ def _pieces(tables: list[np.ndarray]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(kind, pa.int32()), pa.array(piece, pa.int32()), pa.array([TaskContext.get().partitionId()] * len(kind), pa.int32()), pa.array(data, pa.binary())], names=["t", "piece", "task", "data"])
 
 
-def _sum(group: pa.Table) -> pa.Table:
+def _total(group: pa.Table) -> np.ndarray:
     total = np.zeros(PIECE, np.int64)
     for x in group["data"]:
         _added(x.as_py(), total)
+    return total
+
+
+def _sum(group: pa.Table) -> pa.Table:
     one = group.slice(0, 1)
-    return pa.table([one["t"], one["piece"], pa.array([one["task"][0].as_py() // FAN_IN], pa.int32()), pa.array([_small(total)], pa.binary())], names=["t", "piece", "task", "data"])
+    return pa.table([one["t"], one["piece"], pa.array([one["task"][0].as_py() // FAN_IN], pa.int32()), pa.array([_small(_total(group))], pa.binary())], names=["t", "piece", "task", "data"])
 
 
 def summed(parts: DataFrame, sizes: list[int], whole: int = 0) -> list[np.ndarray]:
     """The tables' totals, from tasks' pieces, by levels of at most FAN_IN tables a task; pairs of counts are packed but for the first ``whole`` tables."""
     parts = cut(parts)
     tasks = (parts.agg(F.max("task")).first()[0] or 0) + 1
-    while True:
-        parts = parts.groupBy("t", "piece", F.floor(F.col("task") / FAN_IN).alias("_g")).applyInArrow(_sum, "t int, piece int, task int, data binary")
+    while tasks > FAN_IN:
+        parts = cut(parts.groupBy("t", "piece", F.floor(F.col("task") / FAN_IN).alias("_g")).applyInArrow(_sum, "t int, piece int, task int, data binary"))
         tasks = -(-tasks // FAN_IN)
-        if tasks == 1:
-            break
-        parts = cut(parts)
 
-    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            small = []
-            for t, x in zip(rows_of(batch, "t").to_pylist(), rows_of(batch, "data").to_pylist(), strict=True):
-                total = np.zeros(PIECE, np.int64)
-                _added(x, total)
-                small.append(total.astype("<i8").tobytes() if t < whole else packed(total.reshape(-1, 2)).tobytes())
-            yield pa.record_batch([rows_of(batch, "t"), rows_of(batch, "piece"), pa.array(small, pa.binary())], names=["t", "piece", "data"])
+    def shrink(group: pa.Table) -> pa.Table:
+        one, total = group.slice(0, 1), _total(group)
+        small = total.astype("<i8") if one["t"][0].as_py() < whole else packed(total.reshape(-1, 2))
+        return pa.table([one["t"], one["piece"], pa.array([small.tobytes()], pa.binary())], names=["t", "piece", "data"])
 
     empty = packed(np.zeros((1, 2), np.int64))[0]
     out = [np.zeros(n, np.int64) if t < whole else np.full(n, empty, np.uint8) for t, n in enumerate(sizes)]
-    for r in parts.mapInArrow(shrink, "t int, piece int, data binary").collect():
+    for r in parts.groupBy("t", "piece").applyInArrow(shrink, "t int, piece int, data binary").collect():
         t, width = r["t"], PIECE if r["t"] < whole else PIECE // 2
         part = np.frombuffer(r["data"], "<i8" if t < whole else np.uint8)
         room = out[t][r["piece"] * width : (r["piece"] + 1) * width]
@@ -408,8 +405,10 @@ def count_words(training: DataFrame, text: str) -> DataFrame:
                     held.clear()
         if held:
             yield out()
+            held.clear()
         if ends:
             yield pa.record_batch([pa.array([None], pa.binary()), pa.array([ends], pa.int64())], names=["token", "c"])
+        give_back()
 
     counted = training.select(text).mapInArrow(run, "token binary, c long")
     return counted.groupBy("token").agg(F.sum("c").alias("c")).withColumn("h", F.xxhash64("token"))
@@ -456,8 +455,11 @@ def fit(training: DataFrame, counts: DataFrame, *, text: str = "text") -> tuple[
             for part in steps(texts, STEP):
                 any_text = True
                 count_bits(code, tables, texts[part], table_bits)
+            give_back()
         if any_text:
             yield _pieces(tables)
+        del tables
+        give_back()
 
     def gather_spelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.zeros(2 << SPELL_BITS, np.int32) for _ in range(4)]
@@ -468,6 +470,8 @@ def fit(training: DataFrame, counts: DataFrame, *, text: str = "text") -> tuple[
                 count_spelling(tables, batch.column(0).slice(i, 4000).to_pylist())
         if any_word:
             yield _pieces(tables)
+        del tables
+        give_back()
 
     columns = "t int, piece int, task int, data binary"
     wide, *tables = summed(training.select(text).mapInArrow(gather, columns), sizes, whole=1)
@@ -532,6 +536,7 @@ def score(df: DataFrame, training: DataFrame, held_out: str, *, key: str = "doc_
                     rows_of(at, key), rows_of(at, held_out), pa.array([len(i) for i in ids], pa.int64()), pa.array(known, pa.int64()), pa.array([logs[i].sum() for i in ids]),
                     pa.array(total), pa.array([len(x) for x in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pairs),
                 ], names=["id", "held_out", "n_tokens", "known", "base", "score", "size", "others"])
+            give_back()
 
     rows = df.select(key, text, held_out).mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, known long, base double, score double, size long, others array<struct<h:long,k:long,b:int,w:binary>>")
     rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
@@ -551,6 +556,7 @@ def score(df: DataFrame, training: DataFrame, held_out: str, *, key: str = "doc_
             for i in range(0, batch.num_rows, 200):
                 made.append(model.novel([[(x["w"] or b"", x["k"]) for x in found] for found in batch.column(4).slice(i, 200).to_pylist()]))
             yield pa.record_batch([*batch.columns[:4], pa.array(np.concatenate([np.zeros(0), *made]))], names=["_row", "more", "plus", "share", "novel"])
+            give_back()
 
     met = met.mapInArrow(spell, "_row long, more long, plus double, share double, novel double")
     out = rows.drop("others").join(met, "_row", "left")
