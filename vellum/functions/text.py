@@ -74,14 +74,19 @@ def count_of(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
 
+def chars_of(c: Column, kind: str) -> Column:
+    """How many characters are of a class; unlike ``count_of``, no array of them is made."""
+    return F.length(c) - F.length(F.regexp_replace(c, f"{kind}++", ""))
+
+
 def hangul_ratio(c: Column) -> Column:
     """Hangul syllables to letters: 0 for null and empty, 1 where there are no letters."""
-    letters, own = count_of(c, r"\p{L}"), count_of(c, "[가-힣]")
+    letters, own = chars_of(c, r"\p{L}"), chars_of(c, "[가-힣]")
     return F.when(c.isNull() | (c == ""), 0.0).when(letters == 0, 1.0).otherwise(own / letters)
 
 
 def looks_damaged(c: Column, threshold: int = 20) -> Column:
-    return count_of(c, f"[{DAMAGE}{MATH_GLYPHS}]") >= threshold
+    return chars_of(c, f"[{DAMAGE}{MATH_GLYPHS}]") >= threshold
 
 
 def language_tag(c: Column) -> Column:
@@ -97,18 +102,18 @@ def without_glossary(c: Column) -> Column:
 def width(c: Column) -> Column:
     """Estimated set width in em: white space first, then Hangul and wide signs, then the rest."""
     s = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), STYLE_TAG, ""), PLACEHOLDER, "")
-    space = count_of(s, SPACE)
-    wide = count_of(s, r"[가-힣\x{3001}-\x{9fff}]")
+    space = chars_of(s, SPACE)
+    wide = chars_of(s, r"[가-힣\x{3001}-\x{9fff}]")
     return 0.33 * space + 1.0 * wide + 0.5 * (F.length(s) - space - wide)
 
 
 def ascii_letters(c: Column) -> Column:
-    return count_of(c, "[A-Za-z]")
+    return chars_of(c, "[A-Za-z]")
 
 
 def translatable(c: Column) -> Column:
     """Three letters at least."""
-    return count_of(c, r"\p{L}") >= 3
+    return chars_of(c, r"\p{L}") >= 3
 
 
 # A run of six English words or more, and a year.

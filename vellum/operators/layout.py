@@ -31,39 +31,57 @@ def block(words: DataFrame) -> DataFrame:
     return words.groupBy("doc", "page").agg(F.min("x0").alias("bx0"), F.min("y0").alias("by0"), F.max("x1").alias("bx1"), F.max("y1").alias("by1"))
 
 
-def overlap(words: DataFrame) -> DataFrame:
-    """(doc, page, hits): words much covered by one of their next words in reading order."""
+def _hits(words: DataFrame, name: str) -> DataFrame:
+    return words.groupBy("doc", "page").agg(F.count_if(name).alias("hits"))
+
+
+def _overlapping(words: DataFrame) -> DataFrame:
     ahead = W.partitionBy("doc", "page").orderBy("y0", "x0", "pos").rowsBetween(1, AHEAD)
     w = words.withColumn("_next", F.collect_list(F.struct("x0", "y0", "x1", "y1")).over(ahead))
     ox = lambda b: F.least("x1", b["x1"]) - F.greatest("x0", b["x0"])
     oy = lambda b: F.least("y1", b["y1"]) - F.greatest("y0", b["y0"])
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     hit = F.exists("_next", lambda b: (b["y0"] <= F.col("y1")) & (ox(b) > 0.5) & (oy(b) > 0.5) & (ox(b) * oy(b) > 0.30 * area))
-    return w.groupBy("doc", "page").agg(F.count_if(hit).alias("hits"))
+    return w.withColumn("overlap", hit).drop("_next")
 
 
-def collision(words: DataFrame) -> DataFrame:
-    """(doc, page, hits): words that begin before their left neighbour of the line has ended."""
+def _colliding(words: DataFrame) -> DataFrame:
     band = F.expr("cast((y0 + y1) / 2 / 4 as int)")  # truncates towards zero
     line = W.partitionBy("doc", "page", "_band").orderBy("x0", "x1", "pos")
     w = words.withColumn("_band", band).withColumn("_end", F.lag("x1").over(line))
-    return w.groupBy("doc", "page").agg(F.count_if(F.col("x0") < F.col("_end") - 0.5).alias("hits"))
+    return w.withColumn("collision", F.col("x0") < F.col("_end") - 0.5).drop("_band", "_end")
+
+
+def _straying(words: DataFrame, original: DataFrame) -> DataFrame:
+    edge = lambda c: F.coalesce(c, F.lit(0.0))
+    w = words.join(block(original), ["doc", "page"], "left")
+    inside = (F.col("x0") >= edge("bx0") - PAD) & (F.col("y0") >= edge("by0") - PAD) & (F.col("x1") <= edge("bx1") + PAD) & (F.col("y1") <= edge("by1") + PAD)
+    return w.withColumn("outside", ~inside).drop("bx0", "by0", "bx1", "by1")
+
+
+def overlap(words: DataFrame) -> DataFrame:
+    """(doc, page, hits): words much covered by one of their next words in reading order."""
+    return _hits(_overlapping(words), "overlap")
+
+
+def collision(words: DataFrame) -> DataFrame:
+    """(doc, page, hits): words that begin before their left neighbour of the line has ended."""
+    return _hits(_colliding(words), "collision")
 
 
 def outside(words: DataFrame, original: DataFrame) -> DataFrame:
     """(doc, page, hits): words beyond the block of the original's page."""
-    zero = F.lit(0.0)
-    w = words.join(block(original), ["doc", "page"], "left").na.fill(0.0, ["bx0", "by0", "bx1", "by1"])
-    inside = (F.col("x0") >= F.col("bx0") - PAD) & (F.col("y0") >= F.col("by0") - PAD) & (F.col("x1") <= F.col("bx1") + PAD) & (F.col("y1") <= F.col("by1") + PAD)
-    return w.groupBy("doc", "page").agg(F.count_if(~inside & (zero == 0)).alias("hits"))
+    return _hits(_straying(words, original), "outside")
 
 
 def measures(words: DataFrame, original: DataFrame) -> DataFrame:
-    """(doc, page, words, overlap, outside, collision); zero where there are too few words to tell."""
-    n = words.groupBy("doc", "page").agg(F.count(F.lit(1)).alias("words"))
-    for name, hits in (("overlap", overlap(words)), ("outside", outside(words, original)), ("collision", collision(words))):
-        n = n.join(hits.withColumnRenamed("hits", name), ["doc", "page"], "left")
-    share = lambda c: F.when(F.col("words") < LEAST_WORDS, 0.0).otherwise(F.coalesce(F.col(c), F.lit(0)) / F.col("words"))
+    """(doc, page, words, overlap, outside, collision); zero where there are too few words to tell.
+
+    All flags hang on the page, so the words are dealt by it once.
+    """
+    told = _straying(_colliding(_overlapping(words.select("doc", "page", "pos", "x0", "y0", "x1", "y1"))), original)
+    n = told.groupBy("doc", "page").agg(F.count(F.lit(1)).alias("words"), *(F.count_if(c).alias(c) for c in LIMITS))
+    share = lambda c: F.when(F.col("words") < LEAST_WORDS, 0.0).otherwise(F.col(c) / F.col("words"))
     return n.select("doc", "page", "words", *(share(c).alias(c) for c in LIMITS))
 
 

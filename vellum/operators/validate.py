@@ -36,7 +36,7 @@ def reason(src: Column, tgt: Column, width_max: float = WIDTH_MAX) -> Column:
         (F.regexp_like(F.btrim(tgt), F.lit(X.POLITE_END)), "polite ending"),
         ((letters >= 12) & (X.hangul_ratio(tgt) < 0.15), "echo"),
         (X.leftover_english(tgt).isNotNull(), "leftover English"),
-        ((letters >= 12) & (sw >= 10) & (X.width(tgt) / F.when(sw > 0, sw) > width_max), "width"),
+        ((letters >= 12) & (sw >= 10) & (F.try_divide(X.width(tgt), sw) > width_max), "width"),
     ]
     out = F.lit("")
     for failed, name in reversed(checks):
@@ -52,7 +52,8 @@ def check(items: DataFrame, outputs: DataFrame) -> DataFrame:
     last = outputs.groupBy("batch", F.col("id").cast("string").alias("id")).agg(F.max_by("output", "pos").alias("output"), F.lit(True).alias("_there"))
     sizes = outputs.groupBy("batch").agg(F.count(F.lit(1)).alias("_n"), F.bool_or(F.col("id").isNull()).alias("_no_id"))
     joined = items.withColumn("id", F.col("id").cast("string")).join(last, ["batch", "id"], "left")
-    own = F.when(F.col("_there").isNull(), F.concat(F.lit("id "), F.col("id"), F.lit(" missing"))).otherwise(F.nullif(F.concat_ws("", F.when(reason(F.col("input"), F.col("output")) != "", F.concat(F.lit("id "), F.col("id"), F.lit(" "), reason(F.col("input"), F.col("output"))))), F.lit("")))
+    joined = joined.withColumn("_r", reason(F.col("input"), F.col("output")))
+    own = F.when(F.col("_there").isNull(), F.concat(F.lit("id "), F.col("id"), F.lit(" missing"))).otherwise(F.nullif(F.concat_ws("", F.when(F.col("_r") != "", F.concat(F.lit("id "), F.col("id"), F.lit(" "), F.col("_r")))), F.lit("")))
     one = joined.withColumn("_why", own).groupBy("batch").agg(F.min_by("_why", F.when(F.col("_why").isNotNull(), F.col("pos"))).alias("_why"), F.count(F.lit(1)).alias("_want"))
     both = one.join(sizes, "batch", "left")
     why = (
@@ -83,7 +84,7 @@ def usable(src: Column, tgt: Column) -> Column:
 def rebuilt(src: Column, tgt: Column, replaced: Column, width_max: float = WIDTH_MAX) -> Column:
     """Whether a paragraph put together again from fragments is accepted."""
     sw = X.width(src)
-    return (replaced >= 1) & ~((X.ascii_letters(src) >= 8) & (X.hangul_ratio(tgt) < 0.15)) & ~((sw >= 10) & (X.width(tgt) / F.when(sw > 0, sw) > width_max))
+    return (replaced >= 1) & ~((X.ascii_letters(src) >= 8) & (X.hangul_ratio(tgt) < 0.15)) & ~((sw >= 10) & (F.try_divide(X.width(tgt), sw) > width_max))
 
 
 def ladder(attempts: DataFrame, sources: DataFrame) -> DataFrame:

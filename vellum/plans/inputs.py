@@ -16,9 +16,17 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SYLLABLES = "가나다라마바사아자차카타파하거너더러머버서어저처커터"
 
 
+#: Bytes of a table from which, and bytes a core up to which, its rows are dealt over the cores.
+WORTH, SMALL = 256 << 10, 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; a row group is read by one task, so a small table, which has few, is dealt over the cores. Larger ones are not shuffled."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if WORTH <= size < cores * SMALL else df
 
 
 def damaged(docs: DataFrame) -> DataFrame:
