@@ -619,6 +619,23 @@ def test_similar_equals_brute_force(spark, documents, bucket):
     assert any(sets[a] != sets[b] for a, b in want)
 
 
+@pytest.mark.parametrize("tile", [2048, 300])
+def test_crowded_buckets_lose_no_link(spark, tile):
+    core = " ".join(f"w{i}" for i in range(64))
+    texts = [" ".join([core, *(f"{k}-{i}" for i in range(10))]) for k in range(1200)]  # 60 of 80 shingles of two of them are common: no link
+    texts += [" ".join([*t.split()[:67], *(f"x{k}-{i}" for i in range(7))]) for k, t in enumerate(texts[:40])]  # 63 of 77
+    links = simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tile=tile).collect()
+    assert sorted({tuple(sorted(r)) for r in links}) == [(k, 1200 + k) for k in range(40)]
+
+
+def test_common_shingles_of_two_parts():
+    rng = np.random.default_rng(1)
+    parts = [[np.unique(rng.integers(0, 400, n) ** 2) for n in rng.integers(1, 90, rows)] for rows in (30, 50)]
+    listed = [(np.concatenate(p), np.repeat(np.arange(len(p)), [len(x) for x in p])) for p in parts]
+    listed = [tuple(x[np.argsort(t, kind="stable")] for x in (t, own)) for t, own in listed]
+    assert simhash._common(*listed, 30, 50).tolist() == [[len(np.intersect1d(x, y)) for y in parts[1]] for x in parts[0]]
+
+
 def test_near_duplicate_stage_links_five_word_similarity(spark):
     import corpus_pipeline
 

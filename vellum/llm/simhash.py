@@ -113,7 +113,7 @@ def cluster(df: DataFrame, *, key: str = "doc_id", text: str = "text", width: in
 
 #: Bands of least hashes, and hashes of one: texts at similarity 0.8 fail to meet with probability (1 - 0.8^4)^32 = 5e-8.
 BANDS, ROWS = 32, 4
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
@@ -131,9 +131,10 @@ def band_keys(shingles: np.ndarray) -> list[int]:
     """A signed key for each band of the least hashes under BANDS * ROWS orders; none without shingles."""
     if not len(shingles):
         return []
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(shingles), 1 << 10):
-        np.minimum(least, (shingles[at : at + (1 << 10), None] * _FACTORS).min(axis=0), out=least)
+    least = np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
+    high = (shingles >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(high), 1 << 9):
+        np.minimum(least, (high[at : at + (1 << 9), None] * _FACTORS).min(axis=0), out=least)
     keys = [xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS))]
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
@@ -159,13 +160,89 @@ def _with_sets(df: DataFrame, text: str, width: int, whole: bool) -> DataFrame:
     return df.select(*kept, text).mapInArrow(run, schema)
 
 
-def similar(df: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, at_least: float = 0.8, bucket: int = 64) -> DataFrame:
+#: Shingles of one part of a family, about.
+TILE_SHINGLES = 1 << 20
+#: Sets whose common shingles with a part are counted at once.
+TILE_ROWS = 512
+
+
+def _common(a: np.ndarray, b: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    """How many shingles each of some sets shares with each of others; a and b: (shingle, set) in order of the shingles, each the same shingles."""
+    out = np.zeros((rows, columns), np.float32)
+    tokens, first_a, n_a = np.unique(a[0], return_index=True, return_counts=True)
+    at = np.searchsorted(b[0], tokens)
+    n_b = np.searchsorted(b[0], tokens, side="right") - at
+    # a shingle of many sets is a column of a matrix product, any other counts its pairs
+    often = n_a * n_b > rows * columns // 64
+    wide = np.flatnonzero(often)
+    for step in (wide[i : i + 1024] for i in range(0, len(wide), 1024)):
+        x, y = np.zeros((rows, len(step)), np.float32), np.zeros((columns, len(step)), np.float32)
+        for m, of, first, n in ((x, a, first_a, n_a), (y, b, at, n_b)):
+            column = np.repeat(np.arange(len(step)), n[step])
+            m[of[1][np.arange(len(column)) + np.repeat(first[step] - np.cumsum(n[step]) + n[step], n[step])], column] = 1
+        out += x @ y.T
+    few = np.flatnonzero(~often & (n_b > 0))
+    products = np.cumsum(n_a[few] * n_b[few])
+    edges = np.searchsorted(products, np.arange(0, (products[-1] if len(few) else 0) + (1 << 20), 1 << 20))
+    for step in (few[i:j] for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if i < j):
+        n = n_a[step] * n_b[step]
+        own = np.repeat(np.arange(len(step)), n)
+        place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        x, y = a[1][first_a[step][own] + place // n_b[step][own]], b[1][at[step][own] + place % n_b[step][own]]
+        out += np.bincount(x * columns + y, minlength=rows * columns).reshape(rows, columns).astype(np.float32)
+    return out
+
+
+def _tile(at_least: float):
+    """(a, b) links between the sets of two parts, or of one, that connect their components as all their links would."""
+
+    def listed(shingles: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat, own = np.concatenate(shingles), np.repeat(np.arange(len(shingles)), [len(x) for x in shingles])
+        order = np.argsort(flat, kind="stable")
+        return flat[order], own[order]
+
+    def run(group: pa.Table) -> pa.Table:
+        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        part, name = group["part"].to_numpy(), group["set"].to_numpy()
+        label = np.unique(group["label"].to_numpy(), return_inverse=True)[1]
+        column = group["shingles"].combine_chunks()
+        values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        of = lambda x: values[offsets[x] : offsets[x + 1]]
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        root = list(range(int(label.max()) + 1))
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        made: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            size = offsets[1:] - offsets[:-1]
+            across = listed([of(x) for x in right.tolist()])
+            for rows in (left[k : k + TILE_ROWS] for k in range(0, len(left), TILE_ROWS)):
+                common = _common(listed([of(x) for x in rows.tolist()]), across, len(rows), len(right))
+                union = size[rows][:, None] + size[right][None, :] - common
+                x, y = np.nonzero((common >= at_least * union - 1e-9) & (label[rows][:, None] != label[right][None, :]))
+                x, y = rows[x], right[y]
+                low, high = np.minimum(label[x], label[y]).astype(np.int64), np.maximum(label[x], label[y])
+                for k in np.unique(low * len(root) + high, return_index=True)[1].tolist():
+                    if (p := top(int(low[k]))) != (q := top(int(high[k]))):
+                        root[p] = q
+                        made.append((int(name[x[k]]), int(name[y[k]])))
+        return pa.table([pa.array([a for a, _ in made], pa.int64()), pa.array([b for _, b in made], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def similar(df: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, at_least: float = 0.8, bucket: int = 64, tile: int = 2048) -> DataFrame:
     """(a, b) links between keys, without nulls, that connect texts whose distinct shingles have this Jaccard similarity or more.
 
     Equal sets are one. Sets meet in the bands' buckets, and every link is verified on the shingles themselves. First
     each bucket is a chain in an order of its own, which settles large groups of near copies; then buckets whose members
-    are not yet of one component compare all pairs of two components. Those of over ``bucket`` members do so where their
-    members share a second band too, and such a bucket, if it is that large again, is a chain.
+    are not yet of one component compare all pairs of two components. Members of those of over ``bucket`` do so inside
+    tasks, ``tile`` with ``tile`` of them, which return a forest of the links and no pairs.
     """
     df = df.select(key, text)
     rows = cut(_with_sets(df, text, width, whole=False))
@@ -193,6 +270,19 @@ def similar(df: DataFrame, *, key: str = "doc_id", text: str = "text", width: in
         first = listed.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.expr("filter(slice(all, i + 2, size(all)), y -> y.label <> x.label)")).alias("y"))
         return alike(first.select("x.set", "x.n", "y.set", "y.n").toDF("a", "na", "b", "nb"))
 
+    def tiled(crowded: DataFrame) -> DataFrame:
+        """Links that connect what the buckets' members link to; sets that buckets lead to form a family, whose parts meet each other in tasks."""
+        heads = crowded.groupBy("k").agg(F.min("set").alias("head"))
+        family = cut(components(crowded.join(heads, "k"), "head", "set").withColumnRenamed("label", "family"))
+        members = crowded.select("set", "n", "label").distinct().join(family.withColumnRenamed("node", "set"), "set")
+        sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("parts"))
+        members = cut(members.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")))
+        wanted = members.select("set").join(sets.select("set", F.col("_least").alias(key)), "set")
+        whole = cut(_with_sets(wanted.join(df, key).select("set", text), text, width, whole=True))
+        dealt = members.select("family", "set", "label", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        dealt = dealt.select("family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "set", "label")
+        return cut(dealt.join(whole, "set").groupBy("family", "i", "j").applyInArrow(_tile(at_least), "a long, b long"))
+
     tried = cut(chained(sets.select("set", "n", F.explode("bands").alias("k")), "k"))
     found = verified(tried)
     named = sets.join(components(found).withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set")).select("set", "n", "label", "bands")
@@ -201,12 +291,9 @@ def similar(df: DataFrame, *, key: str = "doc_id", text: str = "text", width: in
     mixed = lambda x, *by: cut(x.groupBy(*by).agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(*by, "m"))
     open_ = mixed(keyed, "k")
     pairs = crossed(keyed.join(open_.where(F.col("m") <= bucket), "k"), "k")
-    crowded = keyed.join(open_.where(F.col("m") > bucket).select("k"), "k")
-    deeper = cut(crowded.join(named.select("set", F.explode("bands").alias("k2")), "set").where("k < k2").select("set", "n", "label", "k", "k2"))
-    again = mixed(deeper, "k", "k2")
-    pairs = pairs.unionByName(crossed(deeper.join(again.where(F.col("m") <= bucket), ["k", "k2"]), "k", "k2"))
-    pairs = pairs.unionByName(chained(deeper.join(again.where(F.col("m") > bucket), ["k", "k2"]), "k", "k2"))
-    found = found.unionByName(verified(cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"))))
+    found = found.unionByName(verified(cut(pairs.join(tried, ["a", "b"], "left_anti"))))
+    crowded = cut(keyed.join(open_.where(F.col("m") > bucket).select("k"), "k").select("set", "n", "label", "k"))
+    found = found.unionByName(tiled(crowded))
     of = lambda c: sets.select(F.col("set").alias(c), F.col("_least").alias(f"_{c}"))
     links = found.join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     equal = rows.join(sets.select("set", "_least"), "set").where(F.col(key) != F.col("_least")).select(F.col("_least").alias("a"), F.col(key).alias("b"))
