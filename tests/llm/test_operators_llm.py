@@ -382,6 +382,20 @@ def test_repeats_equal_brute_force(spark, block_regions):
     assert all(r["n_bytes"] - len(r["kept"]) == sum(s["end"] - s["start"] for s in r["spans"]) for r in got)
 
 
+def test_suffixes_are_sorted_again_only_where_they_tie(monkeypatch):
+    rng = np.random.default_rng(2)
+    for n, kinds in ((3, 2), (40, 2), (300, 3), (3000, 40)):
+        s = rng.integers(0, kinds, n).astype(np.uint16)
+        s[-2:] = 1, 0
+        assert suffix_dedup.suffix_array(s).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())  # noqa: B023
+    s = rng.integers(1, 200, 20_000).astype(np.uint16)
+    s[12_000:14_000], s[-1] = s[1000:3000], 0
+    sizes, argsort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, **kind: sizes.append(len(x)) or argsort(x, **kind))
+    suffix_dedup.suffix_array(s)
+    assert len(sizes) > 5 and sum(sizes) < 3 * len(s)
+
+
 def test_scan_of_a_text_beyond_24_bits_of_places(monkeypatch):
     rng = np.random.default_rng(6)
     data = rng.integers(97, 101, 3000).astype(np.uint8)

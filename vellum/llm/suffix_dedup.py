@@ -172,25 +172,30 @@ def regions(texts: DataFrame, span: int, gram: int) -> DataFrame:
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Suffixes of symbols under 512 in order, by doubling from seven symbols."""
+    """Suffixes of symbols under 512 in order, by doubling from seven symbols; a suffix that is alone with its rank is not sorted again."""
     n = len(s)
     padded = np.concatenate([s.astype(np.uint64), np.zeros(8, np.uint64)])
     keys = np.zeros(n, np.uint64)
     for i in range(7):
         keys = keys << np.uint64(9) | padded[i : i + n]
+    order = np.argsort(keys)
+    keys = keys[order]
+    #: Places in the order that are still open, and the suffixes there; a rank is the place of its first suffix, from 1 on.
+    at, open_ = np.arange(n), order
+    rank = np.zeros(2 * n + 8, np.uint64)
     have = 7
     while True:
-        order = np.argsort(keys, kind="stable")
-        sorted_keys = keys[order]
-        new = np.concatenate([[0], (sorted_keys[1:] != sorted_keys[:-1]).astype(np.int64)])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) + 1
-        if rank.max(initial=0) == n or have >= n:
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        head = np.flatnonzero(new)
+        rank[open_] = (np.repeat(at[head], np.diff(np.concatenate([head, [len(at)]]))) + 1).astype(np.uint64)
+        more = ~(new & np.concatenate([new[1:], [True]]))
+        at, open_ = at[more], open_[more]
+        if not len(at) or have >= n:
             return order
-        ahead = np.zeros(n, np.int64)
-        if have < n:
-            ahead[: n - have] = rank[have:]
-        keys = rank.astype(np.uint64) << np.uint64(32) | ahead.astype(np.uint64)
+        keys = rank[open_] << np.uint64(32) | rank[open_ + have]  # beyond the end the rank is zero
+        by = np.argsort(keys)
+        keys, open_ = keys[by], open_[by]
+        order[at] = open_
         have *= 2
 
 
