@@ -170,7 +170,14 @@ def bits_of(code: Code, tokens: Tokens, part: slice, table_bits: int) -> tuple[n
     token = np.repeat(np.arange(len(symbol)), n)
     at = np.arange(len(token)) + (code.at[symbol] - ends + n)[token]
     own, shift = code.hash[at], np.uint64(64 - table_bits)
-    one, two = (((x[part][token] ^ own) * _K >> shift).astype(np.int64) for x in (tokens.one, tokens.two))
+    slots = []
+    for x in (tokens.one, tokens.two):
+        slot = x[part][token]
+        slot ^= own
+        slot *= _K
+        slot >>= shift
+        slots.append(slot.view(np.int64))
+    one, two = slots
     return token, code.node[at], code.bit[at], one, two
 
 
@@ -218,13 +225,16 @@ class Mixer:
 
     def __init__(self, start: np.ndarray, docs: int):
         self.inputs = start.shape[1]
-        self.w = np.tile(start.astype(np.float32), (docs, 1))
+        self.w = np.tile(start.astype(np.float32).T, docs)
         self.last = np.tile(np.linspace(-8, 8, 33, dtype=np.float32), docs)
 
     def step(self, doc: np.ndarray, gate: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Loss (nats) of each bit of a block; the weights and the table follow it. y: 1 or -1."""
+        """Loss (nats) of each bit of a block; the weights and the table follow it. x: a row for each input; y: 1 or -1."""
         at = doc * GATES + gate
-        dot = np.einsum("ij,ij->i", self.w[at], x)
+        dot = self.w[0].take(at)
+        dot *= x[0]
+        for k in range(1, self.inputs):
+            dot += self.w[k].take(at) * x[k]
         np.clip(dot, -12, 12, out=dot)
         cell = np.rint((np.clip(dot, -8, 8) + np.float32(8)) * np.float32(2)).astype(np.int64) + doc * 33
         refined = self.last[cell]
@@ -236,7 +246,7 @@ class Mixer:
         rate = RATE / np.sqrt(1 + np.bincount(local))
         error = y / (1 + np.exp(y * dot))
         for k in range(self.inputs):
-            self.w[low : low + len(rate), k] += rate * np.bincount(local, error * x[:, k])
+            self.w[k, low : low + len(rate)] += rate * np.bincount(local, error * x[k])
         low = first * 33
         local = cell - low
         rate = REFINE / np.sqrt(1 + np.bincount(local))
@@ -287,13 +297,13 @@ class Model:
         for part in tokens.slices():
             token, node, bit, one, two = bits_of(self.code, tokens, part, self.table_bits)
             one, two = self.tables[0][one], self.tables[1][two]
-            x = np.empty((len(token), 3), np.float32)
-            x[:, 0], x[:, 1], x[:, 2] = self.skip[(tokens.skip[part] * self.code.nodes)[token] + node], STRETCHED[one], STRETCHED[two]
+            x = np.empty((3, len(token)), np.float32)
+            x[0], x[1], x[2] = self.skip[(tokens.skip[part] * self.code.nodes)[token] + node], STRETCHED[one], STRETCHED[two]
             gate = ((one >> 6) * LEVELS + (two >> 6)).astype(np.int64)
             doc, y = tokens.doc[part][token], (2 * bit - 1).astype(np.float32)
             last = np.cumsum(self.code.length[tokens.symbol[part]])  # bits up to each token
             edges = np.concatenate([[0], last[np.flatnonzero(np.diff(tokens.block[part]))], last[-1:]])
-            loss = [mixer.step(doc[a:b], gate[a:b], x[a:b], y[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if a < b]
+            loss = [mixer.step(doc[a:b], gate[a:b], x[:, a:b], y[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if a < b]
             if loss:
                 total -= np.bincount(doc, np.concatenate(loss), minlength=docs)
         return total / math.log(10)
@@ -312,7 +322,7 @@ class Model:
             made = [spelled(*streams[i], a, min(a + SPELL_BLOCK, int(sizes[i]))) for i in live.tolist()]
             bit = np.concatenate([m[1] for m in made])
             codes = [t[np.concatenate([m[0][k] for m in made])] for k, t in enumerate(self.spell)]
-            x = np.stack([STRETCHED[c] for c in codes], axis=1)
+            x = np.stack([STRETCHED[c] for c in codes])
             gate = ((codes[2] >> 6) * LEVELS + (codes[3] >> 6)).astype(np.int64)
             doc = np.repeat(live, [len(m[1]) for m in made])
             total -= np.bincount(doc, mixer.step(doc, gate, x, (2 * bit - 1).astype(np.float32)), minlength=len(found))
