@@ -32,12 +32,18 @@ def cut(df: DataFrame) -> DataFrame:
     would carry estimates on, which grow without bound where joins are repeated.
     """
     spark = df.sparkSession
-    at = f"{folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    _written.append(at)
+    at = fresh(spark, "table")
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def fresh(spark: SparkSession, kind: str) -> str:
+    """A place in the shared folder that nothing else uses."""
+    at = f"{folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _written.append(at)
+    return at
+
+
 def written() -> int:
     """How many tables ``cut`` has written so far, for ``forget``."""
     return len(_written)

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_caps, lm_mixing, packing, quality_bayes, quality_rules, simhash, suffix_dedup, toxicity, url_rules
-from .common import remainder, table
+from . import byte_bpe, embedding_caps, lm_mixing, packing, pair_grammar, quality_bayes, quality_rules, simhash, suffix_dedup, toxicity, url_rules
+from .common import fresh, remainder, table
 
 #: The curated URL rules (host, path, verdict).
 URL_RULES = [
@@ -92,8 +92,14 @@ def op10_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_caps.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_pair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = fresh(spark, "grammar")
+    pair_grammar.write(table(spark, sf_dir, "documents"), at, public_tokenizers.path(WORD_BPE), end_id=2)
+    return pair_grammar.read(spark, at).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_url_rules, op4_packing, op5_quality_bayes, op6_simhash, op7_suffix_dedup, op8_lm_mixing, op9_byte_bpe, op10_embedding_caps)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_url_rules, op4_packing, op5_quality_bayes, op6_simhash, op7_suffix_dedup, op8_lm_mixing, op9_byte_bpe, op10_embedding_caps, op13_pair_grammar)}
 
 
 def oracle_sql() -> dict[str, str]:
