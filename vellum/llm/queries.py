@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_caps, lm_mixing, packing, pair_grammar, quality_bayes, quality_rules, simhash, suffix_dedup, toxicity, url_rules
+from . import byte_bpe, conversation_repair, embedding_caps, lm_mixing, packing, pair_grammar, quality_bayes, quality_rules, simhash, suffix_dedup, toxicity, url_rules
 from .common import fresh, remainder, table
 
 #: The curated URL rules (host, path, verdict).
@@ -92,6 +92,22 @@ def op10_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_caps.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults by crc32(conv_id:turn) % 20; nulls count as one space. 0 drops a row, 1 empties its text, 2 takes its ``.!?``, 3 repeats it, 4 makes it the user's."""
+    blank = F.lit(" ")
+    said = lambda c: F.coalesce(F.col(c).cast("string"), blank)
+    how = F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn")).cast("binary")) % 20
+    text = F.when(F.col("_how") == 1, "").when(F.col("_how") == 2, F.regexp_replace(said("text"), "[.!?]", "")).otherwise(said("text"))
+    copies = F.explode(F.array_repeat(F.lit(True), F.when(F.col("_how") == 0, 0).when(F.col("_how") == 3, 2).otherwise(1)))
+    rows = rows.select("conv_id", "turn", "role", "text", how.alias("_how")).withColumn("_copy", copies)
+    return rows.select("conv_id", "turn", F.when(F.col("_how") == 4, "user").otherwise(said("role")).alias("role"), text.alias("text"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.report(damaged(rows), rows)
+
+
 def op13_pair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = fresh(spark, "grammar")
     pair_grammar.write(table(spark, sf_dir, "documents"), at, public_tokenizers.path(WORD_BPE), end_id=2)
@@ -99,7 +115,7 @@ def op13_pair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_url_rules, op4_packing, op5_quality_bayes, op6_simhash, op7_suffix_dedup, op8_lm_mixing, op9_byte_bpe, op10_embedding_caps, op13_pair_grammar)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_url_rules, op4_packing, op5_quality_bayes, op6_simhash, op7_suffix_dedup, op8_lm_mixing, op9_byte_bpe, op10_embedding_caps, op12_conversation_repair, op13_pair_grammar)}
 
 
 def oracle_sql() -> dict[str, str]:
