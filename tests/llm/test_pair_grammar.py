@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from conftest import SF
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vellum.llm import pair_grammar as G
-from vellum.llm import queries
+from vellum.llm import queries, word_ids
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -111,3 +112,14 @@ def test_empty_table(spark, tmp_path):
     G.write(spark.createDataFrame([], "doc_id string, text string"), at, PATH, end_id=2)
     assert G.read(spark, at).collect() == []
     assert G.read(spark, at).columns == ["doc_id", "start", "n_tokens", "ids"]
+
+
+WORDS = [None, "", " a ", "Hello, World!! it's ok.", "don't", "ÀÉß ÿ÷×", "İstanbul", "x.,y", "a\u0301b", "\xa0nbsp\u3000x", "<|endoftext|>.", "e.g.", "...", "ABC...?!", "ŒUVRE", "word" * 5000, "a\x85b\u2028c", "\x00x y\x01"]
+
+
+@pytest.mark.parametrize("texts", [WORDS, [*WORDS, "a\x1cb"], [], [None, "!"]])
+def test_words_of_a_batch(texts):
+    core = Tokenizer.from_file(PATH)
+    ids, sizes = word_ids.encoder(PATH).encode(pa.array(texts, pa.string()))
+    wanted = [core.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [len(w) for w in wanted] and ids.tolist() == [x for w in wanted for x in w]

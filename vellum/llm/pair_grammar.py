@@ -27,11 +27,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing
+from . import word_ids
 
 #: Ids after which a shard is closed.
 SHARD = 1 << 21
@@ -227,45 +228,67 @@ def write(df: DataFrame, at: str, path: str, *, end_id: int, key: str = "doc_id"
     # equal rows are dealt by their place in the scan, so that a row that repeats very often has many partitions
     docs = docs.withColumn("_m", F.monotonically_increasing_id())
     docs = docs.repartitionByRange("key", "_h", "_m").sortWithinPartitions("key", "_h", "_m").select("key", "text")
-    tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = packing.words(path)
-        vocabulary = known.core.get_vocab_size()
+        known = word_ids.encoder(path)
         part = TaskContext.get().partitionId()
         keys: list[pa.Array] = []
-        blobs: list[bytes] = []
+        ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         number = before = held = 0
 
         def close() -> pa.RecordBatch:
             nonlocal number, before, held
-            sizes = [len(b) // 4 for b in blobs]
-            body = pack_shard(np.frombuffer(b"".join(blobs), "<u4"), sizes, end_id, vocabulary, least=least)
-            names = pa.ListArray.from_arrays(pa.array([0, len(blobs)], pa.int32()), pa.concat_arrays(keys))
+            n = np.concatenate(sizes)
+            body = pack_shard(np.concatenate(ids), n, end_id, known.vocabulary, least=least)
+            names = pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), pa.concat_arrays(keys))
             row = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), names, pa.array([body], pa.binary())]
             number, before, held = number + 1, before + held, 0
-            keys.clear()
-            blobs.clear()
+            for x in (keys, ids, sizes):
+                x.clear()
             return pa.record_batch(row, names=["part", "number", "before", "n_ids", "keys", "body"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 250):
-                rows = batch.slice(i, 250)
-                since = 0
-                for j, x in enumerate(rows.column(1).to_pylist()):
-                    blobs.append(known.text(x) + tail)
-                    held += len(blobs[-1]) // 4
+            for rows in _slices(batch):
+                found, n = with_end(*known.encode(rows.column(1)), end_id)
+                ends = np.concatenate([[0], np.cumsum(n)])
+                at = 0
+                while at < len(n):
+                    # up to the document that fills the shard, or all that are left
+                    stop = min(int(np.searchsorted(ends, ends[at] + shard - held)), len(n))
+                    keys.append(rows.column(0).slice(at, stop - at))
+                    ids.append(found[ends[at] : ends[stop]])
+                    sizes.append(n[at:stop])
+                    held += int(ends[stop] - ends[at])
+                    at = stop
                     if held >= shard:
-                        keys.append(rows.column(0).slice(since, j + 1 - since))
-                        since = j + 1
                         yield close()
-                keys.append(rows.column(0).slice(since))
-        if blobs:
+        if held:
             yield close()
 
     docs.mapInArrow(run, f"part int, number int, before long, n_ids long, keys array<{kind}>, body binary").write.parquet(at)
 
 
+def with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with the end id after each document's, and the sizes with it."""
+    out = np.empty(len(ids) + len(sizes), np.uint32)
+    ends = np.cumsum(sizes + 1) - 1
+    inside = np.ones(len(out), bool)
+    inside[ends] = False
+    out[ends], out[inside] = end_id, ids
+    return out, sizes + 1
+
+
+def _slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Successive rows with texts of about ``most`` bytes together; a longer text is alone."""
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def shards(spark: SparkSession, at: str) -> DataFrame:
     """(start, n_ids, keys, body) of each shard in the folder; start: ids of all shards before it.
 
