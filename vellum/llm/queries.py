@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, conversation_repair, embedding_caps, lm_mixing, packing, pair_grammar, quality_bayes, quality_rules, simhash, suffix_dedup, toxicity, url_rules
+from . import byte_bpe, conversation_repair, embedding_caps, lm_mixing, packing, pair_grammar, quality_bayes, quality_rules, simhash, spelling_variants, suffix_dedup, toxicity, url_rules
 from .common import fresh, remainder, table
 
 #: The curated URL rules (host, path, verdict).
@@ -92,6 +92,11 @@ def op10_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_caps.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling_variants.counted(table(spark, sf_dir, "documents"), spoil=97)
+    return spelling_variants.variants(words.where("length(word) >= 5 and n >= 3"))
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Conversations with faults by crc32(conv_id:turn) % 20; nulls count as one space. 0 drops a row, 1 empties its text, 2 takes its ``.!?``, 3 repeats it, 4 makes it the user's."""
     blank = F.lit(" ")
@@ -115,7 +120,7 @@ def op13_pair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_url_rules, op4_packing, op5_quality_bayes, op6_simhash, op7_suffix_dedup, op8_lm_mixing, op9_byte_bpe, op10_embedding_caps, op12_conversation_repair, op13_pair_grammar)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_url_rules, op4_packing, op5_quality_bayes, op6_simhash, op7_suffix_dedup, op8_lm_mixing, op9_byte_bpe, op10_embedding_caps, op11_spelling_variants, op12_conversation_repair, op13_pair_grammar)}
 
 
 def oracle_sql() -> dict[str, str]:
