@@ -659,3 +659,32 @@ def test_near_duplicate_stage_links_five_word_similarity(spark):
     assert (simhash.fingerprint(rows[1][1].encode()) ^ simhash.fingerprint(rows[2][1].encode())).bit_count() > 2
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == [1, 3, 4]
+
+
+def test_near_duplicate_stage_outlives_another_dealing_of_its_files(spark, monkeypatch, tmp_path):
+    """The cores that are alive decide how files are packed into partitions; rows must be known again all the same."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd_ones = docs.limit(3).unionByName(docs.limit(3)).withColumn("doc_id", F.lit(None).cast("long"))
+    at = str(tmp_path / "docs")
+    docs.unionByName(docs.where("doc_id < 20")).unionByName(odd_ones).repartition(13).write.parquet(at)
+    packing = "spark.sql.files.minPartitionNum"
+    listed = lambda df: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in df.collect())
+    wanted = listed(corpus_pipeline.near_duplicates(spark, spark.read.parquet(at), SF))
+    whole = simhash.cluster
+
+    def then_fewer(*a, **k):
+        found = whole(*a, **k).collect()
+        spark.conf.set(packing, "2")
+        return spark.createDataFrame(found, whole(*a, **k).schema)
+
+    monkeypatch.setattr(simhash, "cluster", then_fewer)
+    try:
+        spark.conf.set(packing, "13")
+        left = corpus_pipeline.near_duplicates(spark, spark.read.parquet(at), SF)
+        spark.conf.set(packing, "5")
+        assert listed(left) == wanted
+    finally:
+        spark.conf.unset(packing)
+    assert len({r[1] for r in wanted if not r[0]}) == len([r for r in wanted if not r[0]])

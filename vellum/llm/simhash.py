@@ -251,7 +251,8 @@ def similar(df: DataFrame, *, key: str = "doc_id", text: str = "text", width: in
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
         wanted = ids.join(sets.select("set", F.col("_least").alias(key)), "set")
-        whole = cut(_with_sets(wanted.join(df, key).select("set", text), text, width, whole=True))
+        # rows that repeat have one key, but one set is wanted once
+        whole = cut(_with_sets(wanted.join(df, key).select("set", text).dropDuplicates(["set"]), text, width, whole=True))
         both = pairs.join(whole.select(F.col("set").alias("a"), F.col("shingles").alias("_a")), "a").join(whole.select(F.col("set").alias("b"), F.col("shingles").alias("_b")), "b")
         common = F.size(F.array_intersect("_a", "_b"))
         return cut(both.select("a", "b", common.alias("c"), (F.size("_a") + F.size("_b") - common).alias("all")).where(F.col("c") >= at_least * F.col("all") - 1e-9).select("a", "b"))
@@ -278,7 +279,7 @@ def similar(df: DataFrame, *, key: str = "doc_id", text: str = "text", width: in
         sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("parts"))
         members = cut(members.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")))
         wanted = members.select("set").join(sets.select("set", F.col("_least").alias(key)), "set")
-        whole = cut(_with_sets(wanted.join(df, key).select("set", text), text, width, whole=True))
+        whole = cut(_with_sets(wanted.join(df, key).select("set", text).dropDuplicates(["set"]), text, width, whole=True))
         dealt = members.select("family", "set", "label", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
         dealt = dealt.select("family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "set", "label")
         return cut(dealt.join(whole, "set").groupBy("family", "i", "j").applyInArrow(_tile(at_least), "a long, b long"))
