@@ -51,22 +51,26 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the least id stays, among equal ids the first row, null ids last.
+    """Of each group of near-duplicates the document of the least id stays, among equal ids that of the least hash, null ids last.
 
     Linked are op6's fingerprints and texts whose 5-word shingles have a similarity of 0.8 or more. All null and empty
-    texts are one group; a text is shingled in one task, its distinct shingles held as 64-bit numbers.
+    texts are one group; a text is shingled in one task, its distinct shingles held as 64-bit numbers. A row is known by
+    its id and two hashes of what it holds, which any scan of the input finds again, however its files are dealt;
+    of rows that are equal in all of that one stays.
     """
     ship(spark)
-    numbered = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")).withColumn("_row", F.monotonically_increasing_id())
-    keyed = numbered.select(F.struct(F.col("_doc.doc_id").isNull().alias("none"), "_doc.doc_id", "_row").alias("_key"), F.col("_doc.text").alias("text"))
+    own = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    hashed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.xxhash64(*own).alias("_h"), F.xxhash64(F.lit(1), *reversed(own)).alias("_g"))
+    keyed = hashed.select(F.struct(F.col("_doc.doc_id").isNull().alias("none"), "_doc.doc_id", "_h", "_g").alias("_key"), F.col("_doc.text").alias("text"))
     groups = cut(simhash.cluster(keyed, key="_key"))
-    of = lambda c: groups.select(F.col("_key").alias(c), F.col("component_id").alias(f"_{c}"))
+    of = lambda c: groups.select(F.col("_key").alias(c), F.col("component_id").alias(f"_{c}")).distinct()
     links = simhash.similar(keyed, key="_key", width=5, at_least=0.8)
     labels = components(links.join(of("a"), "a").join(of("b"), "b"), "_a", "_b")
-    gone = labels.where(F.col("node") != F.col("label")).select(F.col("node._row").alias("_row"))
-    least = groups.where(F.col("_key") == F.col("component_id")).select(F.col("_key._row").alias("_row"))
-    stay = least.join(gone, "_row", "left_anti")
-    return numbered.join(stay, "_row", "left_semi").select("_doc.*")
+    gone = labels.where(F.col("node") != F.col("label")).select("node._h", "node._g")
+    least = groups.where(F.col("_key") == F.col("component_id")).groupBy("_key._h", "_key._g").agg(F.count(F.lit(1)).alias("_n"))
+    stay = cut(least.join(gone, ["_h", "_g"], "left_anti"))
+    kept = lambda some: hashed.join(stay.where(some).select("_h", "_g"), ["_h", "_g"], "left_semi")
+    return kept("_n = 1").unionByName(kept("_n > 1").dropDuplicates(["_h", "_g"])).select("_doc.*")
 
 
 def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
