@@ -46,10 +46,11 @@ def repaired(severe: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def untranslated(leftover: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(doc, page, action, note): a retry is taken only without leftovers and damage, else the page is kept, never reverted."""
+    """(doc, page, action, note): a retry is taken only if it is Korean, without leftovers and damage, else the page is kept, never reverted."""
     joined = leftover.select("doc", "page").join(candidates.withColumn("_there", F.lit(True)), ["doc", "page"], "left")
-    good = F.coalesce(F.col("_there") & X.leftover_english(F.col("text")).isNull() & ~layout.severe(), F.lit(False))
-    return joined.select("doc", "page", F.when(good, "retranslated").otherwise("kept").alias("action"), F.when(good, "").otherwise("still English").alias("note"))
+    korean = F.coalesce(F.col("_there") & is_korean(F.col("text")), F.lit(False))
+    note = F.when(~korean, "no Korean came back").when(X.leftover_english(F.col("text")).isNotNull(), "still English").when(layout.severe(), "layout broken").otherwise("")
+    return joined.select("doc", "page", F.when(note == "", "retranslated").otherwise("kept").alias("action"), note.alias("note"))
 
 
 def replaced(pages: DataFrame, new: DataFrame) -> DataFrame:
@@ -83,17 +84,44 @@ def header(verdicts: DataFrame, recoveries: DataFrame, leftover: DataFrame) -> D
 
 def leftover_section(leftover: DataFrame, first: int = 12, cut: int = 60) -> DataFrame:
     """(doc, n, page, run, more): the first pages of the section, and how many more there are; a limit of the report's."""
-    w = W.partitionBy("doc").orderBy("page")
-    out = leftover.withColumns({"n": F.row_number().over(w).cast("long"), "_all": F.count(F.lit(1)).over(W.partitionBy("doc"))})
-    return out.where(F.col("n") <= first).select("doc", "n", "page", F.replace(F.left("run", F.lit(cut)), F.lit("|"), F.lit("/")).alias("run"), F.greatest(F.col("_all") - first, F.lit(0)).alias("more"))
+    every = leftover.groupBy("doc").agg(F.count(F.lit(1)).alias("_all"))
+    # the limit goes below the shuffle: no task gets more than a part's first pages of a document
+    top = leftover.withColumn("n", F.row_number().over(W.partitionBy("doc").orderBy("page")).cast("long")).where(F.col("n") <= first)
+    more = F.greatest(F.col("_all") - first, F.lit(0)).alias("more")
+    return top.join(every, "doc").select("doc", "n", "page", F.replace(F.left("run", F.lit(cut)), F.lit("|"), F.lit("/")).alias("run"), more)
 
 
-def report_lines(head: DataFrame, table: DataFrame, leftover: DataFrame) -> DataFrame:
-    """(doc, part, n, line) of a Markdown report; written in that order by whoever saves it."""
-    a = head.select("doc", F.lit(1).alias("part"), F.lit(0).cast("long").alias("n"), F.format_string("%d pages, %d broken, %d restored, %d with leftovers", "pages", "broken", "reverted", "leftover").alias("line"))
-    b = table.select("doc", F.lit(2).alias("part"), F.col("page").cast("long").alias("n"), F.format_string("| %d | %s | %s |", "page", "reasons", "action").alias("line"))
-    c = leftover_section(leftover).select("doc", F.lit(3).alias("part"), "n", F.format_string("- %d: %s", "page", "run").alias("line"))
-    return a.unionByName(b).unionByName(c)
+def report_lines(head: DataFrame, table: DataFrame, leftover: DataFrame, failures: DataFrame | None = None, fragments: DataFrame | None = None) -> DataFrame:
+    """(doc, part, n, line) of a Markdown report, in the order of part and n: counts, broken pages, failed repairs, leftovers, rescued fragments.
+
+    head: ``header``; table: ``report_table``; leftover: (doc, page, run); failures: recoveries with notes; fragments: (doc, pos, why, src).
+    A part's heading stands at n = 0, and only where the part has lines.
+    """
+    line = lambda df, part, n, text: df.select("doc", F.lit(part).alias("part"), n.cast("long").alias("n"), text.alias("line"))
+    zero = F.lit(0)
+    title = lambda df, part, text: line(df.select("doc").distinct(), part, zero, F.lit(text))
+    out = line(head, 1, zero, F.lit("# Report")).unionByName(line(head, 1, F.lit(1), F.format_string("%d pages, %d broken, %d restored, %d with leftovers", "pages", "broken", "reverted", "leftover")))
+    out = out.unionByName(title(table, 2, "## Broken pages")).unionByName(line(table, 2, F.col("page") + 1, F.format_string("| %d | %s | %s |", "page", "reasons", "action")))
+    if failures is not None:
+        each = failures.groupBy("doc", "page").agg(F.max_by("note", "seq").alias("note"))
+        out = out.unionByName(title(each, 3, "## Failed repairs")).unionByName(line(each, 3, F.col("page") + 1, F.format_string("- %d: %s", "page", "note")))
+    top = leftover_section(leftover)
+    out = out.unionByName(title(top, 4, "## English left")).unionByName(line(top, 4, F.col("n"), F.format_string("- %d: %s", "page", "run")))
+    out = out.unionByName(line(top.where("n = 1 and more > 0"), 4, F.lit(1 << 40), F.format_string("- and %d more", "more")))
+    if fragments is not None:
+        few = fragment_section(fragments)
+        out = out.unionByName(line(few.where("n = 1"), 5, zero, F.format_string("## Rescued in fragments: %d", "total"))).unionByName(line(few, 5, F.col("n"), F.concat(F.lit("- "), "src")))
+        out = out.unionByName(line(few.where("n = 1 and total > 5"), 5, F.lit(1 << 40), F.format_string("- and %d more", F.col("total") - 5)))
+    return out
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """One text file for each document under ``path``/doc=.., its lines in the order of part and n; line breaks within a line become blanks.
+
+    Documents are dealt whole over the tasks by range, and a task writes its documents one after another as a stream.
+    """
+    flat = lines.withColumn("line", F.regexp_replace("line", r"[\r\n]+", " "))
+    flat.repartitionByRange("doc").sortWithinPartitions("doc", "part", "n").select("doc", "line").write.mode("overwrite").partitionBy("doc").text(path)
 
 
 def failed(recoveries: DataFrame) -> DataFrame:
@@ -103,8 +131,9 @@ def failed(recoveries: DataFrame) -> DataFrame:
 
 def fragment_section(fragments: DataFrame, first: int = 5, cut: int = 90) -> DataFrame:
     """(doc, n, why, src, total): the first rescued fragments (doc, pos, why, src) and how many there are; a limit of the report's."""
-    out = fragments.withColumns({"n": F.row_number().over(W.partitionBy("doc").orderBy("pos")).cast("long"), "total": F.count(F.lit(1)).over(W.partitionBy("doc"))})
-    return out.where(F.col("n") <= first).select("doc", "n", "why", F.left("src", F.lit(cut)).alias("src"), "total")
+    every = fragments.groupBy("doc").agg(F.count(F.lit(1)).alias("total"))
+    top = fragments.withColumn("n", F.row_number().over(W.partitionBy("doc").orderBy("pos")).cast("long")).where(F.col("n") <= first)
+    return top.join(every, "doc").select("doc", "n", "why", F.left("src", F.lit(cut)).alias("src"), "total")
 
 
 def summary(recoveries: DataFrame) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 #: Fewest words of a judged page, tolerance around the text block, successors that a word is held against.
@@ -35,14 +40,66 @@ def _hits(words: DataFrame, name: str) -> DataFrame:
     return words.groupBy("doc", "page").agg(F.count_if(name).alias("hits"))
 
 
-def _overlapping(words: DataFrame) -> DataFrame:
-    ahead = W.partitionBy("doc", "page").orderBy("y0", "x0", "pos").rowsBetween(1, AHEAD)
-    w = words.withColumn("_next", F.collect_list(F.struct("x0", "y0", "x1", "y1")).over(ahead))
-    ox = lambda b: F.least("x1", b["x1"]) - F.greatest("x0", b["x0"])
-    oy = lambda b: F.least("y1", b["y1"]) - F.greatest("y0", b["y0"])
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    hit = F.exists("_next", lambda b: (b["y0"] <= F.col("y1")) & (ox(b) > 0.5) & (oy(b) > 0.5) & (ox(b) * oy(b) > 0.30 * area))
-    return w.withColumn("overlap", hit).drop("_next")
+def _covered(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, page: np.ndarray, judged: int) -> np.ndarray:
+    """Which of the first ``judged`` words, in reading order, are much covered by one of the next words of their page.
+
+    One step for each distance; the sweep ends when no word of that distance begins above a word's end any more. As tops
+    ascend along a page, a word that is out of reach stays so, and with all out of reach no later step can hit.
+    """
+    hit = np.zeros(judged, bool)
+    area = (x1 - x0) * (y1 - y0)
+    near = np.arange(judged)
+    for step in range(1, AHEAD + 1):
+        near = near[near + step < len(x0)]
+        b = near + step
+        reach = (page[b] == page[near]) & (y0[b] <= y1[near])
+        near, b = near[reach], b[reach]
+        if not len(near):
+            break
+        ox = np.minimum(x1[near], x1[b]) - np.maximum(x0[near], x0[b])
+        oy = np.minimum(y1[near], y1[b]) - np.maximum(y0[near], y0[b])
+        found = (ox > 0.5) & (oy > 0.5) & (ox * oy > 0.30 * area[near])
+        hit[near[found]] = True
+        near = near[~found]
+    return hit
+
+
+def _swept(words: DataFrame) -> DataFrame:
+    """(doc, page, hits) in parts: words sorted by page and top stream past a window of ``AHEAD`` successors.
+
+    A task holds a batch and the words that still wait for successors, whatever the size of a page.
+    """
+    keys = [F.col("doc"), F.col("page")]
+    spread = words.repartition(*keys).sortWithinPartitions(*keys, "y0", "x0", "pos").select("doc", "page", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    kinds = spread.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def counts(part: pa.Table, judged: int) -> pa.RecordBatch:
+            part = part.combine_chunks()
+            # pages are told apart by where they begin; the rows are sorted
+            change = np.zeros(len(part), bool)
+            for c in ("doc", "page"):
+                code = part[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                change[1:] |= code[1:] != code[:-1]
+            page = np.cumsum(change)
+            hit = _covered(*(part[c].to_numpy() for c in ("x0", "y0", "x1", "y1")), page, judged)
+            own = page[:judged]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            hits = np.add.reduceat(hit.astype(np.int64), first) if judged else np.zeros(0, np.int64)
+            return pa.record_batch([part[c].combine_chunks().take(pa.array(first)) for c in ("doc", "page")] + [pa.array(hits)], names=["doc", "page", "hits"])
+
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            if len(held) > 8 * AHEAD:
+                yield counts(held, len(held) - AHEAD)
+                held = held.slice(len(held) - AHEAD)
+        if held is not None and len(held):
+            yield counts(held, len(held))
+
+    return spread.mapInArrow(run, T.StructType([kinds["doc"], kinds["page"], T.StructField("hits", T.LongType())]))
 
 
 def _colliding(words: DataFrame) -> DataFrame:
@@ -61,7 +118,7 @@ def _straying(words: DataFrame, original: DataFrame) -> DataFrame:
 
 def overlap(words: DataFrame) -> DataFrame:
     """(doc, page, hits): words much covered by one of their next words in reading order."""
-    return _hits(_overlapping(words), "overlap")
+    return _swept(words).groupBy("doc", "page").agg(F.sum("hits").alias("hits"))
 
 
 def collision(words: DataFrame) -> DataFrame:
@@ -77,10 +134,13 @@ def outside(words: DataFrame, original: DataFrame) -> DataFrame:
 def measures(words: DataFrame, original: DataFrame) -> DataFrame:
     """(doc, page, words, overlap, outside, collision); zero where there are too few words to tell.
 
-    All flags hang on the page, so the words are dealt by it once.
+    All flags hang on the page: the words are dealt by it once, for the sweep and for the other two.
     """
-    told = _straying(_colliding(_overlapping(words.select("doc", "page", "pos", "x0", "y0", "x1", "y1"))), original)
-    n = told.groupBy("doc", "page").agg(F.count(F.lit(1)).alias("words"), *(F.count_if(c).alias(c) for c in LIMITS))
+    dealt = words.select("doc", "page", "pos", "x0", "y0", "x1", "y1").repartition("doc", "page")
+    told = _straying(_colliding(dealt), original)
+    n = told.groupBy("doc", "page").agg(F.count(F.lit(1)).alias("words"), *(F.count_if(c).alias(c) for c in ("outside", "collision")))
+    covered = overlap(dealt).select(F.col("doc").alias("_d"), F.col("page").alias("_p"), F.col("hits").alias("overlap"))
+    n = n.join(covered, F.col("doc").eqNullSafe(F.col("_d")) & F.col("page").eqNullSafe(F.col("_p")))
     share = lambda c: F.when(F.col("words") < LEAST_WORDS, 0.0).otherwise(F.col(c) / F.col("words"))
     return n.select("doc", "page", "words", *(share(c).alias(c) for c in LIMITS))
 

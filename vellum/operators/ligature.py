@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import DAMAGE, SPACE
+from ..shared import written
 
 PAIR = f"([A-Za-z]++){DAMAGE}(-?[A-Za-z]++)"
 #: Letters, tags, a placeholder, tags, letters; white space may follow a tag.
@@ -20,11 +21,25 @@ def pairs(df: DataFrame, text: str = "text") -> DataFrame:
     return df.where(c.contains(DAMAGE)).select(F.inline(both)).distinct()
 
 
+def _affixes(halves: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Those halves (g1, g5) of which a known pair's left half ends with the first and its right half begins with the second.
+
+    The pairs are filed under the ends of their left halves that have a length which occurs, and what meets a wedge there
+    under the beginnings of the right halves, so that both meet by equality: a pair makes no more rows than its
+    halves have lengths. Lengths go through the driver, no more than the longest half has letters.
+    """
+    lengths = lambda c: F.array(*(F.lit(r[0]) for r in sorted(halves.select(F.length(c)).distinct().collect()))).cast("array<int>")
+    fitting = lambda c, of: F.explode(F.filter(lengths(of), lambda n: n <= F.length(c)))
+    ends = dictionary.select("l", "r").distinct().select("r", F.col("l"), fitting("l", "g1").alias("n")).select("r", F.expr("right(l, n)").alias("g1")).distinct()
+    met = ends.join(halves.select("g1").distinct(), "g1", "left_semi")
+    begins = met.select("g1", "r", fitting("r", "g5").alias("n")).select("g1", F.expr("left(r, n)").alias("g5")).distinct()
+    return halves.join(begins, ["g1", "g5"], "left_semi").select("g1", "g5")
+
+
 def dissolve(df: DataFrame, dictionary: DataFrame, *, key: str = "id", text: str = "text") -> DataFrame:
     """(key, text, removed): placeholders between halves of a known pair become ff; tags stay.
 
-    A wedge hits exactly, or, with two letters on each side, where its halves end and begin a known pair's: that meets
-    by equality on the two letters next to the placeholder, the rest is verified.
+    A wedge hits exactly, or, with two letters on each side, where its halves end and begin a known pair's.
     """
     c = F.col(text)
     rows = df.select(key, c.alias("_text"), F.split(c, WEDGE, -1).alias("_gaps"), *(F.regexp_extract_all(c, F.lit(WEDGE), i).alias(f"_g{i}") for i in range(1, 6)))
@@ -32,10 +47,9 @@ def dissolve(df: DataFrame, dictionary: DataFrame, *, key: str = "id", text: str
     wedges = rows.where(F.size("_g1") > 0).select("_text", *(f"_g{i}" for i in range(1, 6))).distinct()
     wedges = wedges.select("_text", F.posexplode(F.arrays_zip(*(F.col(f"_g{i}") for i in range(1, 6)))).alias("k", "w")).select("_text", "k", *(F.col(f"w._g{i}").alias(f"g{i}") for i in range(1, 6)))
     bare = F.regexp_replace("g5", "^-", "")
-    wedges = wedges.withColumns({"_a": F.expr("right(g1, 2)"), "_b": F.expr("left(g5, 2)"), "_long": (F.length("g1") >= 2) & (F.length(bare) >= 2)})
+    wedges = wedges.withColumn("_long", (F.length("g1") >= 2) & (F.length(bare) >= 2))
     exact = wedges.select("g1", "g5").distinct().join(dictionary.select(F.col("l").alias("g1"), F.col("r").alias("g5")), ["g1", "g5"], "left_semi").select("g1", "g5")
-    known = dictionary.select("l", "r", F.expr("right(l, 2)").alias("_a"), F.expr("left(r, 2)").alias("_b"))
-    affix = wedges.where("_long").select("g1", "g5", "_a", "_b").distinct().join(known, ["_a", "_b"]).where(F.col("l").endswith(F.col("g1")) & F.col("r").startswith(F.col("g5"))).select("g1", "g5")
+    affix = _affixes(written(wedges.where("_long").select("g1", "g5").distinct(), "halves"), dictionary)
     hits = exact.unionByName(affix).distinct().withColumn("_hit", F.lit(True))
     done = wedges.join(hits, ["g1", "g5"], "left")
     piece = F.concat("g1", "g2", F.when(F.col("_hit"), F.lit("ff")).otherwise(F.col("g3")), "g4", "g5")

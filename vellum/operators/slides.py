@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
+from . import order
 
 
 def wanted() -> Column:
@@ -18,7 +19,7 @@ def unreachable(parts: DataFrame) -> DataFrame:
     """(deck, n, text): distinct texts with a letter in chart and diagram XML (deck, pos, xml), by first occurrence."""
     found = parts.select("deck", "pos", F.posexplode(F.regexp_extract_all("xml", F.lit(r"<(?:a:t|c:v)>([^<]*)</(?:a:t|c:v)>"), 1)).alias("i", "text"))
     first = found.where(wanted()).groupBy("deck", "text").agg(F.min(F.struct("pos", "i")).alias("_at"))
-    return first.select("deck", F.row_number().over(W.partitionBy("deck").orderBy("_at")).alias("n"), "text")
+    return order.numbered(first, ["deck"], ["_at"]).select("deck", "n", "text")
 
 
 def fits(text: Column, width: Column, height: Column, size: Column, kind: Column) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
+from ..shared import written
+from . import order
 
 # Words of closed classes, which no term can begin or end with.
 STOP_WORDS = """
@@ -33,11 +35,36 @@ def clean(raw: Column, composed: bool = False) -> Column:
     return F.replace(letters, F.lit(" "), F.lit(""))
 
 
-def tokens(pages: DataFrame, *, doc: str = "doc", page: str = "page", text: str = "text", composed: bool = False) -> DataFrame:
-    """(doc, pos, raw, w): tokens with something left after cleaning, numbered through the document."""
-    raw = pages.select(doc, page, F.posexplode(F.split(text, X.SPACE + "+")).alias("i", "raw"))
-    raw = raw.withColumn("raw", F.btrim("raw", F.lit(EDGE))).where("raw <> ''").withColumn("w", clean(F.col("raw"), composed)).where("w <> ''")
-    return raw.select(doc, F.row_number().over(W.partitionBy(doc).orderBy(page, "i")).cast("long").alias("pos"), "raw", "w")
+def paged(pages: DataFrame, *, doc: str = "doc", page: str = "page", text: str = "text", composed: bool = False) -> DataFrame:
+    """(doc, page, row, n, head, last, words): each page's tokens (raw, w) with something left after cleaning, as one array.
+
+    Written once, since vocabulary, counts and positions all read it; ``row`` tells rows of one page apart. Pages are
+    numbers; rows of no document are left out.
+    """
+    pages = pages.where(F.col(doc).isNotNull())
+    bare = F.transform(F.split(text, X.SPACE + "+"), lambda t: F.btrim(t, F.lit(EDGE)))
+    raw = F.filter(bare, lambda t: t != "")
+    words = F.filter(F.transform(raw, lambda t: F.struct(t.alias("raw"), clean(t).alias("w"))), lambda x: x["w"] != "")
+    if composed:  # composition is a function of a column, not of an array's element
+        lone = pages.withColumn("_row", F.monotonically_increasing_id()).select(doc, page, "_row", F.posexplode_outer(raw).alias("i", "raw"))
+        lone = lone.withColumn("w", clean(F.col("raw"), True))
+        listed = F.array_sort(F.collect_list(F.when(F.col("w") != "", F.struct("i", "raw", "w"))))
+        made = lone.groupBy(doc, F.col(page).alias("page"), F.col("_row").alias("row")).agg(F.transform(listed, lambda x: F.struct(x["raw"].alias("raw"), x["w"].alias("w"))).alias("words"))
+    else:
+        made = pages.select(doc, F.col(page).alias("page"), F.monotonically_increasing_id().alias("row"), F.coalesce(words, F.array().cast("array<struct<raw:string,w:string>>")).alias("words"))
+    return written(made.select(doc, "page", "row", F.size("words").alias("n"), F.get("words", F.lit(0)).alias("head"), F.get("words", F.size("words") - 1).alias("last"), "words"), "words")
+
+
+def tokens(pages: DataFrame, *, doc: str = "doc") -> DataFrame:
+    """(doc, pos, raw, w) of ``paged`` pages: tokens, numbered through the document."""
+    met = pages.where("n > 0").join(order.starts(pages, doc=doc).drop("next"), "row")
+    each = met.select(doc, "start", F.posexplode("words").alias("i", "x"))
+    return each.select(doc, (F.col("start") + F.col("i") + 1).cast("long").alias("pos"), "x.raw", "x.w")
+
+
+def vocabulary(pages: DataFrame, *, doc: str = "doc") -> DataFrame:
+    """(doc, w): distinct words of ``paged`` pages."""
+    return pages.select(doc, F.explode("words.w").alias("w")).distinct()
 
 
 def norms(words: DataFrame, *, doc: str = "doc") -> DataFrame:
@@ -67,45 +94,60 @@ def _ok(c: Column) -> Column:
     return (F.length(c) > 2) & ~c.isin(STOP_WORDS)
 
 
-def counted(words: DataFrame, *, doc: str = "doc") -> DataFrame:
-    """(doc, tier, term, cnt, first_pos, surfaces): bigrams (1), hyphen words (2) and single words (3)."""
-    n = norms(words, doc=doc)
-    t = words.join(n, [doc, "w"])
-    after = W.partitionBy(doc).orderBy("pos")
-    pair = t.select(doc, "pos", "raw", "w", "norm", F.lead("w").over(after).alias("w2"), F.lead("norm").over(after).alias("n2"), F.lead("raw").over(after).alias("raw2"))
-    alpha = lambda c: F.regexp_like(c, F.lit("^[a-z]+$"))
-    kinds = F.array(
-        F.when(_ok(F.col("w")) & _ok(F.col("w2")) & alpha(F.col("w")) & alpha(F.col("w2")), F.struct(F.lit(1).alias("tier"), F.concat_ws(" ", "norm", "n2").alias("term"), F.concat_ws(" ", "raw", "raw2").alias("surface"))),
-        F.when(F.col("w").contains("-") & (F.length("w") > 6) & (F.length("w") < 30) & alpha(F.replace(F.col("w"), F.lit("-"), F.lit(""))), F.struct(F.lit(2).alias("tier"), F.col("norm").alias("term"), F.col("raw").alias("surface"))),
-        F.when((F.length("w") > 4) & ~F.col("w").isin(STOP_WORDS) & alpha(F.col("w")), F.struct(F.lit(3).alias("tier"), F.col("norm").alias("term"), F.col("raw").alias("surface"))),
-    )
-    one = pair.select(doc, "pos", F.inline(F.array_compact(kinds)))
-    return one.groupBy(doc, "tier", "term").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"), F.array_sort(F.collect_set("surface")).alias("surfaces"))
-
+def counted(pages: DataFrame, known: DataFrame | None = None, *, doc: str = "doc") -> DataFrame:
+    """(doc, tier, term, cnt, first_pos, surfaces) of ``paged`` pages: bigrams (1), hyphen words (2) and single words (3).
 
-def tiered(words: DataFrame, italic: DataFrame, *, doc: str = "doc", min_count: int = 5, top: int = 60) -> DataFrame:
-    """(doc, rank, term, cnt): phrases before single words; italic: (doc, w) words set in italics."""
-    c = counted(words, doc=doc).drop("surfaces")
+    known: the ``norms`` of their vocabulary, if they are there already. Pairs are taken within page arrays, those across
+    pages from their ends; what is counted meets its norms after counting, once for distinct words, and its position last.
+    """
+    n = norms(vocabulary(pages, doc=doc), doc=doc) if known is None else known
+    begin = written(order.starts(pages, doc=doc), "starts")
+    next_ = F.slice("words", F.lit(2), F.greatest(F.col("n") - 1, F.lit(0)))
+    pairs = F.zip_with("words", next_, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    inside = pages.where("n > 0").select(doc, "page", "row", F.posexplode(pairs).alias("i", "x")).select(doc, "page", "row", "i", "x.a", "x.b")
+    ends = pages.where("n > 0").select(doc, "page", "row", (F.col("n") - 1).alias("i"), F.col("last").alias("a")).join(begin.where("next is not null").select("row", F.col("next").alias("b")), "row")
+    alpha = lambda c: F.regexp_like(c, F.lit("^[a-z]+$"))
+    w, w2 = F.col("a.w"), F.col("b.w")
+    one = lambda tier, second, surface: F.struct(F.lit(tier).alias("tier"), w.alias("w"), second.alias("w2"), surface.alias("surface"))
+    pair = F.when(_ok(w) & _ok(w2) & alpha(w) & alpha(w2), one(1, w2, F.concat_ws(" ", "a.raw", "b.raw")))
+    none = F.lit(None).cast("string")
+    hyphened = F.when(w.contains("-") & (F.length(w) > 6) & (F.length(w) < 30) & alpha(F.replace(w, F.lit("-"), F.lit(""))), one(2, none, F.col("a.raw")))
+    single = F.when((F.length(w) > 4) & ~w.isin(STOP_WORDS) & alpha(w), one(3, none, F.col("a.raw")))
+    told = lambda df, *kinds: df.select(doc, "page", "row", "i", F.inline(F.array_compact(F.array(*kinds))))
+    each = told(inside, pair, hyphened, single).unionByName(told(ends.select(doc, "page", "row", "i", "a", "b"), pair))
+    raw = each.groupBy(doc, "tier", "w", "w2").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct("page", "row", "i")).alias("at"), F.collect_set("surface").alias("surfaces"))
+    of = lambda a, b: n.select(F.col(doc).alias(f"_d{b}"), F.col("w").alias(f"_w{b}"), F.col("norm").alias(f"n{b}"))  # noqa: E731, ARG005
+    met = raw.join(of(n, 1), F.col(doc).eqNullSafe(F.col("_d1")) & (F.col("w") == F.col("_w1"))).join(of(n, 2), F.col(doc).eqNullSafe(F.col("_d2")) & (F.col("w2") == F.col("_w2")), "left")
+    term = F.when(F.col("tier") == 1, F.concat_ws(" ", "n1", "n2")).otherwise(F.col("n1")).alias("term")
+    merged = met.groupBy(doc, "tier", term).agg(F.sum("cnt").alias("cnt"), F.min("at").alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("surfaces")))).alias("surfaces"))
+    placed = merged.withColumn("row", F.col("at.row")).join(begin.select("row", "start"), "row")
+    return placed.select(doc, "tier", "term", "cnt", (F.col("start") + F.col("at.i") + 1).cast("long").alias("first_pos"), "surfaces")
+
+
+def tiered(pages: DataFrame, italic: DataFrame, *, doc: str = "doc", min_count: int = 5, top: int = 60) -> DataFrame:
+    """(doc, rank, term, cnt) of ``paged`` pages: phrases before single words; italic: (doc, w) words set in italics."""
+    n = written(norms(vocabulary(pages, doc=doc), doc=doc), "norms")
+    c = counted(pages, n, doc=doc).drop("surfaces")
     ranked = c.withColumn("_r", F.row_number().over(W.partitionBy(doc, "tier").orderBy(F.desc("cnt"), "first_pos")))
     limit = F.when(F.col("tier") == 1, 2 * top).when(F.col("tier") == 2, top).otherwise(4 * top)
-    ranked = ranked.where((F.col("_r") <= limit) & (F.col("cnt") >= min_count))
+    # a common bound first: a limit on the number itself is pushed below the window
+    ranked = written(ranked.where(F.col("_r") <= 4 * top).where((F.col("_r") <= limit) & (F.col("cnt") >= min_count)), "ranked")
     strong, weak = ranked.where("tier < 3"), ranked.where("tier = 3")
     inside = strong.select(doc, F.explode(F.split(F.replace(F.col("term"), F.lit("-"), F.lit(" ")), " +")).alias("term")).distinct()
-    n = norms(words, doc=doc)
     fold = lambda df, w: df.join(n.select(F.col(doc).alias("_d"), F.col("w").alias("_w"), "norm"), (F.col(doc) == F.col("_d")) & (F.col(w) == F.col("_w")), "left").withColumn("_norm", F.coalesce("norm", w)).drop("_d", "_w", "norm")
     slanted = fold(italic.select(doc, "w").distinct(), "w").select(doc, "_norm").distinct()
     weak = fold(weak.join(inside, [doc, "term"], "left_anti"), "term").join(slanted, [doc, "_norm"], "left_semi").select(*strong.columns)
     stripped = F.btrim(F.btrim(F.btrim("term"), F.lit("-")))
     both = strong.unionByName(weak).withColumn("_term", stripped).where(F.length("_term") >= 3)
-    order = [(F.col("tier") == 3), F.desc("cnt"), F.col("tier"), F.col("_r")]
-    once = both.withColumn("_k", F.row_number().over(W.partitionBy(doc, "_term").orderBy(*order))).where("_k = 1")
-    out = once.withColumn("rank", F.row_number().over(W.partitionBy(doc).orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+    rank = [(F.col("tier") == 3), F.desc("cnt"), F.col("tier"), F.col("_r")]
+    once = both.withColumn("_k", F.row_number().over(W.partitionBy(doc, "_term").orderBy(*rank))).where("_k = 1")
+    out = once.withColumn("rank", F.row_number().over(W.partitionBy(doc).orderBy(*rank)).cast("long")).where(F.col("rank") <= top)
     return out.select(doc, "rank", F.col("_term").alias("term"), "cnt")
 
 
-def batches(df: DataFrame, order: list[Column], size: int) -> DataFrame:
+def batches(df: DataFrame, by: list[Column], size: int) -> DataFrame:
     """Adds the number of the batch of ``size`` rows in order, within the key ``doc``."""
-    return df.withColumn("batch", F.floor((F.row_number().over(W.partitionBy("doc").orderBy(*order)) - 1) / size).cast("long"))
+    return order.numbered(df, ["doc"], by, "_n").withColumn("batch", F.floor((F.col("_n") - 1) / size).cast("long")).drop("_n")
 
 
 # Verdicts that reject.

@@ -8,7 +8,6 @@ import sys
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import text as X
 from . import ligature
@@ -108,31 +107,75 @@ def cache_key(model: Column, mode: Column, epoch: Column, rules: Column, source:
     return F.sha2(F.concat_ws("\0", *(F.coalesce(c.cast("string"), F.lit("")) for c in (model, mode, epoch, rules, source))), 256)
 
 
+def sources_digest() -> str:
+    """Digest of this package's rules as they are written down."""
+    return hashlib.sha256("\0".join(inspect.getsource(m) for m in (X, ligature, sys.modules[__name__])).encode()).hexdigest()
+
+
 def rules_fingerprint(dictionary: DataFrame, rules: str = "", heavy: int = 20) -> DataFrame:
     """(fingerprint): changes with this package's rules (its sources and limits), the ligature pairs (l, r) and the user's rules.
 
-    Pairs are hashed each and their digests in order, so that a dictionary of any size is reduced before it meets.
+    The distinct pairs come in as their number, a sum and an exclusive or of 60 bits of their digests each: sums of parts
+    make the sum of the whole in any order, so a dictionary of any size is three numbers before it meets.
     """
-    sources = hashlib.sha256("\0".join(inspect.getsource(m) for m in (X, ligature, sys.modules[__name__])).encode()).hexdigest()
-    digests = dictionary.select(F.sha2(F.concat_ws("\0", "l", "r"), 256).alias("d")).distinct().agg(F.array_join(F.array_sort(F.collect_list("d")), "").alias("d"))
-    return digests.select(F.left(F.sha2(F.concat_ws("\0", F.lit(sources), F.lit(f"{heavy} {WIDTH_MAX}"), F.lit(rules), "d"), 256), F.lit(12)).alias("fingerprint"))
+    digest = F.sha2(F.concat_ws("\0", "l", "r"), 256)
+    bits = lambda at: F.conv(F.substring("d", at, 15), 16, 10).cast("long")
+    each = dictionary.select("l", "r").distinct().select(digest.alias("d")).select(bits(1).alias("a"), bits(16).alias("b"))
+    whole = each.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("a").cast("decimal(38,0)")), F.lit(0)).alias("a"), F.coalesce(F.bit_xor("b"), F.lit(0)).alias("b"))
+    parts = (F.lit(sources_digest()), F.lit(f"{heavy} {WIDTH_MAX}"), F.lit(rules), *(F.col(c).cast("string") for c in ("n", "a", "b")))
+    return whole.select(F.left(F.sha2(F.concat_ws("\0", *parts), 256), F.lit(12)).alias("fingerprint"))
 
 
-def hint(pairs: DataFrame, *, key: str = "id", src: str = "src", tgt: str = "tgt") -> DataFrame:
-    """(key, kind, detail): what a retry of an item is told, by precedence: no reply, too long, English left, placeholders, or just again."""
+def faults(pairs: DataFrame, *, key: str = "id", src: str = "src", tgt: str = "tgt", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, ``keep`` columns, kind, detail): what is wrong with an item, by gravity: no reply, too long, English left, placeholders, or nothing that can be named."""
     ratio = X.width(F.col(tgt)) / F.when(X.width(F.col(src)) >= 10, X.width(F.col(src)))
-    told = pairs.select(key, F.col(tgt).isNull().alias("_none"), F.when(ratio > WIDTH_MAX, ratio).alias("_wide"), X.leftover_english(F.col(tgt)).alias("_left"))
+    told = pairs.select(key, *keep, F.col(tgt).isNull().alias("_none"), F.when(ratio > WIDTH_MAX, ratio).alias("_wide"), X.leftover_english(F.col(tgt)).alias("_left"))
     marks = mark_differences(pairs, key=key, src=src, tgt=tgt)
     lost = F.concat_ws("; ", F.when(F.col("missing") != "", F.concat(F.lit("missing "), "missing")), F.when(F.col("extra") != "", F.concat(F.lit("invented "), "extra")))
     kind = F.when(F.col("_none"), "reply").when(F.col("_wide").isNotNull(), "length").when(F.col("_left").isNotNull(), "english").when(lost != "", "placeholders").otherwise("again")
     detail = F.when(kind == "length", F.concat(F.format_number("_wide", 1), F.lit(" times as long"))).when(kind == "english", F.left("_left", F.lit(80))).when(kind == "placeholders", lost).otherwise("")
-    return told.join(marks.dropDuplicates([key]), key).select(key, kind.alias("kind"), detail.alias("detail"))
+    return told.join(marks.dropDuplicates([key]), key).select(key, *keep, kind.alias("kind"), detail.alias("detail"))
+
+
+def hint(pairs: DataFrame, *, key: str = "id", src: str = "src", tgt: str = "tgt") -> DataFrame:
+    """(key, kind, detail): what a retry of an item alone is told."""
+    return faults(pairs, key=key, src=src, tgt=tgt)
 
 
-def upsert(cache: DataFrame, new: DataFrame, longest: int = 8000) -> DataFrame:
-    """The cache (k, model, src, tgt, attempts, ts) with new rows in place of older ones of their key."""
-    both = cache.unionByName(new).withColumn("src", F.left("src", F.lit(longest)))
-    return both.withColumn("_n", F.row_number().over(W.partitionBy("k").orderBy(F.desc("ts"), F.desc("attempts"), "tgt"))).where("_n = 1").drop("_n")
+#: Kinds by gravity: the gravest of any item is what a retry of the batch is about.
+GRAVITY = ["length", "english", "placeholders", "again"]
+
+
+def batch_hint(pairs: DataFrame, *, key: str = "id", src: str = "src", tgt: str = "tgt") -> DataFrame:
+    """(batch, kind, items, details) for pairs (batch, key, src, tgt): one hint a batch, of the gravest kind that any item has.
+
+    details: the items of that kind and what is wrong with them, a line each in the order of keys. A batch without any reply is
+    told to reply; in others an item without reply has lost its placeholders, if it had any. A batch is one prompt, so its lines are few.
+    """
+    answered = pairs.groupBy("batch").agg(F.max(F.col(tgt).isNotNull()).alias("_some"))
+    own = pairs.select("batch", F.struct("batch", F.col(key).alias("key")).alias("_k"), F.col(key).alias("_key"), src, F.coalesce(tgt, F.lit("")).alias(tgt))
+    each = faults(own, key="_k", src=src, tgt=tgt, keep=("batch", "_key"))
+    rank = F.array_position(F.array(*map(F.lit, GRAVITY)), F.col("kind"))
+    each = each.withColumn("rank", rank)
+    gravest = each.groupBy("batch").agg(F.min("rank").alias("rank"))
+    named = each.join(gravest, ["batch", "rank"]).where("kind <> 'again'")
+    lines = named.groupBy("batch").agg(F.count(F.lit(1)).alias("items"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_key").alias("k"), "detail"))), lambda x: F.concat(F.lit("id "), x["k"].cast("string"), F.lit(": "), x["detail"])), "\n").alias("details"))
+    both = answered.join(gravest, "batch").join(lines, "batch", "left")
+    kind = F.when(~F.col("_some"), "reply").otherwise(F.element_at(F.array(*map(F.lit, GRAVITY)), F.col("rank").cast("int")))
+    count = F.when(F.col("_some"), F.coalesce("items", F.lit(0))).otherwise(0)
+    return both.select("batch", kind.alias("kind"), count.cast("long").alias("items"), F.when(F.col("_some"), F.coalesce("details", F.lit(""))).otherwise("").alias("details"))
+
+
+def upsert(rows: DataFrame, longest: int = 8000) -> DataFrame:
+    """One row of (k, model, src, tgt, attempts, ts) for each key: the latest, then that of most attempts, then the least target.
+
+    Old and new rows come together as one table. A key's rows are reduced before they are shuffled.
+    """
+    cut = rows.withColumn("src", F.left("src", F.lit(longest)))
+    none = lambda c: F.col(c).isNull()
+    first = F.struct(none("ts").alias("a"), (-F.col("ts")).alias("b"), none("attempts").alias("c"), (-F.col("attempts")).alias("d"), F.col("tgt").alias("e"), F.col("model").alias("f"), F.col("src").alias("g"))
+    best = cut.groupBy("k").agg(F.min(F.struct(*(first[x].alias(x) for x in "abcdefg"), "ts", "attempts")).alias("m"))
+    return best.select("k", F.col("m.f").alias("model"), F.col("m.g").alias("src"), F.col("m.e").alias("tgt"), "m.attempts", "m.ts")
 
 
 def lookup(items: DataFrame, cache: DataFrame) -> DataFrame:

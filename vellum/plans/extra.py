@@ -46,7 +46,13 @@ def j01_last_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replies(spark, sf_dir).select("id", protocol.array_place("raw").alias("p")).select("id", (F.col("p.begin") >= 0).alias("found"))
 
 
-@query()
+#: conversations as the JSON that ``_replies`` makes of them: js whole, raw as replied.
+_REPLIES = """(select id, case id % 4 when 1 then '```json' || chr(10) || js || chr(10) || '```' when 2 then left(js, length(js) - id % 3 - 1) when 3 then 'as [asked]: ' || js || ' done' else js end as raw from (
+  select conv_id as id, '[' || string_agg('{"id":"' || turn || '","output":' || cast(to_json(text) as varchar) || '}', ',' order by cast(turn as varchar), text) || ']' as js from conversations group by conv_id))"""
+
+
+@query(f"""select id, case id % 4 when 0 then n when 1 then '```json' || chr(10) || n || chr(10) || '```' when 3 then 'as [asked]: ' || n || ' done' else raw end as raw from (
+  select id, raw, '[{{"id":' || id || ',"output":"x"}}]' as n from {_REPLIES})""")
 def j02_swap_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _replies(spark, sf_dir).withColumn("p", protocol.array_place("raw"))
     items = F.array(F.struct(F.col("id").alias("id"), F.lit("x").alias("output")))
@@ -59,7 +65,7 @@ def j04_client_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replies(spark, sf_dir).select("id", F.size(F.map_keys(protocol.client_reply(F.col("raw")))).cast("long").alias("n"))
 
 
-@query()
+@query(f"""select id, md5('{{"object":"chat.completion","created":0,"model":"m","choices":[{{"index":0,"message":{{"role":"assistant","content":' || cast(to_json(raw) as varchar) || '}},"finish_reason":"stop"}}]}}') as body from {_REPLIES}""")
 def j05_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replies(spark, sf_dir).select("id", F.md5(protocol.envelope(F.col("raw"), F.lit("m"), F.lit(0))).alias("body"))
 

@@ -46,21 +46,27 @@ def marked_sql(source: str) -> str:
     return f"(select * replace (array_to_string(list_transform(string_split(text, ' '), lambda t, i: case when (i - 1) % 9 = 4 then '{{v' || (i - 1) || '}}' else t end), ' ') as text) from {source})"
 
 
-def pairs(docs: DataFrame) -> DataFrame:
-    """(id, src, tgt): lines go to Hangul, but for untranslated documents and lines; some lose a placeholder."""
+def pairs(docs: DataFrame, turn: int = 1) -> DataFrame:
+    """(id, src, tgt): lines go to Hangul, but for untranslated documents and lines; some lose a placeholder. At later turns half as many of each do."""
     src = marked(docs).select(F.col("doc_id").alias("id"), F.col("text").alias("src"))
-    keep = lambda i: (F.col("id") % 4 == 0) | ((F.col("id") % 4 == 1) & (i % 5 == 4))
+    m = 1 << (turn - 1)
+    keep = lambda i: (F.col("id") % (4 * m) == 0) | ((F.col("id") % (4 * m) == 1) & (i % 5 == 4))
     line = lambda x, i: F.when(keep(i), x).otherwise(F.regexp_replace(F.translate(F.lower(x), LETTERS, SYLLABLES), r"\{터|\{처|\{어|\{너|\{[^}\d]", "{v"))
     tgt = F.array_join(F.transform(F.split("src", "\n"), line), "\n")
-    return src.withColumn("tgt", F.when(F.col("id") % 7 == 0, F.replace(tgt, F.lit("{v4}"), F.lit(""))).otherwise(tgt))
+    return src.withColumn("tgt", F.when(F.col("id") % (7 * m) == 0, F.replace(tgt, F.lit("{v4}"), F.lit(""))).otherwise(tgt))
 
 
-PAIRS = f"""(select id, src, case when id % 7 = 0 then replace(t, '{{v4}}', '') else t end as tgt from (
-  select id, src, array_to_string(list_transform(string_split(src, chr(10)), lambda x, i: case when id % 4 = 0 or (id % 4 = 1 and (i - 1) % 5 = 4) then x
+def pairs_sql(turn: int = 1) -> str:
+    m = 1 << (turn - 1)
+    return f"""(select id, src, case when id % {7 * m} = 0 then replace(t, '{{v4}}', '') else t end as tgt from (
+  select id, src, array_to_string(list_transform(string_split(src, chr(10)), lambda x, i: case when id % {4 * m} = 0 or (id % {4 * m} = 1 and (i - 1) % 5 = 4) then x
     else regexp_replace(translate(lower(x), '{LETTERS}', '{SYLLABLES}'), '\\{{터|\\{{처|\\{{어|\\{{너|\\{{[^}}\\d]', '{{v', 'g') end), chr(10)) as t
   from (select doc_id as id, text as src from {marked_sql('documents')})))"""
 
 
+PAIRS = pairs_sql()
+
+
 def pages(docs: DataFrame) -> DataFrame:
     """(doc, page, text): English documents as the pages of their source."""
     return docs.where("lang = 'en'").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.replace("text", F.lit(" th"), F.lit("-th")).alias("text"))

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..operators import audit, control, layout, ligature, terms, validate
-from ..sources import tables
+from ..shared import place
+from ..sources import cache, tables
 from . import inputs as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,7 +87,17 @@ def x10_ligature_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ligature.pairs(I.damaged(docs(spark, sf_dir)))
 
 
-@query()
+_WEDGE_SQL = r"([A-Za-z]+)((?:</?style[^>]*>\s*)*)(\{v\d+\})((?:</?style[^>]*>\s*)*)(-?[A-Za-z]+)"
+
+
+@query(f"""with d as (select doc_id as id, replace(text, '↵', '{{v1}}') as text from {I.DAMAGED}),
+  p as (select distinct unnest(regexp_extract_all(text, '{_PAIR_SQL}', 1)) as l, unnest(regexp_extract_all(text, '{_PAIR_SQL}', 2)) as r from {I.DAMAGED}),
+  w as (select id, {', '.join(f"unnest(regexp_extract_all(text, '{_WEDGE_SQL}', {i})) as g{i}" for i in range(1, 6))}, generate_subscripts(regexp_extract_all(text, '{_WEDGE_SQL}'), 1) as k from d),
+  halves as (select distinct g1, g5 from w),
+  hits as (select g1, g5 from halves h join p on p.l = h.g1 and p.r = h.g5 union
+    select g1, g5 from halves h join p on right(p.l, 2) = right(h.g1, 2) and left(p.r, 2) = left(h.g5, 2) and length(h.g1) >= 2 and length(replace(h.g5, '-', '')) >= 2 and suffix(p.l, h.g1) and starts_with(p.r, h.g5)),
+  pieces as (select id, list(w.g1 || g2 || case when hits.g1 is not null then 'ff' else g3 end || g4 || w.g5 order by k) as new, count(hits.g1) as removed from w left join hits on hits.g1 = w.g1 and hits.g5 = w.g5 group by id)
+  select d.id, md5(case when removed > 0 then array_to_string(list_transform(string_split_regex(text, '{_WEDGE_SQL}'), lambda x, i: x || coalesce(new[i], '')), '') else text end) as text_md5, coalesce(removed, 0) as removed from d left join pieces on pieces.id = d.id""")
 def x11_dissolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = I.damaged(docs(spark, sf_dir))
     wedged = d.select(F.col("doc_id").alias("id"), F.regexp_replace("text", "↵", "{v1}").alias("text"))
@@ -113,17 +124,22 @@ _EDGE_SQL = " || ".join(f"chr({ord(c)})" for c in terms.EDGE)
 _SPACE_SQL = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 
 
-def _clean_sql(c: str) -> str:
+def _letters_sql(c: str) -> str:
     mended = rf"regexp_replace(regexp_replace(replace(regexp_replace({c}, '([A-Za-z])↵', '\1ff', 'g'), '↵', 'α'), '[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f]', ' ', 'g'), '[ \t]{{2,}}', ' ', 'g')"
-    return f"replace(lower(regexp_replace({mended}, '[^A-Za-z\\- ]+', ' ', 'g')), ' ', '')"
+    return f"lower(regexp_replace({mended}, '[^A-Za-z\\- ]+', ' ', 'g'))"
+
+
+def _clean_sql(c: str) -> str:
+    return f"replace({_letters_sql(c)}, ' ', '')"
 
 
 TOKENS = f"""tokens as (select doc, row_number() over (partition by doc order by page, i) as pos, raw, w from (
   select doc, page, i, raw, {_clean_sql('raw')} as w from (select doc, page, i, trim(t, {_EDGE_SQL}) as raw from (
     select doc, page, unnest(string_split_regex(text, '{_SPACE_SQL}+')) as t, generate_subscripts(string_split_regex(text, '{_SPACE_SQL}+'), 1) as i from {I.PAGES})) where raw <> '') where w <> '')"""
-NORMS = """vocab as (select distinct doc, w from tokens), norms as (select v.doc, v.w, case when y.w is not null then y.w when v.w like '%sses' or v.w like '%shes' then left(v.w, length(v.w) - 2) when s.w is not null then s.w else v.w end as norm
-  from vocab v left join vocab y on y.doc = v.doc and v.w like '%ies' and length(v.w) > 4 and y.w = left(v.w, length(v.w) - 3) || 'y'
-  left join vocab s on s.doc = v.doc and v.w like '%s' and v.w not like '%ss' and length(v.w) > 3 and s.w = left(v.w, length(v.w) - 1))"""
+NORMS = """vocab as (select distinct doc, w from tokens),
+  folded as (select doc, w, case when w like '%ies' and length(w) > 4 then left(w, length(w) - 3) || 'y' end as wy, case when w like '%s' and w not like '%ss' and length(w) > 3 then left(w, length(w) - 1) end as ws from vocab),
+  norms as (select f.doc, f.w, case when y.w is not null then y.w when f.w like '%sses' or f.w like '%shes' then left(f.w, length(f.w) - 2) when s.w is not null then s.w else f.w end as norm
+  from folded f left join vocab y on y.doc = f.doc and y.w = f.wy left join vocab s on s.doc = f.doc and s.w = f.ws)"""
 _OK = lambda w: f"length({w}) > 2 and {w} not in ({_STOP})"
 COUNTED = f"""paired as (select t.doc, pos, raw, t.w, norm, lead(t.w) over o as w2, lead(norm) over o as n2, lead(raw) over o as raw2 from tokens t join norms n on n.doc = t.doc and n.w = t.w window o as (partition by t.doc order by pos)),
   each as (select doc, pos, 1 as tier, norm || ' ' || n2 as term, raw || ' ' || raw2 as surface from paired where {_OK('w')} and {_OK('w2')} and regexp_full_match(w, '[a-z]+') and regexp_full_match(w2, '[a-z]+')
@@ -132,8 +148,12 @@ COUNTED = f"""paired as (select t.doc, pos, raw, t.w, norm, lead(t.w) over o as
   counted as (select doc, tier, term, count(*) as cnt, min(pos) as first_pos, array_to_string(list_sort(list(distinct surface)), '; ') as surfaces from each group by all)"""
 
 
+def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.paged(I.pages(docs(spark, sf_dir)))
+
+
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.tokens(I.pages(docs(spark, sf_dir)))
+    return terms.tokens(_paged(spark, sf_dir))
 
 
 @query(f"with {TOKENS} select doc, count(*) as n, cast(sum(length(w)) as bigint) as chars, max(pos) as last_pos from tokens group by doc")
@@ -143,12 +163,12 @@ def t01_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {TOKENS} select distinct doc, w from tokens")
 def t04_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _words(spark, sf_dir).select("doc", "w").distinct()
+    return terms.vocabulary(_paged(spark, sf_dir))
 
 
 @query(f"with {TOKENS}, {NORMS} select doc, w, norm from norms")
 def t05_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.norms(_words(spark, sf_dir))
+    return terms.norms(terms.vocabulary(_paged(spark, sf_dir)))
 
 
 def _tier(n: int, columns: str = "doc, term, cnt, first_pos") -> str:
@@ -157,22 +177,22 @@ def _tier(n: int, columns: str = "doc, term, cnt, first_pos") -> str:
 
 @query(_tier(1))
 def t07_bigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.counted(_words(spark, sf_dir)).where("tier = 1").select("doc", "term", "cnt", "first_pos")
+    return terms.counted(_paged(spark, sf_dir)).where("tier = 1").select("doc", "term", "cnt", "first_pos")
 
 
 @query(_tier(2))
 def t08_hyphen_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.counted(_words(spark, sf_dir)).where("tier = 2").select("doc", "term", "cnt", "first_pos")
+    return terms.counted(_paged(spark, sf_dir)).where("tier = 2").select("doc", "term", "cnt", "first_pos")
 
 
 @query(_tier(3))
 def t09_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.counted(_words(spark, sf_dir)).where("tier = 3").select("doc", "term", "cnt", "first_pos")
+    return terms.counted(_paged(spark, sf_dir)).where("tier = 3").select("doc", "term", "cnt", "first_pos")
 
 
 @query(f"with {TOKENS}, {NORMS}, {COUNTED} select doc, tier, term, surfaces from counted")
 def t10_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.counted(_words(spark, sf_dir)).select("doc", "tier", "term", F.array_join("surfaces", "; ").alias("surfaces"))
+    return terms.counted(_paged(spark, sf_dir)).select("doc", "tier", "term", F.array_join("surfaces", "; ").alias("surfaces"))
 
 
 ITALIC = "italic as (select distinct doc, w from tokens where length(w) % 2 = 0)"
@@ -189,8 +209,8 @@ TIERED = f"""with {TOKENS}, {NORMS}, {COUNTED}, {ITALIC},
 
 
 def _tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _words(spark, sf_dir)
-    return terms.tiered(w, w.where(F.length("w") % 2 == 0).select("doc", "w"))
+    p = _paged(spark, sf_dir)
+    return terms.tiered(p, terms.vocabulary(p).where(F.length("w") % 2 == 0))
 
 
 @query(TIERED)
@@ -221,7 +241,7 @@ _TARGET_SQL = f"translate(w, '{I.LETTERS}', '{I.SYLLABLES}') || case length(w) %
 def t18_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("w") % 5
     t = F.concat(F.translate("w", I.LETTERS, I.SYLLABLES), F.when(n == 0, " 이다").when(n == 1, " {v1}").when(n == 2, "|").otherwise(""))
-    return _words(spark, sf_dir).select("doc", "w", t.alias("t")).distinct().where(terms.decided(F.col("w"), F.col("t")))
+    return terms.vocabulary(_paged(spark, sf_dir)).select("doc", "w", t.alias("t")).where(terms.decided(F.col("w"), F.col("t")))
 
 
 # --- validation
@@ -242,16 +262,16 @@ def _width_sql(c: str) -> str:
 _RUN = r"[A-Za-z][A-Za-z''’\-]*(?:\s+[A-Za-z][A-Za-z''’\-]*){5,}"
 
 
-def _leftover_cte(source: str, column: str, key: str) -> str:
-    """CTEs that end in leftover(key, run): the first run of English that stands, for every row."""
-    return f"""body as (select {key}, regexp_replace({column}, '{KEEP_SQL}', ' ', 'g') as body from {source}),
-  found as (select {key}, body, regexp_extract_all(body, '{_RUN}') as runs, string_split_regex(body, '{_RUN}') as gaps from body where {_ratio_sql('body')} >= 0.15),
-  lens as (select {key}, body, runs, list_transform(runs, lambda x: length(x)) as rl, list_transform(gaps, lambda x: length(x)) as gl from found),
-  spread as (select {key}, body, unnest(runs) as run, generate_subscripts(runs, 1) as k, gl, rl from lens),
-  placed_runs as (select {key}, k, body, run, cast(coalesce(list_sum(gl[1:k]), 0) + coalesce(list_sum(rl[1:k - 1]), 0) as bigint) as beg, string_split_regex(run, '\\s+') as ws from spread),
-  standing as (select {key}, k, run from placed_runs where len(list_filter(ws, lambda w: length(w) >= 3)) >= 4 and upper(run) <> run and len(list_filter(ws, lambda w: regexp_matches(w, '^[A-Z]'))) < len(ws) - 1
+def _leftover_cte(source: str, column: str, key: str, p: str = "") -> str:
+    """CTEs that end in leftover(key, run): the first run of English that stands, for every row; p: a prefix of their names."""
+    return f"""{p}body as (select {key}, regexp_replace({column}, '{KEEP_SQL}', ' ', 'g') as body from {source}),
+  {p}found as (select {key}, body, regexp_extract_all(body, '{_RUN}') as runs, string_split_regex(body, '{_RUN}') as gaps from {p}body where {_ratio_sql('body')} >= 0.15),
+  {p}lens as (select {key}, body, runs, list_transform(runs, lambda x: length(x)) as rl, list_transform(gaps, lambda x: length(x)) as gl from {p}found),
+  {p}spread as (select {key}, body, unnest(runs) as run, generate_subscripts(runs, 1) as k, gl, rl from {p}lens),
+  {p}placed_runs as (select {key}, k, body, run, cast(coalesce(list_sum(gl[1:k]), 0) + coalesce(list_sum(rl[1:k - 1]), 0) as bigint) as beg, string_split_regex(run, '\\s+') as ws from {p}spread),
+  {p}standing as (select {key}, k, run from {p}placed_runs where len(list_filter(ws, lambda w: length(w) >= 3)) >= 4 and upper(run) <> run and len(list_filter(ws, lambda w: regexp_matches(w, '^[A-Z]'))) < len(ws) - 1
     and not regexp_matches(substring(body, greatest(beg - 60, 0) + 1, beg + length(run) + 60 - greatest(beg - 60, 0)), '(?:^|[^\\p{{L}}\\p{{N}}_])(?:1[89]|20)\\d\\d[a-z]?(?:$|[^\\p{{L}}\\p{{N}}_])')),
-  leftover as (select {key}, min_by(run, k) as run from standing group by {key})"""
+  {p}leftover as (select {key}, min_by(run, k) as run from {p}standing group by {key})"""
 
 
 @query(f"select id, cast(round({_width_sql('src')} * 100) as bigint) as src_width, cast(round({_width_sql('tgt')} * 100) as bigint) as tgt_width from {I.PAIRS}")
@@ -267,12 +287,17 @@ def v09_leftover_english(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MARKS = lambda c: f"list_sort(regexp_extract_all({c}, '\\{{v\\d+\\}}'))"
 _LETTERS = lambda c: _count_sql(c, "A-Za-z")
-REASON = f"""with p as (select * from {I.PAIRS}), {_leftover_cte('p', 'tgt', 'id')},
-  judged as (select p.id, case when tgt is null or regexp_replace(tgt, '{_SPACE_SQL}', '', 'g') = '' then 'empty output' when {_MARKS('src')} <> {_MARKS('tgt')} then 'placeholder'
+def reason_ctes(pairs: str, p: str = "") -> str:
+    """CTEs that end in judged(id, src, tgt, reason)."""
+    return f"""{p}pairs as (select * from {pairs}), {_leftover_cte(p + 'pairs', 'tgt', 'id', p)},
+  {p}judged as (select q.id, src, tgt, case when tgt is null or regexp_replace(tgt, '{_SPACE_SQL}', '', 'g') = '' then 'empty output' when {_MARKS('src')} <> {_MARKS('tgt')} then 'placeholder'
     when len(regexp_extract_all(tgt, '(?i)[<〈＜﹤]\\s*/?\\s*style')) > len(regexp_extract_all(tgt, '</style>|<style\\s+id=[''\"][^''\"]*[''\"]\\s*>')) then 'malformed style tag'
     when regexp_matches(trim(tgt), '(?:습니다|합니다|입니다|됩니다|십시오|하세요|이에요|예요|드립니다|주세요)\\s*[.!?)\\]]?\\s*$') then 'polite ending'
     when {_LETTERS('src')} >= 12 and {_ratio_sql('tgt')} < 0.15 then 'echo' when run is not null then 'leftover English'
-    when {_LETTERS('src')} >= 12 and {_width_sql('src')} >= 10 and {_width_sql('tgt')} / {_width_sql('src')} > 1.35 then 'width' else '' end as reason from p left join leftover l on l.id = p.id)"""
+    when {_LETTERS('src')} >= 12 and {_width_sql('src')} >= 10 and {_width_sql('tgt')} / {_width_sql('src')} > 1.35 then 'width' else '' end as reason from {p}pairs q left join {p}leftover l on l.id = q.id)"""
+
+
+REASON = f"with {reason_ctes(I.PAIRS)}"
 
 
 @query(f"{REASON} select id, reason from judged")
@@ -280,7 +305,11 @@ def v11_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.pairs(docs(spark, sf_dir)).select("id", validate.reason(F.col("src"), F.col("tgt")).alias("reason"))
 
 
-@query()
+@query(f"""{REASON}, sent as (select id, id // 10 as batch, id % 10 as pos, not (id // 10 % 5 = 4 and id % 10 = 3) as sent, id % 31 = 7 as nameless, reason from judged),
+  one as (select batch, count(*) as want, count(*) filter (sent) as n, bool_or(sent and nameless) as nameless,
+    min_by(case when nameless or not sent then 'id ' || id || ' missing' else 'id ' || id || ' ' || reason end, pos) filter (nameless or not sent or reason <> '') as why from sent group by batch),
+  told as (select batch, case when n = 0 then 'not JSON' when n <> want then 'length ' || n || ' != ' || want when nameless then 'item missing id' else coalesce(why, '') end as reason from one)
+  select batch, reason = '' as ok, reason from told""")
 def v11_batch_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = I.pairs(docs(spark, sf_dir)).withColumn("batch", F.floor(F.col("id") / 10)).withColumn("pos", F.col("id") % 10)
     out = p.where((F.col("batch") % 5 != 4) | (F.col("pos") != 3)).select("batch", "pos", F.when(F.col("id") % 31 == 7, F.lit(None)).otherwise(F.col("id")).alias("id"), F.col("tgt").alias("output"))
@@ -341,14 +370,41 @@ _CACHED = f"(select sha256(text) as k, left(text, 8000) as src, tgt, ts from (se
 @query(f"select k, md5(src) as src, tgt from {_CACHED}")
 def c03_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _cache(spark, sf_dir)
-    return validate.upsert(old, new).select("k", F.md5("src").alias("src"), "tgt")
+    return validate.upsert(old.unionByName(new)).select("k", F.md5("src").alias("src"), "tgt")
 
 
 @query(f"select doc_id, tgt from documents d left join {_CACHED} c on sha256(d.text) = c.k")
 def c02_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _cache(spark, sf_dir)
     items = docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("k"))
-    return validate.lookup(items, validate.upsert(old, new)).select("doc_id", "tgt")
+    return validate.lookup(items, validate.upsert(old.unionByName(new))).select("doc_id", "tgt")
+
+
+_BATCHES = f"""(select sha256(text) as k, left(text, 8000) as src, tgt, ts from (select *, row_number() over (partition by text order by ts desc) as n from (
+  {_CACHE.format(ts=1, src='documents.text')} union all {_CACHE.format(ts=3, src='string_split(documents.text, chr(10))[1]')} union all {_CACHE.format(ts=2, src="string_split(documents.text, ' ')[1]")})) where n = 1)"""
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    """The place of a cache after three merges: whole texts, their first lines, and older rows for their first words."""
+    at = place(spark, "cache")
+    d = docs(spark, sf_dir)
+    for text, ts in ((F.col("text"), 1), (F.split("text", "\n")[0], 3), (F.split("text", " ")[0], 2)):
+        once = d.withColumn("text", text).groupBy("text").agg(F.min("lang").alias("lang"))
+        rows = once.select(F.sha2("text", 256).alias("k"), F.lit("m").alias("model"), F.col("text").alias("src"), F.concat("lang", F.lit(str(ts))).alias("tgt"), F.lit(1).alias("attempts"), F.lit(float(ts)).alias("ts"))
+        cache.merge(spark, at, rows)
+    return at
+
+
+@query(f"select k, md5(src) as src, tgt from {_BATCHES}")
+def c08_stored_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cache.read(spark, _stored(spark, sf_dir)).select("k", F.md5("src").alias("src"), "tgt")
+
+
+@query(f"select doc_id, l, tgt from (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) - 1 as l from documents) d left join {_BATCHES} c on sha256(d.t) = c.k")
+def c09_stored_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document is asked for."""
+    lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("l", "t"))
+    return cache.lookup(spark, _stored(spark, sf_dir), lines.select("doc_id", F.col("l").cast("long").alias("l"), F.sha2("t", 256).alias("k"))).select("doc_id", "l", "tgt")
 
 
 @query("select doc_id, left(sha256('\\x00'::blob || encode(text) || '\\x00'::blob || encode('p')), 12) as signature from documents")
@@ -373,11 +429,45 @@ def t17_translated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.translated(items, replies)
 
 
-@query()
+def _fault_ctes(pairs: str) -> str:
+    """CTEs that end in faults(id, kind, detail) of pairs with a target."""
+    marks = lambda c: f"(select id, m, count(*) as n from (select id, unnest(regexp_extract_all({c}, '\\{{v\\d+\\}}')) as m from q) group by all)"
+    return f"""q as (select * from {pairs}), {_leftover_cte('q', 'tgt', 'id')}, ma as {marks('src')}, mb as {marks('tgt')},
+  md as (select coalesce(ma.id, mb.id) as id, coalesce(ma.m, mb.m) as m, coalesce(ma.n, 0) as x, coalesce(mb.n, 0) as y from ma full join mb on ma.id = mb.id and ma.m = mb.m),
+  ml as (select id, array_to_string(list_sort(list(m) filter (x > y)), ', ') as missing, array_to_string(list_sort(list(m) filter (y > x)), ', ') as extra from md group by id),
+  faults as (select q.id, case when {_width_sql('src')} >= 10 and {_width_sql('tgt')} / {_width_sql('src')} > 1.35 then 'length' when run is not null then 'english' when missing <> '' or extra <> '' then 'placeholders' else 'again' end as kind,
+    case when {_width_sql('src')} >= 10 and {_width_sql('tgt')} / {_width_sql('src')} > 1.35 then printf('%.1f', {_width_sql('tgt')} / {_width_sql('src')}) || ' times as long' when run is not null then left(run, 80)
+      else concat_ws('; ', 'missing ' || nullif(missing, ''), 'invented ' || nullif(extra, '')) end as detail from q left join leftover l on l.id = q.id left join ml on ml.id = q.id)"""
+
+
+@query(f"with {_fault_ctes(I.PAIRS)} select id, kind, detail from faults")
 def v12_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.hint(I.pairs(docs(spark, sf_dir)))
 
 
+_SILENT = f"(select id, id // 10 as batch, src, case when length(src) % 31 = 7 or id // 10 % 6 = 5 then null else tgt end as said, coalesce(said, '') as tgt from {I.PAIRS})"
+
+
+@query(f"""with {_fault_ctes(_SILENT)}, ranked as (select f.id, batch, kind, detail, list_position(['length', 'english', 'placeholders', 'again'], kind) as rank from faults f join q on q.id = f.id),
+  gravest as (select batch, min(rank) as rank from ranked group by batch), replied as (select batch, count(said) > 0 as some_said from q group by batch),
+  lines as (select r.batch, count(*) as items, string_agg('id ' || id || ': ' || detail, chr(10) order by id) as details from ranked r join gravest g on g.batch = r.batch and g.rank = r.rank where kind <> 'again' group by r.batch)
+  select s.batch, case when not some_said then 'reply' else ['length', 'english', 'placeholders', 'again'][rank] end as kind, case when some_said then coalesce(items, 0) else 0 end as items, md5(case when some_said then coalesce(details, '') else '' end) as details
+  from replied s join gravest g on g.batch = s.batch left join lines l on l.batch = s.batch""")
+def v12_batch_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some items have no reply, and all of some batches."""
+    p = I.pairs(docs(spark, sf_dir)).withColumn("batch", F.floor(F.col("id") / 10))
+    silent = (F.length("src") % 31 == 7) | (F.col("batch") % 6 == 5)
+    out = validate.batch_hint(p.withColumn("tgt", F.when(~silent, F.col("tgt"))))
+    return out.select("batch", "kind", "items", F.md5("details").alias("details"))
+
+
+@query(f"""with h as (select sha256(l || chr(0) || r) as h from (select distinct unnest(regexp_extract_all(text, '{_PAIR_SQL}', 1)) as l, unnest(regexp_extract_all(text, '{_PAIR_SQL}', 2)) as r from {I.DAMAGED})),
+  n as (select count(*) as n, coalesce(sum(cast('0x' || substr(h, 1, 15) as bigint)), 0) as a, coalesce(bit_xor(cast('0x' || substr(h, 16, 15) as bigint)), 0) as b from h)
+  select left(sha256(concat_ws(chr(0), '{validate.sources_digest()}', '20 {validate.WIDTH_MAX}', 'own rules', n, a, b)), 12) as fingerprint from n""")
+def c05_rules_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.rules_fingerprint(ligature.pairs(I.damaged(docs(spark, sf_dir))), "own rules")
+
+
 _MADE = "case id % 4 when 0 then 'whole' when 1 then 'fragment' when 2 then 'source' else 'rescue' end"
 
 
@@ -496,12 +586,12 @@ def r10_leftover_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _recoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).where("doc_id % 3 <> 0").select(F.lit("b").alias("doc"), F.col("doc_id").alias("page"), F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"))
+    d = docs(spark, sf_dir).select(F.lit("b").alias("doc"), F.col("doc_id").alias("page"), F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"))
     action = F.element_at(F.array(F.lit("retranslated"), F.lit("reverted"), F.lit("kept")), ((F.col("page") + F.col("seq")) % 3 + 1).cast("int"))
     return d.select("doc", "page", "seq", action.alias("action"), F.when(F.col("page") % 7 == 0, "by hand").otherwise("").alias("note"))
 
 
-_RECOVERIES = "(select 'b' as doc, doc_id as page, seq, case (doc_id + seq) % 3 when 0 then 'retranslated' when 1 then 'reverted' else 'kept' end as action, case when doc_id % 7 = 0 then 'by hand' else '' end as note from documents, (values (1), (2)) s(seq) where doc_id % 3 <> 0)"
+_RECOVERIES = "(select 'b' as doc, doc_id as page, seq, case (doc_id + seq) % 3 when 0 then 'retranslated' when 1 then 'reverted' else 'kept' end as action, case when doc_id % 7 = 0 then 'by hand' else '' end as note from documents, (values (1), (2)) s(seq))"
 
 
 @query(f"{LAYOUT} select v.page, reasons, case when coalesce(note, '') <> '' then note when action = 'retranslated' then action when action = 'reverted' then 'original restored' when action = 'kept' then 'kept' else 'none' end as action from verdict v left join (select * from {_RECOVERIES} where seq = 2) r on r.page = v.page where reasons <> ''")
@@ -515,9 +605,9 @@ def r07_report_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.header(_verdicts(spark, sf_dir), _recoveries(spark, sf_dir), none).select("pages", "broken", "reverted")
 
 
-@query(f"{LAYOUT}, c as (select id as page, tgt, id % 11 <> 5 as fits, case when id % 13 = 0 then 0.2 else 0.0 end as bad from {I.PAIRS} where id % 5 <> 2) select v.page, case when tgt is null or not (len(list_filter(string_split_regex(tgt, '{_SPACE_SQL}+'), lambda w: w <> '')) >= 15 and {_ratio_sql('tgt')} >= 0.3) or not fits or bad > 0.15 then 'reverted' else 'retranslated' end as action from verdict v left join c on c.page = v.page where overlap > 0.15 or outside > 0.10 or collision > 0.10")
+@query(f"{LAYOUT}, c as (select id as page, tgt, id % 11 <> 5 as fits, case when id % 13 = 0 then 0.2 else 0.0 end as bad from {I.PAIRS}) select v.page, case when tgt is null or not (len(list_filter(string_split_regex(tgt, '{_SPACE_SQL}+'), lambda w: w <> '')) >= 15 and {_ratio_sql('tgt')} >= 0.3) or not fits or bad > 0.15 then 'reverted' else 'retranslated' end as action from verdict v left join c on c.page = v.page where overlap > 0.15 or outside > 0.10 or collision > 0.10")
 def r03_repair_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = I.pairs(docs(spark, sf_dir)).where("id % 5 <> 2")
+    p = I.pairs(docs(spark, sf_dir))
     c = p.select(F.lit("b").alias("doc"), F.col("id").alias("page"), F.col("tgt").alias("text"), (F.col("id") % 11 != 5).alias("fits"), F.when(F.col("id") % 13 == 0, 0.2).otherwise(0.0).alias("overlap"), F.lit(0.0).alias("outside"), F.lit(0.0).alias("collision"))
     return audit.repaired(_verdicts(spark, sf_dir).where(layout.severe()), c).select("page", "action")
 
@@ -614,7 +704,7 @@ def k09_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.batches(docs(spark, sf_dir).select(F.col("source").alias("doc"), "doc_id"), [F.col("doc_id")], 12)
 
 
-@query()
+@query(f"with {TOKENS} select distinct doc, w from (select doc, unnest(string_split_regex({_letters_sql('raw')}, ' +')) as w from tokens where length(w) % 2 = 0) where w <> ''")
 def t03_italic_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of even length stand in for words set in italics."""
     w = _words(spark, sf_dir)

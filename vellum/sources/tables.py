@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,16 +44,46 @@ def glossary_problem(spark: SparkSession, path: str) -> str:
     return "" if len(lines) > 1 else "no rows"
 
 
+def glossary_problems(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, problem) of every file of a folder, in one scan: why it cannot be used as a glossary, or the empty string.
+
+    A file that cannot be read has no lines among those that can be, and is told from an empty one by its length. The first line is
+    the one of the first place in the first part that Spark cuts the file into. Names and lengths are listed by the driver,
+    as Spark lists them for any scan, since its readers leave empty files out.
+    """
+    name = F.regexp_extract("_metadata.file_path", "[^/]*$", 0).alias("file")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    files = spark.createDataFrame([(f.getPath().getName(), f.getLen()) for f in listed if f.isFile() and f.getPath().getName()[0] not in "._"], "file string, length long")
+    lines = spark.read.option("ignoreCorruptFiles", True).text(folder)
+    lines = lines.select(name, F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("at"), "value")
+    each = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"), F.count(F.lit(1)).alias("n"))
+    cells = F.transform(F.split(F.regexp_replace("head", "^\ufeff", ""), ","), lambda c: F.lower(F.btrim(F.btrim(c), F.lit('"'))))
+    right = (F.get(cells, F.lit(0)) == "source") & (F.get(cells, F.lit(1)) == "target")
+    problem = F.when(F.col("head").isNull() & (F.col("length") > 0), "unreadable").when(~F.coalesce(right, F.lit(False)), "header is not source,target").when(F.col("n") < 2, "no rows").otherwise("")
+    return files.join(each, "file", "left").select("file", problem.alias("problem"))
+
+
+def bad_events(spark: SparkSession, path: str, schema: str = EVENT) -> DataFrame:
+    """(file, line) of the lines that ``read_events`` skips."""
+    lines = spark.read.text(path).select(F.regexp_extract("_metadata.file_path", "[^/]*$", 0).alias("file"), F.col("value").alias("line"))
+    told = F.from_json("line", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return lines.where(F.btrim("line") != "").where(told["_bad"].isNotNull())
+
+
 def write_ligatures(pairs: DataFrame, path: str) -> None:
     pairs.write.mode("overwrite").parquet(path)
 
 
 def read_ligatures(spark: SparkSession, path: str) -> DataFrame:
-    """Pairs (l, r); an unreadable table is an empty one."""
+    """Pairs (l, r); files that are no table are left out, and a table that is not there is an empty one."""
+    schema = "l string, r string"
     try:
-        return spark.read.schema("l string, r string").parquet(path)
-    except Exception:  # noqa: BLE001
-        return spark.createDataFrame([], "l string, r string")
+        return spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def fonts_without_unicode(lines: DataFrame) -> DataFrame:
