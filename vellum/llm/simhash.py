@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot, text_bytes
+from .common import cut, give_back, join_hot, text_bytes
 from .graph import components
 
 BITS = 64
@@ -60,6 +60,7 @@ def fingerprints(df: DataFrame, *, text: str = "text", out: str = "fp", width: i
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 made = np.array([fingerprint(x, width) for x in text_bytes(part.column(len(kept)))], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(made)], schema.names)
+            give_back()
 
     return df.select(*kept, text).mapInArrow(run, schema)
 
@@ -156,6 +157,7 @@ def _with_sets(df: DataFrame, text: str, width: int, whole: bool) -> DataFrame:
                     names = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
                     made = [pa.array(names), pa.array([len(x) for x in sets], pa.int64()), pa.array([band_keys(x) for x in sets], longs)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], schema.names)
+            give_back()
 
     return df.select(*kept, text).mapInArrow(run, schema)
 

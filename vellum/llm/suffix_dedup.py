@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, join_hot, rows_of, text_bytes
+from .common import cut, give_back, join_hot, rows_of, text_bytes
 
 SPAN = 200
 GRAM = 48
@@ -167,6 +167,7 @@ def regions(texts: DataFrame, span: int, gram: int) -> DataFrame:
                 more = [None if k == 1 else place[h + 1 : h + k].tobytes() for h, k in zip(head.tolist(), n.tolist(), strict=True)] if (n > 1).any() else [None] * len(head)
                 docs = pa.array(owner[head] + begin)
                 yield pa.record_batch([pa.array(key[head]), pa.array(content[head]), rows_of(batch, "id").take(docs), rows_of(batch, "th").take(docs), pa.array(place[head]), pa.array(count[head].astype(np.int32)), pa.array(more, pa.binary()), pa.array(n.astype(np.int32))], names=["ah", "rh", "id", "th", "p", "w", "more", "n"])
+            give_back()
 
     return texts.select("id", "th", "text").mapInArrow(run, f"ah long, rh long, id {kind}, th long, p int, w int, more binary, n int")
 
@@ -379,6 +380,7 @@ def dedup(df: DataFrame, *, key: str = "doc_id", text: str = "text", span: int =
                     spans.append([{"start": a, "end": b} for a, b in runs.tolist()])
                     kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if len(runs) else data)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if decoded else pa.array(kept, pa.binary()), *part.columns[3:]], ["id", "n_bytes", "spans", "kept", *part.schema.names[3:]])
+            give_back()
 
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     made = [T.StructField("n_bytes", T.LongType()), T.StructField("spans", spans), T.StructField("kept", T.StringType() if decoded else T.BinaryType())]

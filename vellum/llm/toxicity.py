@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_of, steps
+from .common import give_back, rows_of, steps
 
 #: Labelled rows of each class that the fit may use, and bytes of their texts; a text of over a quarter of these is not used.
 SAMPLE = 1500
@@ -294,6 +294,7 @@ def score(df: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 own = [rows_of(part, "_text" if c == text else c) for c in carried]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(found, lengths)), pa.array(spans, kind), *own], [key, "score", "spans", *carried])
+            give_back()
 
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([df.schema[key], T.StructField("score", T.DoubleType()), T.StructField("spans", spans), *(df.schema[c] for c in carried)])
