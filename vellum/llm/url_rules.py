@@ -54,11 +54,15 @@ def curated(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return rule, verdict
 
 
+#: A host's name has so many labels at most; of what is no name the suffixes go no further.
+LABELS = 127
+
+
 def tokens(host: Column, path: Column, rest: Column) -> Column:
     """Distinct tokens: the host's labels and their parts, its suffixes, the path's segments by place, its ending and the query's names."""
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     n = F.size(labels)
-    suffixes = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, n - i + 1, i), ".")))).otherwise(F.array().cast("array<string>"))
+    suffixes = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.least(n, F.lit(LABELS))), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, n - i + 1, i), ".")))).otherwise(F.array().cast("array<string>"))
     words = F.transform(F.filter(F.split(host, r"[.\-]"), lambda x: x != ""), lambda x: F.concat(F.lit("h:"), x))
     segments = F.filter(F.split(path, "/"), lambda x: (x != "") & ~F.regexp_like(x, F.lit(r"[0-9]")))
     placed = F.transform(segments, lambda x, i: F.concat(F.lit("p"), i.cast("string"), F.lit(":"), x))
