@@ -7,8 +7,8 @@ any common boundary fills the overlap, pre-tokenising goes on from the last sett
 next chunk's boundaries are met. The stitched pieces are then encoded, each by itself. Decoding
 concatenates the raw bytes of the ids.
 
-The pattern's classes are those of the tokenizer library, asked of it once a worker. A very long text is pre-tokenised by many
-tasks; its stitched pieces are encoded in one. Null texts count as empty, empty texts have no ids, rows that repeat are kept, columns other than those
+The pattern's classes are those of the tokenizer library, asked of it once a worker. Every text goes this way; one of a single
+chunk has nothing to stitch. A very long text is pre-tokenised by many tasks; its stitched pieces are encoded in one. Ties cannot occur. Null texts count as empty, empty texts have no ids, rows that repeat are kept, columns other than those
 asked for are not touched.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_of
+from .common import give_back, rows_of
 
 #: Pieces held in memory for reuse; beyond that the table is emptied, which no result depends on.
 KEPT = 400_000
@@ -44,10 +45,20 @@ def matched(source: str) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first.tolist(), last.tolist(), strict=True))
 
 
+#: Code points below this have a pattern of their own, whose classes are short.
+LATIN = 0x250
+_BEYOND = re.compile(f"[^\0-{chr(LATIN - 1)}]")
+
+
 @functools.cache
-def pattern(source: str) -> regex.Pattern:
-    """The pre-token pattern with its classes spelt out as the library has them: editions of Unicode differ in letters and numbers."""
+def pattern(source: str, latin: bool = False) -> regex.Pattern | re.Pattern:
+    """The pre-token pattern with its classes spelt out as the library has them: editions of Unicode differ in letters and numbers.
+
+    latin: for texts below ``LATIN`` only, where the classes end there too.
+    """
     classes = {k: matched(k) for k in (r"\p{L}", r"\p{N}", r"\s")}
+    if latin:
+        classes = {k: "".join(re.escape(c) for c in map(chr, range(LATIN)) if regex.match(f"[{v}]", c)) for k, v in classes.items()}
     out, inside, i = [], False, 0
     while i < len(source):
         token = next((k for k in (*classes, r"\S") if source.startswith(k, i)), source[i : i + 2] if source[i] == "\\" else source[i])
@@ -57,7 +68,7 @@ def pattern(source: str) -> regex.Pattern:
         else:
             out.append(f"[^{classes[chr(92) + 's']}]" if token == r"\S" else token)
         i += len(token)
-    return regex.compile("".join(out))
+    return (re if latin else regex).compile("".join(out))
 
 
 @functools.cache
@@ -93,7 +104,7 @@ def chunks(text: str, size: int, overlap: int) -> list[tuple[int, str]]:
 
 def boundaries(source: str, chunk: str) -> np.ndarray:
     """Starts of the pre-tokens of a chunk, and its length at the end."""
-    return np.fromiter((m.start() for m in pattern(source).finditer(chunk)), np.int64, -1) if chunk else np.zeros(0, np.int64)
+    return np.fromiter((m.start() for m in pattern(source, not _BEYOND.search(chunk)).finditer(chunk)), np.int64, -1) if chunk else np.zeros(0, np.int64)
 
 
 def stitch(source: str, text: str, parts: list[tuple[int, np.ndarray]], size: int, overlap: int) -> np.ndarray:
@@ -131,18 +142,24 @@ def _list_array(blobs: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(blobs))]))
 
 
-def encode(df: DataFrame, path: str, source: str, *, key: str = "doc_id", text: str = "text", chunk_chars: int = 1 << 16, overlap: int = 1 << 10) -> DataFrame:
-    """(key, ids) of each row. Texts beyond one chunk have their chunks dealt over the cluster."""
+def encode(df: DataFrame, path: str, source: str, *, key: str = "doc_id", text: str = "text", chunk_chars: int = 1 << 11, overlap: int = 1 << 8, spread_chars: int = 1 << 16) -> DataFrame:
+    """(key, ids) of each row. Texts of over ``spread_chars`` characters have their chunks dealt over the cluster, others are cut and stitched in one task."""
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    is_long = F.length("_text") > chunk_chars
+    is_long = F.length("_text") > spread_chars
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_one = pieces(path, source).core.encode_to_numpy  # one chunk has nothing to stitch: the library splits it
+    def stitched(whole: str, parts: list[tuple[int, np.ndarray]]) -> bytes:
+        known = pieces(path, source)
+        starts = stitch(source, whole, parts, chunk_chars, overlap).tolist()
+        return b"".join([known[whole[a:b]] for a, b in zip(starts, [*starts[1:], len(whole)], strict=True)]) if whole else b""
+
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                blobs = [encode_one(x, disallowed_special=()).astype("<u4").tobytes() for x in part.column(1).to_pylist()]
+                blobs = [stitched(x, [(a, boundaries(source, c)) for a, c in chunks(x, chunk_chars, overlap)]) for x in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), _list_array(blobs)], names=[key, "ids"])
+        pieces(path, source).clear()
+        give_back()
 
     def pre_tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,13 +169,11 @@ def encode(df: DataFrame, path: str, source: str, *, key: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays([*one.columns, pa.array([starts], pa.list_(pa.int64()))], [*one.schema.names, "starts"])
 
     def join(group: pa.Table) -> pa.Table:
-        known = pieces(path, source)
         group = group.sort_by("n")
         at = [n * chunk_chars for n in group["n"].to_pylist()]
         whole = "".join(c[:chunk_chars] for c in group["chunk"].to_pylist())
-        starts = stitch(source, whole, [(a, np.array(s, np.int64)) for a, s in zip(at, group["starts"].to_pylist(), strict=True)], chunk_chars, overlap).tolist()
-        blob = b"".join(known[whole[a:b]] for a, b in zip(starts, [*starts[1:], len(whole)], strict=True))
-        return pa.table([group[key].slice(0, 1), _list_array([blob])], names=[key, "ids"])
+        parts = [(a, np.array(s, np.int64)) for a, s in zip(at, group["starts"].to_pylist(), strict=True)]
+        return pa.table([group[key].slice(0, 1), _list_array([stitched(whole, parts)])], names=[key, "ids"])
 
     cut_up = (
         rows.where(is_long)
@@ -167,7 +182,7 @@ def encode(df: DataFrame, path: str, source: str, *, key: str = "doc_id", text:
         .repartition("_row", "n")
     )
     joined = cut_up.mapInArrow(pre_tokenise, f"{key} {kind}, _row long, n int, chunk string, starts array<bigint>").groupBy("_row").applyInArrow(join, f"{key} {kind}, ids array<int>")
-    return rows.where(~is_long).mapInArrow(short, f"{key} {kind}, ids array<int>").unionByName(joined)
+    return rows.where(~is_long).mapInArrow(here, f"{key} {kind}, ids array<int>").unionByName(joined)
 
 
 def decode(df: DataFrame, path: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
