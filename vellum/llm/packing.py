@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import give_back
+
 #: Words held in memory for reuse; beyond that the table is emptied, which no result depends on.
 KEPT = 400_000
 KEPT_CHARS = 64
@@ -89,6 +91,11 @@ class Words(dict):
             self[word] = ids
         return ids
 
+    def forget(self) -> None:
+        """Drop what is held for reuse: a worker lives on between tasks, whether or not these need it."""
+        self.clear()
+        self.pieces.clear()
+
     def text(self, text: str | None) -> bytes:
         runs = [] if not text else [x for x in _SPACE.split(text) if x] if _INFO_SEPARATORS.search(text) else text.split()
         return b"".join(map(self.__getitem__, runs))
@@ -129,6 +136,8 @@ def pack(df: DataFrame, path: str, *, end_id: int, longest: int = 2048, key: str
                 owner = np.repeat(np.arange(len(blobs)), counts)
                 tokens = np.array([len(b) // 4 for b in blobs])[owner]
                 yield pa.record_batch([part.column(0).take(pa.array(owner)), pa.array((ends[:-1] - first).astype(np.int64)), ids, pa.array(tokens), pa.array(lengths)], names=[key, "start", "ids", "doc_tokens", "bucket"])
+        known.forget()
+        give_back()
 
     return df.select(key, text).mapInArrow(run, f"{key} {kind}, start long, ids binary, doc_tokens long, bucket int")
 

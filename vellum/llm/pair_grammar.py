@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import word_ids
+from .common import give_back
 
 #: Ids after which a shard is closed.
 SHARD = 1 << 21
@@ -265,6 +266,8 @@ def write(df: DataFrame, at: str, path: str, *, end_id: int, key: str = "doc_id"
                         yield close()
         if held:
             yield close()
+        known.words.forget()
+        give_back()
 
     docs.mapInArrow(run, f"part int, number int, before long, n_ids long, keys array<{kind}>, body binary").write.parquet(at)
 

@@ -248,6 +248,7 @@ def fit(df: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "t
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("_key", "ascending")])
         model = train(group["_text"].to_pylist(), group["_y"].to_numpy().astype(np.int64), share)
+        give_back()
         return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
     got = fitting.groupBy("_g").applyInArrow(run, "model binary").first()
