@@ -331,3 +331,74 @@ def test_torn_tables_and_lines(spark, tmp_path):
     assert [(r["file"], r["line"]) for r in tables.bad_events(spark, str(tmp_path / "log")).collect()] == [("a.json", '{"name": torn')]
     tables.append_events(tables.read_events(spark, str(tmp_path / "log")), str(tmp_path / "log"))
     assert tables.read_events(spark, str(tmp_path / "log")).count() == 2
+
+
+def test_replacing_a_table_by_itself(spark, tmp_path):
+    at = str(tmp_path / "t")
+    tables.replace_table(spark.range(3), at)
+    tables.replace_table(spark.read.parquet(at).selectExpr("id + 10 as id"), at)
+    assert sorted(r["id"] for r in spark.read.parquet(at).collect()) == [10, 11, 12] and os.listdir(tmp_path) == ["t"]
+    with pytest.raises(Exception, match="torn"):
+        tables.replace_table(spark.read.parquet(at).select(F.raise_error(F.lit("torn")).cast("long").alias("id")), at)
+    assert spark.read.parquet(at).count() == 3 and not tables.restored(spark, at)
+    os.rename(at, f"{at}.before")
+    assert tables.restored(spark, at) and spark.read.parquet(at).count() == 3
+
+
+# --- replies
+
+
+def test_brackets_equal_a_stack(spark):
+    from vellum.operators import protocol
+
+    rng = random.Random(7)
+    parts = ["[", "]", "[", "]", "a", ", ", '[{"id":1,"output":"b"}]', '[{"id":2}', "{}", " "]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(300)] + ["[" * 2000 + "]" * 2000, None]
+
+    def plain(text):
+        open_, found = [], set()
+        for at in range(len(text) - 1, -1, -1):
+            if text[at] == "]":
+                open_.append(at)
+            elif text[at] == "[" and open_:
+                found.add((at, open_.pop() + 1))
+        return found
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got: dict = {}
+    for r in protocol.slices(df).collect():
+        got.setdefault(r["id"], set()).add((r["begin"], r["stop"]))
+    assert {i: got.get(i, set()) for i in range(len(texts))} == {i: plain(t or "") for i, t in enumerate(texts)}
+
+    def last(text):
+        for a, b in sorted(plain(text), key=lambda x: -x[1]):
+            try:
+                value = json.loads(text[a:b])
+            except ValueError:
+                continue
+            if value and isinstance(value[0], dict):
+                return a, b
+        return -1, -1
+
+    places = {r["id"]: (r["begin"], r["stop"]) for r in protocol.array_places(df, text="text").collect()}
+    assert places == {i: last(t or "") for i, t in enumerate(texts)} and len(set(places.values())) > 5
+
+
+def test_parsed_items(spark):
+    from vellum.operators import protocol
+
+    raws = ['[{"id": 1, "output": "a"}, 5, {"id": "x", "output": 7}, {"output": "b"}]', '```json\n[{"id":1,"output":"a"}]\n```', "```[] ```", "[1, 2]", 'so [1] and [{"id":2,"output":"c"}] end ]', '[{"id":3,"output":"d', "none", None]
+    rows = protocol.parsed(spark.createDataFrame(list(enumerate(raws)), "id int, raw string")).collect()
+    got = {r["id"]: (None if r["items"] is None else [tuple(x) for x in r["items"]], r["repaired"]) for r in rows}
+    assert got == {0: ([("1", "a"), ("x", None), (None, "b")], False), 1: ([("1", "a")], False), 2: ([], False), 3: ([], False), 4: ([("2", "c")], False), 5: ([("3", "d")], True), 6: (None, False), 7: (None, False)}
+
+
+def test_operands_wait_for_their_operator():
+    from vellum.operators import hidden
+
+    shown = lambda data: [(x.characters, x.inside) for x in hidden.shown(data)]
+    assert shown(b"BT (abc) 0 0 Td Tj ET") == [(3, True)]
+    assert shown(b"BT (abc) Tj Tj ET") == [(3, True), (1, True)]
+    assert shown(b"q 0 0 10 10 re W n BT 50 50 Td (ab) Tj ET Q") == [(2, False)]
+    assert shown(b"0 0 10 10 re 1 1 W n BT 2 2 Td (ab) Tj ET") == [(2, True)]
+    assert shown(b"q 2 0 0 2 0 0 cm 0 0 50 50 re W n BT (xy) 250 250 Td Tj ET Q") == [(2, False)]

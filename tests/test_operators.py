@@ -91,8 +91,8 @@ def test_keep_terms_falls_back_to_whole_batches(spark):
     ("raw", "out"),
     [('[{"id":1,"output":"a"}]', 1), ('```json\n[{"id":1,"output":"a"}]\n```', 1), ("prose", None), ('see [[x]] then [{"id":0,"output":"b"}]', 1), ('[{"id":0,"output":"b"}', 1), ('[{"id":0,"output":"b"', 1), ('[{"id":0,"output":"b', 1), ('[{"id":0,"outp', None), ("[]", 0)],
 )
-def test_parse(raw, out):
-    got = protocol.parse(raw)[0]
+def test_parse(spark, raw, out):
+    got = protocol.parsed(spark.createDataFrame([(1, raw)], "id int, raw string")).first()["items"]
     assert (None if got is None else len(got)) == out
 
 

@@ -61,7 +61,8 @@ def woven(parts: Column, marks: Column) -> Column:
 def repair(c: Column, composed: bool = True) -> Column:
     """Damaged text mended outside of placeholders and style tags; null and empty stay."""
     parts = F.transform(runs(c), ligature)
-    parts = compose(parts) if composed else parts
+    # only texts beyond ASCII leave the JVM; composition changes no others
+    parts = F.coalesce(compose(F.when(F.regexp_like(c, F.lit(r"[^\x00-\x7f]")), parts)), parts) if composed else parts
     return woven(F.transform(parts, scrub), kept(c))
 
 

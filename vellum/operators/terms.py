@@ -187,9 +187,9 @@ def italic_words(spans: DataFrame, *, doc: str = "doc", text: str = "text", font
 
 
 def translated(items: DataFrame, replies: DataFrame) -> DataFrame:
-    """(idx, term, target) of items (idx, term) from replies (term, target): met by lower-case term, or by the item as it stands; null where none.
+    """(idx, term, target) of items (idx, term) from replies (pos, term, target): met by lower-case term, or by the item as it stands; null where none.
 
-    Of replies to one term the greatest counts.
+    Of replies to one term the last by ``pos`` counts.
     """
-    known = replies.where(F.col("target").isNotNull()).groupBy(F.lower(F.trim("term")).alias("_t")).agg(F.max("target").alias("target"))
+    known = replies.where(F.col("target").isNotNull()).groupBy(F.lower(F.trim("term")).alias("_t")).agg(F.max_by("target", "pos").alias("target"))
     return items.withColumn("_t", F.lower(F.trim("term"))).join(known, "_t", "left").select("idx", "term", "target")

@@ -37,13 +37,12 @@ def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select conv_id as id, count(*) as n, false or (conv_id % 4 = 2) as repaired from conversations group by conv_id")
 def j03_parse_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _replies(spark, sf_dir).select("id", protocol.parse_output("raw").alias("p"))
-    return p.select("id", F.size("p.items").cast("long").alias("n"), "p.repaired")
+    return protocol.parsed(_replies(spark, sf_dir)).select("id", F.size("items").cast("long").alias("n"), "repaired")
 
 
 @query("select conv_id as id, conv_id % 4 <> 2 as found from (select distinct conv_id from conversations)")
 def j01_last_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _replies(spark, sf_dir).select("id", protocol.array_place("raw").alias("p")).select("id", (F.col("p.begin") >= 0).alias("found"))
+    return protocol.array_places(_replies(spark, sf_dir)).select("id", (F.col("begin") >= 0).alias("found"))
 
 
 #: conversations as the JSON that ``_replies`` makes of them: js whole, raw as replied.
@@ -54,10 +53,23 @@ _REPLIES = """(select id, case id % 4 when 1 then '```json' || chr(10) || js ||
 @query(f"""select id, case id % 4 when 0 then n when 1 then '```json' || chr(10) || n || chr(10) || '```' when 3 then 'as [asked]: ' || n || ' done' else raw end as raw from (
   select id, raw, '[{{"id":' || id || ',"output":"x"}}]' as n from {_REPLIES})""")
 def j02_swap_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _replies(spark, sf_dir).withColumn("p", protocol.array_place("raw"))
+    r = _replies(spark, sf_dir)
+    p = r.join(protocol.array_places(r), "id")
     items = F.array(F.struct(F.col("id").alias("id"), F.lit("x").alias("output")))
-    new = protocol.swapped(F.col("raw"), F.col("p.begin"), F.col("p.stop"), items)
-    return p.select("id", F.when(F.col("p.begin") >= 0, new).otherwise(F.col("raw")).alias("raw"))
+    new = protocol.swapped(F.col("raw"), F.col("begin"), F.col("stop"), items)
+    return p.select("id", F.when(F.col("begin") >= 0, new).otherwise(F.col("raw")).alias("raw"))
+
+
+@query(f"""select id, case when id % 2 = 0 then length(lead) else -1 end as begin, case when id % 2 = 0 then length(lead) + length(js) else -1 end as stop from (
+  select id, case id % 3 when 0 then 'see [[x]] ] then ' when 1 then '] [1, 2] [[ ' else '[{{"id": broken]] ' end as lead, js from (select conv_id as id, '[' || string_agg('{{"id":"' || turn || '","output":' || cast(to_json(text) as varchar) || '}}', ',' order by cast(turn as varchar), text) || ']' as js from conversations group by conv_id))""")
+def j01_decoys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays among other brackets; every second one is cut in two, so that nothing is left to be found."""
+    c = I.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").cast("string").alias("id"), F.col("text").alias("output")))).alias("items"))
+    n = F.col("conv_id") % 3
+    lead = F.when(n == 0, "see [[x]] ] then ").when(n == 1, "] [1, 2] [[ ").otherwise('[{"id": broken]] ')
+    js = F.to_json("items")
+    raw = F.concat(lead, F.when(F.col("conv_id") % 2 == 0, js).otherwise(F.concat(F.lit("["), F.substring(js, F.lit(3), F.length(js)))), F.lit(" [and] so [ on"))
+    return protocol.array_places(c.select(F.col("conv_id").alias("id"), raw.alias("raw"))).select("id", F.col("begin").cast("long").alias("begin"), F.col("stop").cast("long").alias("stop"))
 
 
 @query("select conv_id as id, case when conv_id % 4 = 0 then count(distinct turn) else 0 end as n from conversations group by conv_id")
@@ -71,10 +83,17 @@ def j05_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc, page, data): each document's lines as show operators, every third outside of the clip."""
-    line = lambda x, i: F.concat(F.lit("BT "), F.when(i % 3 == 2, F.lit("500 500")).otherwise(F.lit("10 10")), F.lit(" Td ("), F.regexp_replace(x, r"[()\\]", "."), F.lit(") Tj ET"))
-    body = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
-    return I.table(spark, sf_dir, "documents").select(F.lit("b").alias("doc"), F.col("doc_id").alias("page"), F.encode(F.concat(F.lit("q 0 0 100 100 re W n\n"), F.regexp_replace(body, r"[^\x00-\x7f]", "?"), F.lit("\nQ")), "UTF-8").alias("data"))
+    """(doc, page, data): each document's lines as show operators, every third outside of the clip.
+
+    Texts of odd length are drawn at twice their size and half the numbers, with the string before its place.
+    """
+    odd = F.length("text") % 2 == 1
+    line = lambda x, i: F.regexp_replace(x, r"[()\\]", ".")  # noqa: E731, ARG005
+    place = lambda i, far, near: F.when(i % 3 == 2, F.lit(far)).otherwise(F.lit(near))
+    shown = lambda x, i: F.when(odd, F.concat(F.lit("BT ("), line(x, i), F.lit(") "), place(i, "250 250", "5 5"), F.lit(" Td Tj ET"))).otherwise(F.concat(F.lit("BT "), place(i, "500 500", "10 10"), F.lit(" Td ("), line(x, i), F.lit(") Tj ET")))
+    body = F.array_join(F.transform(F.split("text", "\n"), shown), "\n")
+    head = F.when(odd, F.lit("q 2 0 0 2 0 0 cm 0 0 50 50 re W n\n")).otherwise(F.lit("q 0 0 100 100 re W n\n"))
+    return I.table(spark, sf_dir, "documents").select(F.lit("b").alias("doc"), F.col("doc_id").alias("page"), F.encode(F.concat(head, F.regexp_replace(body, r"[^\x00-\x7f]", "?"), F.lit("\nQ")), "UTF-8").alias("data"))
 
 
 @query("""select page, cast(coalesce(sum(length(l)) filter (i % 3 = 0), 0) as bigint) as hidden, cast(coalesce(sum(length(l)) filter (i % 3 <> 0), 0) as bigint) as shown from (
@@ -96,10 +115,10 @@ def h08_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with w as (select doc_id as page, unnest(string_split(text, ' ')) as w from documents), c as (select page, w, count(*) as n from w group by all)
-  select page, cast(sum(case when length(w) % 7 = 6 then n else 0 end) as bigint) as lost, sum(case when length(w) % 7 = 6 then n else 0 end) <= 3 and sum(case when length(w) % 7 = 6 then n else 0 end) / sum(n)::double <= 0.2 as ok from c group by page""")
+  select page, cast(sum(case when regexp_matches(w, '[A-Z]') then n else 0 end) as bigint) as lost, sum(case when regexp_matches(w, '[A-Z]') then n else 0 end) <= 3 and sum(case when regexp_matches(w, '[A-Z]') then n else 0 end) / sum(n)::double <= 0.2 as ok from c group by page""")
 def h10_loss_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = I.table(spark, sf_dir, "documents").select(F.lit("b").alias("doc"), F.col("doc_id").alias("page"), F.explode(F.split("text", " ")).alias("w"))
-    both = w.withColumn("side", F.lit("before")).unionByName(w.where(F.length("w") % 7 != 6).withColumn("side", F.lit("after")))
+    both = w.withColumn("side", F.lit("before")).unionByName(w.where(~F.regexp_like("w", F.lit("[A-Z]"))).withColumn("side", F.lit("after")))
     return hidden.accepted(both).select("page", "lost", "ok")
 
 
@@ -129,9 +148,9 @@ def p05_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slides.applied(d, new).select("slide", F.col("i").cast("long").alias("i"), F.md5("text").alias("text"))
 
 
-@query("select doc_id, coalesce(cast(round(case when doc_id % 3 = 0 then null else greatest(8.0, (doc_id % 50) * 0.85) end * 100) as bigint), -1) as size from documents")
+@query("select doc_id, coalesce(cast(round(case when length(text) % 3 = 0 then null else greatest(8.0, (length(text) % 50) * 0.85) end * 100) as bigint), -1) as size from documents")
 def p06_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.when(F.col("doc_id") % 3 != 0, (F.col("doc_id") % 50).cast("double"))
+    size = F.when(F.length("text") % 3 != 0, (F.length("text") % 50).cast("double"))
     return I.table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.round(slides.shrunk(size) * 100).cast("long"), F.lit(-1)).alias("size"))
 
 
@@ -140,16 +159,16 @@ def p07_reply_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.pairs(I.table(spark, sf_dir, "documents")).select("id", slides.verdict(F.col("tgt")).alias("verdict"))
 
 
-@query("select doc_id, (doc_id % 17) * 100 // greatest(doc_id % 23 + doc_id % 5, 1) as percent from documents")
+@query("select doc_id, (length(text) % 17) * 100 // greatest(length(text) % 23 + length(text) % 5, 1) as percent from documents")
 def p08_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("doc_id")
+    c = F.length("text")
     return I.table(spark, sf_dir, "documents").select("doc_id", slides.progress(c % 17, c % 23, c % 5).alias("percent"))
 
 
-@query("select l || '↵' || r as source, l || 'ff' || r as target, 'ko' as tgt_lng from (select distinct unnest(regexp_extract_all(text, '([A-Za-z]+)↵(-?[A-Za-z]+)', 1)) as l, unnest(regexp_extract_all(text, '([A-Za-z]+)↵(-?[A-Za-z]+)', 2)) as r from " + I.DAMAGED + ") where length(l) % 2 = 0")
+@query("select l || '↵' || r as source, l || 'ff' || r as target, 'ko' as tgt_lng from (select distinct unnest(regexp_extract_all(text, '([A-Za-z]+)↵(-?[A-Za-z]+)', 1)) as l, unnest(regexp_extract_all(text, '([A-Za-z]+)↵(-?[A-Za-z]+)', 2)) as r from " + I.DAMAGED + ") where l = lower(l)")
 def s11_glossary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = ligature.pairs(I.damaged(I.table(spark, sf_dir, "documents")))
-    t = p.select(F.concat("l", F.lit("ff"), "r").alias("term"), F.array(F.concat("l", F.lit("↵"), "r")).alias("surfaces"), F.when(F.length("l") % 2 == 0, F.concat("l", F.lit("ff"), "r")).alias("target"))
+    t = p.select(F.concat("l", F.lit("ff"), "r").alias("term"), F.array(F.concat("l", F.lit("↵"), "r")).alias("surfaces"), F.when(F.col("l") == F.lower("l"), F.concat("l", F.lit("ff"), "r")).alias("target"))
     return tables.glossary_rows(t)
 
 
@@ -159,9 +178,9 @@ def s08_font_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.fonts_without_unicode(lines)
 
 
-@query("select doc_id, len(regexp_extract_all(text, '</style>|<style\\s+id=[''\"][^''\"]*[''\"]\\s*>')) <> (doc_id % 2) as dropped from documents")
+@query("select doc_id, len(regexp_extract_all(text, '</style>|<style\\s+id=[''\"][^''\"]*[''\"]\\s*>')) <> (length(text) % 2) as dropped from documents")
 def v06_style_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tagged = F.when(F.col("doc_id") % 2 == 1, F.lit("</style>")).otherwise("")
+    tagged = F.when(F.length("text") % 2 == 1, F.lit("</style>")).otherwise("")
     return I.table(spark, sf_dir, "documents").select("doc_id", validate.style_dropped(F.col("text"), tagged).alias("dropped"))
 
 

@@ -331,7 +331,7 @@ def v13_translatable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", X.translatable(F.col("text")).alias("yes"))
 
 
-@query(f"select doc_id, len(string_split_regex(text, '{KEEP_SQL}')) as n_runs, len(regexp_extract_all(text, '{KEEP_SQL}')) as n_kept, true as same from {I.marked_sql('documents')}")
+@query(f"select doc_id, len(string_split_regex(text, '{KEEP_SQL}')) as n_runs, len(regexp_extract_all(text, '{KEEP_SQL}')) as n_kept, array_to_string(list_transform(string_split_regex(text, '{KEEP_SQL}'), lambda s, i: s || coalesce(regexp_extract_all(text, '{KEEP_SQL}')[i], '')), '') = text as same from {I.marked_sql('documents')}")
 def v14_split_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("text")
     return I.marked(docs(spark, sf_dir)).select("doc_id", F.size(X.runs(c)).cast("long").alias("n_runs"), F.size(X.kept(c)).cast("long").alias("n_kept"), (X.woven(X.runs(c), X.kept(c)) == c).alias("same"))
@@ -421,11 +421,15 @@ def c07_input_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.input_stamp(files).withColumnRenamed("doc", "doc_id")
 
 
-@query("""with w as (select doc_id as idx, string_split(text, ' ')[1] as term from documents)
-  select idx, term, case when length(term) % 3 <> 0 then 'T' || lower(term) end as target from w""")
+@query("""with w as (select doc_id, unnest(string_split(text, ' ')) as term, generate_subscripts(string_split(text, ' '), 1) - 1 as i from documents),
+  k as (select lower(trim(term)) as t, arg_max(term || ' T', doc_id * 100000 + i) as target from w where length(term) % 3 <> 0 group by 1)
+  select doc_id || ':' || i as idx, term, target from w left join k on k.t = lower(trim(term))""")
 def t17_translated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = docs(spark, sf_dir).select(F.col("doc_id").alias("idx"), F.split("text", " ")[0].alias("term"))
-    replies = items.where(F.length("term") % 3 != 0).select(F.concat(F.lit(" "), F.translate("term", I.LETTERS, I.LETTERS.upper())).alias("term"), F.concat(F.lit("T"), F.lower("term")).alias("target"))
+    """Every word of every document; replies come for two lengths of three, and the last spelling of a word wins."""
+    words = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "term"))
+    items = words.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("i").cast("string")).alias("idx"), "term")
+    sent = words.where(F.length("term") % 3 != 0)
+    replies = sent.select((F.col("doc_id") * 100000 + F.col("i")).alias("pos"), F.concat(F.lit(" "), F.translate("term", I.LETTERS, I.LETTERS.upper())).alias("term"), F.concat("term", F.lit(" T")).alias("target"))
     return terms.translated(items, replies)
 
 
@@ -586,12 +590,12 @@ def r10_leftover_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _recoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).select(F.lit("b").alias("doc"), F.col("doc_id").alias("page"), F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"))
-    action = F.element_at(F.array(F.lit("retranslated"), F.lit("reverted"), F.lit("kept")), ((F.col("page") + F.col("seq")) % 3 + 1).cast("int"))
-    return d.select("doc", "page", "seq", action.alias("action"), F.when(F.col("page") % 7 == 0, "by hand").otherwise("").alias("note"))
+    d = docs(spark, sf_dir).select(F.lit("b").alias("doc"), F.col("doc_id").alias("page"), F.length("text").alias("n"), F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"))
+    action = F.element_at(F.array(F.lit("retranslated"), F.lit("reverted"), F.lit("kept")), ((F.col("n") + F.col("seq")) % 3 + 1).cast("int"))
+    return d.select("doc", "page", "seq", action.alias("action"), F.when(F.col("n") % 7 == 0, "by hand").otherwise("").alias("note"))
 
 
-_RECOVERIES = "(select 'b' as doc, doc_id as page, seq, case (doc_id + seq) % 3 when 0 then 'retranslated' when 1 then 'reverted' else 'kept' end as action, case when doc_id % 7 = 0 then 'by hand' else '' end as note from documents, (values (1), (2)) s(seq))"
+_RECOVERIES = "(select 'b' as doc, doc_id as page, seq, case (length(text) + seq) % 3 when 0 then 'retranslated' when 1 then 'reverted' else 'kept' end as action, case when length(text) % 7 = 0 then 'by hand' else '' end as note from documents, (values (1), (2)) s(seq))"
 
 
 @query(f"{LAYOUT} select v.page, reasons, case when coalesce(note, '') <> '' then note when action = 'retranslated' then action when action = 'reverted' then 'original restored' when action = 'kept' then 'kept' else 'none' end as action from verdict v left join (select * from {_RECOVERIES} where seq = 2) r on r.page = v.page where reasons <> ''")
@@ -605,17 +609,18 @@ def r07_report_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.header(_verdicts(spark, sf_dir), _recoveries(spark, sf_dir), none).select("pages", "broken", "reverted")
 
 
-@query(f"{LAYOUT}, c as (select id as page, tgt, id % 11 <> 5 as fits, case when id % 13 = 0 then 0.2 else 0.0 end as bad from {I.PAIRS}) select v.page, case when tgt is null or not (len(list_filter(string_split_regex(tgt, '{_SPACE_SQL}+'), lambda w: w <> '')) >= 15 and {_ratio_sql('tgt')} >= 0.3) or not fits or bad > 0.15 then 'reverted' else 'retranslated' end as action from verdict v left join c on c.page = v.page where overlap > 0.15 or outside > 0.10 or collision > 0.10")
+@query(f"{LAYOUT}, c as (select id as page, tgt, length(src) % 11 <> 5 as fits, case when length(src) % 13 = 0 then 0.2 else 0.0 end as bad from {I.PAIRS}) select v.page, case when tgt is null or not (len(list_filter(string_split_regex(tgt, '{_SPACE_SQL}+'), lambda w: w <> '')) >= 15 and {_ratio_sql('tgt')} >= 0.3) or not fits or bad > 0.15 then 'reverted' else 'retranslated' end as action from verdict v left join c on c.page = v.page where overlap > 0.15 or outside > 0.10 or collision > 0.10")
 def r03_repair_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = I.pairs(docs(spark, sf_dir))
-    c = p.select(F.lit("b").alias("doc"), F.col("id").alias("page"), F.col("tgt").alias("text"), (F.col("id") % 11 != 5).alias("fits"), F.when(F.col("id") % 13 == 0, 0.2).otherwise(0.0).alias("overlap"), F.lit(0.0).alias("outside"), F.lit(0.0).alias("collision"))
+    c = p.select(F.lit("b").alias("doc"), F.col("id").alias("page"), F.col("tgt").alias("text"), (F.length("src") % 11 != 5).alias("fits"), F.when(F.length("src") % 13 == 0, 0.2).otherwise(0.0).alias("overlap"), F.lit(0.0).alias("outside"), F.lit(0.0).alias("collision"))
     return audit.repaired(_verdicts(spark, sf_dir).where(layout.severe()), c).select("page", "action")
 
 
-@query("select doc_id as page, lang from documents where doc_id % 4 <> 0 union all select doc_id, 'new' from documents where doc_id % 4 = 0")
+@query("select doc_id as page, case when length(text) % 4 = 0 then 'new' else lang end as lang from documents")
 def r05_page_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = docs(spark, sf_dir).select(F.lit("b").alias("doc"), F.col("doc_id").alias("page"), "lang")
-    new = p.where("page % 4 = 0").withColumn("lang", F.lit("new")).unionByName(p.select("doc", (-F.col("page") - 1).alias("page"), "lang"))
+    d = docs(spark, sf_dir)
+    p = d.select(F.lit("b").alias("doc"), F.col("doc_id").alias("page"), "lang")
+    new = d.where("length(text) % 4 = 0").select(F.lit("b").alias("doc"), F.col("doc_id").alias("page"), F.lit("new").alias("lang")).unionByName(p.select("doc", (-F.col("page") - 1).alias("page"), "lang"))
     return audit.replaced(p, new).select("page", "lang")
 
 
@@ -625,10 +630,10 @@ def r05_page_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPECS = ["", "7", "13-502", "2-999999", "0-3", "abc", "-5", "5-2", "0-0", "999-1000", "1 3", " 4 - 6 "]
 
 
-@query("""select doc_id, [1, 7, 13, 2, 1, null, null, null, null, null, null, 4][doc_id % 12 + 1] as first, [502, 7, 502, 502, 3, null, null, null, null, null, null, 6][doc_id % 12 + 1] as last,
-  [null, null, null, null, null, 'not a page range', 'not a page range', 'empty range', 'empty range', 'empty range', 'not a page range', null][doc_id % 12 + 1] as error from documents""")
+@query("""select doc_id, [1, 7, 13, 2, 1, null, null, null, null, null, null, 4][length(text) % 12 + 1] as first, [502, 7, 502, 502, 3, null, null, null, null, null, null, 6][length(text) % 12 + 1] as last,
+  [null, null, null, null, null, 'not a page range', 'not a page range', 'empty range', 'empty range', 'empty range', 'not a page range', null][length(text) % 12 + 1] as error from documents""")
 def k01_page_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = F.element_at(F.array(*(F.lit(x) for x in _SPECS)), (F.col("doc_id") % len(_SPECS) + 1).cast("int"))
+    spec = F.element_at(F.array(*(F.lit(x) for x in _SPECS)), (F.length("text") % len(_SPECS) + 1).cast("int"))
     return docs(spark, sf_dir).select("doc_id", control.page_range(spec, F.lit(502)).alias("r")).select("doc_id", "r.*")
 
 
@@ -692,9 +697,9 @@ def r12_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.summary(_recoveries(spark, sf_dir)).select("retranslated", "reverted", "rest")
 
 
-@query("select doc_id, doc_id % 5 <> 0 and doc_id % 7 <> 0 and not (doc_id % 3 > 0 and doc_id % 3 = doc_id % 4) as ok from documents")
+@query("select doc_id, length(text) % 5 <> 0 and length(text) % 7 <> 0 and not (length(text) % 3 > 0 and length(text) % 3 = length(text) % 4) as ok from documents")
 def k04_chunk_success(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("doc_id")
+    c = F.length("text")
     ok = control.succeeded(F.when(c % 5 == 0, 1).otherwise(0), c % 7 != 0, c % 3, c % 4)
     return docs(spark, sf_dir).select("doc_id", ok.alias("ok"))
 

@@ -102,3 +102,34 @@ def user_signature(files: DataFrame) -> DataFrame:
 def input_stamp(files: DataFrame) -> DataFrame:
     """(doc, stamp) of input files (doc, content binary): tells one input from another under the same name."""
     return files.select("doc", F.left(F.sha2(F.coalesce("content", F.lit(b"")), 256), F.lit(16)).alias("stamp"))
+
+
+def _path(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Put ``df`` in place of the Parquet table at ``path``, which it may itself be made from.
+
+    The new table is written whole beside the old one before the old one moves away, so a write that fails leaves that as it
+    is. A stop between the two moves leaves it under ``<path>.before``, where ``restored`` finds it.
+    """
+    spark = df.sparkSession
+    fs, old = _path(spark, path)
+    (_, new), (_, before) = _path(spark, f"{path}.new"), _path(spark, f"{path}.before")
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    if fs.exists(old):
+        fs.delete(before, True)
+        if not fs.rename(old, before):
+            raise OSError(f"{path} cannot be moved")
+    if not fs.rename(new, old):
+        raise OSError(f"{path}.new cannot be moved")
+    fs.delete(before, True)
+
+
+def restored(spark: SparkSession, path: str) -> bool:
+    """Whether a table that an interrupted ``replace_table`` had moved away was brought back."""
+    fs, old = _path(spark, path)
+    _, before = _path(spark, f"{path}.before")
+    return bool(not fs.exists(old) and fs.exists(before) and fs.rename(before, old))
