@@ -402,3 +402,31 @@ def test_operands_wait_for_their_operator():
     assert shown(b"q 0 0 10 10 re W n BT 50 50 Td (ab) Tj ET Q") == [(2, False)]
     assert shown(b"0 0 10 10 re 1 1 W n BT 2 2 Td (ab) Tj ET") == [(2, True)]
     assert shown(b"q 2 0 0 2 0 0 cm 0 0 50 50 re W n BT (xy) 250 250 Td Tj ET Q") == [(2, False)]
+
+
+def test_folded_streams_equal_the_byte_reader(spark):
+    from vellum.operators import hidden
+
+    rng = random.Random(8)
+    numbers = ["0", "10", "-3.5", ".5", "2", "400", "1e2", "+7."]
+    strings = [b"(abc)", b"(a\\)b\\101)", b"(n(e)s)", b"(n(e(s)t)ed)", b"<48656c>", b"<4>", b"<>", b"[(AB) -20 (C[D)]", b"[[(x)] <4142>]", b"()", b"(caf\xe9)"]
+    ops = [b"q", b"Q", b"cm", b"re", b"W", b"W*", b"n", b"BT", b"ET", b"Tm", b"Td", b"TD", b"T*", b"Tj", b"TJ", b"'", b'"', b"/F1", b"Tf", b"<<", b">>"]
+    deep = [b"(a(b(c(d))))", b"(never closed", b"[ open", b"nan", b"1_0"]
+
+    def stream(more):
+        out = [b"BT"] if rng.random() < 0.7 else []
+        for _ in range(rng.randint(0, 60)):
+            kind = rng.random()
+            if kind < 0.35:
+                out += [x.encode() for x in rng.choices(numbers, k=rng.choice([1, 2, 4, 6, 7]))]
+            elif kind < 0.55:
+                out.append(rng.choice(strings + more))
+            out.append(rng.choice(ops))
+        return rng.choice([b" ", b"\n"]).join(out)
+
+    rows = [("d", i, stream([])) for i in range(250)] + [("d", 1000 + i, stream(deep)) for i in range(60)] + [("d", 2000, b""), ("d", 2001, None)]
+    df = spark.createDataFrame(rows, "doc string, page int, data binary")
+    got = {r["page"]: (r["hidden"], r["shown"], r["error"]) for r in hidden.scan(df).collect()}
+    want = {r["page"]: (r["hidden"], r["shown"], r["error"]) for r in hidden._scanned(df).collect()}
+    assert got == want and len(got) == len(rows)
+    assert sum(h > 0 for h, _, _ in want.values()) > 10 and sum(s > 0 for _, s, _ in want.values()) > 60

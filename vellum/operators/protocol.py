@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import SPACE
+from ..functions.text import SPACE, once
 
 ITEMS = "array<struct<id:string,output:string>>"
 FENCE = "```"
@@ -106,11 +106,10 @@ def swapped(text: Column, begin: Column, stop: Column, items: Column) -> Column:
 def client_reply(raw: Column) -> Column:
     """Map of integer id to text; entries without either are dropped, the last of equal ids counts, failures give an empty map."""
     parsed = F.filter(F.coalesce(F.from_json(raw, ITEMS), F.array().cast(ITEMS)), lambda o: o["id"].try_cast("int").isNotNull() & o["output"].isNotNull())
-    pairs = F.transform(parsed, lambda o: F.struct(o["id"].try_cast("int").alias("key"), o["output"].alias("value")))
-    # keys and values by place: the last place of each key, once each
-    keys = F.transform(pairs, lambda p: p["key"])
-    last = F.filter(pairs, lambda p, i: i == F.size(keys) - F.array_position(F.reverse(keys), p["key"]))
-    return F.map_from_entries(last)
+    pairs = F.transform(parsed, lambda o, i: F.struct(o["id"].try_cast("int").alias("key"), i.alias("i"), o["output"].alias("value")))
+    # sorted by key and place, the last of each key stands before another one
+    last = lambda s: F.filter(s, lambda p, i: F.coalesce(F.get(s, i + 1)["key"] != p["key"], F.lit(True)))
+    return once(F.array_sort(pairs), lambda s: F.map_from_entries(F.transform(last(s), lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value")))))
 
 
 def envelope(content: Column, model: Column, created: Column) -> Column:
