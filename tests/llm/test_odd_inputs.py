@@ -145,3 +145,18 @@ def test_quality_bayes_sums_by_hand(spark, monkeypatch):
         assert got[i]["site"] == pytest.approx(site, abs=1e-9)
         assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-got[i]["evidence"] - logit(site))), abs=1e-9)
     assert len(got) == 90
+
+
+def test_words_of_slices():
+    """Slices of an array are other texts than those at its beginning."""
+    import pyarrow as pa
+
+    from vellum.llm import word_ids
+
+    texts = [None, "", " a ", "A\x0bb \x0c", "é  É x y", "  ", "Last One, here."] * 3
+    whole = pa.array(texts, pa.string())
+    core = Tokenizer.from_file(WORDS)
+    for a, b in [(0, 21), (3, 9), (5, 5), (20, 21)]:
+        ids, sizes = word_ids.encoder(WORDS).encode(whole.slice(a, b - a))
+        wanted = [core.encode(t or "", add_special_tokens=False).ids for t in texts[a:b]]
+        assert ids.tolist() == [x for w in wanted for x in w] and sizes.tolist() == [len(w) for w in wanted]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import re
+import threading
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -17,7 +18,14 @@ from ..session import ship
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-_written: list[str] = []
+_own = threading.local()
+
+
+def _written() -> list[str]:
+    """The tables that this thread has written: two queries in threads do not delete each other's."""
+    if not hasattr(_own, "places"):
+        _own.places = []
+    return _own.places
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,20 +48,20 @@ def cut(df: DataFrame) -> DataFrame:
 def fresh(spark: SparkSession, kind: str) -> str:
     """A place in the shared folder that nothing else uses."""
     at = f"{folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-    _written.append(at)
+    _written().append(at)
     return at
 
 
 def written() -> int:
-    """How many tables ``cut`` has written so far, for ``forget``."""
-    return len(_written)
+    """How many tables ``cut`` has written so far in this thread, for ``forget``."""
+    return len(_written())
 
 
 def forget(spark: SparkSession, since: int = 0) -> None:
     """Delete the tables that ``cut`` has written since; for when all that reads them has been written itself."""
-    for at in _written[since:]:
+    for at in _written()[since:]:
         delete(spark, at)
-    del _written[since:]
+    del _written()[since:]
 
 
 def delete(spark: SparkSession, at: str) -> None:

@@ -5,8 +5,8 @@ sequence length as fit and one piece for each binary digit of the rest, longest
 a sequence of its own whose length is a power of two, so equal lengths batch without padding and no
 sequence holds tokens of two documents.
 
-Null and empty texts become a document of the end id alone; rows that repeat are packed each; other
-columns are not touched. The sequence length must be a power of two.
+Null and empty texts become a document of the end id alone; rows that repeat, or share or lack a key, are packed each;
+a very long text is encoded whole in one task; nothing is ordered, so there are no ties; other columns are not touched. The sequence length must be a power of two.
 """
 
 from __future__ import annotations

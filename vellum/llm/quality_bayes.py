@@ -8,7 +8,8 @@ combines its evidence with the posterior of its path without itself.
 
 Everything is DataFrame expressions and grouped sums. The tables of ratios have a fixed size. Null texts
 count as empty; null hosts or paths are sites of their own; labels that repeat count once, a row without a key is
-never labelled; rows that repeat are scored each; other columns are not touched. Without labels the
+never labelled; rows that repeat are scored each; a very long text is counted whole, in one task; of labels that
+contradict each other the good one counts; other columns are not touched. Without labels the
 evidence is 0 and the prior even.
 """
 

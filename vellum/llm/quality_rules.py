@@ -167,7 +167,8 @@ def _sums() -> list[Column]:
 def fit(x: DataFrame, *, share: float = 0.75, steps: int = 12, prior: float = 30.0, still: float = 0.1) -> DataFrame:
     """(_g, m*, l*) of each group, from its rows' vectors. share: of a group that a step keeps. prior: weight, in documents, of the language's start.
 
-    Steps go on until no group's log determinant moves by ``still`` (bins of distances are taken whole, so it never quite rests), at most ``steps``.
+    Steps go on until no group's log determinant moves by ``still`` (bins of distances are taken whole, so it never quite rests), at most
+    ``steps``; a group that moves even then keeps its last estimate.
     """
     x = x.select("_g", "_lang", *(f"_x{i}" for i in range(P)))
     quartiles = [F.percentile_approx(f"_x{i}", [0.25, 0.5, 0.75], 2000).alias(f"_q{i}") for i in range(P)]

@@ -15,7 +15,8 @@ each other, and two within the radius share a key, so the least of a key links t
 of any size costs a constant per member.
 
 Null and empty texts have the fingerprint zero and link like any other; rows that repeat belong to one
-component; other columns are not touched. A null key never is a component's least.
+component; a bit that is set in exactly half of the hashes is 0; a very long text is fingerprinted by one task, 65,536 hashes
+at a time; other columns are not touched. A null key never is a component's least.
 """
 
 from __future__ import annotations

@@ -18,8 +18,8 @@ it stands, whole. Comparing everything with everything is avoided in three steps
    instead, which any number of tasks can share.
 
 Hashes are 64-bit polynomials; two regions count as equal on two independent ones. Null texts count as
-empty; rows that repeat are copies of each other; rows are told apart by key and text, so keys may be
-null or repeat; other columns are not touched.
+empty; rows that repeat are copies of each other, and all copies lose what they share; rows are told apart by key and text, so
+keys may be null or repeat; a very long text is cut into regions by one task; other columns are not touched.
 """
 
 from __future__ import annotations

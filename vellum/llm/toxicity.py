@@ -234,7 +234,10 @@ def train(texts: list[str | None], toxic: np.ndarray, share: float, *, rounds: i
 
 
 def fit(df: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Trains on at most ``sample`` labelled rows of each class, those whose keys have the least hashes, and at most ``sample_bytes`` of their texts."""
+    """Trains on at most ``sample`` labelled rows of each class, those whose keys have the least hashes, and at most ``sample_bytes`` of their texts.
+
+    Of several texts of one key the least is taken, of labels that contradict each other the toxic one.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("_y"))
     share = float(known.agg(F.avg("_y")).first()[0] or 0.0)
     least = lambda y: known.where(F.col("_y") == y).orderBy(F.xxhash64(key), key).limit(sample)
