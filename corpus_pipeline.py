@@ -42,7 +42,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a toxicity score of 0.7 or more go.
 
-    Null and empty texts score as a text without evidence; repeated rows are scored each; without labels the score is 0 and all stay.
+    A score of just 0.7 goes; a very long text is scored whole, some megabytes at a time. Null and empty texts score as a text without evidence; repeated rows are scored each; without labels the score is 0 and all stay.
     """
     labels = table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
@@ -76,7 +76,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of strings of 200 bytes that repeat go, with what is left of characters cut in two; documents that had text and have none left go.
 
-    Null texts become empty ones and stay, as empty ones do; all of repeated rows lose what they share.
+    Null texts become empty ones and stay, as empty ones do; all of repeated rows lose what they share, since no copy is the first. A very long text is cut
+    in one task, its regions meet those of others in many.
     """
     ship(spark)
     left = suffix_dedup.dedup(_wrapped(docs, without=("n_chars",)), carry=["lang", "source", "_rest"], decoded="text")
@@ -85,7 +86,10 @@ def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of power-of-two length, each a sequence, with their ids; a null or empty text is its end alone, repeated rows are packed each."""
+    """Pieces of power-of-two length, each a sequence, with their ids; a null or empty text is its end alone, repeated rows are packed each.
+
+    A very long text is encoded in one task and gives as many pieces as it fills.
+    """
     ship(spark)
     return _queries.packed(docs, ids=True)
 
