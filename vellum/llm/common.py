@@ -118,7 +118,7 @@ def steps(texts: Sequence[bytes | str | None], size: int) -> Iterator[slice]:
         yield slice(a, len(texts))
 
 
-def join_hot(big: DataFrame, small: DataFrame, key: str, weight: str, most: int = 2_000) -> DataFrame:
+def join_hot(big: DataFrame, small: DataFrame, key: str | list[str], weight: str, most: int = 2_000) -> DataFrame:
     """Inner join on ``key`` with one row a key in ``small``, whose ``weight`` is the number of ``big``'s rows of the key.
 
     Keys with over 1/most of all rows, hence fewer than ``most``, are broadcast, so that no task gets all rows of such a key.

@@ -314,11 +314,11 @@ def repeated_windows(texts: DataFrame, *, span: int, gram: int, block_regions: i
     owners = found.groupBy("ah").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_rows"), F.min("rh").alias("_lo"), F.max("rh").alias("_hi")).where("_n > 1").select("ah", "_rows", (F.col("_lo") != F.col("_hi")).alias("mixed"))
     shared = cut(join_hot(found, cut(owners), "ah", "_rows"))
     mixed = shared.where("mixed")
-    distinct = mixed.groupBy("ah", "rh").agg(F.sum("n").alias("n"), F.min(F.struct("id", "th", "p", "w")).alias("at"))
+    distinct = mixed.groupBy("ah", "rh").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "th", "p", "w")).alias("at"))
     distinct = cut(distinct)
     counts = distinct.groupBy("ah").agg(F.count(F.lit(1)).alias("_kinds")).withColumn("_rows", F.col("_kinds"))
-    distinct = join_hot(distinct, cut(counts), "ah", "_rows").select("ah", "rh", "n", "at.*", (F.col("_kinds") > block_regions).alias("crowded"))
-    cut_out = distinct.alias("d").join(texts.alias("t"), _same_row("d", "t")).select("ah", "rh", "n", "crowded", F.expr(f"substring(cast(text as binary), p + 1, w + {span - 1})").alias("content"))
+    distinct = join_hot(distinct, cut(counts), "ah", "_rows").select("ah", "rh", "n", "m", "at.*", (F.col("_kinds") > block_regions).alias("crowded"))
+    cut_out = distinct.alias("d").join(texts.alias("t"), _same_row("d", "t")).select("ah", "rh", "n", "m", "crowded", F.expr(f"substring(cast(text as binary), p + 1, w + {span - 1})").alias("content"))
     cut_out = cut(cut_out.dropDuplicates(["ah", "rh"]))
     blocks = max(8, -(-found.count() // 200_000))
     indexed = cut_out.where("not crowded").select("ah", "rh", "content", F.pmod(F.xxhash64("ah"), F.lit(blocks)).alias("b")).groupBy("b").applyInArrow(_index(span), "ah long, rh long, found binary")
@@ -326,11 +326,11 @@ def repeated_windows(texts: DataFrame, *, span: int, gram: int, block_regions: i
     repeated = windows.groupBy("u", "v").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     crowded = windows.join(repeated, ["u", "v"]).groupBy("ah", "rh").agg(F.array_sort(F.collect_list("o")).alias("o"))
     crowded = crowded.mapInArrow(_packed, "ah long, rh long, found binary")
-    verdicts = cut_out.select("ah", "rh", (F.col("n") > 1).alias("whole")).join(indexed.unionByName(crowded), ["ah", "rh"], "left")
-    verdicts = verdicts.where(F.col("whole") | (F.octet_length("found") > 0))
+    verdicts = cut_out.select("ah", "rh", "m", (F.col("n") > 1).alias("whole")).join(indexed.unionByName(crowded), ["ah", "rh"], "left")
+    verdicts = cut(verdicts.where(F.col("whole") | (F.octet_length("found") > 0)))
     none = F.lit(None).cast("binary")
     placed = shared.where("not mixed").select("id", "th", "p", "w", "more", none.alias("found")).unionByName(
-        mixed.join(verdicts, ["ah", "rh"]).select("id", "th", "p", "w", "more", F.when(F.col("whole"), none).otherwise(F.col("found")).alias("found"))
+        join_hot(mixed, verdicts, ["ah", "rh"], "m").select("id", "th", "p", "w", "more", F.when(F.col("whole"), none).otherwise(F.col("found")).alias("found"))
     )
     return placed.groupBy("id", "th").agg(F.collect_list(F.struct("p", "w", "more", "found")).alias("marks"))
 
