@@ -54,6 +54,21 @@ def test_leftover_english(spark, text, found):
     assert (got is not None) == found
 
 
+def test_checks_measure_a_width_once(spark):
+    """Retries judge whole texts at every turn: the source's width and the target's are spelt out once each."""
+    src, tgt = F.col("src"), F.col("tgt")
+    assert str(validate.reason(src, tgt)).count("0.33") == 2
+    assert str(validate.rebuilt(src, tgt, F.lit(1))).count("0.33") == 2
+
+
+@pytest.mark.parametrize("end", ["", " " * 70, "." + "\n" * 90, "." * 90, " )" + " " * 63, "x"])
+def test_polite_ending_far_from_the_end(spark, end):
+    import re
+
+    text = "그렇게 합니다" + end
+    assert one(spark, text, X.polite) == bool(re.search(X.POLITE_END, text))
+
+
 def test_check_reasons(spark):
     ko = "가나다라마바사아자차카타파하 거너더러"
     cases = [("some plain english words here", "", "empty output"), ("with {v1} in it", ko, "placeholder"), ("some plain english words here", f"<style '5'>{ko}", "malformed style tag"), ("some plain english words here", "그렇게 합니다.", "polite ending"), ("some plain english words here", "some plain english words here", "echo"), ("some plain english words here", ko * 9, "width"), ("some plain english words here", ko[:12], "")]
