@@ -132,8 +132,9 @@ def failed(recoveries: DataFrame) -> DataFrame:
 def fragment_section(fragments: DataFrame, first: int = 5, cut: int = 90) -> DataFrame:
     """(doc, n, why, src, total): the first rescued fragments (doc, pos, why, src) and how many there are; a limit of the report's."""
     every = fragments.groupBy("doc").agg(F.count(F.lit(1)).alias("total"))
-    top = fragments.withColumn("n", F.row_number().over(W.partitionBy("doc").orderBy("pos")).cast("long")).where(F.col("n") <= first)
-    return top.join(every, "doc").select("doc", "n", "why", F.left("src", F.lit(cut)).alias("src"), "total")
+    short = fragments.select("doc", "pos", "why", F.left("src", F.lit(cut)).alias("src"))  # no whole text is sorted
+    top = short.withColumn("n", F.row_number().over(W.partitionBy("doc").orderBy("pos")).cast("long")).where(F.col("n") <= first)
+    return top.join(every, "doc").select("doc", "n", "why", "src", "total")
 
 
 def summary(recoveries: DataFrame) -> DataFrame:

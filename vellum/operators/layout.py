@@ -145,6 +145,89 @@ def measures(words: DataFrame, original: DataFrame) -> DataFrame:
     return n.select("doc", "page", "words", *(share(c).alias(c) for c in LIMITS))
 
 
+def _page_counts(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, pos: np.ndarray, page: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
+    """Hits (overlap, outside, collision) of each of ``n`` pages, from words in the order of ``page`` and the blocks (4 x n) that they should keep to."""
+
+    def sorted_by(*keys: np.ndarray) -> slice | np.ndarray:
+        """An order of the words by page, then keys; only pages that are out of order are sorted."""
+        before, tied = np.zeros(max(len(page) - 1, 0), bool), page[1:] == page[:-1]
+        for k in keys:
+            before |= tied & (k[1:] < k[:-1])
+            tied = tied & (k[1:] == k[:-1])
+        if not before.any():
+            return slice(None)
+        out = np.arange(len(page))
+        mixed = np.flatnonzero(np.isin(page, np.unique(page[1:][before])))
+        out[mixed] = mixed[np.lexsort([k[mixed] for k in reversed((page, *keys))])]
+        return out
+
+    hits = lambda flags, of: np.bincount(of[flags], minlength=n)
+    o = sorted_by(y0, x0, pos)
+    over = hits(_covered(x0[o], y0[o], x1[o], y1[o], page, len(page)), page)
+    out = (x0 < block[0][page] - PAD) | (y0 < block[1][page] - PAD) | (x1 > block[2][page] + PAD) | (y1 > block[3][page] + PAD)
+    band = np.trunc((y0 + y1) / 2 / 4)
+    o = sorted_by(band, x0, x1, pos)
+    begin, end, line = x0[o], x1[o], band[o]
+    into = np.zeros(len(page), bool)
+    into[1:] = (page[1:] == page[:-1]) & (line[1:] == line[:-1]) & (begin[1:] < end[:-1] - 0.5)
+    return np.stack([over, hits(out, page), hits(into, page)])
+
+
+def _side(column: pa.ListArray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Coordinates and places of the proper words of a column of arrays, the page of each, and how many each page has."""
+    words = column.flatten()
+    x0, y0, x1, y1, pos = (words.field(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1", "pos"))
+    page = np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    good = (x1 > x0) & (y1 > y0)
+    if not good.all():
+        x0, y0, x1, y1, pos, page = (v[good] for v in (x0, y0, x1, y1, pos, page))
+    return [x0, y0, x1, y1, pos], page, np.bincount(page, minlength=len(column))
+
+
+#: Words that are measured at a time, about; a page is measured whole.
+AT_ONCE = 1 << 18
+
+
+def inspect_pages(pages: DataFrame) -> DataFrame:
+    """``inspect`` of pages (doc, page, translated, original) that stand beside their originals, words as arrays of (pos, x0, y0, x1, y1).
+
+    Words without extent do not count, as in ``proper``. A page is judged in the row that it comes in, so no word is shuffled;
+    pages too long for a row go through ``inspect``. Rows are pages: no two of one number.
+    """
+    kinds = [pages.schema["doc"], pages.schema["page"]]
+    names = [f"{side}{c}" for side in ("_t", "_o") for c in ("words", *LIMITS)]
+
+    def measured(batch: pa.RecordBatch) -> pa.RecordBatch:
+        (t, tp, tn), (o, op, on) = _side(batch["translated"]), _side(batch["original"])
+        n = batch.num_rows
+        block = np.zeros((4, n))
+        first = np.flatnonzero(np.diff(op, prepend=-1))
+        if len(first):
+            for row, least, v in zip(block, (True, True, False, False), o):
+                row[op[first]] = (np.minimum if least else np.maximum).reduceat(v, first)
+        counts = np.vstack([tn, _page_counts(*t, tp, block, n), on, _page_counts(*o, op, block, n)])
+        return pa.record_batch([batch["doc"], batch["page"], *map(pa.array, counts)], names=["doc", "page", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = sum(batch[c].value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for c in ("translated", "original"))
+            part = np.cumsum(size) // AT_ONCE
+            ends = [*(np.flatnonzero(np.diff(part)) + 1), len(size)] if len(size) else []
+            for a, b in zip([0, *ends], ends):
+                yield measured(batch.slice(a, b - a))
+
+    made = pages.select("doc", "page", "translated", "original").mapInArrow(run, T.StructType([*kinds, *(T.StructField(c, T.LongType()) for c in names)]))
+    made = made.where("_twords > 0 and _owords > 0 and doc is not null and page is not null")
+    share = lambda side, c: F.when(F.col(f"{side}words") < LEAST_WORDS, 0.0).otherwise(F.col(f"{side}{c}") / F.col(f"{side}words"))
+    return _judged(made.select("doc", "page", F.col("_twords").alias("words"), *(share("_t", c).alias(c) for c in LIMITS), *(share("_o", c).alias(f"_{c}") for c in LIMITS)))
+
+
+def _judged(both: DataFrame) -> DataFrame:
+    both = both.select("doc", "page", "words", *(F.greatest(F.lit(0.0), F.col(c) - F.col(f"_{c}")).alias(c) for c in LIMITS))
+    why = F.array_compact(F.array(*(F.when((F.col("words") >= LEAST_WORDS) & (F.col(c) > least), F.lit(c)) for c, least in LIMITS.items())))
+    return both.withColumn("reasons", why)
+
+
 def inspect(translated: DataFrame, original: DataFrame, offset: int = 0) -> DataFrame:
     """(doc, page, words, overlap, outside, collision, reasons): what the translation has made worse.
 
@@ -152,10 +235,7 @@ def inspect(translated: DataFrame, original: DataFrame, offset: int = 0) -> Data
     """
     base = original.withColumn("page", F.col("page") - offset)
     t, o = measures(translated, base), measures(base, base)
-    both = t.join(o.select("doc", "page", *(F.col(c).alias(f"_{c}") for c in LIMITS)), ["doc", "page"])
-    both = both.select("doc", "page", "words", *(F.greatest(F.lit(0.0), F.col(c) - F.col(f"_{c}")).alias(c) for c in LIMITS))
-    why = F.array_compact(F.array(*(F.when((F.col("words") >= LEAST_WORDS) & (F.col(c) > least), F.lit(c)) for c, least in LIMITS.items())))
-    return both.withColumn("reasons", why)
+    return _judged(t.join(o.select("doc", "page", *(F.col(c).alias(f"_{c}") for c in LIMITS)), ["doc", "page"]))
 
 
 def severe() -> Column:
