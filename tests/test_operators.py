@@ -35,6 +35,17 @@ def test_dissolve(spark):
     assert [(r["text"], r["removed"]) for r in got] == list(cases.values())
 
 
+def test_dissolve_shuffles_no_text_for_a_wedge(spark, monkeypatch):
+    """What is written for all wedges of a long text does not grow with the text; equal texts and keys stay rows of their own."""
+    long = "x " * 5000 + "two di{v1}erent and di{v1}erent, a w{v2}x"
+    df = spark.createDataFrame([(1, long), (1, long), (2, None), (2, "")], "id long, text string")
+    words = spark.createDataFrame([("di", "erent")], "l string, r string")
+    done = ligature.dissolve(df, words)
+    assert sorted((r["id"], len(r["text"] or ""), r["removed"]) for r in done.collect()) == [(1, len(long) - 4, 2), (1, len(long) - 4, 2), (2, 0, 0), (2, 0, 0)]
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate [" in line and "_text" in line]
+
+
 @given(st.lists(st.sampled_from(["a", " ", "{v1}", "{v22}", "</style>", "<style id='1'>", "\n"]), max_size=12))
 @settings(max_examples=15, deadline=None)
 def test_split_runs_round_trip(spark, parts):

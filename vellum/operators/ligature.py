@@ -41,21 +41,20 @@ def dissolve(df: DataFrame, dictionary: DataFrame, *, key: str = "id", text: str
 
     A wedge hits exactly, or, with two letters on each side, where its halves end and begin a known pair's.
     """
-    c = F.col(text)
-    rows = df.select(key, c.alias("_text"), F.split(c, WEDGE, -1).alias("_gaps"), *(F.regexp_extract_all(c, F.lit(WEDGE), i).alias(f"_g{i}") for i in range(1, 6)))
-    # equal texts are woven once, by a hash and the text itself, so that rows may share keys
-    wedges = rows.where(F.size("_g1") > 0).select("_text", *(f"_g{i}" for i in range(1, 6))).distinct()
-    wedges = wedges.select("_text", F.posexplode(F.arrays_zip(*(F.col(f"_g{i}") for i in range(1, 6)))).alias("k", "w")).select("_text", "k", *(F.col(f"w._g{i}").alias(f"g{i}") for i in range(1, 6)))
-    bare = F.regexp_replace("g5", "^-", "")
-    wedges = wedges.withColumn("_long", (F.length("g1") >= 2) & (F.length(bare) >= 2))
-    exact = wedges.select("g1", "g5").distinct().join(dictionary.select(F.col("l").alias("g1"), F.col("r").alias("g5")), ["g1", "g5"], "left_semi").select("g1", "g5")
-    affix = _affixes(written(wedges.where("_long").select("g1", "g5").distinct(), "halves"), dictionary)
-    hits = exact.unionByName(affix).distinct().withColumn("_hit", F.lit(True))
-    done = wedges.join(hits, ["g1", "g5"], "left")
-    piece = F.concat("g1", "g2", F.when(F.col("_hit"), F.lit("ff")).otherwise(F.col("g3")), "g4", "g5")
-    by_row = done.groupBy("_text").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", piece.alias("p")))), lambda x: x["p"]).alias("_new"), F.count("_hit").cast("long").alias("removed"))
-    joined = rows.join(by_row, "_text", "left")
-    woven = F.array_join(F.flatten(F.zip_with("_gaps", F.coalesce("_new", F.array().cast("array<string>")), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    return joined.select(key, F.when(F.col("removed") > 0, woven).otherwise(F.col("_text")).alias(text), F.coalesce("removed", F.lit(0)).cast("long").alias("removed"))
-
-
+    c = F.col("_text")
+    # a text is known by two hashes of it, so that no wedge carries its text along, and rows may share keys
+    rows = df.select(key, F.col(text).alias("_text")).withColumns({"_h": F.xxhash64("_text"), "_i": F.xxhash64(F.lit(1), F.reverse("_text"))})
+    group = lambda i: F.regexp_extract_all(c, F.lit(WEDGE), F.lit(i))
+    wedges = rows.select("_h", "_i", F.posexplode(F.arrays_zip(group(1).alias("g1"), group(5).alias("g5"))).alias("k", "w")).select("_h", "_i", "k", "w.g1", "w.g5")
+    dictionary = written(dictionary.select("l", "r"), "dictionary")
+    halves = written(wedges.select("g1", "g5").distinct(), "halves")
+    exact = halves.join(dictionary.select(F.col("l").alias("g1"), F.col("r").alias("g5")), ["g1", "g5"], "left_semi").select("g1", "g5")
+    affix = _affixes(halves.where((F.length("g1") >= 2) & (F.length(F.regexp_replace("g5", "^-", "")) >= 2)), dictionary)
+    hits = written(exact.unionByName(affix).distinct(), "hits")
+    # equal texts have equal hits
+    by_text = wedges.join(hits, ["g1", "g5"], "left_semi").groupBy("_h", "_i").agg(F.collect_set("k").alias("_k"))
+    joined = rows.join(by_text, ["_h", "_i"], "left")
+    parts = F.arrays_zip(*(group(i).alias(f"g{i}") for i in range(1, 6)))
+    pieces = F.transform(parts, lambda w, k: F.concat(w["g1"], w["g2"], F.when(F.array_contains("_k", k), F.lit("ff")).otherwise(w["g3"]), w["g4"], w["g5"]))
+    woven = F.array_join(F.flatten(F.zip_with(F.split(c, WEDGE, -1), pieces, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    return joined.select(key, F.when(F.col("_k").isNotNull(), woven).otherwise(c).alias(text), F.when(F.col("_k").isNotNull(), F.size("_k")).otherwise(0).cast("long").alias("removed"))
