@@ -504,3 +504,25 @@ def test_literal_equals_reading_by_bytes(body):
             at += octal or 1
         out.append(byte)
     assert hidden._literal(body) == bytes(out)
+
+
+# --- terms
+
+
+def test_clean_without_repair_equals_repair(spark):
+    from vellum.functions import text as X
+
+    raws = ["plain", "Mixed-Case's", "a{v1}b", "</style>x", "<style id='1'>y", "tab\x01ctl", "é-à", "o↵-policy", "<s x↵>", "↵", "--", "İx", "a\u0301b"]
+    df = spark.createDataFrame([(r,) for r in raws], "r string")
+    old = F.replace(F.lower(F.regexp_replace(X.repair(F.col("r"), False), r"[^A-Za-z\- ]+", " ")), F.lit(" "), F.lit(""))
+    assert [r[0] for r in df.select(terms.clean(F.col("r"))).collect()] == [r[0] for r in df.select(old).collect()]
+    spans = df.select(F.lit("d").alias("doc"), F.concat(F.lit("x  y\t{v1} "), "r").alias("text"), F.lit("TI").alias("font"))
+    want = {w for r in spans.select(F.lower(F.regexp_replace(X.repair(F.col("text"), False), r"[^A-Za-z\- ]+", " "))).collect() for w in r[0].split(" ") if w}
+    assert {r["w"] for r in terms.italic_words(spans).collect()} == want
+
+
+def test_terms_are_counted_in_hash_tables(spark):
+    """A spelling's count and place need no sort of all occurrences."""
+    pages = terms.paged(spark.createDataFrame([("d", 1, "some words stand here some words")], "doc string, page int, text string"))
+    plan = terms.counted(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "min(struct" not in plan
