@@ -320,3 +320,11 @@ def test_verdicts_reject_as_spelled(spark):
     c = spark.createDataFrame([("d", 0, t) for t in ("a", "b", "c", "e")], "doc string, batch int, term string")
     v = spark.createDataFrame([("d", 0, "A", "No"), ("d", 0, "b", "NO"), ("d", 0, "c", "false")], "doc string, batch int, term string, keep string")
     assert sorted(r["term"] for r in terms.keep_terms(c, v).collect()) == ["b", "e"]
+
+
+def test_mark_differences_join_no_marks(spark):
+    rows = [(1, "{v1} {v1} {v2}", "{v1} {v3}"), (1, "{v2}", None), (2, None, None), (3, "", "{v9}{v9}")]
+    df = spark.createDataFrame(rows, "id long, src string, tgt string")
+    got = validate.mark_differences(df)
+    assert sorted(map(tuple, got.distinct().collect())) == [(1, "{v1}, {v2}", "{v3}"), (2, "", ""), (3, "", "{v9}")] and got.count() == 4
+    assert "FullOuter" not in got._jdf.queryExecution().optimizedPlan().toString()
