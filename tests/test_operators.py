@@ -1,6 +1,7 @@
 """Examples of the reference's behaviour, and laws."""
 
 import json
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as X
 from vellum.operators import audit, control, hidden, layout, ligature, protocol, slides, terms, validate
+from vellum.plans import extra, inputs
 from vellum.sources import tables
 
 
@@ -328,3 +330,24 @@ def test_mark_differences_join_no_marks(spark):
     got = validate.mark_differences(df)
     assert sorted(map(tuple, got.distinct().collect())) == [(1, "{v1}, {v2}", "{v3}"), (2, "", ""), (3, "", "{v9}")] and got.count() == 4
     assert "FullOuter" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_loss_of_pages_in_their_rows(spark):
+    """The same verdicts as word by word, with null words and pages without any; no word is shuffled."""
+    rng = random.Random(5)
+    word = lambda: rng.choice(["a", "b", "A", "", "a\0", "é", "\0a", None])
+    pages = [("d", i, [word() for _ in range(rng.randrange(9))], [word() for _ in range(rng.randrange(9))]) for i in range(60)] + [("d", 60, None, ["x"]), ("d", None, ["x"] * 30, None), ("d", 61, None, None), (None, 62, [], [])]
+    df = spark.createDataFrame(pages, "doc string, page int, before array<string>, after array<string>")
+    words = [(d, p, side, w) for d, p, *both in pages for side, ws in zip(("before", "after"), both) for w in ws or []]
+    want = hidden.accepted(spark.createDataFrame(words, "doc string, page int, side string, w string"))
+    got = hidden.accepted_pages(df)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(got.collect(), key=repr) == sorted(want.collect(), key=repr)
+
+
+def test_loss_rule_of_repeated_ids_and_long_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inputs, "ROW_CHARS", 50)
+    rows = [(1, "a B"), (1, "B c"), (2, "x y z"), (3, "Q w " * 30), (None, "K k"), (None, "K"), (4, None), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in extra.h10_loss_rule(spark, str(tmp_path)).collect()}
+    assert got == {(1, 2, False), (2, 0, True), (3, 30, False), (None, 2, False), (5, 0, True)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import text as X
@@ -15,10 +16,25 @@ def wanted() -> Column:
     return F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"\p{L}"))
 
 
+#: Signs of an order value that hold a place inside a part.
+PLACE = 31
+
+
+def _order(parts: DataFrame) -> Column:
+    """(pos, i) as one number where the positions' range allows it, which a hash table's row can hold; else as a pair, for which Spark sorts all rows."""
+    if isinstance(parts.schema["pos"].dataType, T.IntegralType):
+        low, high = parts.agg(F.min(F.col("pos").cast("long")), F.max(F.col("pos").cast("long"))).first()
+        if low is None or high - low < (1 << PLACE) - 1:
+            # a null position comes first
+            at = F.coalesce(F.col("pos").cast("long") - F.lit(low or 0).cast("long") + 1, F.lit(0).cast("long"))
+            return F.shiftleft(at, PLACE) + F.col("i")
+    return F.struct("pos", "i")
+
+
 def unreachable(parts: DataFrame) -> DataFrame:
     """(deck, n, text): distinct texts with a letter in chart and diagram XML (deck, pos, xml), by first occurrence."""
     found = parts.select("deck", "pos", F.posexplode(F.regexp_extract_all("xml", F.lit(r"<(?:a:t|c:v)>([^<]*)</(?:a:t|c:v)>"), 1)).alias("i", "text"))
-    first = found.where(wanted()).groupBy("deck", "text").agg(F.min(F.struct("pos", "i")).alias("_at"))
+    first = found.where(wanted()).groupBy("deck", "text").agg(F.min(_order(parts)).alias("_at"))
     return order.numbered(first, ["deck"], ["_at"]).select("deck", "n", "text")
 
 
