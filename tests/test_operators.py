@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vellum.functions import text as X
-from vellum.operators import audit, control, hidden, layout, ligature, protocol, slides, terms, validate
+from vellum.operators import audit, control, hidden, layout, ligature, order, protocol, slides, terms, validate
 from vellum.plans import extra, inputs
 from vellum.sources import tables
 
@@ -351,3 +351,17 @@ def test_loss_rule_of_repeated_ids_and_long_texts(spark, tmp_path, monkeypatch):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {tuple(r) for r in extra.h10_loss_rule(spark, str(tmp_path)).collect()}
     assert got == {(1, 2, False), (2, 0, True), (3, 30, False), (None, 2, False), (5, 0, True)}
+
+
+@pytest.mark.parametrize(("far", "hashed"), [(7, True), (1 << 40, False)])
+def test_unreachable_is_not_sorted_before_it_is_counted(spark, monkeypatch, far, hashed):
+    """First places as one number, which a hash table holds; positions too far apart for it give the same order as pairs. A null position comes first."""
+    t = lambda *ws: "".join(f"<a:t>{w}</a:t>" for w in ws)
+    parts = [("d", 3, t("c", "1", "b", "c")), ("d", -2, t("b", "a")), ("d", far, t("z", "a", "y")), ("d", 3, t("e", "f", "g", "h")), ("e", None, t("q")), ("e", 0, t("p", "q")), ("f", None, t("r"))]
+    seen, numbered = [], order.numbered
+    monkeypatch.setattr(order, "numbered", lambda df, *more: seen.append(df) or numbered(df, *more))
+    got = sorted((r["deck"], r["n"], r["text"]) for r in slides.unreachable(spark.createDataFrame(parts, "deck string, pos long, xml string")).collect())
+    tied = {n: t for d, n, t in got if d == "d"}
+    assert [tied[n] for n in (1, 2, 8, 9)] == ["b", "a", "z", "y"] and {tied[n] for n in (3, 4)} == {"c", "e"} and [tied[n] for n in (5, 6, 7)] == ["f", "g", "h"]
+    assert [g for g in got if g[0] != "d"] == [("e", 1, "q"), ("e", 2, "p"), ("f", 1, "r")]
+    assert ("SortAggregate" not in seen[0]._jdf.queryExecution().executedPlan().toString()) == hashed
