@@ -124,6 +124,40 @@ def test_untouched_files_keep_their_names(spark, tmp_path):
     assert cache.lookup(spark, str(tmp_path / "none"), asked).where("tgt is not null").count() == 0
 
 
+def dealings(spark):
+    """Times that the last query's plan deals rows."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    plan = spark._jsparkSession.sharedState().statusStore().executionsList().last().physicalPlanDescription()
+    plan = plan.split("== Initial Plan ==")[-1].split("\n\n")[0]
+    return plan.count("Exchange (")
+
+
+@pytest.mark.parametrize("least", [1 << 28, 100])
+def test_merge_deals_stored_rows_once(spark, tmp_path, monkeypatch, least):
+    """New rows by key and all by directory; of a large directory, by parts of it."""
+    monkeypatch.setattr(cache, "PART_BYTES", least)
+    at = str(tmp_path / "cache")
+    rows = lambda turn, step: [(f"{i % 3:02x}{i:06x}", "m", f"s{i}", f"t{turn}", 1, float(turn)) for i in range(0, 300, step)]
+    cache.merge(spark, at, spark.createDataFrame(rows(1, 1), ROW))
+    assert dealings(spark) == 2
+    assert cache.merge(spark, at, spark.createDataFrame(rows(0, 1) + rows(2, 2), ROW)) == 3
+    assert dealings(spark) == 2
+    got = {r["k"]: r["tgt"] for r in cache.read(spark, at).collect()}
+    assert cache.read(spark, at).count() == 300 and all(t == ("t1" if int(k[2:], 16) % 2 else "t2") for k, t in got.items())
+
+
+def test_lookup_shuffles_no_keys_to_find_directories(spark, tmp_path):
+    at = str(tmp_path / "cache")
+    cache.merge(spark, at, spark.createDataFrame([(key(i), "m", "s", "t", 1, 1.0) for i in range(40)], ROW))
+    asked = spark.createDataFrame([(i, key(i)) for i in range(20)], "i int, k string")
+    assert cache._buckets(cache._filed(asked)) == sorted(key(i)[:2] for i in range(20))
+    seen, buckets = [], cache._buckets
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(cache, "_buckets", lambda filed: seen.append(filed) or buckets(filed))
+        assert cache.lookup(spark, at, asked).where("tgt = 't'").count() == 20
+    assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
 # --- event ledger
 
 

@@ -21,6 +21,8 @@ SIGNS = 2
 COLUMNS = "k string, model string, src string, tgt string, attempts int, ts double"
 #: Rows of one file, about.
 FILE_ROWS = 2_000_000
+#: Stored bytes of a directory, about, that one task reads in a merge.
+PART_BYTES = 256 << 20
 
 
 def _filed(df: DataFrame) -> DataFrame:
@@ -43,23 +45,30 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def merge(spark: SparkSession, path: str, new: DataFrame, longest: int = 8000) -> int:
-    """Put the rows (k, model, src, tgt, attempts, ts) in place of older ones of their keys; the number of directories rewritten."""
+    """Put the rows (k, model, src, tgt, attempts, ts) in place of older ones of their keys; the number of directories rewritten.
+
+    Stored rows are dealt once, by directory: for the choice among a key's rows and for writing alike.
+    """
     names = [c.split()[0] for c in COLUMNS.split(", ")]
-    fresh = _filed(validate.upsert(new.select(*names), longest))
-    touched = _buckets(fresh)
+    touched = _buckets(_filed(new.select("k")))
     if not touched:
         return 0
+    fresh = _filed(validate.upsert(new.select(*names), longest))
     old = read(spark, path).where(F.col("bucket").isin(touched))
-    both = validate.upsert(old.select(*names).unionByName(fresh.select(*names)), longest)
-    typed = both.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in COLUMNS.split(", ")))
-    # by directory; a large one is dealt over tasks by Spark itself, where it is out of proportion
-    dealt = _filed(typed).hint("rebalance", F.col("bucket"))
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", FILE_ROWS).partitionBy("bucket").parquet(path)
+    if old.inputFiles():
+        each = F.lit(1 + int(old._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // (len(touched) * PART_BYTES))
+        both = old.select(*names, "bucket").unionByName(fresh.select(*names, "bucket"))
+        dealt = validate.upsert(both.withColumn("part", F.pmod(F.xxhash64("k"), each)).repartition("bucket", "part"), longest, ("bucket", "part"))
+    else:
+        # by directory; a large one is dealt over tasks by Spark itself, where it is out of proportion
+        dealt = fresh.hint("rebalance", F.col("bucket"))
+    typed = dealt.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in COLUMNS.split(", ")), "bucket")
+    typed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", FILE_ROWS).partitionBy("bucket").parquet(path)
     return len(touched)
 
 
 def lookup(spark: SparkSession, path: str, items: DataFrame) -> DataFrame:
     """Items (k, ...) with the stored ``tgt``, null where there is none."""
-    asked = _filed(items.select("k").distinct())
+    asked = _filed(items.select("k"))
     found = read(spark, path).where(F.col("bucket").isin(_buckets(asked)))
     return validate.lookup(items, found)
