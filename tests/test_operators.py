@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as X
 from vellum.operators import audit, control, hidden, layout, ligature, order, protocol, slides, terms, validate
-from vellum.plans import extra, inputs
+from vellum.plans import extra, inputs, reference
 from vellum.sources import tables
 
 
@@ -365,3 +365,13 @@ def test_unreachable_is_not_sorted_before_it_is_counted(spark, monkeypatch, far,
     assert [tied[n] for n in (1, 2, 8, 9)] == ["b", "a", "z", "y"] and {tied[n] for n in (3, 4)} == {"c", "e"} and [tied[n] for n in (5, 6, 7)] == ["f", "g", "h"]
     assert [g for g in got if g[0] != "d"] == [("e", 1, "q"), ("e", 2, "p"), ("f", 1, "r")]
     assert ("SortAggregate" not in seen[0]._jdf.queryExecution().executedPlan().toString()) == hashed
+
+
+def test_texts_once_are_dealt_by_key_once(spark):
+    """A cache's rows of distinct texts come dealt by their key, so that an upsert does not move the texts again; null languages do not count."""
+    d = spark.createDataFrame([("a", "en", 1), ("a", None, 2), ("a", "de", 3), ("b", None, 4), (None, "ko", 5)], "text string, lang string, doc_id long").repartition(3)
+    once = reference._once(d, "lang")
+    rows = once.select("k", F.lit("m").alias("model"), F.col("text").alias("src"), F.concat("lang", F.lit("1")).alias("tgt"), F.lit(1).alias("attempts"), F.lit(1.0).alias("ts"))
+    got = validate.upsert(rows)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r["src"], r["tgt"]) for r in got.collect()} == {("a", "de1"), ("b", None), (None, "ko1")}
