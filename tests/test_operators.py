@@ -367,6 +367,31 @@ def test_unreachable_is_not_sorted_before_it_is_counted(spark, monkeypatch, far,
     assert ("SortAggregate" not in seen[0]._jdf.queryExecution().executedPlan().toString()) == hashed
 
 
+def test_unreachable_searches_a_text_for_a_letter_once(spark, monkeypatch):
+    """Among distinct texts, not at each occurrence; places count what has no letter, too."""
+    parts = [("d", 1, "<a:t>1</a:t><a:t>b</a:t><a:t></a:t><a:t>b</a:t>"), ("d", 1, "<c:v>é</c:v><a:t>2</a:t><a:t>a</a:t>"), ("d", 2, None)]
+    seen, numbered = [], order.numbered
+    monkeypatch.setattr(order, "numbered", lambda df, *more: seen.append(df) or numbered(df, *more))
+    got = sorted((r["n"], r["text"]) for r in slides.unreachable(spark.createDataFrame(parts, "deck string, pos long, xml string")).collect())
+    assert got == [(1, "é"), (2, "b"), (3, "a")]
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1 and plan.index("RLIKE") < plan.index("Aggregate")
+
+
+def test_numbered_rows_are_not_shuffled_to_meet_their_parts(spark):
+    """The table of parts is far smaller than the rows that it numbers, and its size is known."""
+    rows = spark.range(30_000).select((F.col("id") % 3).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        got = order.numbered(rows, ["k"], ["v"])
+        assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+        made = {(r["k"], r["v"]): r["n"] for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {(k, v): n for k in range(3) for n, v in enumerate(sorted(v for j, v in made if j == k), 1)}
+    assert made == want and len(made) == 30_000
+
+
 def test_texts_once_are_dealt_by_key_once(spark):
     """A cache's rows of distinct texts come dealt by their key, so that an upsert does not move the texts again; null languages do not count."""
     d = spark.createDataFrame([("a", "en", 1), ("a", None, 2), ("a", "de", 3), ("b", None, 4), (None, "ko", 5)], "text string, lang string, doc_id long").repartition(3)

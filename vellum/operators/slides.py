@@ -33,8 +33,10 @@ def _order(parts: DataFrame) -> Column:
 
 def unreachable(parts: DataFrame) -> DataFrame:
     """(deck, n, text): distinct texts with a letter in chart and diagram XML (deck, pos, xml), by first occurrence."""
-    found = parts.select("deck", "pos", F.posexplode(F.regexp_extract_all("xml", F.lit(r"<(?:a:t|c:v)>([^<]*)</(?:a:t|c:v)>"), 1)).alias("i", "text"))
-    first = found.where(wanted()).groupBy("deck", "text").agg(F.min(_order(parts)).alias("_at"))
+    found = parts.select("deck", "pos", F.posexplode(F.regexp_extract_all("xml", F.lit(r"<(?:a:t|c:v)>([^<]*+)</(?:a:t|c:v)>"), 1)).alias("i", "text"))
+    first = found.groupBy("deck", "text").agg(F.min(_order(parts)).alias("_at"))
+    # a text is searched for a letter once, not at each occurrence: a condition on the text alone would be moved before the count
+    first = first.where(F.when(wanted(), F.col("_at")).isNotNull())
     return order.numbered(first, ["deck"], ["_at"]).select("deck", "n", "text")
 
 

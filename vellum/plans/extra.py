@@ -157,7 +157,8 @@ def p02_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select source as deck, w as text, row_number() over (partition by source order by min(struct_pack(p := doc_id, i := i))) as n from (select source, doc_id, unnest(string_split(replace(text, chr(10), ' '), ' ')) as w, generate_subscripts(string_split(replace(text, chr(10), ' '), ' '), 1) as i from documents) where regexp_matches(w, '\\p{L}') and w not like '%<%' group by source, w")
 def p03_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    xml = F.array_join(F.transform(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), lambda w: F.concat(F.lit("<a:t>"), w, F.lit("</a:t>"))), "")
+    # each word between blanks in an element of its own
+    xml = F.concat(F.lit("<a:t>"), F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(" "), F.lit("</a:t><a:t>")), F.lit("</a:t>"))
     return slides.unreachable(I.table(spark, sf_dir, "documents").select(F.col("source").alias("deck"), F.col("doc_id").alias("pos"), xml.alias("xml"))).withColumn("n", F.col("n").cast("long"))
 
 
