@@ -1,11 +1,13 @@
 """Numbering by parts, the stored cache, the event ledger, the sweep, the affix index, the ladder and the report file, against plain Python."""
 
 import collections
+import glob
 import json
 import os
 import random
 
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +148,16 @@ def test_merge_deals_stored_rows_once(spark, tmp_path, monkeypatch, least):
     assert cache.read(spark, at).count() == 300 and all(t == ("t1" if int(k[2:], 16) % 2 else "t2") for k, t in got.items())
 
 
+def test_stored_texts_are_packed(spark, tmp_path):
+    """A merge writes its directories anew, so what texts take up counts at each; tables of another codec are read and replaced as well."""
+    at = str(tmp_path / "cache")
+    spark.createDataFrame([("00a", "m", "s", "old", 1, 1.0), ("00b", "m", "s", "kept", 1, 1.0)], ROW).withColumn("bucket", F.left("k", F.lit(2))).write.partitionBy("bucket").option("compression", "snappy").parquet(at)
+    assert cache.merge(spark, at, spark.createDataFrame([("00a", "m", "s", "new", 1, 2.0), ("01a", "m", "s", "t", 1, 1.0)], ROW)) == 2
+    assert {r["k"]: r["tgt"] for r in cache.read(spark, at).collect()} == {"00a": "new", "00b": "kept", "01a": "t"}
+    files = glob.glob(f"{at}/bucket=*/*.parquet")
+    assert files and {pq.ParquetFile(f).metadata.row_group(0).column(2).compression for f in files} == {"ZSTD"}
+
+
 def test_lookup_shuffles_no_keys_to_find_directories(spark, tmp_path):
     at = str(tmp_path / "cache")
     cache.merge(spark, at, spark.createDataFrame([(key(i), "m", "s", "t", 1, 1.0) for i in range(40)], ROW))

@@ -1,5 +1,6 @@
 """Examples of the reference's behaviour, and laws."""
 
+import hashlib
 import json
 import random
 
@@ -400,3 +401,14 @@ def test_texts_once_are_dealt_by_key_once(spark):
     got = validate.upsert(rows)
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert {(r["src"], r["tgt"]) for r in got.collect()} == {("a", "de1"), ("b", None), (None, "ko1")}
+
+
+def test_texts_once_are_cut_before_they_are_dealt(spark):
+    """Keys are those of whole texts; only what a cache keeps of a text is moved."""
+    long = "x" * 9000
+    d = spark.createDataFrame([(long + "a", "en"), (long + "b", "de"), (long + "a", "de"), ("short", None)], "text string, lang string").repartition(3)
+    once = reference._once(d, "lang")
+    got = {r["k"]: (r["text"], r["lang"]) for r in once.collect()}
+    assert got == {hashlib.sha256(t.encode()).hexdigest(): (t[:8000], lang) for t, lang in ((long + "a", "de"), (long + "b", "de"), ("short", None))}
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert "8000)" in plan[plan.index("Exchange hashpartitioning(k") :]
