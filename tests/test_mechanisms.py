@@ -328,6 +328,27 @@ def test_ladder_asks_only_for_what_failed(spark):
     assert ladder.climb(items.where("id = 1"), ask).count() == 1 and list(asked) == [1]
 
 
+def test_ladder_judges_replies_in_their_rows(spark):
+    ko = "가나다라마바사아자차카타파하"
+    src = "some plain english words stand here"
+    items = spark.createDataFrame([(i, None if i == 6 else " ".join(f"word{{v{k}}}" for k in range(16)) if i == 7 else src) for i in range(8)] + [(None, src)], "id int, input string")
+    said = lambda turn: F.when(F.col("id") < turn, ko).when(F.col("id") == turn, F.col("input"))
+
+    def ask(pending, turn):
+        return pending.select("id", "input", said(turn).alias("output"))
+
+    def rescue(pending):
+        return pending.select("id", "input", F.lit(ko).alias("output"), (F.col("id") % 2).alias("replaced"))
+
+    got = ladder.climb(items, ask, rescue)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    # the same replies without their inputs meet their items by id
+    apart = ladder.climb(items, lambda p, t: ask(p, t).drop("input"), lambda p: rescue(p).drop("input"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, apart.collect()))
+    told = {r["id"]: (r["provenance"], r["turn"], r["cacheable"]) for r in got.collect()}
+    assert told == {0: ("whole", 1, True), 1: ("whole", 2, True), 2: ("whole", 3, True), 3: ("rescue", 4, False), 4: ("source", 5, False), 5: ("rescue", 4, False), 6: ("source", 5, False), 7: ("fragment", 0, True)}
+
+
 # --- report
 
 
