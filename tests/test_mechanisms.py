@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.operators import audit, hidden, ladder, layout, ligature, order, terms, validate
+from vellum.shared import written
 from vellum.sources import cache, tables
 from vellum.streaming import ledger
 
@@ -593,3 +594,47 @@ def test_terms_are_counted_in_hash_tables(spark):
     pages = terms.paged(spark.createDataFrame([("d", 1, "some words stand here some words")], "doc string, page int, text string"))
     plan = terms.counted(pages)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan and "min(struct" not in plan
+
+
+#: Words of which some share a norm, some only where a third stands.
+FOLDED = """movie movies movy movys dish dishs dishes glass glasses glasss policy policies policie policys series serie sery ties tie gases gas gass
+bus buses house houses states state queries query cats cat boss bosses wishes wish fishs fishes skies xies flies-over flies-overs self-dish self-dishes re-entry
+re-entries re-entrie""".split()
+
+
+def test_tiered_terms_of_words_that_fold(spark, tmp_path):
+    import duckdb
+
+    from vellum.plans import reference
+
+    rng = random.Random(5)
+    rows = []
+    for source in range(12):
+        some = rng.sample(FOLDED, rng.randint(4, 24))
+        rows += [(source * 100 + k, " ".join(rng.choices(some + ["the"], k=rng.randint(0, 40))), "en", f"s{source}") for k in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("t14_tiered_terms", "t16_keep_terms"):
+        found = reference.QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, found.collect())) == sorted(con.sql(f"select {', '.join(found.columns)} from ({reference.SQL[name]})").fetchall())
+
+
+def test_tiered_writes_no_rare_terms(spark, monkeypatch):
+    """What occurs once is neither joined nor written, and no table of the whole vocabulary is made."""
+    sizes: dict = {}
+
+    def kept(df, kind="table", **more):
+        at = written(df, kind, **more)
+        sizes.setdefault(kind, []).append(at.count())
+        return at
+
+    monkeypatch.setattr(terms, "written", kept)
+    letters = "abcdefghijklmnop"
+    once = ["qu" + letters[i % 16] + letters[i // 16 % 16] + letters[i // 256] + "ing" for i in range(2000)]
+    rows = [("d", k, " ".join(once[k * 20 : k * 20 + 20]) + " hidden states" * 2) for k in range(100)]
+    pages = terms.paged(spark.createDataFrame(rows, "doc string, page int, text string"), surfaces=False)
+    assert pages.schema["words"].dataType.elementType.names == ["w"]
+    found = terms.tiered(pages, terms.vocabulary(pages)).collect()
+    assert [(r["rank"], r["term"], r["cnt"]) for r in sorted(found)] == [(1, "hidden states", 200), (2, "states hidden", 100)]
+    assert all(max(n) < 100 for kind, n in sizes.items() if kind not in ("words", "starts")), sizes
